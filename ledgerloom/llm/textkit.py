@@ -36,6 +36,26 @@ def _eights(padded: np.ndarray) -> np.ndarray:
     return np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes start[i] .. end[i] - 1 of ``data``, eight bytes a step."""
+    length = end - start
+    out = mix(length.astype(np.uint64) + _SEED)
+    if not len(out):
+        return out
+    eight = _eights(np.concatenate([data, np.zeros(8, np.uint8)]))
+    todo, at, left = np.arange(len(out)), start, length
+    for _ in range(LONG_WORD // 8):
+        chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+        out[todo] = mix(out[todo] * _FACTOR + chunk)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        if not len(todo):
+            break
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
+
+
 class Texts:
     """A run of documents as one byte array: ``data`` and document bounds ``at`` (length n + 1)."""
 
@@ -87,23 +107,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        length = self.end - self.start
-        out = mix(length.astype(np.uint64) + _SEED)
-        if not len(out):
-            return out
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eight = _eights(padded)
-        todo, at, left = np.arange(len(out)), self.start, length
-        for _ in range(LONG_WORD // 8):
-            chunk = eight[at] & _KEEP[np.minimum(left, 8)]
-            out[todo] = mix(out[todo] * _FACTOR + chunk)
-            more = left > 8
-            todo, at, left = todo[more], at[more] + 8, left[more] - 8
-            if not len(todo):
-                break
-        for i in np.flatnonzero(length > LONG_WORD):
-            out[i] = np.frombuffer(hashlib.blake2b(self.word(i), digest_size=8).digest(), np.uint64)[0]
-        return out
+        return range_hashes(self.data, self.start, self.end)
 
     def of_gram(self, k: int) -> np.ndarray:
         """For every window of ``k`` words in the run: whether it lies in one document."""
