@@ -5,6 +5,7 @@ from __future__ import annotations
 from .jaccard_join import op7_jaccard_join
 from .packing import op3_packing
 from .substring_dedup import op4_substring_dedup
+from .token_file import op1_token_file
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_substring_dedup, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_packing, op4_substring_dedup, op7_jaccard_join)}
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Whole texts to token ids with a public tokenizer, one call for each distinct piece of text instead of each word.
 
 Both tokenizers cut a text at white space before they merge, so a text may be cut where that cut is certain: before a
-single space between two characters that are not white space, and after a single line feed between such characters. The
-pieces repeat, so each is encoded once and its ids are gathered for every place. A text that holds white space outside
+single space between two characters that are not white space, after a single line feed between such characters, and
+between a Latin letter and a stop or comma. The pieces repeat, so each is encoded once and its ids are gathered for every place. A text that holds white space outside
 ASCII is encoded whole.
 """
 
@@ -16,9 +16,17 @@ import numpy as np
 from .textkit import Texts, expand, range_hashes
 
 #: Ids held for reuse in a worker; beyond it the store starts afresh.
-HELD_IDS = 4_000_000
+HELD_IDS = 8_000_000
 #: Lead bytes of UTF-8 white space outside ASCII (next line, no-break space, ogham space, general punctuation spaces, ideographic space).
 _LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Both tokenizers' special end token.
+END_MARK = "<|endoftext|>"
+_LETTER, _STOP, _LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP[list(b".,;:!?")] = True
+#: Second bytes of the letters of UTF-8's 0xC3 block (all but the signs for times and divided by).
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 
 
 class Encoder:
@@ -28,6 +36,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.end_mark = self.tokenizer.token_to_id(END_MARK)
         self._clear()
 
     def _clear(self) -> None:
@@ -48,6 +57,19 @@ class Encoder:
         self.used += len(flat)
         self.pieces += len(sizes)
 
+    def _lists(self, strings: list[str]) -> list[list[int]]:
+        """Ids of each string: joined by the tokenizer's own end mark, which nothing merges with, and cut there again."""
+        out: list[list[int]] = []
+        for k in range(0, len(strings), 512):
+            part = strings[k : k + 512]
+            ids = self.tokenizer.encode(END_MARK.join(part), add_special_tokens=False).ids
+            at = [-1, *(i for i, x in enumerate(ids) if x == self.end_mark), len(ids)]
+            if len(at) == len(part) + 1:
+                out += [ids[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
+            else:  # a text that holds the mark itself
+                out += [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        return out
+
     def encode(self, t: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts, each closed by ``end_id``, and their bounds (n + 1)."""
         if self.used > HELD_IDS:
@@ -58,6 +80,9 @@ class Encoder:
         if size > 2:
             cut[1 : size - 1] |= (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
             cut[2:size] |= (data[1:-1] == 10) & plain[:-2] & plain[2:]
+            letter = _LETTER[data]
+            letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+            cut[1:size] |= letter[:-1] & _STOP[data[1:]]
         at = t.at
         odd = [i for i in range(t.n) if any(x in t.text(i) for x in _LEADS)] if (data >= 0xC2).any() and any(x in data.tobytes() for x in _LEADS) else []
         for i in odd:
@@ -73,9 +98,8 @@ class Encoder:
         new = [(int(h), int(j)) for h, j in zip(distinct, sample, strict=True) if int(h) not in self.place]
         if new:
             raw = data.tobytes()
-            strings = [raw[begin[j] : finish[j]].decode("utf-8", "replace") for _, j in new]
             first = self.pieces
-            self._add([e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)])
+            self._add(self._lists([raw[begin[j] : finish[j]].decode("utf-8", "replace") for _, j in new]))
             self.place.update((h, first + k) for k, (h, _) in enumerate(new))
         piece = np.array([self.place[int(h)] for h in distinct], np.int64)[which] if len(distinct) else np.zeros(0, np.int64)
         length = self.length[piece]
