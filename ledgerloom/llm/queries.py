@@ -5,9 +5,10 @@ from __future__ import annotations
 from .decontaminate import op5_decontaminate
 from .jaccard_join import op7_jaccard_join
 from .packing import op3_packing
+from .personal_data import op6_personal_data
 from .quality_rules import op8_quality_rules
 from .substring_dedup import op4_substring_dedup
 from .token_file import op1_token_file
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_packing, op4_substring_dedup, op5_decontaminate, op7_jaccard_join, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_packing, op4_substring_dedup, op5_decontaminate, op6_personal_data, op7_jaccard_join, op8_quality_rules)}
 ORACLES: dict[str, str] = {}
