@@ -5,8 +5,8 @@ pivot. Distances to a random pivot are almost always 1 and tell nothing, so regi
 documents that share one of their rarest shingles. Two sets with J >= t must share one of their first
 n - ceil(t n) + 1 shingles in any fixed order of all shingles; ordering by rarity keeps these regions small.
 
-1. ``profiles``: one scan gives each document's set size, a 128-bit set identity, and its distances to ``SLICES`` virtual
-   pivots (how many of its shingles fall in each slice of the hash space: a bound on the symmetric difference), and
+1. ``profiles``: one scan gives each document's set size, a 128-bit set identity, and its distances to virtual pivots
+   (how many of its shingles fall in each slice of the hash space: a bound on the symmetric difference), and
    counts all shingles in 2**16 bins, so that the order of rarity covers every document.
 2. Equal sets are one class, stood for by the smallest doc_id.
 3. ``regions``: a second scan sends (prefix shingle, document) to the shingle's region; the smallest document there is the
@@ -38,8 +38,8 @@ from .store import keep
 from .textkit import SPACES, Texts, Words, grams, mix, signed, texts
 
 WORDS, PERCENT = 4, 85
-#: Virtual pivots: slices of the hash space.
-SLICES = 64
+#: Virtual pivots are slices of the hash space, about one for each two shingles: at least and at most so many.
+LEAST_SLICES, MOST_SLICES = 64, 8192
 #: Bins of the shingle counts that order shingles by rarity.
 BINS = 16
 #: Members of a region that one task compares; larger regions are cut in cells of about this many.
@@ -77,6 +77,20 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
         return int(signed(mix(s + np.uint64(1)).sum(keepdims=True))[0]), int(signed(mix(s ^ np.uint64(0x7F4A7C159E3779B9)).sum(keepdims=True))[0])
 
 
+def _slices(s: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall in each slice, up to 255; the number of slices is a power of two that follows the size."""
+    size = min(MOST_SLICES, max(LEAST_SLICES, 1 << max(1, len(s)).bit_length() - 1))
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def _fold(v: np.ndarray, size: int) -> np.ndarray:
+    """Counts of ``size`` slices from counts of more; sums of capped counts still differ by no more than the sets do."""
+    while v.shape[-1] > size:
+        half = v.shape[-1] // 2
+        v = v[..., :half] + v[..., half:]
+    return v
+
+
 PROFILE = "doc_id long, n long, set_hi long, set_lo long, slices binary, bin int, found long"
 
 
@@ -95,7 +109,7 @@ def _profiles(k: int):
                     n.append(len(s))
                     hi.append(a)
                     lo.append(b)
-                    vec.append(np.minimum(np.bincount((s & np.uint64(SLICES - 1)).astype(np.int64), minlength=SLICES), 65535).astype("<u2").tobytes())
+                    vec.append(_slices(s).tobytes())
                 found += np.bincount((np.concatenate(sets) >> np.uint64(64 - BINS)).astype(np.int64), minlength=1 << BINS)
                 none = pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(vec, pa.binary()), *none], schema=schema)
@@ -156,8 +170,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, doc, pivot)], schema=schema)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SLICES).astype(np.int32)
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8).astype(np.int16) for x in column.to_pylist()]
 
 
 def _possible(percent: int):
@@ -168,7 +182,10 @@ def _possible(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n = np.asarray(_get(batch, "n_a")) + np.asarray(_get(batch, "n_b"))
-                apart = np.abs(_vectors(_get(batch, "v_a")) - _vectors(_get(batch, "v_b"))).sum(1)
+                apart = np.zeros(batch.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(_vectors(_get(batch, "v_a")), _vectors(_get(batch, "v_b")), strict=True)):
+                    size = min(len(x), len(y))
+                    apart[i] = np.abs(_fold(x, size) - _fold(y, size)).sum()
                 ok = pa.array(apart * (100 + percent) <= (100 - percent) * n)
                 yield pa.RecordBatch.from_arrays([_get(batch, "a").filter(ok), _get(batch, "b").filter(ok)], schema=schema)
 
@@ -214,8 +231,10 @@ def _cells(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     names = ("token", "cell", "block", "doc_id", "component", "n", "both", "either")
 
-    def group(c: dict[str, np.ndarray], v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def group(c: dict[str, np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
+        sizes = np.array([len(x) for x in v])
+        folded: dict[int, np.ndarray] = {}
         doc, comp, n, block = c["doc_id"], c["component"], c["n"], c["block"]
         far = np.where(c["either"] > 0, 1 - c["both"] / np.maximum(c["either"], 1), np.nan)
         limit = 1 - percent / 100 + 1e-9
@@ -224,7 +243,12 @@ def _cells(percent: int):
             j = np.arange(i + 1, int(np.searchsorted(n * percent, 100 * n[i], "right")))
             j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (not split)) & ~(np.abs(far[j] - far[i]) > limit)]
             if len(j):
-                j = j[np.abs(v[j] - v[i]).sum(1) * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
+                size = int(sizes[i])
+                if size not in folded:  # sizes ascend, so what follows has as many slices or more
+                    folded = {size: np.stack([_fold(x, size) for x in v[i:]])}
+                    base = i
+                m = folded[size]
+                j = j[np.abs(m[j - base] - m[i - base]).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
                 left.append(np.minimum(doc[i], doc[j]))
                 right.append(np.maximum(doc[i], doc[j]))
         return (np.concatenate(left), np.concatenate(right)) if left else (doc[:0], doc[:0])
