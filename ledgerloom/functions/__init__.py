@@ -1,0 +1 @@
+"""Column functions: text, references, numbers, dates and identities."""
