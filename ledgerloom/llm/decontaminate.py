@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sqltext import plain_words
-from .store import keep
+from .sqltext import let, plain_words
+from .store import keep, small
 
 WINDOW, SHARE = 13, 20
+#: Rows (a word, or a word with its window) that are broadcast at most: some tens of MB.
+BROADCAST_ROWS = 200_000
 
 
 def _windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -37,18 +39,19 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WI
     ids = texts.select("doc_id", F.size(plain_words(F.col("text"))).cast("long").alias("n_words"))
     items = keep(_windows(benchmark, window).select("item_id", "words", F.sha2(F.array_join("words", " "), 256).alias("window")).distinct())
     distinct = items.select("window", "words").distinct()
-    vocabulary = distinct.select(F.explode("words").alias("word")).distinct()
+    vocabulary = keep(distinct.select(F.explode("words").alias("word")).distinct())
     spread = texts.select("doc_id", F.posexplode(plain_words(F.col("text"))).alias("pos", "word"))
-    counts = spread.select("word").join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counts = spread.select("word").join(small(vocabulary, BROADCAST_ROWS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     ranked = distinct.select("window", "words", F.posexplode("words").alias("offset", "word")).join(counts, "word")
     complete = ranked.groupBy("window").agg(F.min_by(F.struct("word", "offset"), F.struct("n", "word", "offset")).alias("p"), F.count("*").alias("found"), F.first("words").alias("words"))
     prefixes = keep(complete.where("found = size(words)").select("window", "words", "p.word", "p.offset"))
-    found = spread.join(prefixes.select("window", "word", "offset", F.size("words").alias("size")), "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0").select("doc_id", "start", "size", "window")
-    found = found.groupBy("doc_id", "start", "size", "window").agg(F.count("*").alias("seen"))
-    words = texts.select("doc_id", plain_words(F.col("text")).alias("doc_words"))
+    keys = small(prefixes.select("window", "word", "offset", F.size("words").alias("size")), BROADCAST_ROWS)
+    found = spread.join(keys, "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0").select("doc_id", "start", "size", "window")
     candidates = found.join(prefixes.select("window", "words"), "window")
-    exact = candidates.join(words, "doc_id").where("start + size <= size(doc_words) and slice(doc_words, start + 1, size) = words")
-    return ids, exact.select("doc_id", "start", "size", "window"), items.select("window", "item_id").distinct()
+    per = candidates.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "window", "words")).alias("may"))
+    same = lambda w: F.filter("may", lambda c: (c["start"] + c["size"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["size"]) == c["words"]))
+    exact = texts.join(per, "doc_id").select("doc_id", F.explode(let(plain_words(F.col("text")), same)).alias("hit"))
+    return ids, exact.select("doc_id", "hit.start", "hit.size", "hit.window"), items.select("window", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,6 +26,6 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns an operator needs, so extra columns with any name never clash."""
-    return docs.select(*columns)
+def small(table: DataFrame, most: int) -> DataFrame:
+    """``table`` (written, so counting is cheap) marked for broadcast if it has at most ``most`` rows; else joined by shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
