@@ -9,8 +9,9 @@ from .personal_data import op6_personal_data
 from .quality_rules import op8_quality_rules
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_file import op1_token_file
 from .weak_labels import op2_weak_labels
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_weak_labels, op3_packing, op4_substring_dedup, op5_decontaminate, op6_personal_data, op7_jaccard_join, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_weak_labels, op3_packing, op4_substring_dedup, op5_decontaminate, op6_personal_data, op7_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
