@@ -15,7 +15,7 @@ def parse_number(s: Column | str) -> Column:
     one mark alone, repeated or before three digits with a thousands group, groups thousands. Null where it is no number."""
     t = F.trim(F.regexp_replace(_c(s), "(?i)\\b(EUR|USD|GBP)\\b|[€$£\\s]", ""))
     negative = t.rlike("^\\(.*\\)$|^-|-$")
-    body = F.regexp_replace(t, "[()+-]", "")
+    body = F.regexp_replace(t, "^[(+-]+|[)+-]+$", "")
     comma, dot = F.length(body) - F.locate(",", F.reverse(body)), F.length(body) - F.locate(".", F.reverse(body))
     both = F.contains(body, F.lit(",")) & F.contains(body, F.lit("."))
     many = body.rlike("^[0-9]{1,3}(,[0-9]{3}){2,}$|^[0-9]{1,3}(\\.[0-9]{3}){2,}$")
@@ -47,6 +47,13 @@ def expand_year(yy: Column | str, as_of: str, ahead: int = 50) -> Column:
     return F.when(year > now + ahead, year - 100).otherwise(year).cast("int")
 
 
+def short_date(yymmdd: Column | str, pivot: int = 70) -> Column:
+    """Six digits of a fixed-width format; years from ``pivot`` on are of the last century."""
+    d = _c(yymmdd)
+    century = F.when(F.substring(d, 1, 2).cast("int") >= pivot, "19").otherwise("20")
+    return F.try_to_timestamp(F.concat(century, d), F.lit("yyyyMMdd")).cast("date")
+
+
 _MONTHS = "jan fev mar abr mai jun jul ago set out nov dez".split()
 
 

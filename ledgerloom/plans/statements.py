@@ -1 +1,137 @@
-"""Queries."""
+"""Queries of statement parsers: lines are written as files of a format and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..sources import sinks, statements as P
+from . import views as W
+from .registry import query
+
+RANKED = "ranked as (select *, cast(row_number() over (partition by account_id order by operation_date, line_id) - 1 as int) as rank from lines where line_id % 3 = 0)"
+LINES = f"with {RANKED} select cast(account_id as varchar) as file, rank, operation_date, amount, cast(line_id as varchar) as reference"
+
+
+def _ranked(spark, sf_dir):
+    w = Window.partitionBy("account_id").orderBy("operation_date", "line_id")
+    return W.lines(spark, sf_dir).where("line_id % 3 = 0").withColumn("rank", F.row_number().over(w) - 1).withColumn("file", F.col("account_id").cast("string"))
+
+
+def _abs():
+    return F.abs("amount").cast("string")
+
+
+def _camt(spark, sf_dir):
+    entry = F.concat(F.lit("<Ntry><Amt Ccy='EUR'>"), _abs(), F.lit("</Amt><CdtDbtInd>"), F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT"), F.lit("</CdtDbtInd><BookgDt><Dt>"), F.col("operation_date").cast("string"), F.lit("</Dt></BookgDt><NtryRef>"), F.col("line_id").cast("string"), F.lit("</NtryRef><AddtlNtryInf>"), "description", F.lit("</AddtlNtryInf></Ntry>"))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", entry, "<Document><Stmt>", "</Stmt></Document>")
+
+
+def _ofx(spark, sf_dir):
+    block = F.concat(F.lit("<STMTTRN><TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<DTPOSTED>"), F.date_format("operation_date", "yyyyMMdd"), F.lit("120000\n<FITID>"), F.col("line_id").cast("string"), F.lit("\n<MEMO>"), "description", F.lit("\n</STMTTRN>"))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", block, "OFXHEADER:100\n<OFX><CURDEF>EUR\n", "</OFX>")
+
+
+def _mt940(spark, sf_dir):
+    mark = F.when(F.col("amount") < 0, F.when(F.col("line_id") % 2 == 0, "RC").otherwise("D")).otherwise(F.when(F.col("line_id") % 2 == 0, "RD").otherwise("C"))
+    line = F.concat(F.lit(":61:"), F.date_format("operation_date", "yyMMdd"), F.date_format("operation_date", "MMdd"), mark, F.replace(_abs(), F.lit("."), F.lit(",")), F.lit("NTRF"), F.col("line_id").cast("string"), F.lit("//BANK\n:86:"), F.substring("description", 1, 9), F.lit("\n"), F.substring("description", 10, 200))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, ":20:X\n:60F:C950101EUR0,00\n", "\n:62F:C950101EUR0,00")
+
+
+def _norma43(spark, sf_dir):
+    cents = F.lpad((F.abs("amount") * 100).cast("decimal(14,0)").cast("string"), 14, "0")
+    day = F.date_format("operation_date", "yyMMdd")
+    line = F.concat(F.lit("22        "), day, day, F.lit("99999"), F.when(F.col("amount") < 0, "1").otherwise("2"), cents, F.rpad(F.col("line_id").cast("string"), 10, " "), F.lit("\n2301"), "description")
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, "11000000000000000000978\n", "\n33\n88")
+
+
+def _csv(spark, sf_dir):
+    debit, credit = F.when(F.col("amount") < 0, _abs()).otherwise(""), F.when(F.col("amount") >= 0, _abs()).otherwise("")
+    line = F.concat_ws(";", F.date_format("operation_date", "dd-MM-yyyy"), F.date_format("operation_date", "dd-MM-yyyy"), "description", F.replace(debit, F.lit("."), F.lit(",")), F.replace(credit, F.lit("."), F.lit(",")), F.col("line_id").cast("string"))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, "Data;Valor;Descricao;Debito;Credito;Saldo\n")
+
+
+@query(LINES + ", description from ranked")
+def s1_camt053(spark, sf_dir):
+    return P.parse_camt(_camt(spark, sf_dir)).drop("value_date")
+
+
+@query(LINES + ", description from ranked")
+def s2_ofx(spark, sf_dir):
+    return P.parse_ofx(_ofx(spark, sf_dir))
+
+
+@query(LINES + ", substr(description, 1, 9) || ' ' || substr(description, 10) as description from ranked")
+def s3_mt940(spark, sf_dir):
+    return P.parse_mt940(_mt940(spark, sf_dir)).drop("value_date")
+
+
+@query(LINES + ", description from ranked")
+def s4_norma43(spark, sf_dir):
+    return P.parse_norma43(_norma43(spark, sf_dir)).drop("value_date")
+
+
+@query(f"with {RANKED} select cast(account_id as varchar) as file, rank + 1 as rank, operation_date, amount, description, cast(line_id as decimal(18,2)) as running_balance from ranked")
+def s11_mapped_rows(spark, sf_dir):
+    mapping = {"date": 0, "value": 1, "description": 2, "debit": 3, "credit": 4, "balance": 5}
+    return P.parse_mapped(_csv(spark, sf_dir), mapping).drop("value_date")
+
+
+def _all_formats(spark, sf_dir):
+    tagged = lambda df, p: df.withColumn("file", F.concat(F.lit(p), "file"))
+    out = tagged(_camt(spark, sf_dir), "camt053-")
+    for name, f in (("ofx", _ofx), ("mt940", _mt940), ("norma43", _norma43), ("csv", _csv)):
+        out = out.unionByName(tagged(f(spark, sf_dir), f"{name}-"))
+    return out
+
+
+@query(f"with {RANKED} select f || '-' || account_id as file, f as format from (select distinct account_id from ranked), unnest(['camt053', 'ofx', 'mt940', 'norma43', 'csv']) t(f)")
+def s12_detect_format(spark, sf_dir):
+    return P.detect_format(_all_formats(spark, sf_dir))
+
+
+@query(f"with {RANKED} select distinct cast(account_id as varchar) as file, ';' as delimiter from ranked")
+def s13_detect_delimiter(spark, sf_dir):
+    return P.detect_delimiter(_csv(spark, sf_dir))
+
+
+@query("select doc_id, sha256(text) as sha from documents", base=False)
+def s14_decode_text(spark, sf_dir):
+    """Texts as UTF-8, UTF-8 with mark, and UTF-16 with mark, decoded again."""
+    d = W.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    k = F.col("file") % 3
+    raw = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-16"))
+    return P.decode_text(d.select("file", raw.alias("content"))).select(F.col("file").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+
+
+@query("""with e as (select statement_id, account_id, line_id, operation_date as day, amount, row_number() over (partition by statement_id order by operation_date, line_id) as sequence from lines where statement_id % 5 <> 0)
+ select statement_id, account_id, cast(sequence as int) as sequence, line_id, day, amount from e""")
+def s16_statement_evidence(spark, sf_dir):
+    """Statements as arrays, odd ones newest first; those divisible by five repeat a line and are refused."""
+    l = W.lines(spark, sf_dir)  # noqa: E741
+    rows = l.select("statement_id", "account_id", F.struct(F.col("operation_date").alias("d"), "line_id", F.col("operation_date").alias("day"), "amount").alias("x"))
+    s = rows.groupBy("statement_id", "account_id").agg(F.array_sort(F.collect_list("x")).alias("a"))
+    entries = F.transform("a", lambda x: F.struct(x["line_id"].alias("line_id"), x["day"].alias("day"), x["amount"].alias("amount")))
+    doubled = F.when(F.col("statement_id") % 5 == 0, F.concat(F.array(entries[0]), entries)).otherwise(entries)
+    desc = F.col("statement_id") % 2 == 1
+    s = s.select("statement_id", "account_id", F.when(desc, "DESC").otherwise("ASC").alias("direction"), F.when(desc, F.reverse(doubled)).otherwise(doubled).alias("lines"))
+    return P.explode_evidence(s)
+
+
+@query(f"""with {RANKED}, r as (select account_id, line_id, amount from ranked where rank < 220)
+ select cast(account_id as varchar) as file, c.k as "column", case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) else count(*) end as filled,
+ case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) when 5 then count(*) else 0 end as "numeric", case when c.k < 2 then count(*) when c.k = 5 then count(*) filter (line_id between 20000 and 90000) else 0 end as dates, case when c.k = 2 then count(*) else 0 end as "text"
+ from r, (values (0), (1), (2), (3), (4), (5)) c(k) group by account_id, c.k having case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) else count(*) end > 0""")
+def m1_profile_columns(spark, sf_dir):
+    return P.profile_columns(_csv(spark, sf_dir), ";").select("file", "column", "filled", "numeric", "dates", "text")
+
+
+@query(f"with {RANKED} select cast(account_id as varchar) as file, sha256('data_valor_descricao_debito_credito_saldo|' || string_agg('6', ',')) as fingerprint from ranked where rank < 5 group by 1")
+def m7_layout_fingerprint(spark, sf_dir):
+    return P.layout_fingerprint(_csv(spark, sf_dir), ";")
+
+
+@query("select line_id, case when line_id % 4 = 0 then '''=' || description when line_id % 4 = 1 then '''+' || description else description end as description, cast(amount as varchar) as amount from lines")
+def w1_csv_safe(spark, sf_dir):
+    risky = F.when(F.col("line_id") % 4 == 0, F.concat(F.lit("="), "description")).when(F.col("line_id") % 4 == 1, F.concat(F.lit("+"), "description")).otherwise(F.col("description"))
+    return sinks.safe(W.lines(spark, sf_dir).select("line_id", risky.alias("description"), F.col("amount").cast("string").alias("amount")))
