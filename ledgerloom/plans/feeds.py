@@ -1 +1,73 @@
-"""Queries."""
+"""Queries of the bank feed."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import feed as N
+from . import views as W
+from .registry import query
+
+M = W.MONEY
+
+
+@query("""with f as (select c_custkey as feed_id, 'PT' || lpad(cast(c_custkey % 30 as varchar(10)), 2, '0') as iban from customer where c_custkey <= 40),
+ a as (select n_nationkey + 1 as account_id, 'PT' || lpad(cast(n_nationkey + 1 as varchar(10)), 2, '0') as iban, n_nationkey % 9 = 8 as closed from nation)
+ select distinct feed_id, case when account_id is null then 'unavailable' when (select count(*) from f g where g.iban = f.iban) > 1 or closed then 'mapping_review' else 'mapped' end as state,
+ case when not ((select count(*) from f g where g.iban = f.iban) > 1 or closed) then account_id end as account_id from f left join a using (iban)""", base=False)
+def n1_map_accounts(spark, sf_dir):
+    iban = lambda c: F.concat(F.lit("PT"), F.lpad(c.cast("string"), 2, "0"))
+    feed = W.table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("feed_id"), iban(F.col("c_custkey") % 30).alias("iban"), F.lit("EUR").alias("currency"))
+    accounts = W.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("account_id"), iban(F.col("n_nationkey") + 1).alias("iban"), F.lit("EUR").alias("currency"), (F.col("n_nationkey") % 9 == 8).alias("closed"))
+    return N.map_accounts(feed, accounts)
+
+
+@query("select event_id, case when event_id % 10 = 0 then 'pending' when event_id % 11 = 0 then 'amount' when event_id % 13 = 0 then 'date' end as problem from events", base=False)
+def n2_validate(spark, sf_dir):
+    k = F.col("event_id")
+    tx = W.table(spark, sf_dir, "events").select("event_id", (k % 10 == 0).alias("pending"), F.when(k % 11 == 0, "1e5").otherwise(F.col("value").cast(M).cast("string")).alias("amount_text"), F.when(k % 13 == 0, "2024-02-31").otherwise(F.col("ts").cast("date").cast("string")).alias("date_text"))
+    return N.validate(tx).select("event_id", "problem")
+
+
+def _tx(spark, sf_dir):
+    return W.table(spark, sf_dir, "events").select(F.col("event_id").alias("tx_id"), (F.col("user_id") % 25 + 1).alias("account_id"), F.col("value").cast(M).alias("amount"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("description"), F.lit(1).alias("version"))
+
+
+@query("select event_id as tx_id, cast(value as decimal(18,2)) as amount, event_type || case when event_id % 30 = 0 then '' when event_id % 3 = 0 and event_id % 2 = 0 and event_id % 20 <> 0 then ' (new)' else '' end as description, case when event_id % 3 = 2 then 'kept' when event_id % 3 = 1 then 'new' when event_id % 20 = 0 then 'review' when event_id % 2 = 0 and event_id % 30 <> 0 then 'described' else 'unchanged' end as outcome from events", base=False)
+def n3_upsert(spark, sf_dir):
+    """A third is only known, a third only arrives; of the rest every 20th changes its amount and other even ones their text."""
+    tx = _tx(spark, sf_dir)
+    k = F.col("tx_id")
+    money, text = k % 20 == 0, (k % 2 == 0) & (k % 30 != 0) & (k % 20 != 0) & (k % 3 == 0)
+    new = tx.where("tx_id % 3 <> 2").withColumn("amount", F.when(money & (k % 3 == 0), F.col("amount") + 1).otherwise(F.col("amount")).cast(M)).withColumn("description", F.when(text, F.concat("description", F.lit(" (new)"))).otherwise(F.col("description"))).withColumn("version", F.lit(2))
+    return N.upsert(tx.where("tx_id % 3 <> 1"), new).select("tx_id", "amount", "description", "outcome")
+
+
+@query("select event_id, user_id from events", base=False)
+def n4_stream_deduplicated(spark, sf_dir):
+    """The events as a stream, each once within the 48 hours that are read again."""
+    schema = W.table(spark, sf_dir, "events").select("event_id", "user_id", "ts").schema
+    stream = N.read_landed(spark, f"{sf_dir}/events.parquet", schema).withColumn("at", F.col("ts").cast("timestamp"))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-feed-")
+    return N.run_once(N.deduplicated(twice, "event_id", "at").select("event_id", "user_id"), f"{root.rstrip('/')}/feed-{uuid.uuid4().hex}")
+
+
+@query("""select event_id, case when hour(ts) >= 18 then date_trunc('day', ts) + interval 18 hour when hour(ts) >= 7 then date_trunc('day', ts) + interval 7 hour else date_trunc('day', ts) - interval 6 hour end as slot from events""", base=False)
+def n5_collection_slot(spark, sf_dir):
+    return W.table(spark, sf_dir, "events").select("event_id", N.slot(F.col("ts"), [7, 18]).alias("slot"))
+
+
+@query("select entity, count(*) as missing from accounts where not closed and account_id not in (select user_id % 20 + 1 from events) group by 1")
+def n7_missing_connections(spark, sf_dir):
+    fed = W.table(spark, sf_dir, "events").select((F.col("user_id") % 20 + 1).alias("account_id"))
+    return W.accounts(spark, sf_dir).where("not closed").join(fed, "account_id", "left_anti").groupBy("entity").agg(F.count("*").alias("missing"))
+
+
+@query("select account_id, label, cast(sum(cast(value as decimal(18,2))) as decimal(18,2)) as balance, count(event_id) as n, max(cast(ts as date)) as last_day from accounts left join events on user_id % 20 + 1 = account_id where not closed group by 1, 2")
+def n8_feed_account_status(spark, sf_dir):
+    e = W.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20 + 1).alias("account_id")).agg(F.sum(F.col("value").cast(M)).cast(M).alias("balance"), F.count("*").alias("n"), F.max(F.col("ts").cast("date")).alias("last_day"))
+    return W.accounts(spark, sf_dir).where("not closed").join(e, "account_id", "left").select("account_id", "label", "balance", F.coalesce("n", F.lit(0)).alias("n"), "last_day")

@@ -1,0 +1 @@
+"""Incremental bank feed."""
