@@ -146,7 +146,7 @@ def _hits(doc: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarra
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(seg))
     seg, at = seg[hit], at[hit]
     begin = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1))[: len(seg)])
-    end = np.append(begin[1:], len(seg)) - 1
+    end = np.append(begin[1:], len(seg))[: len(begin)] - 1
     return pa.RecordBatch.from_arrays([pa.array(doc[seg[begin]]), pa.array(at[begin]), pa.array(at[end])], schema=_HITS)
 
 
