@@ -40,6 +40,8 @@ from .textkit import SPACES, Texts, Words, grams, mix, signed, texts
 WORDS, PERCENT = 4, 85
 #: Virtual pivots are slices of the hash space, about one for each two shingles: at least and at most so many.
 LEAST_SLICES, MOST_SLICES = 64, 8192
+#: Slices that travel with the members of a region; the pairs found there are bounded by all slices before they are compared.
+SKETCH = 256
 #: Bins of the shingle counts that order shingles by rarity.
 BINS = 16
 #: Members of a region that one task compares; larger regions are cut in cells of about this many.
@@ -91,11 +93,11 @@ def _fold(v: np.ndarray, size: int) -> np.ndarray:
     return v
 
 
-PROFILE = "doc_id long, n long, set_hi long, set_lo long, slices binary, bin int, found long"
+PROFILE = "doc_id long, n long, set_hi long, set_lo long, slices binary, sketch binary, bin int, found long"
 
 
 def _profiles(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("slices", pa.binary()), ("bin", pa.int32()), ("found", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("slices", pa.binary()), ("sketch", pa.binary()), ("bin", pa.int32()), ("found", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << BINS, np.int64)
@@ -103,18 +105,20 @@ def _profiles(k: int):
             ids = _get(batch, "doc_id")
             for t in texts(_get(batch, "text")):
                 sets = shingle_sets(t, k)
-                n, hi, lo, vec = [], [], [], []
+                n, hi, lo, vec, few = [], [], [], [], []
                 for s in sets:
                     a, b = _identity(s)
                     n.append(len(s))
                     hi.append(a)
                     lo.append(b)
-                    vec.append(_slices(s).tobytes())
+                    v = _slices(s)
+                    vec.append(v.tobytes())
+                    few.append(np.minimum(_fold(v.astype(np.int16), SKETCH), 255).astype(np.uint8).tobytes())
                 found += np.bincount((np.concatenate(sets) >> np.uint64(64 - BINS)).astype(np.int64), minlength=1 << BINS)
                 none = pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(vec, pa.binary()), *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(vec, pa.binary()), pa.array(few, pa.binary()), *none], schema=schema)
         full = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), f.type) for f in list(schema)[:5]), pa.array(full, pa.int32()), pa.array(found[full])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), f.type) for f in list(schema)[:6]), pa.array(full, pa.int32()), pa.array(found[full])], schema=schema)
 
     return task
 
@@ -271,7 +275,7 @@ def _cells(percent: int):
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {k: np.asarray(table[k].fill_null(0)) for k in names}
-        v = _vectors(table["slices"].combine_chunks())
+        v = _vectors(table["sketch"].combine_chunks())
         edge = np.flatnonzero((c["token"][1:] != c["token"][:-1]) | (c["cell"][1:] != c["cell"][:-1])) + 1
         found = [group({k: x[a:b] for k, x in c.items()}, v[a:b]) for a, b in zip([0, *edge], [*edge, len(v)], strict=True)]
         both = np.unique(np.stack([np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])]), axis=1)
@@ -292,7 +296,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     level = np.clip(np.log2(found / found.mean()) + 1, 0, 200).astype(np.uint64)
     mine = table.where("bin is null")
     first = mine.where("n > 0").groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("rep"))
-    classes = keep(mine.join(first, ["set_hi", "set_lo", "n"], "left").select("doc_id", "n", "slices", F.coalesce("rep", "doc_id").alias("rep")))
+    classes = keep(mine.join(first, ["set_hi", "set_lo", "n"], "left").select("doc_id", "n", "slices", "sketch", F.coalesce("rep", "doc_id").alias("rep")))
     reps = classes.where("doc_id = rep").dropDuplicates(["doc_id"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = docs.mapInArrow(_prefixes(k, percent, level), "token long, doc_id long")
@@ -306,14 +310,16 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     members = stand(stand(region, "doc_id"), "pivot").distinct()
     members = members.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     members = keep(members)
-    mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", "members")
-    rows = members.join(mixed, "token").join(reps.select("doc_id", "n", "slices"), "doc_id")
+    who = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
+    mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), *who).where("lo < hi")
+    mixed = mixed.groupBy("members", "who1", "who2").agg(F.min("token").alias("token")).select("token", "members")  # regions of the same documents once
+    rows = members.join(mixed, "token").join(reps.select("doc_id", "n", "sketch"), "doc_id")
     rows = rows.join(star.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "both", "either"), ["doc_id", "pivot"], "left")
     blocks = F.ceil(F.col("members") / CELL).cast("long")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    cells = rows.select("token", "cell", "block", "doc_id", "component", "n", "slices", "both", "either")
+    cells = rows.select("token", "cell", "block", "doc_id", "component", "n", "sketch", "both", "either")
     more = cells.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(_cells(percent), "a long, b long").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = _verified(more.join(known, ["a", "b"], "left_anti"), reps, docs, k, percent)
