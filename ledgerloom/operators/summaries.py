@@ -162,3 +162,7 @@ def materialize(lines: DataFrame, guarded: DataFrame) -> DataFrame:
     """New ledger rows of unmatched lines that no movement guards against."""
     free = lines.where("status < 2 and linked_ledger_id is null").join(guarded.select("line_id"), "line_id", "left_anti")
     return free.select((-F.col("line_id")).alias("ledger_id"), "account_id", F.col("operation_date").alias("booking_date"), "amount", F.when(F.col("amount") < 0, "DEB").otherwise("CRE").alias("operation"), F.coalesce(F.nullif("payment_reference", F.lit("")), "description").alias("label"))
+
+
+def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")

@@ -157,3 +157,67 @@ def joined(rows: DataFrame, by: list[str], order: str, text: Column, head: str =
     """(file, content): a group's texts in order as one file."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), between)
     return rows.groupBy(*by).agg(body.alias("b")).select(F.concat_ws("-", *by).alias("file"), F.concat(F.lit(head), F.col("b"), F.lit(tail)).alias("content"))
+
+
+def _movements(files: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """Lines of a file that fit a whole-line pattern: file, rank among them, and the groups g1..gn."""
+    rows = file_lines(files).where(F.col("line").rlike(pattern))
+    w = Window.partitionBy("file").orderBy("rank")
+    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), *[F.regexp_extract("line", pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
+
+
+def parse_nib_compound(files: DataFrame) -> DataFrame:
+    """5 + two short dates, text at 13-42, operation code at 43-45, cents and a last sign."""
+    m = _movements(files, "^5([0-9]{6})([0-9]{6})(.{30})(.{3}).*?([+-])([0-9]+)$", 6)
+    cents = (F.col("g6").cast("decimal(18,0)") / 100).cast(MONEY)
+    return m.select("file", "rank", short_date("g1").alias("operation_date"), short_date("g2").alias("value_date"), F.when(F.col("g5") == "-", -cents).otherwise(cents).cast(MONEY).alias("amount"), F.trim("g3").alias("description"), F.trim("g4").alias("operation"))
+
+
+def parse_consolidated(files: DataFrame) -> DataFrame:
+    """03 lines: blocks of 18 signed digits in cents; of three or more the last is the balance and the one before the movement."""
+    rows = file_lines(files).where("line like '03%'")
+    blocks = F.regexp_extract_all("line", F.lit("([+-])([0-9]{18})"), 0)
+    value = lambda b: (F.substring(b, 2, 18).cast("decimal(18,0)") / 100 * F.when(F.substring(b, 1, 1) == "-", -1).otherwise(1)).cast(MONEY)
+    rows = rows.withColumn("b", blocks).where("size(b) > 0")
+    n = F.size("b")
+    movement = F.when(n >= 3, F.element_at("b", -2)).otherwise(F.element_at("b", -1))
+    w = Window.partitionBy("file").orderBy("rank")
+    days = F.regexp_extract_all(F.substring("line", 11, 200), F.lit("  ([0-9]{8})"), 1)
+    day = lambda i: F.try_to_timestamp(F.get(days, F.lit(i)), F.lit("yyyyMMdd")).cast("date")
+    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), day(0).alias("operation_date"), F.coalesce(day(1), day(0)).alias("value_date"), value(movement).alias("amount"), F.when(n >= 3, value(F.element_at("b", -1))).alias("running_balance"))
+
+
+def parse_bit_recon(files: DataFrame) -> DataFrame:
+    """Lines of date, text, amount with C or D, and balance with C or D."""
+    m = _movements(files, "^([0-9]{8}) (.*?) ([0-9]+[.,][0-9]{2})([CD]) ([0-9]+[.,][0-9]{2})([CD])$", 6)
+    value = lambda a, s: (F.translate(a, ",", ".").cast(MONEY) * F.when(F.col(s) == "D", -1).otherwise(1)).cast(MONEY)
+    return m.select("file", "rank", F.try_to_timestamp("g1", F.lit("yyyyMMdd")).cast("date").alias("operation_date"), value("g3", "g4").alias("amount"), value("g5", "g6").alias("running_balance"), F.trim("g2").alias("description"))
+
+
+def parse_emc(files: DataFrame) -> DataFrame:
+    """EMC13 sets the currency; EMC23 is a movement with a pair of signs (any D is a debit), 16 digits of cents and a text."""
+    rows = file_lines(files).where("line rlike '^EMC(13|23)'")
+    w = Window.partitionBy("file").orderBy("rank")
+    money = F.last(F.when(F.col("line").startswith("EMC13"), F.substring("line", 6, 3)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("currency", money).where("line like 'EMC23%'")
+    cents = (F.substring("line", 16, 16).cast("decimal(16,0)") / 100).cast(MONEY)
+    debit = F.contains(F.substring("line", 14, 2), F.lit("D"))
+    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), F.try_to_timestamp(F.substring("line", 6, 8), F.lit("yyyyMMdd")).cast("date").alias("operation_date"), F.when(debit, -cents).otherwise(cents).cast(MONEY).alias("amount"), "currency", F.trim(F.substring("line", 32, 200)).alias("description"))
+
+
+def normalize_lines(lines: DataFrame, currency: str) -> DataFrame:
+    """Missing dates from each other, missing currency, direction from the sign, and a rank-based identity."""
+    day, value = F.coalesce("operation_date", "value_date"), F.coalesce("value_date", "operation_date")
+    out = lines.withColumns({"operation_date": day, "value_date": value, "currency": F.coalesce(F.nullif("currency", F.lit("")), F.lit(currency))})
+    return out.withColumn("direction", F.signum("amount").cast("int")).withColumn("line_uid", F.sha1(F.concat_ws("|", F.col("rank").cast("string"), F.col("operation_date").cast("string"), F.col("amount").cast("string"), "description")))
+
+
+def repair_balance(lines: DataFrame) -> DataFrame:
+    """Where a large amount stands beside a text that is only a much smaller decimal, that decimal is the amount and the amount
+    was the balance."""
+    other = F.when(F.col("description").rlike("^-?[0-9]{1,5}([.,][0-9]{1,2})$"), parse_number("description").cast(MONEY))
+    wrong = (F.abs("amount") >= 100) & (F.abs(other) <= 10000) & (F.abs(other) * 5 <= F.abs("amount"))
+    wrong = F.coalesce(wrong, F.lit(False))
+    return lines.select("*", wrong.alias("_w"), other.alias("_o")).withColumns({
+        "running_balance": F.when(F.col("_w"), F.col("amount")), "amount": F.when(F.col("_w"), F.col("_o")).otherwise(F.col("amount")).cast(MONEY),
+        "description": F.when(F.col("_w"), "").otherwise(F.col("description"))}).drop("_w", "_o")
