@@ -169,9 +169,10 @@ def test_quality_rules(spark, docs, texts, empty):
 
 
 def test_boilerplate(spark):
-    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    letters = str.maketrans("0123456789-", "abcdefghijk")
+    words = lambda k, n: " ".join(f"w{k}x{j}".translate(letters) for j in range(n))
     banner = words("b", 15)
-    rows = [(k, f"{words(k, 30)}\n{banner}\n{words(-k, 30)}", "h") for k in range(1, 60)] + [(99, f"{words(7000, 2)}\n{banner}\n{words(7001, 2)}", "h")]
+    rows = [(k, f"{words(k, 30)}\n{banner}\n{words(-k, 30)}", "h") for k in range(1, 60)] + [(99, f"{words(7000, 3)}\n{banner}\n{words(7001, 3)}", "h")]
     copies = [(200 + k, words("c", 12) + "\n" + words("d", 12), "h") for k in range(50)]
     got = {r["doc_id"]: r for r in line_verdicts(spark.createDataFrame(rows + copies, "doc_id long, text string, source string")).collect()}
     assert got[5]["kept"] and got[5]["n_left"] == 60
