@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sqltext import blank_words
-from .store import keep
+from .store import keep, small
 from .textkit import texts
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS, MIN_SEEDS, ACCEPT, TRIGGER, ROUNDS = 5, 3, 0.8, 0.5, 2
+#: Contexts (at most 64 characters each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -129,8 +131,9 @@ def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Data
     """(value, kind, score) of unseen instances that high-confidence patterns find. ``words`` has every word as ``context``."""
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     graph = edges.where("context is not null").groupBy("context", "value").agg(F.count("*").alias("n"))
-    likely = edges.where("kind is not null and context is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    uses = words.join(likely.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.count("*").alias("uses"))
+    likely = keep(edges.where("kind is not null and context is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS))
+    asked = keep(likely.select("context").distinct())
+    uses = words.join(small(asked, BROADCAST_ROWS), "context", "left_semi").groupBy("context").agg(F.count("*").alias("uses"))
     hits = graph.groupBy("context").agg(F.sum("n").alias("hits"), F.count("*").alias("instances"))
     triggers = keep(uses.join(hits, "context").where(F.col("hits") >= TRIGGER * F.col("uses")).join(likely.select("context", "kind"), "context").select("context", "kind", "instances"))
     narrow = keep(graph.join(triggers.select("context").distinct(), "context", "left_semi").select("context", "value"))
