@@ -14,25 +14,22 @@ from ledgerloom.llm.jaccard_join import jaccard_components
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.personal_data import redact
 from ledgerloom.llm.quality_rules import line_verdicts
-from ledgerloom.llm.store import keep
+from ledgerloom.llm.store import keep, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    bad = line_verdicts(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, line_verdicts(docs).where("not kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the smallest doc_id."""
-    extra = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, jaccard_components(docs).where("doc_id != component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage of weight."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

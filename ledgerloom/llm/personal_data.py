@@ -89,8 +89,8 @@ def _context(text: str, start: int) -> str | None:
     return word.lower() if len(word) <= 64 else None
 
 
-SPANS = "row long, doc_id long, kind string, first long, last long, value string, context string, base array<string>"
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("context", pa.string()), ("base", pa.list_(pa.string()))])
+SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, context string, base array<string>"
+_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("context", pa.string()), ("base", pa.list_(pa.string()))])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,20 +98,20 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = np.zeros(256, bool)
     marks[list(b"0123456789@")] = True
     for batch in batches:
-        rows, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("row", "doc_id"))
+        rows, ids, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("row", "doc_id", "copy"))
         for t in texts(batch.column(batch.schema.get_field_index("text"))):
             has = np.add.reduceat(np.append(marks[t.data], False).astype(np.int64), t.at[:-1]) * (np.diff(t.at) > 0) if t.n else []
             out: list[tuple] = []
             for i in range(t.n):
-                row, doc = rows[t.first + i], ids[t.first + i]
+                row, doc, copy = (x[t.first + i] for x in (rows, ids, copies))
                 if not has[i]:
-                    out.append((row, doc, None, None, None, None, None, []))
+                    out.append((row, doc, copy, None, None, None, None, None, []))
                     continue
                 text = t.text(i).decode()
                 found = base_spans(text)
-                out.append((row, doc, None, None, None, None, None, [f"{k}:{a}:{b}" for k in KINDS for a, b in found[k]]))
+                out.append((row, doc, copy, None, None, None, None, None, [f"{k}:{a}:{b}" for k in KINDS for a, b in found[k]]))
                 taken = sorted(s for k in KINDS for s in found[k])
-                out += [(row, doc, k, a, b, text[a:b].lower(), _context(text, a), None) for k in KINDS for a, b in found[k]]
+                out += [(row, doc, copy, k, a, b, text[a:b].lower(), _context(text, a), None) for k in KINDS for a, b in found[k]]
                 j, reach = 0, 0
                 for m in _MARKED.finditer(text):
                     a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
@@ -123,7 +123,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     value = text[a:b]
                     if "@" in value or sum("0" <= c <= "9" for c in value) >= DIGITS:
-                        out.append((row, doc, None, a, b, value.lower(), _context(text, m.start()), None))
+                        out.append((row, doc, copy, None, a, b, value.lower(), _context(text, m.start()), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -148,16 +148,16 @@ def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Data
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """row, doc_id, text, base (kind:start:end strings), added (the same, from discovered instances)."""
+    """row, doc_id, copy (hash of the text), base (kind:start:end strings), added (the same, from discovered instances)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    table = keep(numbered.select("row", "doc_id", "text").mapInArrow(_spans, SPANS))
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.xxhash64("text"))
+    table = keep(numbered.select("row", "doc_id", "copy", "text").mapInArrow(_spans, SPANS))
     edges = table.where("base is null")
     words = docs.select(F.explode(blank_words(F.col("text"))).alias("context")).where("length(context) <= 64").select(F.lower("context").alias("context"))
     new = discovered(edges, words, rounds)
     added = edges.where("kind is null").drop("kind").join(new.select("value", "kind"), "value")
     spans = added.groupBy("row").agg(F.collect_list(F.struct(F.col("kind"), F.col("first"), F.col("last"))).alias("added"))
-    return table.where("base is not null").select("row", "doc_id", "base").join(spans, "row", "left")
+    return table.where("base is not null").select("row", "doc_id", "copy", "base").join(spans, "row", "left")
 
 
 def with_spans(found: DataFrame) -> DataFrame:
@@ -170,16 +170,15 @@ def with_spans(found: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(order, x["k"].cast("int")), x["a"].cast("string"), x["b"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: F.startswith(x, F.lit(f"{k}:")))).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), text.alias("spans"))
+    return found.select("doc_id", "copy", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), text.alias("spans"))
 
 
 def redact(spark_docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``documents`` with every span replaced by its kind in brackets; all columns stay, ``n_chars`` follows the text."""
-    marked = spark_docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = keep(marked)
-    spans = find_personal_data(marked.select(F.col("__row").alias("doc_id"), "text"), rounds)
-    notes = with_spans(spans).where("spans != ''").select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
-    joined = marked.join(notes, "__row", "left")
+    spans = with_spans(find_personal_data(spark_docs, rounds)).where("spans != ''")
+    notes = keep(spans.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__copy"))
+    joined = spark_docs.join(small(notes, BROADCAST_ROWS), same, "left")
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
@@ -206,4 +205,4 @@ def mask(text: str, spans: str) -> str:
 
 
 def op6_personal_data(spark, sf_dir: str) -> DataFrame:
-    return with_spans(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return with_spans(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("copy")

@@ -22,10 +22,19 @@ def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small(table: DataFrame, most: int) -> DataFrame:
     """``table`` (written, so counting is cheap) marked for broadcast if it has at most ``most`` rows; else joined by shuffle."""
     return F.broadcast(table) if table.count() <= most else table
+
+
+#: Document ids (8 bytes each) that are broadcast at most.
+IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids``; a null doc_id stays."""
+    return docs.join(small(keep(ids.select("doc_id").distinct()), IDS), "doc_id", "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sqltext import blank_words
-from .store import keep
+from .store import IDS, keep, small
 from .textkit import Texts, Words, mix, range_hashes, space_words, texts
 
 BINS, SAMPLE, LEXICON, ROUNDS = 1 << 16, 3000, 2000, 60
@@ -204,6 +204,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.max(1 - F.col("quality")).cast("int").alias("bad"))
+    labels = small(keep(labels), IDS)
     words = lexicon(docs, labels)
     votes = docs.mapInArrow(_votes(_hash_of(INSULTS), _hash_of(words)), "doc_id long, toxic long, quality long")
     given = lambda c: F.coalesce(F.col(c), F.lit(2)).cast("long")
@@ -222,7 +223,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     for target in ("toxic", "quality"):
         for side, n in zip((F.col(f"p_{target}") >= 0.5, F.col(f"p_{target}") < 0.5), classes[target], strict=True):
             chosen |= side & (spot < min(1.0, sample / n))
-    picked = docs.join(judged.where(chosen), "doc_id").select("text", "p_toxic", "p_quality")
+    picked = docs.join(small(keep(judged.where(chosen)), IDS), "doc_id").select("text", "p_toxic", "p_quality")
     weights = {k: (np.zeros(BINS), 0.0) for k in ("toxic", "quality")}
     for r in picked.repartition(1).mapInArrow(_fit, "target string, bin int, weight double").collect():  # at most BINS weights a target
         w, bias = weights[r["target"]]
