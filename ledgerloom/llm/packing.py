@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .store import keep
 from .textkit import texts
-from .tokenize import encoder
+from .tokenize import SLICE, encoder
 
 SIZE, OPEN, MERGE, END_ID = 2048, 128, 32, 1
 
@@ -54,7 +54,7 @@ def _pack(path: str, size: int, most: int, end_id: int, with_ids: bool):
         opened = 0
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for t in texts(batch.column(batch.schema.get_field_index("text"))):
+            for t in texts(batch.column(batch.schema.get_field_index("text")), SLICE):
                 flat, bounds = encoder(path).encode(t, end_id)
                 for i in range(t.n):
                     ids, doc = flat[bounds[i] : bounds[i + 1]], docs[t.first + i]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .store import keep, scratch
 from .textkit import texts
-from .tokenize import encoder
+from .tokenize import SLICE, encoder
 
 BLOCK, STRIDE, MAX_BITS = 1 << 17, 64, 16
 
@@ -133,7 +133,7 @@ def _encoded(path: str, end_id: int):
         found = np.zeros(max(enc.size, end_id + 1), np.int64)
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1)
-            for t in texts(batch.column(batch.schema.get_field_index("text"))):
+            for t in texts(batch.column(batch.schema.get_field_index("text")), SLICE):
                 flat, bounds = enc.encode(t, end_id)
                 found += np.bincount(flat, minlength=len(found))
                 narrow = flat.astype(_width(enc.size))

@@ -15,8 +15,10 @@ import numpy as np
 
 from .textkit import Texts, expand, range_hashes
 
-#: Ids held for reuse in a worker; beyond it the store starts afresh.
-HELD_IDS = 8_000_000
+#: Pieces held for reuse in a worker (about 40 bytes each); beyond it the store starts afresh.
+HELD = 1_500_000
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 #: Lead bytes of UTF-8 white space outside ASCII (next line, no-break space, ogham space, general punctuation spaces, ideographic space).
 _LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Both tokenizers' special end token.
@@ -40,7 +42,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of pieces in order, and their numbers
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.pieces = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -57,6 +59,11 @@ class Encoder:
         self.used += len(flat)
         self.pieces += len(sizes)
 
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
+
     def _lists(self, strings: list[str]) -> list[list[int]]:
         """Ids of each string: joined by the tokenizer's own end mark, which nothing merges with, and cut there again."""
         out: list[list[int]] = []
@@ -72,7 +79,7 @@ class Encoder:
 
     def encode(self, t: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts, each closed by ``end_id``, and their bounds (n + 1)."""
-        if self.used > HELD_IDS:
+        if self.pieces > HELD:
             self._clear()
         data, size = t.data, len(t.data)
         plain = (data > 0x20) & (data != 0x7F)
@@ -95,13 +102,14 @@ class Encoder:
         finish = np.append(begin[1:], size)
         keys = range_hashes(data, begin, finish)
         distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = [(int(h), int(j)) for h, j in zip(distinct, sample, strict=True) if int(h) not in self.place]
-        if new:
-            raw = data.tobytes()
-            first = self.pieces
-            self._add(self._lists([raw[begin[j] : finish[j]].decode("utf-8", "replace") for _, j in new]))
-            self.place.update((h, first + k) for k, (h, _) in enumerate(new))
-        piece = np.array([self.place[int(h)] for h in distinct], np.int64)[which] if len(distinct) else np.zeros(0, np.int64)
+        new = np.flatnonzero(~self._known(distinct))
+        if len(new):
+            raw, first = data.tobytes(), self.pieces
+            self._add(self._lists([raw[begin[j] : finish[j]].decode("utf-8", "replace") for j in sample[new]]))
+            every = np.concatenate([self.keys, distinct[new]])
+            by = np.argsort(every, kind="stable")
+            self.keys, self.index = every[by], np.concatenate([self.index, np.arange(first, self.pieces, dtype=np.int32)])[by]
+        piece = self.index[np.searchsorted(self.keys, distinct)][which]
         length = self.length[piece]
         flat = self.ids[expand(self.start[piece], length)]
         total = np.append(0, np.cumsum(length))[np.searchsorted(begin, at)]
