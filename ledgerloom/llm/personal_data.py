@@ -187,11 +187,10 @@ def redact(spark_docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
         return pd.Series([mask(a, b) if isinstance(b, str) else a for a, b in zip(text, spans, strict=True)], dtype=object)
 
-    changed = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked("text", "__spans"))
-    out = joined.withColumn("text", changed)
+    hit = joined.where("__spans is not null").withColumn("text", masked("text", "__spans"))  # only these rows reach Python
     if "n_chars" in spark_docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(spark_docs.schema["n_chars"].dataType))
-    return out.select(*spark_docs.columns)
+        hit = hit.withColumn("n_chars", F.length("text").cast(spark_docs.schema["n_chars"].dataType))
+    return joined.where("__spans is null").select(*spark_docs.columns).unionByName(hit.select(*spark_docs.columns))
 
 
 def mask(text: str, spans: str) -> str:
