@@ -18,9 +18,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ll-{uuid.uuid4().hex}"
 
 
+#: What Arrow hands to Python at once, where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB: whole texts are large rows, and Spark's default of 10,000 rows a batch is held several times over."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == default or default is None:
+            spark.conf.set(key, str(value))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
