@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no tokenizer; tests hold the stages against brute force.
+#: SQL has no tokenizer; the operators of the stages are tested against plain versions (the whole run has no such test yet).
 ORACLE_SQL = None
 
 
