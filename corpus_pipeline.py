@@ -13,13 +13,13 @@ from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.jaccard_join import jaccard_components
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.personal_data import redact
-from ledgerloom.llm.quality_rules import line_verdicts
+from ledgerloom.llm.quality_rules import cleaned
 from ledgerloom.llm.store import keep, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return without(docs, line_verdicts(docs).where("not kept"))
+    """Documents that the quality rules keep, without boilerplate lines."""
+    return cleaned(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

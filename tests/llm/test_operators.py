@@ -12,7 +12,7 @@ from ledgerloom.llm import induced_sort, jaccard_join, packing, token_file  # no
 from ledgerloom.llm.components import components  # noqa: E402
 from ledgerloom.llm.decontaminate import decontaminate  # noqa: E402
 from ledgerloom.llm.personal_data import KINDS, base_spans, find_personal_data, mask, redact, with_spans  # noqa: E402
-from ledgerloom.llm.quality_rules import line_verdicts  # noqa: E402
+from ledgerloom.llm.quality_rules import cleaned, line_verdicts  # noqa: E402
 from ledgerloom.llm.secret_scan import findings  # noqa: E402
 from ledgerloom.llm.substring_dedup import dedup_windows  # noqa: E402
 from ledgerloom.llm.suffix_dedup import dedup_bytes  # noqa: E402
@@ -180,6 +180,26 @@ def test_boilerplate(spark):
     assert got[210]["kept"]
 
 
+def test_boilerplate_documents(spark):
+    """A block of five lines is boilerplate as a whole; a line that one document repeats, or that near copies share, is not."""
+    letters = str.maketrans("0123456789-", "abcdefghijk")
+    words = lambda k, n: " ".join(f"w{k}x{j}".translate(letters) for j in range(n))
+    header = "\n".join(words(f"h{j}", 12) for j in range(5))
+    rows = [(k, f"{header}\n{words(k, 60)}", "a") for k in range(1, 31)] + [(40, f"{header}\n{words(7000, 10)}", "a")]
+    again = "\n".join(f"{words('r', 5)}\n{words(300 + k, 12)}" for k in range(25))
+    rows += [(50, again, "b"), (51, "\n".join([words("r", 5)] * 1 + [words(8000, 30)]), "b")]
+    near = [words(500 + j, 12) for j in range(12)]
+    rows += [(100 + k, "\n".join([*near[:-1], near[-1] + " " + words(600 + k, 1)]), "c") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_verdicts(docs).collect()}
+    assert got[1]["kept"] and got[1]["n_left"] == 60
+    assert not got[40]["kept"] and not got[40]["base_failed"] and got[40]["n_left"] == 10
+    assert got[50]["n_left"] == got[50]["n_words"] and got[51]["n_left"] == 35
+    assert all(got[100 + k]["kept"] and got[100 + k]["n_left"] == got[100 + k]["n_words"] for k in range(40))
+    clean = {r["doc_id"]: r["text"] for r in cleaned(docs).collect()}
+    assert clean[1] == words(1, 60) and 40 not in clean and clean[100] == rows[33][1]
+
+
 def test_labellers():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.2
