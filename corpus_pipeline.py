@@ -16,6 +16,9 @@ from ledgerloom.llm.personal_data import redact
 from ledgerloom.llm.quality_rules import cleaned
 from ledgerloom.llm.store import keep, without
 
+#: Near copies of the pipeline share this percentage of their runs of so many words; op7_jaccard_join has bounds of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without boilerplate lines."""
@@ -24,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the smallest doc_id."""
-    return without(docs, jaccard_components(docs).where("doc_id != component_id"))
+    return without(docs, jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id != component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

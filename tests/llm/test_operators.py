@@ -107,6 +107,17 @@ def test_jaccard_join(monkeypatch, docs, texts, empty, cell):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_pipeline_near_duplicates(spark):
+    """Two of 100 words changed: 5-word Jaccard 86/106 is a copy for the stage, 4-word 89/105 is none for op7."""
+    from corpus_pipeline import near_duplicate_stage
+
+    base = [f"w{j}" for j in range(100)]
+    edit = [f"edit{j}" if j in (30, 70) else w for j, w in enumerate(base)]
+    table = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edit))], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_duplicate_stage(spark, table, "").collect()] == [1]
+    assert jaccard_join.jaccard_components(table).where("doc_id != component_id").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 130)]
