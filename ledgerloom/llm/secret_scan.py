@@ -1,16 +1,18 @@
 """Secret scan: candidates from every text, then a random forest that removes false positives.
 
-Candidates are blank-separated tokens with a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_=-]`` that holds a
-digit, or letters of both cases without a vowel pattern of words. Features: length of the run, transitions between
-character classes, distinct characters, digit and upper-case share, dictionary coverage (share of its letters in runs
-that are frequent words of the whole corpus), path (how usual candidates are in the source), and the neighbouring words
-(an assignment, quotes, a credential word before it, whether the neighbours are frequent words).
+Candidates are all runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (with ``=`` as padding at the end only) in
+every blank-separated word that hold a digit, or letters of both cases that do not read as words (``MIXED``: five consonants
+in a row, or at most two letters between changes of case). Features: length of the run, transitions between character classes,
+distinct characters, digit and upper-case share, dictionary coverage (share of its letters in runs that are frequent words
+of the whole corpus), and path (how usual candidates are in the source).
 
 Labelled findings are those whose context decides: a credential word with an assignment before a quoted value is a true
 finding; an unassigned, unquoted value next to two frequent words is a false one. The forest is trained on at most
 ``SAMPLE`` findings of each label taken by hash (the bound is for fitting only), without the columns that decided the
 label, and judges every candidate.
 
+The neighbouring words (whether they are frequent) decide false labels and so are no features.
+
 Only DataFrame functions and Spark's own random forest are used. Defined cases: null or empty text has no candidates;
 with fewer than two labels among the findings, decided labels stand and undecided candidates are kept as findings;
 repeated rows are judged row by row; an empty table gives an empty result; a null source is a path of its own.
@@ -27,21 +29,31 @@ from .store import keep, small
 LEAST, SAMPLE, TREES, DEPTH, FREQUENT, WORDS_HELD = 16, 5000, 20, 6, 200, 200_000
 #: Words that name credentials.
 CREDENTIAL = "(?i)(token|secret|passw(or)?d|pwd|api_?key|apikey|auth|credential|private_?key|access_?key)"
-RUN = "[A-Za-z0-9+/_=-]{16,}"
-FEATURES = ("length", "transitions", "distinct", "digits", "capitals", "coverage", "path", "near_before", "near_after")
+#: A run starts where no run goes on, so a long one is read once; ``=`` ahead of a value ends it.
+RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
+MIXED = "(?i:[b-df-hj-np-tv-xz]{5})|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z])"
+FEATURES = ("length", "transitions", "distinct", "digits", "capitals", "coverage", "path")
+
+
+def _random(run: Column) -> Column:
+    return run.rlike("[0-9]") | (run.rlike("[a-z]") & run.rlike("[A-Z]") & run.rlike(MIXED))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row a candidate: doc_id, source, pos (word), word, run, before2, before, after."""
+    """One row a candidate: doc_id, source, pos (word), nth (run of the word), word, run, prefix (what leads to the run in the word), before2, before, after."""
 
     def near(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & F.get(w, i).rlike(RUN) & F.get(w, i).rlike("[0-9]"))
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & F.get(w, i).rlike(RUN) & _random(F.get(w, i)))
         pick = lambda i: F.struct(i.alias("pos"), F.get(w, i).alias("word"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"), F.get(w, i + 1).alias("after"))
         return F.when(F.size(w) > 0, F.transform(at, pick))
 
     text = F.coalesce("text", F.lit(""))
-    likely = docs.where(text.rlike("[0-9]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(let(blank_words(text), near)).alias("c"))
-    return likely.select("doc_id", "source", "c.*", F.regexp_extract("c.word", RUN, 0).alias("run"))
+    likely = docs.where(text.rlike("[A-Za-z0-9+/_-]{16}")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(let(blank_words(text), near)).alias("c"))
+    split = likely.select("doc_id", "source", "c.*", F.regexp_extract_all("c.word", F.lit(RUN), 0).alias("runs"), F.split("c.word", RUN).alias("between"))
+    led = lambda r, i: F.struct(i.alias("nth"), r.alias("run"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.coalesce(F.get("between", i), F.lit(""))).alias("prefix"))
+    each = split.withColumn("r", F.explode(F.filter(F.transform("runs", led), lambda x: _random(x["run"])))).drop("runs", "between")
+    first = lambda c: F.when(F.col("r.nth") == 0, F.col(c)).alias(c)  # noqa: E731  # words before count for the first run only
+    return each.select("doc_id", "source", "pos", "r.nth", "word", first("before2"), first("before"), "after", "r.run", "r.prefix")
 
 
 def _classes(run: Column) -> Column:
@@ -68,21 +80,20 @@ def findings(docs: DataFrame) -> DataFrame:
     paths = rows.groupBy("source").agg(F.count("*").alias("here"))
     wide = rows.join(covered, "id", "left").join(beside("before"), "id", "left").join(beside("after"), "id", "left").join(paths, "source", "left")
     classes = _classes(F.col("run"))
-    credential = F.concat_ws(" ", "before2", "before", F.regexp_replace("word", RUN + ".*", "")).rlike(CREDENTIAL)
-    assigned = F.concat_ws(" ", "before", F.regexp_replace("word", RUN + ".*", "")).rlike("[=:]\\s*[\"']?$")
+    credential = F.concat_ws(" ", "before2", "before", "prefix").rlike(CREDENTIAL)
+    assigned = F.concat_ws(" ", "before", "prefix").rlike("[=:]\\s*[\"']?$")
     quoted = F.col("word").rlike("[\"']")
     label = F.when(credential & assigned, 1.0).when(~credential & ~assigned & ~quoted & (F.col("near_before") + F.col("near_after") == 2), 0.0)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
     n = F.length("run").cast("double")
     wide = wide.withColumns({"near_before": F.coalesce("near_before", F.lit(0.0)), "near_after": F.coalesce("near_after", F.lit(0.0))})
     shaped = wide.select(
-        "id", "doc_id", "pos", "run", label.alias("label"), n.alias("length"),
+        "id", "doc_id", "pos", "nth", "run", label.alias("label"), n.alias("length"),
         (F.length(F.regexp_replace(classes, "(.)\\1+", "$1")) / n).alias("transitions"),
         (F.size(F.array_distinct(F.split("run", ""))) / F.least(n, F.lit(64.0))).alias("distinct"),
         (F.length(F.regexp_replace("run", "[^0-9]", "")) / n).alias("digits"),
         (F.length(F.regexp_replace("run", "[^A-Z]", "")) / n).alias("capitals"),
         (F.coalesce("covered", F.lit(0)) / n).alias("coverage"),
-        F.log1p("here").alias("path"), zero("near_before"), zero("near_after"),
+        F.log1p("here").alias("path"),
     )
     shaped = keep(shaped)
     totals = {r["label"]: r["n"] for r in shaped.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -92,7 +103,7 @@ def findings(docs: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    spot = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 30)) / float(1 << 30)
+    spot = F.pmod(F.xxhash64("doc_id", "pos", "nth"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE / totals[1.0])).otherwise(min(1.0, SAMPLE / totals[0.0]))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
     train = vectors.transform(shaped.where("label is not null").where(spot < share))
@@ -101,6 +112,6 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Every candidate: doc_id, pos (word), length, run_sha256, labelled, p_secret, is_secret."""
+    """Every candidate: doc_id, pos (word), nth (run of the word), length, run_sha256, labelled, p_secret, is_secret."""
     out = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("length").cast("long").alias("length"), F.sha2("run", 256).alias("run_sha256"), F.col("label").alias("labelled"), "p_secret", (F.col("p_secret") >= 0.5).alias("is_secret"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2("run", 256).alias("run_sha256"), F.col("label").alias("labelled"), "p_secret", (F.col("p_secret") >= 0.5).alias("is_secret"))

@@ -13,7 +13,7 @@ from ledgerloom.llm.components import components  # noqa: E402
 from ledgerloom.llm.decontaminate import decontaminate  # noqa: E402
 from ledgerloom.llm.personal_data import KINDS, base_spans, find_personal_data, mask, redact, with_spans  # noqa: E402
 from ledgerloom.llm.quality_rules import cleaned, line_verdicts  # noqa: E402
-from ledgerloom.llm.secret_scan import findings  # noqa: E402
+from ledgerloom.llm.secret_scan import FEATURES, candidates, findings  # noqa: E402
 from ledgerloom.llm.substring_dedup import dedup_windows  # noqa: E402
 from ledgerloom.llm.suffix_dedup import dedup_bytes  # noqa: E402
 from ledgerloom.llm.weak_labels import fit_labellers, score_documents  # noqa: E402
@@ -248,3 +248,27 @@ def test_secret_scan(spark, empty):
     got = {r["doc_id"]: r["p_secret"] for r in findings(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i] > 0.5 for i in range(60)) and all(got[100 + i] < 0.5 for i in range(60)) and got[300] > 0.5
     assert findings(empty).count() == 0
+
+
+def test_secret_candidates(spark):
+    key, mixed = "9f8e7d6c5b4a39281706f5e4", "qWhTrbNxKpLzVsDmGcYf"
+    rows = [f'{{"a":"{key}1","b":"{key}2"}}', f"api_key={key}", f"x={mixed};y={key}==", "internationalization getElementIdentifier", f"see {key[:16]}{'x' * 20000} end"]
+    got = {}
+    for r in candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "'s' as source")).collect():
+        got.setdefault(r["doc_id"], []).append((r["nth"], r["run"], r["prefix"]))
+    assert [x[1] for x in sorted(got[0])] == [key + "1", key + "2"]
+    assert got[1] == [(0, key, "api_key=")]
+    assert [x[1] for x in sorted(got[2])] == [mixed, key + "=="]
+    assert 3 not in got and len(got[4]) == 1
+
+
+def test_secret_labels(spark):
+    """A credential label inside the word counts; what decides a label is no feature."""
+    rng = np.random.default_rng(8)
+    hexes = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = [(i, f"the api_key={hexes()} the text", "a") for i in range(400)] + [(500 + i, f"the {rng.integers(10**15, 10**16)} the text the", "b") for i in range(400)]
+    rows += [(1000 + i, f"the {hexes()} the text the", "a") for i in range(4)]
+    got = {r["doc_id"]: r for r in findings(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["label"] == 1 for i in range(400))
+    assert all(got[1000 + i]["label"] == 0 and got[1000 + i]["p_secret"] > 0.5 for i in range(4))
+    assert not {"near_before", "near_after"} & set(FEATURES)
