@@ -1,12 +1,14 @@
 """Personal data: fixed patterns seed a bootstrapped contextual extraction.
 
 1. One scan finds base spans (email, ip, card, phone) and, as candidates, other identifier-like tokens (an ``@`` or at
-   least ``DIGITS`` digits). Each span or candidate gives an edge (context, instance): the context is the token before it.
-2. Contexts that precede several distinct seeds become pattern candidates of the seeds' kind; how often each context
-   occurs at all is counted over every word of every text.
-3. Rounds of scoring on the context-instance graph, all Spark jobs: a pattern scores the mean score of its distinct
-   instances (one unseen instance added, so small patterns score low), and counts only if most of its occurrences precede
-   an identifier; unseen instances of patterns at ``ACCEPT`` or more join the known ones with the pattern's score.
+   least ``DIGITS`` digits). Each span or candidate gives edges (context, instance): the contexts are the one to three tokens
+   before it (``<``) and after it (``>``).
+2. Contexts beside several distinct seeds of a kind become pattern candidates of that kind; how often each context occurs at
+   all is counted over every word of every text.
+3. Rounds of scoring on the context-instance graph, all Spark jobs: a pattern counts only if most of the context's
+   occurrences are beside an identifier. Its score is RlogF, R * log2(F): F is the mass of its known instances, R that mass
+   over the instances that can be of its kind (by shape; an unclear shape can be of any). At ``ACCEPT`` or more, with R at
+   ``TRIGGER`` or more, unseen instances that can be of the kind join the known ones with the pattern's score (1 at most).
 4. Candidates whose text is a known instance become spans of the pattern's kind. Base spans always stay.
 
 Defined cases: null or empty text has no spans; overlapping spans of different kinds all stay; repeated rows are judged row
@@ -40,6 +42,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_BLANK, _SPLIT = " \t\n\x0b\f\r", re.compile(r"[\x20\x09-\x0D]+")
+#: Characters looked at for each token of a context, beyond what a token may have.
+CONTEXT_REACH = 80
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -80,17 +85,32 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _context(text: str, start: int) -> str | None:
-    """The token before ``start``, lower-cased; None at the start of a text or after a token of over 64 characters."""
-    head = text[max(0, start - 80) : start].rstrip(" \t\n\x0b\f\r")
-    if not head or head == text[max(0, start - 80) : start]:
-        return None
-    word = re.split(r"[\x20\x09-\x0D]+", head)[-1]
-    return word.lower() if len(word) <= 64 else None
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """The one to three tokens before ``start`` and after ``end``, lower-cased; none beside a longer token or past the text's ends.
+
+    Tokens of over 64 characters end a context; punctuation that closes the instance is skipped on the right.
+    """
+    out = []
+    head = text[max(0, start - 3 * CONTEXT_REACH) : start]
+    if head != head.rstrip(_BLANK):
+        words = [w for w in re.split(_SPLIT, head) if w][start > 3 * CONTEXT_REACH :][-3:]  # the first may be cut
+        for n in range(1, len(words) + 1):
+            if len(words[-n]) > 64:
+                break
+            out.append("<" + " ".join(words[-n:]).lower())
+    tail = text[end : end + 3 * CONTEXT_REACH].lstrip(_EDGE)
+    if tail != tail.lstrip(_BLANK):
+        words = [w for w in re.split(_SPLIT, tail) if w]
+        words = words[: len(words) - (end + 3 * CONTEXT_REACH < len(text))][:3]
+        for n in range(1, len(words) + 1):
+            if len(words[n - 1]) > 64:
+                break
+            out.append(">" + " ".join(words[:n]).lower())
+    return out
 
 
-SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, context string, base array<string>"
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("context", pa.string()), ("base", pa.list_(pa.string()))])
+SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, contexts array<string>, base array<string>"
+_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("contexts", pa.list_(pa.string())), ("base", pa.list_(pa.string()))])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +131,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = base_spans(text)
                 out.append((row, doc, copy, None, None, None, None, None, [f"{k}:{a}:{b}" for k in KINDS for a, b in found[k]]))
                 taken = sorted(s for k in KINDS for s in found[k])
-                out += [(row, doc, copy, k, a, b, text[a:b].lower(), _context(text, a), None) for k in KINDS for a, b in found[k]]
+                out += [(row, doc, copy, k, a, b, text[a:b].lower(), _contexts(text, a, b), None) for k in KINDS for a, b in found[k]]
                 j, reach = 0, 0
                 for m in _MARKED.finditer(text):
                     a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
@@ -123,25 +143,46 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     value = text[a:b]
                     if "@" in value or sum("0" <= c <= "9" for c in value) >= DIGITS:
-                        out.append((row, doc, copy, None, a, b, value.lower(), _context(text, m.start()), None))
+                        out.append((row, doc, copy, None, a, b, value.lower(), _contexts(text, m.start(), m.end()), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _shape(value):
+    """The kind that the characters of an unseen instance tell; null if they leave it open."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    plain = ~value.rlike("[^0-9+() ./-]")
+    return F.when(value.contains("@"), "email").when(value.rlike("^[0-9]+([.][0-9]+){3}$"), "ip").when(plain & (digits >= 16), "card").when(plain, "phone")
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """Every run of one to three words of every text as ``gram``; words of over 64 characters are in none."""
+    joined = lambda w, i, n: F.concat_ws(" ", F.slice(w, i + 1, n))
+    words = docs.select(F.transform(blank_words(F.col("text")), lambda x: F.lower(x)).alias("w")).where("size(w) > 0")
+    runs = F.flatten(F.transform("w", lambda x, i: F.array(*(F.when((i + n <= F.size("w")) & (F.array_max(F.transform(F.slice("w", i + 1, n), lambda y: F.length(y))) <= 64), joined(F.col("w"), i, F.lit(n))) for n in (1, 2, 3)))))
+    return words.select(F.explode(F.array_compact(runs)).alias("gram"))
+
+
 def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind, score) of unseen instances that high-confidence patterns find. ``words`` has every word as ``context``."""
-    seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    graph = edges.where("context is not null").groupBy("context", "value").agg(F.count("*").alias("n"))
-    likely = keep(edges.where("kind is not null and context is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS))
-    asked = keep(likely.select("context").distinct())
-    uses = words.join(small(asked, BROADCAST_ROWS), "context", "left_semi").groupBy("context").agg(F.count("*").alias("uses"))
-    hits = graph.groupBy("context").agg(F.sum("n").alias("hits"), F.count("*").alias("instances"))
-    triggers = keep(uses.join(hits, "context").where(F.col("hits") >= TRIGGER * F.col("uses")).join(likely.select("context", "kind"), "context").select("context", "kind", "instances"))
-    narrow = keep(graph.join(triggers.select("context").distinct(), "context", "left_semi").select("context", "value"))
-    known = keep(seeds)
+    """(value, kind, score) of unseen instances that high-confidence patterns find. ``words`` has every run of words as ``gram``."""
+    seeds = keep(edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
+    beside = keep(edges.select("value", "kind", F.explode("contexts").alias("context")))
+    likely = keep(beside.where("kind is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("context", "kind"))
+    asked = keep(likely.select(F.col("context").substr(F.lit(2), F.length("context")).alias("gram")).distinct())
+    uses = words.join(small(asked, BROADCAST_ROWS), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
+    graph = beside.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").isNotNull().alias("seen"))
+    hits = graph.groupBy("context").agg(F.sum("n").alias("hits")).withColumn("gram", F.col("context").substr(F.lit(2), F.length("context")))
+    triggers = keep(hits.join(likely, "context").join(uses, "gram").where(F.col("hits") >= TRIGGER * F.col("uses")).select("context", "kind"))
+    held = graph.join(triggers.select("context").distinct(), "context", "left_semi").select("context", "value", "seen", F.when(~F.col("seen"), _shape(F.col("value"))).alias("shape"))
+    narrow = keep(held)
+    unseen = keep(narrow.where("not seen").join(triggers, "context").where("shape is null or shape = kind").select("context", "kind", "value"))
+    of = unseen.unionByName(narrow.where("seen").join(seeds.select("value", "kind"), "value").select("context", "kind", "value"))
+    able = keep(of.groupBy("context", "kind").agg(F.count_distinct("value").alias("instances")))
+    known = seeds
     for _ in range(rounds):
-        scored = narrow.join(known, "value").groupBy("context", "kind").agg(F.sum("score").alias("mass"))
-        patterns = triggers.join(scored, ["context", "kind"]).withColumn("score", F.col("mass") / (F.col("instances") + 1)).where(F.col("score") >= ACCEPT)
-        found = narrow.join(patterns.select("context", "kind", "score"), "context").groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
+        mass = narrow.join(known, "value").groupBy("context", "kind").agg(F.sum("score").alias("mass"))
+        share = F.col("mass") / F.col("instances")
+        patterns = triggers.join(mass, ["context", "kind"]).join(able, ["context", "kind"]).where(share >= TRIGGER).withColumn("score", share * F.log2("mass")).where(F.col("score") >= ACCEPT)
+        found = unseen.join(patterns.select("context", "kind", F.least("score", F.lit(1.0)).alias("score")), ["context", "kind"]).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
         fresh = found.select("value", "best.kind", "best.score").join(seeds.select("value").distinct(), "value", "left_anti")
         known = keep(seeds.unionByName(fresh))
     return known.join(seeds.select("value").distinct(), "value", "left_anti")
@@ -153,8 +194,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.xxhash64("text"))
     table = keep(numbered.select("row", "doc_id", "copy", "text").mapInArrow(_spans, SPANS))
     edges = table.where("base is null")
-    words = docs.select(F.explode(blank_words(F.col("text"))).alias("context")).where("length(context) <= 64").select(F.lower("context").alias("context"))
-    new = discovered(edges, words, rounds)
+    new = discovered(edges, grams(docs), rounds)
     added = edges.where("kind is null").drop("kind").join(new.select("value", "kind"), "value")
     spans = added.groupBy("row").agg(F.collect_list(F.struct(F.col("kind"), F.col("first"), F.col("last"))).alias("added"))
     return table.where("base is not null").select("row", "doc_id", "copy", "base").join(spans, "row", "left")

@@ -171,6 +171,18 @@ def test_personal_data(spark, empty):
     assert redact(empty).columns == empty.columns and find_personal_data(empty).count() == 0
 
 
+def test_personal_data_patterns(spark):
+    """40 % unseen instances, two kinds behind one context, and a context of several tokens that only together precede identifiers."""
+    alpha = "abcdefghijklmnopqrst"
+    text = [f"q{c} ring: +351 912 345 6{i:02} u{c}" for i, c in enumerate(alpha[:6])] + [f"r{c} ring: 91234561{i} v{c}" for i, c in enumerate(alpha[:4])]
+    text += [f"s{c} contact: user{i}@mail.example.com w{c}" for i, c in enumerate(alpha[:6])] + [f"t{c} contact: +351 912 777 6{i:02} x{c}" for i, c in enumerate(alpha[:6])] + ["ta contact: 912777699 xz"]
+    text += [f"y{c} reach me at me{i}@mail.example.com k{c}" for i, c in enumerate(alpha[:6])] + [f"m{c} sits at home o{c}" for c in alpha] + ["yz reach me at who99123(at)mail kz", "the 99887766 is free"]
+    got = {r["doc_id"]: r["spans"] for r in with_spans(find_personal_data(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))).collect()}
+    assert all(got[i] == "phone:9:18" for i in range(6, 10))
+    assert got[22] == "phone:12:21"
+    assert got[len(text) - 2] == "email:15:31" and got[len(text) - 1] == ""
+
+
 def test_quality_rules(spark, docs, texts, empty):
     got = {r["doc_id"]: r for r in line_verdicts(docs).collect()}
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
