@@ -23,15 +23,21 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of some MB: whole texts are large rows, and Spark's default of 10,000 rows a batch is held several times over."""
-    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+    """Arrow batches of some MB: whole texts are large rows, and Spark's default of 10,000 rows a batch is held several times over.
+
+    A bound that the user has set stays.
+    """
+    for key, default, value in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", (None, "-1", str(2**31 - 1), str(256 << 20), "256MB", "256m"), BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        if spark.conf.get(key, None) == default or default is None:
+        if spark.conf.get(key, None) in default:
             spark.conf.set(key, str(value))
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it."""
+    """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it.
+
+    The tables lie below ``spark.checkpoint.dir``; results read them lazily, so they go when their owner clears that folder.
+    """
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch(spark)
@@ -39,15 +45,47 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(table: DataFrame, most: int) -> DataFrame:
-    """``table`` (written, so counting is cheap) marked for broadcast if it has at most ``most`` rows; else joined by shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
+#: Bytes (values and 32 a row for the hash table) that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+_FIXED = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
+
+
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` (written, so measuring is cheap) marked for broadcast if it has at most ``most`` bytes; else joined by shuffle."""
+    fixed = 32 + sum(_FIXED.get(t, 0) for _, t in table.dtypes)
+    wide = [c for c, t in table.dtypes if t not in _FIXED]
+    own = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in wide), F.lit(fixed).cast("long"))
+    return F.broadcast(table) if (table.agg(F.sum(own)).first()[0] or 0) <= most else table
+
+
+#: Rows of one key that a task joins; more are dealt out.
+EACH = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], members: str, each: int = EACH) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``members`` how many rows of ``left`` have it.
+
+    Keys of over ``each`` rows are dealt over several tasks by a salt; there are at most rows / ``each`` such keys.
+    """
+    hot = small(keep(right.where(F.col(members) > each).select(*keys, F.ceil(F.col(members) / each).cast("int").alias("__salts"))))
+    mine = left.join(hot, keys, "left")
+    others = [F.col(c) for c in left.columns if c not in keys]
+    mine = mine.withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*others), F.col("__salts"))).cast("int")).drop("__salts")
+    salts = F.greatest(F.lit(1), F.when(F.col(members) > each, F.ceil(F.col(members) / each)).otherwise(1)).cast("int")
+    theirs = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return mine.join(theirs, [*keys, "__salt"]).drop("__salt")
 
 
-#: Document ids (8 bytes each) that are broadcast at most.
-IDS = 1_000_000
+def named(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (long), ``copy`` (hash of the text, which tells rows of one doc_id apart), text and ``more``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text", *more)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids``; a null doc_id stays."""
-    return docs.join(small(keep(ids.select("doc_id").distinct()), IDS), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id and text (``copy``) are in ``rows``; without ``copy``, whose doc_id is."""
+    names = [c for c in ("doc_id", "copy") if c in rows.columns]
+    gone = small(keep(rows.select(*(F.col(c).alias(f"__{c}") for c in names)).distinct()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
+    if "copy" in names:
+        same &= F.xxhash64("text") == F.col("__copy")
+    return docs.join(gone, same, "left_anti")

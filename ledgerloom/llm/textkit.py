@@ -123,6 +123,42 @@ def space_words(t: Texts) -> Words:
     return Words(t, ~SPACES[t.data])
 
 
+class Spaced:
+    """Words of a run joined by single spaces: ``words(a, b)`` are the bytes of words a .. b - 1."""
+
+    def __init__(self, raw: bytes, start: np.ndarray, end: np.ndarray):
+        self.raw, self.start, self.end = raw, start.tolist(), end.tolist()
+
+    def words(self, a: int, b: int) -> bytes:
+        return self.raw[self.start[a] : self.end[b - 1]] if b > a else b""
+
+
+def spaced(w: Words) -> Spaced:
+    """The same words, each followed by one space."""
+    after = np.zeros(len(w.data) + 1, bool)
+    after[w.end] = True
+    kept = np.append(w.is_word, False) | after
+    place = np.cumsum(kept) - kept
+    raw = np.where(after, np.uint8(0x20), np.append(w.data, np.uint8(0x20)))
+    # words that meet at the bound of two documents have no blank between them; they are never read together
+    raw[w.start] = w.data[w.start]
+    return Spaced(raw[kept].tobytes(), place[w.start], place[w.start] + (w.end - w.start))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether bytes a[i] .. a_end[i] - 1 equal bytes b[i] .. b_end[i] - 1, eight a step."""
+    same = a_end - a == b_end - b
+    eight = _eights(np.concatenate([data, np.zeros(8, np.uint8)]))
+    todo, left = np.flatnonzero(same), (a_end - a)[same]
+    at, other = a[same], b[same]
+    while len(todo):
+        differ = (eight[at] ^ eight[other]) & _KEEP[np.minimum(left, 8)] != 0
+        same[todo[differ]] = False
+        more = ~differ & (left > 8)
+        todo, at, other, left = todo[more], at[more] + 8, other[more] + 8, left[more] - 8
+    return same
+
+
 def grams(h: np.ndarray, k: int, salt: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every run of ``k`` consecutive values, by doubling: log2(k) passes."""
     n = len(h) - k + 1
