@@ -41,11 +41,11 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WI
     distinct = items.select("window", "words").distinct()
     vocabulary = keep(distinct.select(F.explode("words").alias("word")).distinct())
     spread = texts.select("doc_id", F.posexplode(plain_words(F.col("text"))).alias("pos", "word"))
-    counts = spread.select("word").join(small(vocabulary, BROADCAST_ROWS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counts = spread.select("word").join(small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     ranked = distinct.select("window", "words", F.posexplode("words").alias("offset", "word")).join(counts, "word")
     complete = ranked.groupBy("window").agg(F.min_by(F.struct("word", "offset"), F.struct("n", "word", "offset")).alias("p"), F.count("*").alias("found"), F.first("words").alias("words"))
     prefixes = keep(complete.where("found = size(words)").select("window", "words", "p.word", "p.offset"))
-    keys = small(prefixes.select("window", "word", "offset", F.size("words").alias("size")), BROADCAST_ROWS)
+    keys = small(prefixes.select("window", "word", "offset", F.size("words").alias("size")))
     found = spread.join(keys, "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0").select("doc_id", "start", "size", "window")
     candidates = found.join(prefixes.select("window", "words"), "window")
     per = candidates.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "window", "words")).alias("may"))

@@ -168,7 +168,7 @@ def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Data
     beside = keep(edges.select("value", "kind", F.explode("contexts").alias("context")))
     likely = keep(beside.where("kind is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("context", "kind"))
     asked = keep(likely.select(F.col("context").substr(F.lit(2), F.length("context")).alias("gram")).distinct())
-    uses = words.join(small(asked, BROADCAST_ROWS), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
+    uses = words.join(small(asked), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
     graph = beside.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").isNotNull().alias("seen"))
     hits = graph.groupBy("context").agg(F.sum("n").alias("hits")).withColumn("gram", F.col("context").substr(F.lit(2), F.length("context")))
     triggers = keep(hits.join(likely, "context").join(uses, "gram").where(F.col("hits") >= TRIGGER * F.col("uses")).select("context", "kind"))
@@ -218,7 +218,7 @@ def redact(spark_docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spans = with_spans(find_personal_data(spark_docs, rounds)).where("spans != ''")
     notes = keep(spans.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__copy"))
-    joined = spark_docs.join(small(notes, BROADCAST_ROWS), same, "left")
+    joined = spark_docs.join(small(notes), same, "left")
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())

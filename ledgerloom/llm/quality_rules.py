@@ -99,7 +99,7 @@ def _common(base: DataFrame) -> DataFrame:
     lines = base.join(first.select("row"), "row", "left_semi").select("row", "host", F.explode(F.array_distinct("hashes")).alias("line"))
     often = lambda n: (F.col(n) > MIN_DOCS) & (F.col(n) > SHARE * F.col("of"))
     hot = keep(lines.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > MIN_DOCS).join(hosts, "host").where(often("texts")).select("host", "line", "of"))
-    held = keep(lines.join(small(hot, BROADCAST_ROWS), ["host", "line"]))
+    held = keep(lines.join(small(hot), ["host", "line"]))
     near = _near_copies(keep(base.join(held.select("row").distinct(), "row", "left_semi").select("row", "host", "sketch")))
     each = held.join(near.withColumnRenamed("node", "row"), "row", "left").select("host", "line", "of", F.coalesce("component", "row").alias("document")).distinct()
     return each.groupBy("host", "line", "of").agg(F.count("*").alias("docs")).where(often("docs")).select("host", "line")
@@ -110,7 +110,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = keep(_profile(docs).withColumn("row", F.monotonically_increasing_id()))
     common = keep(_common(base))
     each = base.where(~_failed()).select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("row", "host", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"))
-    hits = each.join(small(common, BROADCAST_ROWS), ["host", "line"])
+    hits = each.join(small(common), ["host", "line"])
     gone = hits.groupBy("row").agg(F.sum("words").alias("gone"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     out = base.join(gone, "row", "left").withColumn("base_failed", _failed()).withColumn("n_left", left)
@@ -131,7 +131,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     names = ["host", "copy", "size"]
     notes = keep(judged.where("kept").join(lines, "row").dropDuplicates(names).select(*(F.col(c).alias(f"__{c}") for c in names), "__gone"))
     same = [k == F.col(f"__{c}") for k, c in zip(_text_key(), names, strict=True)]
-    joined = without(docs, judged.where("not kept")).join(small(notes, BROADCAST_ROWS), same, "left")
+    joined = without(docs, judged.where("not kept")).join(small(notes), same, "left")
     less = F.array_join(F.filter(F.split("text", "\n"), lambda x: (F.trim(x, F.lit(BLANKS)) == "") | ~F.array_contains("__gone", _hashed(x))), "\n")
     hit = F.col("__gone").isNotNull()
     out = joined.withColumn("text", F.when(hit, less).otherwise(F.col("text")))

@@ -72,7 +72,7 @@ def findings(docs: DataFrame) -> DataFrame:
     rows = keep(candidates(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("letters", F.array_remove(F.split(F.lower("run"), "[^a-z]+"), "")))
     asked = keep(rows.select(F.explode(F.concat("letters", F.array(_bare("before"), _bare("after")))).alias("piece")).where("length(piece) >= 2").distinct())
     every = docs.select(F.explode(blank_words(F.col("text"))).alias("w")).select(F.lower(F.regexp_replace("w", "[^\\p{L}]", "")).alias("piece"))
-    uses = every.join(small(asked, WORDS_HELD), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("uses"))
+    uses = every.join(small(asked), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("uses"))
     size = docs.select(F.size(blank_words(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = keep(uses.where(F.col("uses") >= max(2, size / 1e6 * FREQUENT / 100)).select("piece"))
     covered = rows.select("id", F.explode("letters").alias("piece")).join(frequent, "piece").groupBy("id").agg(F.sum(F.length("piece")).alias("covered"))

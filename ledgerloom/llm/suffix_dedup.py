@@ -8,15 +8,16 @@ consecutive strings with one minimiser form a segment of the document, and segme
 3. Segments of those minimisers travel to their shards. A shard is read in order of minimiser and sorted in parts of whole
    minimisers: distinct segments are laid end to end, their suffixes ordered by induced sorting (``induced_sort``: disk-backed
    queues of suffix tuples, recursion on the string of LMS names), and neighbours that share ``WINDOW`` bytes form a class,
-   whose smallest document keeps its bytes. Minimisers with over ``HOT`` strings are dealt out by fingerprint of the string
-   instead (two 64-bit hashes), with map-side minima, so no shard gets a whole hot minimiser.
+   whose smallest document keeps its bytes. Minimisers with over ``HOT`` strings are dealt out by a 128-bit BLAKE2 digest of
+   the string instead, with map-side minima and salted hot digests, so no shard gets a whole hot minimiser.
 4. Each document removes the bytes under its repeated strings.
 
 Common-prefix values matter only up to ``WINDOW``, so they are compared where neighbours meet instead of being carried.
 
-Defined cases: null or empty text has no bytes; texts under ``WINDOW`` bytes never change; repeated doc_ids count as one
-document; removed bytes may split a character, so results are bytes; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: null or empty text has no bytes; texts under ``WINDOW`` bytes never change; rows of one doc_id are all kept, and
+their strings never repeat against each other; a null doc_id is neither smaller nor larger than another, so its row stays as it
+is; rows in are rows out; removed bytes may split a character, so results are bytes; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sort import common_prefix, suffix_order
-from .jaccard_join import _regions
-from .store import keep, small
-from .textkit import Texts, grams, mix, signed, texts, window_min
+from .store import keep, named, small, spread_join
+from .textkit import Texts, expand, mix, signed, texts, window_min
 
 WINDOW, GRAM = 50, 16
 #: Strings of one minimiser that a shard sorts; beyond it they are dealt out by fingerprint.
 HOT = 200_000
 #: Bytes of distinct segments sorted at once.
 PART = 1 << 20
-#: Document ids that are broadcast at most (8 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Longest segment in strings; longer runs are cut, which changes no string.
+LONGEST = 64
 
 
 def _get(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -74,39 +74,72 @@ def _minimisers(t: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _keys(window: int, gram: int):
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
+    """(token, doc_id, sure): minimisers of each document. Where several documents of a batch share one, all of them are sure and
+    only the smallest document is sent on, so a frequent minimiser is not gathered in full."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("sure", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(_get(batch, "doc_id").fill_null(-1))
-            for t in texts(_get(batch, "text")):
-                key, doc, _, _ = _minimisers(t, window, gram)
-                by = np.lexsort((key, doc))
-                key, doc = key[by], doc[by]
-                new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[t.first + doc[new]])], schema=schema)
+            ids = np.asarray(_get(batch, "doc_id"))
+            found = [(key, ids[t.first + doc]) for t in texts(_get(batch, "text")) for key, doc, _, _ in [_minimisers(t, window, gram)]]
+            if not found:
+                continue
+            key, doc = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            by = np.lexsort((doc, key))
+            key, doc = key[by], doc[by]
+            once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+            key, doc = key[once], doc[once]
+            first = np.append(True, key[1:] != key[:-1])[: len(key)]
+            shared = ~first
+            shared[:-1] |= ~first[1:]
+            for rows, sure in ((first, False), (shared, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(doc[rows]), pa.array(np.full(int(rows.sum()), sure))], schema=schema)
 
     return task
 
 
-_SEGMENT = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (token, doc_id) to those of tokens with several documents; a token's rows are streamed, never held."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
+    token, doc, sent = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back, and whether its token is shared
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, doc = np.append(token, np.asarray(_get(batch, "token"))), np.append(doc, np.asarray(_get(batch, "doc_id")))
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        end = np.append(begin[1:], len(token))
+        many = np.repeat(doc[begin] != doc[end - 1], end - begin)
+        if sent:
+            many[: end[0]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(token[:-1][many[:-1]]), pa.array(doc[:-1][many[:-1]])], schema=schema)
+        token, doc, sent = token[-1:], doc[-1:], bool(many[-1])
+    if sent and len(token):
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc)], schema=schema)
+
+
+_SEGMENT = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+SEGMENT = "mini long, doc_id long, copy long, first long, n long, packed binary"
 
 
 def _segments(window: int, gram: int):
-    """Rows (doc_id, text, keys) to the segments of those minimisers."""
+    """Rows (doc_id, copy, text, keys) to the segments of those minimisers."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = np.asarray(_get(batch, "doc_id")), _get(batch, "keys")
+            ids, copies, keys = np.asarray(_get(batch, "doc_id")), np.asarray(_get(batch, "copy")), _get(batch, "keys")
             for t in texts(_get(batch, "text")):
                 mini, doc, first, n = _minimisers(t, window, gram)
                 edge = np.searchsorted(doc, np.arange(t.n + 1))
                 wanted = np.concatenate([np.isin(mini[a:b], np.asarray(keys[t.first + i].values)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]) if len(mini) else np.zeros(0, bool)
                 mini, doc, first, n = mini[wanted], doc[wanted], first[wanted], n[wanted]
+                parts = -(-n // LONGEST)
+                piece = expand(np.zeros(len(n), np.int64), parts)
+                mini, doc, first, n = (np.repeat(x, parts) for x in (mini, doc, first, n))
+                first, n = first + piece * LONGEST, np.minimum(n - piece * LONGEST, LONGEST)
                 a = t.at[doc] + first
                 raw = t.data.tobytes()
                 packed = [raw[x:y] for x, y in zip(a.tolist(), (a + n + window - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(ids[t.first + doc]), pa.array(first), pa.array(n), pa.array(packed, pa.binary())], schema=_SEGMENT)
+                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(ids[t.first + doc]), pa.array(copies[t.first + doc]), pa.array(first), pa.array(n), pa.array(packed, pa.binary())], schema=_SEGMENT)
 
     return task
 
@@ -135,10 +168,11 @@ def least_documents(segments: list[bytes], docs: np.ndarray, window: int) -> tup
     return bounds, out
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_HITS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+HITS = "doc_id long, copy long, first long, last long"
 
 
-def _hits(doc: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+def _hits(doc: np.ndarray, copy: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
     """Runs of strings of the segments whose smallest document is another."""
     string = np.repeat(least_at - (np.cumsum(n) - n), n) + np.arange(n.sum())
     hit = least[string] < np.repeat(doc, n)
@@ -147,7 +181,7 @@ def _hits(doc: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarra
     seg, at = seg[hit], at[hit]
     begin = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1))[: len(seg)])
     end = np.append(begin[1:], len(seg))[: len(begin)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[seg[begin]]), pa.array(at[begin]), pa.array(at[end])], schema=_HITS)
+    return pa.RecordBatch.from_arrays([pa.array(doc[seg[begin]]), pa.array(copy[seg[begin]]), pa.array(at[begin]), pa.array(at[end])], schema=_HITS)
 
 
 def _shards(window: int, part: int):
@@ -156,11 +190,11 @@ def _shards(window: int, part: int):
     def solve(rows: pa.Table) -> pa.RecordBatch:
         packed = rows["packed"].combine_chunks().dictionary_encode()
         which = np.asarray(packed.indices)
-        doc, first, n = (np.asarray(rows[c]) for c in ("doc_id", "first", "n"))
+        doc, copy, first, n = (np.asarray(rows[c]) for c in ("doc_id", "copy", "first", "n"))
         least_doc = np.full(len(packed.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(least_doc, which, doc)
         bounds, least = least_documents(packed.dictionary.to_pylist(), least_doc, window)
-        return _hits(doc, first, n, bounds[which], least)
+        return _hits(doc, copy, first, n, bounds[which], least)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -185,22 +219,17 @@ def _shards(window: int, part: int):
 
 
 def _strings(window: int):
-    """Strings of hot minimisers, one row each, by fingerprint."""
-    schema = pa.schema([("fa", pa.int64()), ("fb", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64())])
+    """Strings of hot minimisers, one row each, by their 128-bit digest."""
+    schema = pa.schema([("string", pa.binary()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 rows = batch.slice(k, 1000)
-                t = next(texts(_get(rows, "packed").cast(pa.large_binary()).cast(pa.large_string(), safe=False), 1 << 62)) if rows.num_rows else None
-                if t is None:
-                    continue
-                n, first, doc = (np.asarray(_get(rows, c)) for c in ("n", "first", "doc_id"))
+                n, first, doc, copy = (np.asarray(_get(rows, c)) for c in ("n", "first", "doc_id", "copy"))
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(t.at[:-1], n) + offset
-                h = t.data.astype(np.uint64) + np.uint64(1)
-                fa, fb = (grams(mix(h * np.uint64(m)), window, m)[at] for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(fa)), pa.array(signed(fb)), pa.array(np.repeat(doc, n)), pa.array(np.repeat(first, n) + offset)], schema=schema)
+                digest = [hashlib.blake2b(x[i : i + window], digest_size=16).digest() for x, m in zip(_get(rows, "packed").to_pylist(), n.tolist(), strict=True) for i in range(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(np.repeat(doc, n)), pa.array(np.repeat(copy, n)), pa.array(np.repeat(first, n) + offset)], schema=schema)
 
     return task
 
@@ -236,30 +265,31 @@ def _clean(window: int):
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, part: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (bytes, last exclusive)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = keep(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-    first = facts.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    copies = keep(facts.join(first.where("n > 1"), "sha").where("doc_id > first_id").select("doc_id").distinct())
-    live = docs.join(small(copies, BROADCAST_ROWS), "doc_id", "left_anti")
-    shared = live.mapInArrow(_keys(window, gram), "token long, doc_id long").repartition(parts, "token").sortWithinPartitions("token", "doc_id")
-    keys = shared.mapInArrow(_regions, "token long, doc_id long, pivot long").select("token", "doc_id")
-    per = keep(keys.groupBy("doc_id").agg(F.collect_list("token").alias("keys")))
-    candidates = keep(live.join(small(per.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi").join(per, "doc_id").select("doc_id", "text", "keys"))
-    pieces = keep(candidates.mapInArrow(_segments(window, gram), "mini long, doc_id long, first long, n long, packed binary"))
-    hots = keep(pieces.groupBy("mini").agg(F.sum("n").alias("strings")).where(F.col("strings") > hot).select("mini"))
-    hots = small(hots, BROADCAST_ROWS)
-    cold = pieces.join(hots, "mini", "left_anti").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_shards(window, part), "doc_id long, first long, last long")
-    each = pieces.join(hots, "mini", "left_semi").mapInArrow(_strings(window), "fa long, fb long, doc_id long, first long")
-    least = each.groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    hotter = each.join(least, ["fa", "fb"]).where("doc_id > least").select("doc_id", "first", F.col("first").alias("last"))
-    runs = keep(cold.unionByName(hotter).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    changed = candidates.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_clean(window), RESULT)
-    copied = facts.join(small(copies, BROADCAST_ROWS), "doc_id").where(f"n_bytes >= {window}")
+    key = ["doc_id", "copy"]
+    docs = named(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    facts = keep(docs.select(*key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+    known = facts.where("doc_id is not null")
+    first = keep(known.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("members")).where("first_id < last_id").drop("last_id"))
+    copies = keep(spread_join(known, first, ["sha"], "members").where("doc_id > first_id").select(*key).distinct())
+    live = docs.where("doc_id is not null").join(small(copies), key, "left_anti")
+    tokens = live.mapInArrow(_keys(window, gram), "token long, doc_id long, sure boolean")
+    sent = tokens.where("not sure").select("token", "doc_id").repartition(parts, "token").sortWithinPartitions("token", "doc_id").mapInArrow(_shared, "token long, doc_id long")
+    per = keep(sent.unionByName(tokens.where("sure").select("token", "doc_id")).groupBy("doc_id").agg(F.collect_set("token").alias("keys")))
+    candidates = keep(live.join(small(per.select("doc_id")), "doc_id", "left_semi").join(per, "doc_id").select(*key, "text", "keys"))
+    pieces = keep(candidates.mapInArrow(_segments(window, gram), SEGMENT))
+    hots = small(keep(pieces.groupBy("mini").agg(F.sum("n").alias("strings")).where(F.col("strings") > hot).select("mini")))
+    cold = pieces.join(hots, "mini", "left_anti").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_shards(window, part), HITS)
+    each = keep(pieces.join(hots, "mini", "left_semi").mapInArrow(_strings(window), "string binary, doc_id long, copy long, first long"))
+    least = each.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members")).where("least < most").drop("most")
+    hotter = spread_join(each, keep(least), ["string"], "members").where("doc_id > least").select(*key, "first", F.col("first").alias("last"))
+    runs = keep(cold.unionByName(hotter).groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    changed = candidates.join(runs, key).select("doc_id", "text", "runs").mapInArrow(_clean(window), RESULT)
+    copied = facts.join(small(copies), key).where(f"n_bytes >= {window}")
     span = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("last")))
     copied = copied.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), span.alias("spans"))
     zero = F.lit(0).cast("long")
-    short = facts.join(small(copies, BROADCAST_ROWS), "doc_id", "left_semi").where(f"n_bytes < {window}")
-    rest = facts.join(small(copies, BROADCAST_ROWS), "doc_id", "left_anti").join(small(runs.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_anti").unionByName(short)
+    short = facts.join(small(copies), key, "left_semi").where(f"n_bytes < {window}")
+    rest = facts.join(small(copies), key, "left_anti").join(small(runs.select(*key)), key, "left_anti").unionByName(short)
     same = rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans"))
     return changed.unionByName(copied).unionByName(same)
 

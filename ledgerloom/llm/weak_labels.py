@@ -1,6 +1,7 @@
 """Weak-label quality and toxicity model.
 
-1. Labelled rows of all documents give a lexicon: words that toxic documents hold and others hardly do.
+1. Labelled documents, at most ``LABELLED`` of each class by hash of doc_id (a bound of fitting only), give a lexicon: all
+   words that at least five of the toxic ones hold and others hardly do.
 2. Overlapping heuristic labellers vote on every document (1 bad, 0 good, or abstain); given labels are one more labeller.
 3. Expectation-maximisation over the counts of vote patterns (at most 3 ** labellers, whatever the number of documents)
    estimates the prior and each labeller's hit rate and false-alarm rate, and with them a posterior for every pattern.
@@ -10,9 +11,10 @@
 5. Every document is scored from its whole text. A document is toxic, or of low quality, where scorer and posterior agree
    in the mean of their log-odds.
 
-Defined cases: null or empty text gets few-words votes and scores 0 features; documents without labels abstain there;
-labels of unknown documents are ignored, repeated labels count once with the larger value; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: null or empty text gets few-words votes and scores 0 features; documents without labels (a null doc_id has none)
+abstain there; labels of unknown documents are ignored, repeated labels count once with the larger value; rows of one doc_id are
+judged by their own texts, equal rows alike, and rows in are rows out; a very long text is one row; ties (a log-odds of 0) are
+toxic, or low quality; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sqltext import blank_words
-from .store import IDS, keep, small
+from .store import keep, named, small
 from .textkit import Texts, Words, mix, range_hashes, space_words, texts
 
-BINS, SAMPLE, LEXICON, ROUNDS = 1 << 16, 3000, 2000, 60
+BINS, SAMPLE, LABELLED, ROUNDS = 1 << 16, 3000, 50_000, 60
 #: Insults that need no labels to be known.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile filth vermin dumb retarded".split()
 TOXIC = ("insults", "lexicon_a", "lexicon_b", "given")
@@ -58,8 +60,8 @@ def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _votes(insults: np.ndarray, lexicon: np.ndarray):
-    """(doc_id, toxic pattern, quality pattern) in base 3 without the given labels: digit 2 abstains."""
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("quality", pa.int64())])
+    """(doc_id, copy, toxic pattern, quality pattern) in base 3 without the given labels: digit 2 abstains."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("toxic", pa.int64()), ("quality", pa.int64())])
     known = [np.sort(x) for x in (insults, lexicon[lexicon % np.uint64(2) == 0], lexicon[lexicon % np.uint64(2) == 1])]
 
     def inside(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def _votes(insults: np.ndarray, lexicon: np.ndarray):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, copies = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy"))
             for t in texts(batch.column(batch.schema.get_field_index("text"))):
                 w = _letter_words(t)
                 h = w.hashes()
@@ -89,7 +91,7 @@ def _votes(insults: np.ndarray, lexicon: np.ndarray):
                 quality = np.zeros(t.n, np.int64)
                 for vote in (symbols > 0.02 * size, upper > lower, pipes > 0.1 * n, n < 20, 3 * distinct < n):
                     quality = quality * 3 + vote
-                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(toxic), pa.array(quality)], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), copies.slice(t.first, t.n), pa.array(toxic), pa.array(quality)], schema=schema)
 
     return task
 
@@ -173,26 +175,28 @@ def fit_sparse(idx: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, rounds:
 
 
 def _scores(weights: dict[str, tuple[np.ndarray, float]]):
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic_odds", pa.float64()), ("quality_odds", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("toxic_odds", pa.float64()), ("quality_odds", pa.float64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, copies = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy"))
             for t in texts(batch.column(batch.schema.get_field_index("text"))):
                 feats = _features(t)
                 cols = [pa.array([float(weights[k][0][f].sum() + weights[k][1]) for f in feats]) for k in ("toxic", "quality")]
-                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), *cols], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), copies.slice(t.first, t.n), *cols], schema=schema)
 
     return task
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON) -> list[str]:
-    """Words of at least five toxic documents that hardly any other labelled document holds; the ``most`` most frequent."""
-    words = docs.join(labels, "doc_id").select("toxic", F.explode(F.array_distinct(blank_words(F.lower(F.col("text"))))).alias("word"))
+def lexicon(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[str]:
+    """Words of at least five toxic documents that hardly any other labelled document holds, from ``most`` documents of each class."""
+    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labels.where(spot < F.when(F.col("toxic") == 1, min(1.0, most / sizes.get(1, 1))).otherwise(min(1.0, most / sizes.get(0, 1))))
+    words = docs.join(small(keep(chosen.select("doc_id", "toxic"))), "doc_id").select("toxic", F.explode(F.array_distinct(blank_words(F.lower(F.col("text"))))).alias("word"))
     words = words.select("toxic", F.regexp_extract("word", r"([a-z\x80-\x{10FFFF}]+)", 1).alias("word")).where("word != ''")
     counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    top = counts.where("bad >= 5 and bad >= 20 * good").orderBy(F.desc("bad"), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect()]  # at most ``most`` words
+    return [r["word"] for r in counts.where("bad >= 5 and bad >= 20 * good").select("word").collect()]  # words of the bounded sample
 
 
 def _digits(code: int, n: int) -> list[int]:
@@ -202,14 +206,14 @@ def _digits(code: int, n: int) -> list[int]:
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, p_toxic, p_low_quality, toxic, low_quality, kept; one row a document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.max(1 - F.col("quality")).cast("int").alias("bad"))
-    labels = small(keep(labels), IDS)
+    docs, key = named(docs), ["doc_id", "copy"]
+    labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.max(1 - F.col("quality")).cast("int").alias("bad"))
+    labels = small(keep(labels))
     words = lexicon(docs, labels)
-    votes = docs.mapInArrow(_votes(_hash_of(INSULTS), _hash_of(words)), "doc_id long, toxic long, quality long")
+    votes = docs.mapInArrow(_votes(_hash_of(INSULTS), _hash_of(words)), "doc_id long, copy long, toxic long, quality long")
     given = lambda c: F.coalesce(F.col(c), F.lit(2)).cast("long")
     votes = votes.join(labels.select("doc_id", F.col("toxic").alias("g_toxic"), "bad"), "doc_id", "left")
-    votes = keep(votes.select("doc_id", (F.col("toxic") * 3 + given("g_toxic")).alias("toxic"), (F.col("quality") * 3 + given("bad")).alias("quality")))
+    votes = keep(votes.select(*key, (F.col("toxic") * 3 + given("g_toxic")).alias("toxic"), (F.col("quality") * 3 + given("bad")).alias("quality")))
     tables, classes = {}, {}
     for target, names in (("toxic", TOXIC), ("quality", QUALITY)):
         rows = votes.groupBy(target).count().collect()  # at most 3 ** labellers rows
@@ -217,13 +221,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         post, _, _ = fit_labellers(patterns, np.array([r["count"] for r in rows], float))
         tables[target] = spark.createDataFrame([(int(r[target]), float(p)) for r, p in zip(rows, post, strict=True)], f"{target} long, p_{target} double")
         classes[target] = [max(1, sum(r["count"] for r, p in zip(rows, post, strict=True) if (p >= 0.5) == side)) for side in (True, False)]
-    judged = keep(votes.join(F.broadcast(tables["toxic"]), "toxic").join(F.broadcast(tables["quality"]), "quality").select("doc_id", "p_toxic", "p_quality"))
+    judged = keep(votes.join(F.broadcast(tables["toxic"]), "toxic").join(F.broadcast(tables["quality"]), "quality").select(*key, "p_toxic", "p_quality").distinct())
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for target in ("toxic", "quality"):
         for side, n in zip((F.col(f"p_{target}") >= 0.5, F.col(f"p_{target}") < 0.5), classes[target], strict=True):
             chosen |= side & (spot < min(1.0, sample / n))
-    picked = docs.join(small(keep(judged.where(chosen)), IDS), "doc_id").select("text", "p_toxic", "p_quality")
+    picked = docs.join(small(keep(judged.where(chosen))), key).select("text", "p_toxic", "p_quality")
     weights = {k: (np.zeros(BINS), 0.0) for k in ("toxic", "quality")}
     for r in picked.repartition(1).mapInArrow(_fit, "target string, bin int, weight double").collect():  # at most BINS weights a target
         w, bias = weights[r["target"]]
@@ -231,8 +235,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             weights[r["target"]] = (w, r["weight"])
         else:
             w[r["bin"]] = r["weight"]
-    scores = docs.mapInArrow(_scores(weights), "doc_id long, toxic_odds double, quality_odds double")
-    both = scores.join(judged, "doc_id")
+    scores = docs.mapInArrow(_scores(weights), "doc_id long, copy long, toxic_odds double, quality_odds double")
+    judged = judged.select(*(F.col(c).alias(f"_{c}") for c in key), "p_toxic", "p_quality")
+    both = scores.join(judged, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("copy").eqNullSafe(F.col("_copy")))
     odds = lambda p: F.log(F.col(p) / (1 - F.col(p)))
     p = lambda t: 1 / (1 + F.exp(-(F.col(f"{t}_odds") + odds(f"p_{t}")) / 2))
     out = both.select("doc_id", p("toxic").alias("p_toxic"), p("quality").alias("p_low_quality"))
