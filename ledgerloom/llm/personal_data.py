@@ -1,39 +1,44 @@
 """Personal data: fixed patterns seed a bootstrapped contextual extraction.
 
-1. One scan finds base spans (email, ip, card, phone) and, as candidates, other identifier-like tokens (an ``@`` or at
-   least ``DIGITS`` digits). Each span or candidate gives edges (context, instance): the contexts are the one to three tokens
-   before it (``<``) and after it (``>``).
-2. Contexts beside several distinct seeds of a kind become pattern candidates of that kind; how often each context occurs at
-   all is counted over every word of every text.
-3. Rounds of scoring on the context-instance graph, all Spark jobs: a pattern counts only if most of the context's
-   occurrences are beside an identifier. Its score is RlogF, R * log2(F): F is the mass of its known instances, R that mass
-   over the instances that can be of its kind (by shape; an unclear shape can be of any). At ``ACCEPT`` or more, with R at
-   ``TRIGGER`` or more, unseen instances that can be of the kind join the known ones with the pattern's score (1 at most).
-4. Candidates whose text is a known instance become spans of the pattern's kind. Base spans always stay.
-
-Defined cases: null or empty text has no spans; overlapping spans of different kinds all stay; repeated rows are judged row
-by row; an empty table gives an empty result; other columns are ignored.
+1. One scan finds base spans (email, ip, card, phone) and, as candidates, every other token with a digit or an ``@`` and every
+   run of two to four numeric tokens with ``RUN_DIGITS`` digits. Base spans and candidates are instances. Each gives edges
+   (pattern, instance): the one to three tokens before it (``<``), the one to three after it (``>``), and its own shape (``=``:
+   digits as 9, a run of letters as a).
+2. A context can be a pattern only if at least ``TRIGGER`` of its occurrences in the corpus are beside an instance; every
+   occurrence in every text is counted, once, for all contexts that several distinct instances share.
+3. Rounds on the pattern-instance graph, all Spark jobs, until no instance is new (at most ``ROUNDS``): every pattern beside
+   ``MIN_SEEDS`` known instances of a kind, those of earlier rounds included, is scored by RlogF, R * log2(F): F is the mass of
+   its known instances, R that mass over the instances that can be of its kind (by characters; open ones can be of any). At
+   ``ACCEPT`` or more, with R at ``SHARE`` or more, its unseen instances that can be of the kind become known with the
+   pattern's score (1 at most), and induce patterns of their own in the next round.
+4. Candidates of a known instance become spans of its kind: everywhere where the text has ``SURE_DIGITS`` digits or an ``@``,
+   else beside an accepted pattern. An added span inside another of its kind is dropped. Base spans always stay.
+
+Defined cases: null or empty text has no spans; overlapping spans of different kinds all stay; of kinds with equal scores the
+alphabetically last wins; repeated rows are judged row by row, rows in are rows out, a null doc_id is kept; long texts are read
+whole, and tokens, shapes and values of over ``LONG`` characters are told apart by SHA-256; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sqltext import blank_words
-from .store import keep, small
+from .sqltext import blank_words, lower_ascii
+from .store import keep, named, small
 from .textkit import texts
 
 KINDS = ("email", "ip", "card", "phone")
-DIGITS, MIN_SEEDS, ACCEPT, TRIGGER, ROUNDS = 5, 3, 0.8, 0.5, 2
-#: Contexts (at most 64 characters each) that are broadcast at most.
-BROADCAST_ROWS = 200_000
+MIN_SEEDS, ACCEPT, TRIGGER, SHARE, ROUNDS = 3, 0.8, 0.5, 0.3, 8
+RUN_DIGITS, SURE_DIGITS, LONG = (8, 19), 5, 64
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,11 +46,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARKED = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_BLANK, _SPLIT = " \t\n\x0b\f\r", re.compile(r"[\x20\x09-\x0D]+")
-#: Characters looked at for each token of a context, beyond what a token may have.
-CONTEXT_REACH = 80
-_EDGE = ".,;:!?()[]{}<>\"'"
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_NUMERIC = re.compile(r"[+(]*[0-9][0-9().+-]*")
+_DIGIT, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
+_EDGE, _STOPS = ".,;:!?()[]{}<>\"'", ".,;:!?\"'"
+_LOW = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -85,32 +90,60 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    """The one to three tokens before ``start`` and after ``end``, lower-cased; none beside a longer token or past the text's ends.
-
-    Tokens of over 64 characters end a context; punctuation that closes the instance is skipped on the right.
-    """
-    out = []
-    head = text[max(0, start - 3 * CONTEXT_REACH) : start]
-    if head != head.rstrip(_BLANK):
-        words = [w for w in re.split(_SPLIT, head) if w][start > 3 * CONTEXT_REACH :][-3:]  # the first may be cut
-        for n in range(1, len(words) + 1):
-            if len(words[-n]) > 64:
-                break
-            out.append("<" + " ".join(words[-n:]).lower())
-    tail = text[end : end + 3 * CONTEXT_REACH].lstrip(_EDGE)
-    if tail != tail.lstrip(_BLANK):
-        words = [w for w in re.split(_SPLIT, tail) if w]
-        words = words[: len(words) - (end + 3 * CONTEXT_REACH < len(text))][:3]
-        for n in range(1, len(words) + 1):
-            if len(words[n - 1]) > 64:
-                break
-            out.append(">" + " ".join(words[:n]).lower())
-    return out
-
-
-SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, contexts array<string>, base array<string>"
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("contexts", pa.list_(pa.string())), ("base", pa.list_(pa.string()))])
+def _short(text: str) -> str:
+    return text if len(text) <= LONG else "#" + hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+class _Tokens:
+    """Tokens of a text and the patterns of an instance in it."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, [m.span() for m in _TOKEN.finditer(text)]
+        self.start = [a for a, _ in self.at]
+
+    def word(self, k: int) -> str:
+        a, b = self.at[k]
+        return _short(self.text[a:b].translate(_LOW))
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """Contexts (none on a side where the instance is only part of a token) and shape of text[a:b]."""
+        first, last = bisect_right(self.start, a) - 1, bisect_left(self.start, b) - 1
+        out = ["=" + _short(_LETTERS.sub("a", _DIGIT.sub("9", self.text[a:b])))]
+        if not self.text[self.at[first][0] : a].strip(_EDGE):
+            words = [self.word(k) for k in range(max(0, first - 3), first)]
+            out += ["<" + " ".join(words[-n:]) for n in range(1, len(words) + 1)]
+        if not self.text[b : self.at[last][1]].strip(_EDGE):
+            words = [self.word(k) for k in range(last + 1, min(last + 4, len(self.at)))]
+            out += [">" + " ".join(words[:n]) for n in range(1, len(words) + 1)]
+        return out
+
+    def candidates(self, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+        """(start, end, whether it is a single token) of instances that touch no base span."""
+        j, reach, run = 0, 0, []
+        for a, b in self.at:
+            while j < len(taken) and taken[j][0] < b:
+                reach = max(reach, taken[j][1])
+                j += 1
+            token = self.text[a:b]
+            head, tail = len(token) - len(token.lstrip(_EDGE)), len(token.rstrip(_EDGE))
+            free = reach <= a
+            end = len(token.rstrip(_STOPS))
+            numeric = free and _NUMERIC.fullmatch(token[:end]) is not None
+            if free and head < tail and ("@" in token or _DIGIT.search(token)):
+                yield a + head, a + tail, True
+            if not numeric or (run and self.text[run[-1][1] : a] != " "):
+                run = []
+            if numeric:
+                run = [*run[-3:], (a, b)]
+                for x, _ in run[:-1]:
+                    if RUN_DIGITS[0] <= len(_DIGIT.findall(self.text[x : a + end])) <= RUN_DIGITS[1]:
+                        yield x, a + end, False
+                if end < len(token):
+                    run = []
+
+
+SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, single boolean, digits int, patterns array<string>, base array<string>"
+_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("single", pa.bool_()), ("digits", pa.int32()), ("patterns", pa.list_(pa.string())), ("base", pa.list_(pa.string()))])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,28 +156,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.add.reduceat(np.append(marks[t.data], False).astype(np.int64), t.at[:-1]) * (np.diff(t.at) > 0) if t.n else []
             out: list[tuple] = []
             for i in range(t.n):
-                row, doc, copy = (x[t.first + i] for x in (rows, ids, copies))
-                if not has[i]:
-                    out.append((row, doc, copy, None, None, None, None, None, []))
-                    continue
-                text = t.text(i).decode()
+                own = tuple(x[t.first + i] for x in (rows, ids, copies))
+                text = t.text(i).decode() if has[i] else ""
                 found = base_spans(text)
-                out.append((row, doc, copy, None, None, None, None, None, [f"{k}:{a}:{b}" for k in KINDS for a, b in found[k]]))
-                taken = sorted(s for k in KINDS for s in found[k])
-                out += [(row, doc, copy, k, a, b, text[a:b].lower(), _contexts(text, a, b), None) for k in KINDS for a, b in found[k]]
-                j, reach = 0, 0
-                for m in _MARKED.finditer(text):
-                    a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
-                    b = m.end() - (len(m[0]) - len(m[0].rstrip(_EDGE)))
-                    while j < len(taken) and taken[j][0] < m.end():
-                        reach = max(reach, taken[j][1])
-                        j += 1
-                    if reach > m.start() or not 0 < b - a <= 64:
-                        continue
-                    value = text[a:b]
-                    if "@" in value or sum("0" <= c <= "9" for c in value) >= DIGITS:
-                        out.append((row, doc, copy, None, a, b, value.lower(), _contexts(text, m.start(), m.end()), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+                out.append((*own, *[None] * 7, [f"{k}:{a}:{b}" for k in KINDS for a, b in found[k]]))
+                if not text:
+                    continue
+                tokens = _Tokens(text)
+                every = [(k, a, b, True) for k in KINDS for a, b in found[k]]
+                every += [(None, a, b, single) for a, b, single in tokens.candidates(sorted(s for k in KINDS for s in found[k]))]
+                out += [(*own, k, a, b, _short(text[a:b].lower()), single, len(_DIGIT.findall(text[a:b])), tokens.patterns(a, b), None) for k, a, b, single in every]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def _shape(value):
@@ -155,47 +178,65 @@ def _shape(value):
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """Every run of one to three words of every text as ``gram``; words of over 64 characters are in none."""
-    joined = lambda w, i, n: F.concat_ws(" ", F.slice(w, i + 1, n))
-    words = docs.select(F.transform(blank_words(F.col("text")), lambda x: F.lower(x)).alias("w")).where("size(w) > 0")
-    runs = F.flatten(F.transform("w", lambda x, i: F.array(*(F.when((i + n <= F.size("w")) & (F.array_max(F.transform(F.slice("w", i + 1, n), lambda y: F.length(y))) <= 64), joined(F.col("w"), i, F.lit(n))) for n in (1, 2, 3)))))
+    """Every run of one to three words of every text as ``gram``; long words by their digest."""
+    brief = lambda x: F.when(F.length(x) <= LONG, x).otherwise(F.concat(F.lit("#"), F.sha2(x, 256).substr(1, 32)))
+    words = docs.select(F.transform(blank_words(lower_ascii(F.col("text"))), brief).alias("w")).where("size(w) > 0")
+    runs = F.flatten(F.transform("w", lambda x, i: F.array(*(F.when(i + n <= F.size("w"), F.concat_ws(" ", F.slice("w", i + 1, n))) for n in (1, 2, 3)))))
     return words.select(F.explode(F.array_compact(runs)).alias("gram"))
 
 
-def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind, score) of unseen instances that high-confidence patterns find. ``words`` has every run of words as ``gram``."""
-    seeds = keep(edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
-    beside = keep(edges.select("value", "kind", F.explode("contexts").alias("context")))
-    likely = keep(beside.where("kind is not null").groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("context", "kind"))
-    asked = keep(likely.select(F.col("context").substr(F.lit(2), F.length("context")).alias("gram")).distinct())
+def triggers(beside: DataFrame, words: DataFrame) -> DataFrame:
+    """Patterns that can be scored: shapes, and contexts that mostly stand beside instances. ``beside`` has pattern, value, single."""
+    shared = keep(beside.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.sum(F.col("single").cast("long")).alias("hits")).where(F.col("values") >= MIN_SEEDS).select("pattern", "hits"))
+    gram = F.col("pattern").substr(F.lit(2), F.length("pattern")).alias("gram")
+    asked = keep(shared.where("pattern not like '=%'").select(gram).distinct())
     uses = words.join(small(asked), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
-    graph = beside.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").isNotNull().alias("seen"))
-    hits = graph.groupBy("context").agg(F.sum("n").alias("hits")).withColumn("gram", F.col("context").substr(F.lit(2), F.length("context")))
-    triggers = keep(hits.join(likely, "context").join(uses, "gram").where(F.col("hits") >= TRIGGER * F.col("uses")).select("context", "kind"))
-    held = graph.join(triggers.select("context").distinct(), "context", "left_semi").select("context", "value", "seen", F.when(~F.col("seen"), _shape(F.col("value"))).alias("shape"))
-    narrow = keep(held)
-    unseen = keep(narrow.where("not seen").join(triggers, "context").where("shape is null or shape = kind").select("context", "kind", "value"))
-    of = unseen.unionByName(narrow.where("seen").join(seeds.select("value", "kind"), "value").select("context", "kind", "value"))
-    able = keep(of.groupBy("context", "kind").agg(F.count_distinct("value").alias("instances")))
-    known = seeds
+    context = shared.where("pattern not like '=%'").select("pattern", "hits", gram).join(uses, "gram").where(F.col("hits") >= TRIGGER * F.col("uses"))
+    return keep(context.select("pattern").unionByName(shared.where("pattern like '=%'").select("pattern")))
+
+
+def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(value, kind, score) of unseen instances and the accepted (pattern, kind, score) that found them.
+
+    ``edges`` has value, kind (null: candidate), single and patterns; ``words`` has every run of one to three words as ``gram``.
+    """
+    seeds = keep(edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
+    beside = keep(edges.select("value", "kind", "single", F.explode("patterns").alias("pattern")))
+    graph = beside.groupBy("pattern", "value").agg(F.max("kind").isNotNull().alias("seen"))
+    graph = keep(graph.join(triggers(beside, words), "pattern").withColumn("shape", _shape(F.col("value"))))
+    unseen = graph.where("not seen").select("pattern", "value", "shape")
+    known, patterns, before = seeds, None, 0
     for _ in range(rounds):
-        mass = narrow.join(known, "value").groupBy("context", "kind").agg(F.sum("score").alias("mass"))
-        share = F.col("mass") / F.col("instances")
-        patterns = triggers.join(mass, ["context", "kind"]).join(able, ["context", "kind"]).where(share >= TRIGGER).withColumn("score", share * F.log2("mass")).where(F.col("score") >= ACCEPT)
-        found = unseen.join(patterns.select("context", "kind", F.least("score", F.lit(1.0)).alias("score")), ["context", "kind"]).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
-        fresh = found.select("value", "best.kind", "best.score").join(seeds.select("value").distinct(), "value", "left_anti")
-        known = keep(seeds.unionByName(fresh))
-    return known.join(seeds.select("value").distinct(), "value", "left_anti")
+        mass = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("held")).where(F.col("held") >= MIN_SEEDS)
+        able = F.col("shape").isNull() | (F.col("shape") == F.col("kind"))
+        rivals = unseen.join(mass.select("pattern", "kind"), "pattern").where(able)
+        fresh = rivals.join(known.select("value", "kind"), ["value", "kind"], "left_anti").groupBy("pattern", "kind").agg(F.count("*").alias("open"))
+        share = F.col("mass") / (F.col("held") + F.coalesce("open", F.lit(0)))
+        patterns = mass.join(fresh, ["pattern", "kind"], "left").where(share >= SHARE).select("pattern", "kind", (share * F.log2("mass")).alias("score")).where(F.col("score") >= ACCEPT)
+        patterns = keep(patterns)
+        found = rivals.join(patterns.select("pattern", "kind", F.least("score", F.lit(1.0)).alias("score")), ["pattern", "kind"]).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
+        new = keep(found.select("value", "best.kind", "best.score").join(seeds.select("value"), "value", "left_anti"))
+        known, count = seeds.unionByName(new), new.count()
+        if count == before:
+            break
+        before = count
+    return known.join(seeds.select("value"), "value", "left_anti"), patterns
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """row, doc_id, copy (hash of the text), base (kind:start:end strings), added (the same, from discovered instances)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.xxhash64("text"))
+    docs = named(docs)
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
     table = keep(numbered.select("row", "doc_id", "copy", "text").mapInArrow(_spans, SPANS))
     edges = table.where("base is null")
-    new = discovered(edges, grams(docs), rounds)
-    added = edges.where("kind is null").drop("kind").join(new.select("value", "kind"), "value")
+    new, patterns = discovered(edges, grams(docs), rounds)
+    may = keep(edges.where("kind is null").drop("kind").join(new.select("value", "kind"), "value"))
+    sure = (F.col("digits") >= SURE_DIGITS) | F.col("value").contains("@")
+    here = ["row", "first", "last", "kind"]
+    near = may.where(~sure).select(*here, F.explode("patterns").alias("pattern")).join(patterns.select("pattern", "kind"), ["pattern", "kind"]).select(*here)
+    added = may.where(sure).select(*here).unionByName(near).distinct()
+    before = Window.partitionBy("row", "kind").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reach", F.max("last").over(before)).where("reach is null or last > reach")
     spans = added.groupBy("row").agg(F.collect_list(F.struct(F.col("kind"), F.col("first"), F.col("last"))).alias("added"))
     return table.where("base is not null").select("row", "doc_id", "copy", "base").join(spans, "row", "left")
 

@@ -110,3 +110,87 @@ def rules(text):
         if c[tuple(w[j : j + 8])] > 1:
             g[j : j + 8] = [1] * 8
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), sum(g), len(w) < 20 or 100 * sum(g) > 30 * len(w)
+
+
+def bootstrap(texts):
+    """Spans of each text: fixed patterns, then rounds of pattern scoring in plain loops (all words under 64 characters)."""
+    import math
+    from collections import defaultdict
+
+    order = ["email", "ip", "card", "phone"]
+    edge, stop = ".,;:!?()[]{}<>\"'", ".,;:!?\"'"
+    rows, uses = [], Counter()  # (text, start, end, kind, value, single, patterns)
+    for i, t in enumerate(texts):
+        toks = [m.span() for m in re.finditer(BLANK, t)]
+        words = [t[a:b].translate(LOW) for a, b in toks]
+        for n in (1, 2, 3):
+            uses.update(" ".join(words[k : k + n]) for k in range(len(words) - n + 1))
+        base = [(a, b, k, True) for k, x in personal(t).items() for a, b in x]
+        inst = list(base)
+        for k, (a, b) in enumerate(toks):
+            core = t[a:b].strip(edge)
+            if core and re.search("[0-9@]", core) and not any(x < b and y > a for x, y, _, _ in base):
+                inst.append((a + t[a:b].index(core), a + t[a:b].index(core) + len(core), None, True))
+            for n in (2, 3, 4):
+                run = toks[k : k + n]
+                parts = [t[x:y] for x, y in run]
+                whole = t[a : run[-1][1]]
+                plain = [re.fullmatch(r"[+(]*[0-9][0-9().+-]*", p.rstrip(stop)) for p in parts]
+                if len(run) == n and all(plain) and " ".join(parts) == whole and all(p == p.rstrip(stop) for p in parts[:-1]):
+                    end = a + len(whole.rstrip(stop))
+                    if 8 <= len(re.findall("[0-9]", t[a:end])) <= 19 and not any(x < run[-1][1] and y > a for x, y, _, _ in base):
+                        inst.append((a, end, None, False))
+        for a, b, kind, single in inst:
+            f = max(k for k, x in enumerate(toks) if x[0] <= a)
+            g = min(k for k, x in enumerate(toks) if x[1] >= b)
+            p = ["=" + re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]", "9", t[a:b]))]
+            if not t[toks[f][0] : a].strip(edge):
+                p += ["<" + " ".join(words[f - n : f]) for n in (1, 2, 3) if f - n >= 0]
+            if not t[b : toks[g][1]].strip(edge):
+                p += [">" + " ".join(words[g + 1 : g + 1 + n]) for n in (1, 2, 3) if g + n < len(words)]
+            rows.append((i, a, b, kind, t[a:b].lower(), single, p))
+
+    def shape(v):
+        if "@" in v:
+            return "email"
+        if re.fullmatch(r"[0-9]+([.][0-9]+){3}", v):
+            return "ip"
+        if re.search("[^0-9+() ./-]", v):
+            return None
+        return "card" if len(re.findall("[0-9]", v)) >= 16 else "phone"
+
+    values, hits = defaultdict(set), Counter()
+    for *_, v, single, p in rows:
+        for x in p:
+            values[x].add(v)
+            hits[x] += single
+    may = {x for x in values if len(values[x]) >= 3 and (x[0] == "=" or hits[x] >= 0.5 * uses[x[1:]])}
+    seeds = {(r[4], r[3]) for r in rows if r[3]}
+    seen = {v for v, _ in seeds}
+    known, new = {s: 1.0 for s in seeds}, None
+    while True:
+        score = {}
+        for x in may:
+            for kind in order:
+                own = [known[v, kind] for v in values[x] if (v, kind) in known]
+                rest = [v for v in values[x] if v not in seen and shape(v) in (None, kind) and (v, kind) not in known]
+                if len(own) >= 3 and sum(own) / (len(own) + len(rest)) >= 0.3:
+                    score[x, kind] = sum(own) / (len(own) + len(rest)) * math.log2(sum(own))
+        score = {k: min(s, 1.0) for k, s in score.items() if s >= 0.8}
+        best = {}
+        for (x, kind), s in score.items():
+            for v in values[x] - seen:
+                if shape(v) in (None, kind):
+                    best[v] = max(best.get(v, (0, "")), (s, kind))
+        if len(best) == new:
+            break
+        new = len(best)
+        known = {s: 1.0 for s in seeds} | {(v, k): s for v, (s, k) in best.items()}
+    out = {i: {(order.index(k), a, b) for j, a, b, k, *_ in rows if j == i and k} for i in range(len(texts))}
+    added = defaultdict(list)
+    for i, a, b, kind, v, _, p in rows:
+        if not kind and v in best and (len(re.findall("[0-9]", v)) >= 5 or "@" in v or any((x, best[v][1]) in score for x in p)):
+            added[i].append((order.index(best[v][1]), a, b))
+    for i, spans in added.items():
+        out[i] |= {s for s in spans if not any(o != s and o[0] == s[0] and o[1] <= s[1] and o[2] >= s[2] for o in spans)}
+    return {i: ",".join(f"{order[k]}:{a}:{b}" for k, a, b in sorted(x)) for i, x in out.items()}
