@@ -5,7 +5,8 @@
    (pattern, instance): the one to three tokens before it (``<``), the one to three after it (``>``), and its own shape (``=``:
    digits as 9, a run of letters as a).
 2. A context can be a pattern only if at least ``TRIGGER`` of its occurrences in the corpus are beside an instance; every
-   occurrence in every text is counted, once, for all contexts that several distinct instances share.
+   occurrence in every text is counted, once, for all contexts that several distinct instances share. Tasks hash every run of
+   words, let those through that a filter of 2**24 bits (of any number of contexts) knows, and count a batch before the shuffle.
 3. Rounds on the pattern-instance graph, all Spark jobs, until no instance is new (at most ``ROUNDS``): every pattern beside
    ``MIN_SEEDS`` known instances of a kind, those of earlier rounds included, is scored by RlogF, R * log2(F): F is the mass of
    its known instances, R that mass over the instances that can be of its kind (by characters; open ones can be of any). At
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sqltext import blank_words, lower_ascii
 from .store import keep, named, small
-from .textkit import texts
+from .textkit import Texts, grams, signed, space_words, texts
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, ACCEPT, TRIGGER, SHARE, ROUNDS = 3, 0.8, 0.5, 0.3, 8
 RUN_DIGITS, SURE_DIGITS, LONG = (8, 19), 5, 64
+#: The filter of contexts has 2**24 bits, in words of 64.
+FILTER_WORDS = 1 << 18
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,6 +53,15 @@ _NUMERIC = re.compile(r"[+(]*[0-9][0-9().+-]*")
 _DIGIT, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
 _EDGE, _STOPS = ".,;:!?()[]{}<>\"'", ".,;:!?\"'"
 _LOW = {c: c + 32 for c in range(65, 91)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _run_keys(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of one, two and three words (A-Z as a-z): their hashes, and which lie in one document."""
+    w = space_words(Texts(_LOWER[t.data], t.at, t.first))
+    h = w.hashes()
+    return [(signed(grams(h, n, 0x9E3779B97F4A7C15 + 2 * n)), w.of_gram(n)) for n in (1, 2, 3)]
 
 
 def luhn(digits: str) -> bool:
@@ -100,21 +111,23 @@ class _Tokens:
     def __init__(self, text: str):
         self.text, self.at = text, [m.span() for m in _TOKEN.finditer(text)]
         self.start = [a for a, _ in self.at]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        self.keys = [k for k, _ in _run_keys(Texts(raw, np.array([0, len(raw)]), 0))]
 
     def word(self, k: int) -> str:
         a, b = self.at[k]
         return _short(self.text[a:b].translate(_LOW))
 
-    def patterns(self, a: int, b: int) -> list[str]:
-        """Contexts (none on a side where the instance is only part of a token) and shape of text[a:b]."""
+    def patterns(self, a: int, b: int) -> list[tuple[str, int]]:
+        """Contexts (none on a side where the instance is only part of a token) with their hashes, and the shape of text[a:b]."""
         first, last = bisect_right(self.start, a) - 1, bisect_left(self.start, b) - 1
-        out = ["=" + _short(_LETTERS.sub("a", _DIGIT.sub("9", self.text[a:b])))]
+        out = [("=" + _short(_LETTERS.sub("a", _DIGIT.sub("9", self.text[a:b]))), 0)]
         if not self.text[self.at[first][0] : a].strip(_EDGE):
             words = [self.word(k) for k in range(max(0, first - 3), first)]
-            out += ["<" + " ".join(words[-n:]) for n in range(1, len(words) + 1)]
+            out += [("<" + " ".join(words[-n:]), int(self.keys[n - 1][first - n])) for n in range(1, len(words) + 1)]
         if not self.text[b : self.at[last][1]].strip(_EDGE):
             words = [self.word(k) for k in range(last + 1, min(last + 4, len(self.at)))]
-            out += [">" + " ".join(words[:n]) for n in range(1, len(words) + 1)]
+            out += [(">" + " ".join(words[:n]), int(self.keys[n - 1][last + 1])) for n in range(1, len(words) + 1)]
         return out
 
     def candidates(self, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
@@ -142,8 +155,8 @@ class _Tokens:
                     run = []
 
 
-SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, single boolean, digits int, patterns array<string>, base array<string>"
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("single", pa.bool_()), ("digits", pa.int32()), ("patterns", pa.list_(pa.string())), ("base", pa.list_(pa.string()))])
+SPANS = "row long, doc_id long, copy long, kind string, first long, last long, value string, single boolean, digits int, patterns array<struct<name:string,key:long>>, base array<string>"
+_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("value", pa.string()), ("single", pa.bool_()), ("digits", pa.int32()), ("patterns", pa.list_(pa.struct([("name", pa.string()), ("key", pa.int64())]))), ("base", pa.list_(pa.string()))])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +178,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = _Tokens(text)
                 every = [(k, a, b, True) for k in KINDS for a, b in found[k]]
                 every += [(None, a, b, single) for a, b, single in tokens.candidates(sorted(s for k in KINDS for s in found[k]))]
-                out += [(*own, k, a, b, _short(text[a:b].lower()), single, len(_DIGIT.findall(text[a:b])), tokens.patterns(a, b), None) for k, a, b, single in every]
+                out += [(*own, k, a, b, _short(text[a:b].lower()), single, len(_DIGIT.findall(text[a:b])), [{"name": n, "key": x} for n, x in tokens.patterns(a, b)], None) for k, a, b, single in every]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -177,33 +190,46 @@ def _shape(value):
     return F.when(value.contains("@"), "email").when(value.rlike("^[0-9]+([.][0-9]+){3}$"), "ip").when(plain & (digits >= 16), "card").when(plain, "phone")
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """Every run of one to three words of every text as ``gram``; long words by their digest."""
-    brief = lambda x: F.when(F.length(x) <= LONG, x).otherwise(F.concat(F.lit("#"), F.sha2(x, 256).substr(1, 32)))
-    words = docs.select(F.transform(blank_words(lower_ascii(F.col("text"))), brief).alias("w")).where("size(w) > 0")
-    runs = F.flatten(F.transform("w", lambda x, i: F.array(*(F.when(i + n <= F.size("w"), F.concat_ws(" ", F.slice("w", i + 1, n))) for n in (1, 2, 3)))))
-    return words.select(F.explode(F.array_compact(runs)).alias("gram"))
+def _uses(bits: np.ndarray):
+    """(key, uses) of the runs of one to three words that the filter lets through."""
+    schema = pa.schema([("key", pa.int64()), ("uses", pa.int64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for t in texts(batch.column(batch.schema.get_field_index("text"))):
+                for key, inside in _run_keys(t):
+                    own = key[inside].view(np.uint64)
+                    known = bits[(own >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (own & np.uint64(63)) & np.uint64(1)
+                    found.append(signed(own[known == 1]))
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], schema=schema)
+
+    return task
 
 
-def triggers(beside: DataFrame, words: DataFrame) -> DataFrame:
-    """Patterns that can be scored: shapes, and contexts that mostly stand beside instances. ``beside`` has pattern, value, single."""
-    shared = keep(beside.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.sum(F.col("single").cast("long")).alias("hits")).where(F.col("values") >= MIN_SEEDS).select("pattern", "hits"))
-    gram = F.col("pattern").substr(F.lit(2), F.length("pattern")).alias("gram")
-    asked = keep(shared.where("pattern not like '=%'").select(gram).distinct())
-    uses = words.join(small(asked), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
-    context = shared.where("pattern not like '=%'").select("pattern", "hits", gram).join(uses, "gram").where(F.col("hits") >= TRIGGER * F.col("uses"))
-    return keep(context.select("pattern").unionByName(shared.where("pattern like '=%'").select("pattern")))
+def triggers(beside: DataFrame, docs: DataFrame) -> DataFrame:
+    """Patterns that can be scored: shapes, and contexts that mostly stand beside instances. ``beside`` has pattern, key, value, single."""
+    shared = keep(beside.groupBy("pattern", "key").agg(F.count_distinct("value").alias("values"), F.sum(F.col("single").cast("long")).alias("hits")).where(F.col("values") >= MIN_SEEDS).select("pattern", "key", "hits"))
+    contexts = shared.where("pattern not like '=%'")
+    place = F.pmod(F.shiftrightunsigned("key", 6), F.lit(FILTER_WORDS)).cast("int")
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    for r in contexts.groupBy(place.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("b")).collect():  # FILTER_WORDS rows at most
+        bits[r["at"]] = np.int64(r["b"]).view(np.uint64)
+    uses = docs.select("text").mapInArrow(_uses(bits), "key long, uses long").groupBy("key").agg(F.sum("uses").alias("uses"))
+    good = contexts.join(uses, "key").where(F.col("hits") >= TRIGGER * F.col("uses"))
+    return keep(good.select("pattern").unionByName(shared.where("pattern like '=%'").select("pattern")))
 
 
-def discovered(edges: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def discovered(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(value, kind, score) of unseen instances and the accepted (pattern, kind, score) that found them.
 
-    ``edges`` has value, kind (null: candidate), single and patterns; ``words`` has every run of one to three words as ``gram``.
+    ``edges`` has value, kind (null: candidate), single and patterns (name, key); ``docs`` has every text.
     """
     seeds = keep(edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
-    beside = keep(edges.select("value", "kind", "single", F.explode("patterns").alias("pattern")))
+    beside = keep(edges.select("value", "kind", "single", F.explode("patterns").alias("p")).select("value", "kind", "single", F.col("p.name").alias("pattern"), "p.key"))
     graph = beside.groupBy("pattern", "value").agg(F.max("kind").isNotNull().alias("seen"))
-    graph = keep(graph.join(triggers(beside, words), "pattern").withColumn("shape", _shape(F.col("value"))))
+    graph = keep(graph.join(triggers(beside, docs), "pattern").withColumn("shape", _shape(F.col("value"))))
     unseen = graph.where("not seen").select("pattern", "value", "shape")
     known, patterns, before = seeds, None, 0
     for _ in range(rounds):
@@ -229,11 +255,11 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     table = keep(numbered.select("row", "doc_id", "copy", "text").mapInArrow(_spans, SPANS))
     edges = table.where("base is null")
-    new, patterns = discovered(edges, grams(docs), rounds)
+    new, patterns = discovered(edges, docs, rounds)
     may = keep(edges.where("kind is null").drop("kind").join(new.select("value", "kind"), "value"))
     sure = (F.col("digits") >= SURE_DIGITS) | F.col("value").contains("@")
     here = ["row", "first", "last", "kind"]
-    near = may.where(~sure).select(*here, F.explode("patterns").alias("pattern")).join(patterns.select("pattern", "kind"), ["pattern", "kind"]).select(*here)
+    near = may.where(~sure).select(*here, F.explode("patterns.name").alias("pattern")).join(patterns.select("pattern", "kind"), ["pattern", "kind"]).select(*here)
     added = may.where(sure).select(*here).unionByName(near).distinct()
     before = Window.partitionBy("row", "kind").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     added = added.withColumn("reach", F.max("last").over(before)).where("reach is null or last > reach")
