@@ -54,7 +54,8 @@ def short_date(yymmdd: Column | str, pivot: int = 70) -> Column:
     return F.try_to_timestamp(F.concat(century, d), F.lit("yyyyMMdd")).cast("date")
 
 
-_MONTHS = "jan fev mar abr mai jun jul ago set out nov dez".split()
+#: Short names of months.
+_MONTHS = ["jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"]
 
 
 def parse_date(s: Column | str) -> Column:
@@ -81,11 +82,27 @@ def canonical_amount(a: Column | str) -> Column:
 
 
 def line_hash(entity: Column | str, account: Column | str, date: Column | str, amount: Column | str, *texts: Column | str) -> Column:
-    """SHA-256 of the facts that make a statement line the same line."""
+    """SHA-256 of the facts that make a statement line the same line: payment reference, bank reference, operation type and
+    description follow the amount (statements of an earlier generation have only the first and the last)."""
     parts = [_c(entity).cast("string"), _c(account).cast("string"), _c(date).cast("string"), canonical_amount(amount), *[normalize_text(t) for t in texts]]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def feed_line_hash(entity: Column | str, account: Column | str, uid: Column | str) -> Column:
+    """A feed line is the same line where its identity is."""
+    return F.sha2(F.concat_ws("|", _c(entity).cast("string"), _c(account).cast("string"), _c(uid)), 256)
+
+
+def forced_hash(hash_: Column | str, number: Column | str) -> Column:
+    """The hash of an approved duplicate: of the line's hash and its number among the approved."""
+    return F.sha2(F.concat_ws("|", _c(hash_), F.lit("approved"), _c(number).cast("string")), 256)
+
+
+def occurrence_hash(file_hash: Column | str, sheet_row: Column | str, hash_: Column | str) -> Column:
+    """The hash of a verified spreadsheet's row: the file, the row in it and the line's hash."""
+    return F.sha2(F.concat_ws("|", _c(file_hash), _c(sheet_row).cast("string"), _c(hash_)), 256)
+
+
 def line_uid(rank: Column | str, *facts: Column | str) -> Column:
     return F.sha1(F.concat_ws("|", _c(rank).cast("string"), *[_c(f).cast("string") for f in facts]))
 
@@ -96,3 +113,29 @@ def feed_uid(workspace: str, account: Column | str, tx: Column | str) -> Column:
 
 def financial_hash(amount: Column | str, date: Column | str, currency: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", canonical_amount(amount), _c(date).cast("string"), _c(currency)), 256)
+
+
+def decimal_add(a: Column | str, b: Column | str) -> Column:
+    return (_c(a).cast(AMOUNT) + _c(b).cast(AMOUNT)).cast(AMOUNT)
+
+
+def decimal_sub(a: Column | str, b: Column | str) -> Column:
+    return (_c(a).cast(AMOUNT) - _c(b).cast(AMOUNT)).cast(AMOUNT)
+
+
+def decimal_mul(a: Column | str, b: Column | str) -> Column:
+    """Exact product to eight places."""
+    return (_c(a).cast("decimal(19,4)") * _c(b).cast("decimal(18,4)")).cast("decimal(38,8)")
+
+
+def decimal_cmp(a: Column | str, b: Column | str) -> Column:
+    """-1, 0 or 1."""
+    return F.signum(decimal_sub(a, b)).cast("int")
+
+
+def decimal_abs(a: Column | str) -> Column:
+    return F.abs(_c(a).cast(AMOUNT))
+
+
+def decimal_neg(a: Column | str) -> Column:
+    return (-_c(a).cast(AMOUNT)).cast(AMOUNT)

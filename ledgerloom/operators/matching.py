@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import _c, normalize_text, reference_core, strong_reference_match
+from ..functions.similarity import text_similarity
+from ..functions.text import iban_norm, iban_valid, is_batch_like, normalize_text, reference_core, split_refs, words_ascii
 
-#: Points of the scoring rules.
-POINTS = {"amount": 70, "amount_pending": 40, "date": 30, "ref_payment": 120, "ref_exact": 50, "ref_client": 35, "name_partial": 35, "name_description": 25, "iban": 45}
-SAFE_GAP, SAFE_SCORE = 35, 150
+#: Points of the scoring rules; learned patterns count by whether the amount is exact or part of the document's.
+POINTS = {"amount": 70, "amount_pending": 40, "date": 30, "ref_payment": 120, "ref_exact": 50, "ref_client": 35, "name_partial": 35, "name_fuzzy": 25, "name_description": 25, "iban": 45}
+PATTERN_POINTS = {"pattern_iban": (60, 25), "pattern_desc": (40, 15)}
+IDENTITY = ("ref_payment", "ref_exact", "ref_client", "name_partial", "name_fuzzy", "iban", "pattern_iban", "pattern_desc")
+SAFE_GAP, SAFE_SCORE, FUZZY = 35, 150, 72
+PARTIAL = ("customer_invoice", "supplier_invoice", "tax")
+CENT = "decimal(18,2)"
 
 
 def unclaimed(ledger: DataFrame, lines: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -31,6 +36,15 @@ def near_amount_pairs(lines: DataFrame, docs: DataFrame, days: int, cents: int =
     return pairs.drop("_cents").where(F.abs(F.datediff("operation_date", "doc_date")) <= days)
 
 
+def near_days(left: DataFrame, right: DataFrame, on: list[str], date: str, other: str, days: int) -> DataFrame:
+    """Pairs with equal ``on`` whose dates (``date`` left, ``other`` right) are within ``days``: joined on runs of days, so rows of one
+    key and far dates never meet."""
+    run = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
+    a = left.withColumn("_run", F.explode(F.array(*[run(date) + i for i in (-1, 0, 1)])))
+    b = right.withColumn("_run", run(other))
+    return a.join(b, [*on, "_run"]).drop("_run").where(F.abs(F.datediff(date, other)) <= days)
+
+
 def open_amounts(parents: DataFrame, children: DataFrame, key: str, total: str, paid: str) -> DataFrame:
     """``parents`` with ``open_amount`` = total less the sum of their children (summed before the join)."""
     sums = children.groupBy(key).agg(F.sum(paid).alias("_paid"))
@@ -47,27 +61,76 @@ def candidate_union(*sources: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
 
 
+def prepare_lines(lines: DataFrame, keywords: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with what scoring compares, computed once a line: ``_`` columns. ``counterparty_iban`` may be missing."""
+    iban = iban_norm("counterparty_iban") if "counterparty_iban" in lines.columns else F.lit("")
+    fields = ("description", "payment_reference", "counterparty_name")
+    return lines.withColumns({
+        "_core": reference_core("payment_reference"), "_text": normalize_text(F.concat_ws(" ", "payment_reference", "description")), "_desc": normalize_text("description"),
+        "_name": F.coalesce(normalize_text("counterparty_name"), F.lit("")), "_words": words_ascii("description"), "_iban": F.when(iban_valid(iban), iban).otherwise(""),
+        "_batch": is_batch_like(list(keywords), *fields) if keywords else F.lit(False)})
+
+
+def prepare_docs(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Documents with what scoring compares. ``ref_client`` and ``doc_iban`` may be missing; ``patterns`` has kind, doc_id,
+    pattern_type (iban, description) and pattern_value."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
+    iban = iban_norm(text("doc_iban"))
+    shown = F.regexp_replace("doc_name", "(?i)^\\s*\\(paiement\\)\\s*/\\s*", "")
+    phrase = words_ascii(F.regexp_replace(shown, "^[A-Z]{1,4}[0-9]+ - ", ""))
+    whole = (F.size(F.split(F.trim(phrase), " ")) >= 2) & (F.length(F.trim(phrase)) >= 8)
+    out = docs.withColumns({
+        "_dcore": reference_core("doc_ref"), "_dref": F.coalesce(normalize_text("doc_ref"), F.lit("")), "_dclients": F.filter(F.transform(split_refs(text("ref_client")), normalize_text), lambda x: x != ""),
+        "_dname": F.coalesce(normalize_text(shown), F.lit("")), "_dphrase": F.when(whole, phrase), "_diban": F.when(iban_valid(iban), iban).otherwise("")})
+    none = F.array().cast("array<string>")
+    if patterns is None:
+        return out.withColumns({"_pibans": none, "_ptexts": none})
+    of = lambda t, v: F.collect_set(F.when(F.col("pattern_type") == t, v))
+    per = patterns.groupBy("kind", "doc_id").agg(of("iban", F.when(iban_valid("pattern_value"), F.upper("pattern_value"))).alias("_pibans"), of("description", F.nullif(normalize_text("pattern_value"), F.lit(""))).alias("_ptexts"))
+    return out.join(per, ["kind", "doc_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("_pibans", "_ptexts")})
+
+
 def score(pairs: DataFrame, tolerance: int) -> DataFrame:
-    """Line-document pairs with ``score`` and the reasons: columns amount, operation_date, payment_reference, description,
-    counterparty_name; kind, doc_amount, doc_date, doc_ref, doc_name."""
+    """Pairs of prepared lines (amount, operation_date and ``prepare_lines``) and documents (kind, doc_amount, doc_date and
+    ``prepare_docs``) with ``score`` and its ``details``.
+
+    A score needs an amount: equal to a cent, or less than an invoice or tax whose identity the line names. Bank rows that are
+    late lose points unless a reference names them or the line is batch-like, and no learned pattern helps them then.
+    """
     gap = F.abs(F.abs("amount") - F.abs("doc_amount"))
-    equal = gap <= F.lit("0.01").cast("decimal(18,2)")
-    partial = ~equal & F.col("kind").isin("customer_invoice", "supplier_invoice", "tax") & (F.abs("amount") < F.abs("doc_amount") + F.lit("0.01").cast("decimal(18,2)"))
-    days = F.abs(F.datediff("operation_date", "doc_date"))
-    dated = days <= tolerance
-    text = normalize_text(F.concat_ws(" ", "payment_reference", "description"))
-    strong = strong_reference_match("payment_reference", "doc_ref")
-    exact = ~strong & (F.length(_c("doc_ref")) > 0) & F.contains(text, normalize_text("doc_ref"))
-    mine, other = normalize_text("counterparty_name"), normalize_text("doc_name")
-    named = (F.length(mine) > 0) & (F.length(other) > 0) & (F.contains(mine, other) | F.contains(other, mine))
-    described = (F.length(mine) == 0) & (F.length(other) >= 8) & F.contains(text, other) & (F.col("kind") == "native_bank")
+    cent = F.lit("0.01").cast(CENT)
     native = F.col("kind") == "native_bank"
-    late = F.when(native & ~dated & ~strong, F.least(F.lit(80), 20 + 2 * (days - tolerance))).otherwise(0)
-    p = lambda c, k: F.when(c, POINTS[k]).otherwise(0)
-    points = p(equal, "amount") + p(partial, "amount_pending") + p(dated, "date") + p(strong, "ref_payment") + p(exact, "ref_exact") + p(named, "name_partial") + p(described, "name_description")
-    allowed = F.when(equal, ~(native & (gap > F.lit("0.01").cast("decimal(18,2)")))).otherwise(partial & (strong | exact | named))
-    out = pairs.withColumn("score", F.when(allowed, F.greatest(F.lit(0), points - late)).otherwise(0).cast("int"))
-    return out.withColumn("by_amount", equal).withColumn("by_date", dated).withColumn("strong", strong | exact)
+    days = F.abs(F.datediff("operation_date", "doc_date"))
+    mine, other = F.col("_name"), F.col("_dname")
+    both = (mine != "") & (other != "")
+    named = both & (F.contains(mine, other) | F.contains(other, mine))
+    like = text_similarity(F.when(both & ~named, mine), other)
+    strong = (F.col("_core") == F.col("_dcore")) & (F.length("_core") >= 8)
+    exact = ~strong & (F.col("_dref") != "") & F.contains("_text", F.col("_dref"))
+    client = ~strong & ~exact & F.exists("_dclients", lambda x: F.contains(F.col("_text"), x))
+    described = (mine == "") & (other != "") & native & F.coalesce(F.contains("_words", F.col("_dphrase")), F.lit(False))
+    rows = pairs.withColumns({"_like": like, "_strong": strong, "_exact": exact})  # the Arrow function runs once
+    dated, equal = F.coalesce(days <= tolerance, F.lit(False)), gap <= cent
+    partial = ~equal & F.col("kind").isin(*PARTIAL) & (F.abs("doc_amount") > 0) & (F.abs("amount") < F.abs("doc_amount") + cent)
+    referred = F.col("_strong") | F.col("_exact")
+    stale = native & ~F.col("_batch") & F.coalesce(days > tolerance, F.lit(False)) & ~referred
+    learned = ~stale & (equal | partial)
+    why = {
+        "amount": equal, "amount_pending": partial, "date": dated, "ref_payment": F.col("_strong"), "ref_exact": F.col("_exact"), "ref_client": client, "name_partial": named, "name_fuzzy": both & ~named & (F.col("_like") >= FUZZY), "name_description": described,
+        "iban": (F.col("_iban") != "") & (F.col("_iban") == F.col("_diban")), "pattern_iban": learned & (F.col("_iban") != "") & F.array_contains("_pibans", F.col("_iban")), "pattern_desc": learned & F.exists("_ptexts", lambda x: F.contains(F.col("_desc"), x)),
+    }
+    points = F.lit(0)
+    for name, c in why.items():
+        if name == "pattern_iban":  # what comes before is what lateness takes from
+            points = F.greatest(F.lit(0), points - F.when(stale, F.least(F.lit(80), 20 + 2 * (days - tolerance))).otherwise(0))
+        worth = F.when(equal, PATTERN_POINTS[name][0]).otherwise(PATTERN_POINTS[name][1]) if name in PATTERN_POINTS else F.lit(POINTS[name])
+        points = points + F.when(c, worth).otherwise(0)
+    details = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in why.items()]), lambda x: x.isNotNull())
+    allowed = equal | (partial & F.arrays_overlap("details", F.array(*[F.lit(x) for x in IDENTITY])))
+    out = rows.withColumns({"details": details, "_points": points}).withColumn("score", F.when(allowed, F.col("_points")).otherwise(0).cast("int"))
+    has = lambda *names: F.arrays_overlap("details", F.array(*[F.lit(x) for x in names]))
+    out = out.withColumns({"by_amount": has("amount"), "by_date": has("date"), "strong": has("ref_payment", "ref_exact", "iban", "pattern_iban")})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -85,30 +148,49 @@ def decided(scored: DataFrame) -> DataFrame:
     return top.withColumn("is_mutual", F.col("is_safe") & (rivals == 1))
 
 
-def subset_sums(targets: DataFrame, rows: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """The unique subset of at least two rows whose exact sum is the target. ``rows``: key, id, amount; ``targets``: key, target.
+def subset_sums(targets: DataFrame, rows: DataFrame, key: str, most: int = 100, states: int = 10_000) -> DataFrame:
+    """The unique subset of at least two rows of the target's sign whose exact sum is the target. ``rows``: key, id, amount;
+    ``targets``: key, target. Rows as large as the target cannot be members; where less is left over than chosen, what is left over
+    is searched for.
 
-    Rows of one key are gathered up to ``most``; a key with more is answered ``bounded``, as the semantics ask.
-    Returns key, status (unique, ambiguous, none, bounded) and the ids of a unique subset.
+    Returns key, status and the ids of a unique subset. Status: unique, ambiguous, none, invalid (target 0), bounded (more than
+    ``most`` rows or ``states`` sums: the limits of the search are part of its meaning).
     """
-    sized = rows.groupBy(key).agg(F.count("*").alias("n"))
-    small = rows.join(sized.where(F.col("n") <= most), key)
-    packed = small.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", (F.col("amount") * 100).cast("long").alias("cents")))).alias("items"))
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 1)
-    chosen = lambda m: F.filter("items", lambda x, i: F.getbit(m, i) == 1)
-    total = lambda m: F.aggregate(chosen(m), F.lit(0).cast("long"), lambda a, x: a + x["cents"])
-    hits = F.filter(masks, lambda m: (F.bit_count(m) >= 2) & (total(m) == (F.col("target") * 100).cast("long")))
-    found = targets.join(packed, key).withColumn("hits", hits)
-    answered = found.select(key, F.when(F.size("hits") == 1, "unique").when(F.size("hits") > 1, "ambiguous").otherwise("none").alias("status"), F.when(F.size("hits") == 1, F.transform(chosen(F.col("hits")[0]), lambda x: x["id"])).alias("ids"))
-    rest = targets.join(sized, key, "left").where((F.col("n") > most) | F.col("n").isNull())
-    return answered.unionByName(rest.select(key, F.when(F.col("n").isNull(), "none").otherwise("bounded").alias("status"), F.lit(None).cast(answered.schema["ids"].dataType).alias("ids")))
-
-
-def opposite_pairs(lines: DataFrame, days: int) -> DataFrame:
-    """Lines of two accounts with opposite exact amounts within ``days``; each pair once, the outflow first."""
-    a = lines.where("amount < 0").select(F.col("line_id").alias("out_id"), F.col("account_id").alias("out_account"), F.col("operation_date").alias("out_date"), (-F.col("amount")).alias("amount"))
-    b = lines.where("amount > 0").select(F.col("line_id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("operation_date").alias("in_date"), "amount")
-    return a.join(b, "amount").where((F.col("out_account") != F.col("in_account")) & (F.abs(F.datediff("out_date", "in_date")) <= days))
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    t = targets.select(key, cents("target").alias("_t"))
+    may = rows.join(t, key).select(key, "id", (cents("amount") * F.signum("_t").cast("long")).alias("c"), F.abs("_t").alias("_goal")).where("c > 0 and c < _goal")
+    sized = may.groupBy(key).agg(F.count("*").alias("n"), F.sum("c").alias("total"))
+    packed = may.join(sized.where(F.col("n") <= most).select(key), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("items"))
+    asked = t.join(sized, key, "left").join(packed, key, "left").withColumn("_rest", F.col("total") - F.abs("_t"))
+    goal = F.least(F.abs("_t"), "_rest")
+    empty = F.slice(F.transform("items", lambda x: x["id"]), 1, 0)
+    start = F.struct(F.map_from_arrays(F.array(F.lit(0).cast("long")), F.array(F.struct(F.lit(1).alias("ways"), empty.alias("path")))).alias("m"), F.lit(False).alias("full"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.transform_values(F.transform_keys(F.map_filter(acc["m"], lambda k, _: k + x["c"] <= F.col("_g")), lambda k, _: k + x["c"]), lambda _, v: F.struct(v["ways"].alias("ways"), F.concat(v["path"], F.array(x["id"])).alias("path")))
+        both = F.map_zip_with(acc["m"], more, lambda _, a, b: F.struct(F.least(F.lit(2), F.coalesce(a["ways"], F.lit(0)) + F.coalesce(b["ways"], F.lit(0))).alias("ways"), F.coalesce(a["path"], b["path"]).alias("path")))
+        grown = F.struct(both.alias("m"), (acc["full"] | (F.size(both) > states)).alias("full"))
+        return F.when(acc["full"], acc).otherwise(grown)
+
+    live = asked.where("items is not null and _t <> 0 and n >= 2 and _rest >= 0").withColumn("_g", goal)
+    solved = live.withColumn("_s", F.aggregate("items", start, step)).withColumn("_hit", F.try_element_at("_s.m", F.col("_g")))
+    ids = F.transform("items", lambda x: x["id"])
+    chosen = F.when(F.col("_g") == F.abs("_t"), F.col("_hit.path")).otherwise(F.array_except(ids, F.col("_hit.path")))
+    status = F.when(F.col("_s.full"), "bounded").when(F.col("_hit").isNull(), "none").when(F.col("_hit.ways") > 1, "ambiguous").otherwise("unique")
+    answered = solved.select(key, status.alias("status"), F.when(status == "unique", F.array_sort(chosen)).alias("ids"))
+    rest = asked.join(live.select(key), key, "left_anti").select(key, F.when(F.col("_t") == 0, "invalid").when(F.col("n") > most, "bounded").otherwise("none").alias("status"), F.lit(None).cast(answered.schema["ids"].dataType).alias("ids"))
+    return answered.unionByName(rest)
+
+
+def opposite_pairs(lines: DataFrame, days: int, main: Column | None = None) -> DataFrame:
+    """Lines of two accounts with opposite exact amounts within ``days``; each pair once, the outflow first. ``main`` (of out_account)
+    names the one account that the outflow can go to."""
+    a = lines.where("amount < 0").select(F.col("line_id").alias("out_id"), F.col("account_id").alias("out_account"), F.col("operation_date").alias("out_date"), (-F.col("amount")).cast(CENT).alias("amount"))
+    b = lines.where("amount > 0").select(F.col("line_id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("operation_date").alias("in_date"), F.col("amount").cast(CENT).alias("amount"))
+    on = ["amount"]
+    if main is not None:
+        a, on = a.withColumn("in_account", main.cast("long")), ["amount", "in_account"]
+    return near_days(a, b, on, "out_date", "in_date", days).where("out_account <> in_account")
 
 
 def mutual_unique(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -141,8 +223,8 @@ def affected_peers(changed: DataFrame, lines: DataFrame, days: int = 31) -> Data
     """Lines to score again: the same reference core, or the same amount within ``days`` of a changed line."""
     c = changed.select(F.col("line_id").alias("of"), F.col("amount").alias("of_amount"), F.col("operation_date").alias("of_date"), reference_core("payment_reference").alias("of_core"))
     mine = lines.withColumn("core", reference_core("payment_reference"))
-    by_core = mine.join(c.where("length(of_core) >= 8"), F.col("core") == F.col("of_core")).select("line_id")
-    by_amount = mine.join(c, (F.col("amount") == F.col("of_amount")) & (F.abs(F.datediff("operation_date", "of_date")) <= days)).select("line_id")
+    by_core = mine.join(c.where("length(of_core) >= 8").select("of_core").distinct(), F.col("core") == F.col("of_core"), "left_semi").select("line_id")
+    by_amount = near_days(mine, c.select(F.col("of_amount").alias("amount"), "of_date"), ["amount"], "operation_date", "of_date", days).select("line_id")
     return by_core.union(by_amount).distinct()
 
 
@@ -157,7 +239,7 @@ def wrong_account(lines: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
     """Ledger rows of other accounts with a line's exact amount within ``days``, where its own account has none."""
     alone = lines.join(existing_movement(lines, ledger, days).select("line_id"), "line_id", "left_anti")
     other = ledger.select("ledger_id", "amount", F.col("account_id").alias("ledger_account"), "booking_date")
-    return alone.join(other, "amount").where((F.col("ledger_account") != F.col("account_id")) & (F.abs(F.datediff("operation_date", "booking_date")) <= days))
+    return near_days(alone, other, ["amount"], "operation_date", "booking_date", days).where("ledger_account <> account_id")
 
 
 def planned_payments(lines: DataFrame, obligations: DataFrame, before: int, after: int) -> DataFrame:

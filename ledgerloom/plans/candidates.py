@@ -81,22 +81,21 @@ def j7_candidate_union(spark, sf_dir):
     return M.candidate_union(bank, bills, linked)
 
 
-@query("""with items as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint) as cents from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 having count(*) <= 8)),
- recursive_sets as (select * from (with recursive s(l_orderkey, last, n, total, ids) as (
-   select l_orderkey, l_linenumber, 1, cents, cast(l_linenumber as varchar) from items
-   union all select s.l_orderkey, i.l_linenumber, n + 1, total + cents, ids || ',' || i.l_linenumber from s join items i on i.l_orderkey = s.l_orderkey and i.l_linenumber > s.last) select * from s)),
- targets as (select l_orderkey, sum(cents) as target from items where l_linenumber % 2 = 1 group by 1),
- hits as (select t.l_orderkey, count(s.n) as n, min(ids) as ids from targets t left join recursive_sets s on s.l_orderkey = t.l_orderkey and s.n >= 2 and s.total = t.target group by 1)
+@query("""with items as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint) as cents from lineitem),
+ targets as (select l_orderkey, sum(cents) filter (l_linenumber % 2 = 1) as target from items group by 1),
+ may as (select i.* from items i join targets using (l_orderkey) where cents < target), sized as (select l_orderkey, count(*) as n, sum(cents) as total from may group by 1),
+ sets as (select * from (with recursive s(l_orderkey, last, n, total, ids) as (
+   select l_orderkey, l_linenumber, 1, cents, cast(l_linenumber as varchar) from may
+   union all select s.l_orderkey, i.l_linenumber, n + 1, total + cents, ids || ',' || i.l_linenumber from s join may i on i.l_orderkey = s.l_orderkey and i.l_linenumber > s.last) select * from s)),
+ hits as (select t.l_orderkey, count(s.n) as n, min(ids) as ids from targets t left join sets s on s.l_orderkey = t.l_orderkey and s.n >= 2 and s.total = t.target group by 1)
  select l_orderkey, case when n = 1 then 'unique' when n > 1 then 'ambiguous' else 'none' end as status, case when n = 1 then ids end as ids from hits""", base=False)
 def j8_batch_suggest(spark, sf_dir):
     """Lines of an order are the bank rows of a day, the sum of its odd lines is the statement line."""
     from pyspark.sql import Window
 
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    li = W.table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("id"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
-    few = li.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 8").select("l_orderkey")
-    rows = li.join(few, "l_orderkey", "left_semi")
-    targets = rows.where("id % 2 = 1").groupBy("l_orderkey").agg(F.sum("amount").alias("target"))
+    rows = W.table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("id"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
+    targets = rows.groupBy("l_orderkey").agg(F.sum(F.when(F.col("id") % 2 == 1, F.col("amount"))).alias("target"))
     return M.subset_sums(targets, rows, "l_orderkey").select("l_orderkey", "status", F.array_join("ids", ",").alias("ids"))
 
 

@@ -37,14 +37,14 @@ def j16_transfer_enrichment(spark, sf_dir):
 
 
 @query("""with n as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as k, cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint) as c from lineitem),
- f as (select l_orderkey from n group by 1 having count(*) <= 6), t as (select l_orderkey, sum(c) // 2 as goal from n group by 1),
+ f as (select distinct l_orderkey from n), t as (select l_orderkey, sum(c) // 2 as goal from n group by 1),
  s as (select * from (with recursive s(l_orderkey, last, total) as (select l_orderkey, 0::bigint, 0::bigint from f union all select s.l_orderkey, n.k, total + c from s join n on n.l_orderkey = s.l_orderkey and n.k > s.last) select l_orderkey, total from s)),
  r as (select s.l_orderkey, total, goal, row_number() over (partition by s.l_orderkey order by abs(total - goal), total desc) as k from s join t using (l_orderkey))
- select l_orderkey, cast(total / 100.0 as decimal(18,2)) as sum, case when total = goal then 'exact' else 'nearest' end as status from r where k = 1 union all select l_orderkey, null, 'bounded' from t where l_orderkey not in (select l_orderkey from f)""", base=False)
+ select l_orderkey, cast(total / 100.0 as decimal(18,2)) as sum, case when total = goal then 'exact' else 'nearest' end as status from r where k = 1""", base=False)
 def j28_closest_subset(spark, sf_dir):
     li = W.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast(M).alias("amount"))
     targets = li.groupBy("l_orderkey").agg((F.floor(F.sum((F.col("amount") * 100).cast("long")) / 2) / 100).cast(M).alias("target"))
-    return H.closest_subset(targets, li, "l_orderkey", 6)
+    return H.closest_subset(targets, li, "l_orderkey")
 
 
 @query("""with m as (select line_id, count(*) as documents, cast(sum(cast(abs(g.amount) * 100 as bigint)) * 100 // max(cast(abs(l.amount) * 100 as bigint)) as bigint) as coverage from lines l join ledger g on g.account_id = l.account_id and g.booking_date = l.operation_date and sign(g.amount) = sign(l.amount) and abs(g.amount) <= abs(l.amount) group by 1)

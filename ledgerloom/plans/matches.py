@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import text_similarity
 from ..operators import matching as M
 from . import views as W
 from .candidates import INVOICES, invoices
 from .registry import query
-from .scalars import CORE, NORM
+from .scalars import CORE, NORM, WORDS
 
 N = NORM.format
 TEXT = N("concat_ws(' ', payment_reference, description)")
+#: The longest shared run of x and y with its place in x (the first of the longest), and what lies left and right of it.
+_BEST = "list_max(flatten([[{{'n': l, 'p': -i}} for l in range(1, len({x}) - i + 2) if contains({y}, {x}[i:i + l - 1])] for i in range(1, len({x}) + 1)]))"
+
+
+def similar(pairs: str) -> str:
+    """CTEs ``pieces`` and ``likeness`` (x, y, likeness): twice the characters in common of the pairs (x, y) of a table, in percent."""
+    best = _BEST.format(x="x", y="y")
+    return f"""pieces as (select * from (with recursive r(a, b, x, y, n) as (select distinct x, y, substr(x, 1, 50), substr(y, 1, 50), 0 from {pairs} where length(x) > 0 and length(y) > 0 and greatest(length(x), length(y)) <= 3 * least(length(x), length(y))
+   union all select a, b, h.x, h.y, h.n from (select a, b, unnest([{{'x': substr(x, 1, -m.p - 1), 'y': substr(y, 1, instr(y, substr(x, -m.p, m.n)) - 1), 'n': m.n}}, {{'x': substr(x, -m.p + m.n), 'y': substr(y, instr(y, substr(x, -m.p, m.n)) + m.n), 'n': 0}}]) as h from (select *, {best} as m from r where length(x) > 0 and length(y) > 0) where m is not null)) select * from r)),
+ likeness as (select a as x, b as y, sum(n) * 200.0 / (length(substr(a, 1, 50)) + length(substr(b, 1, 50))) as likeness from pieces group by a, b)"""
+
+
 SCORED = f"""pairs as (
   select l.line_id, l.amount, l.operation_date, l.payment_reference, l.description, l.counterparty_name, g.ledger_id as doc_id, g.amount as doc_amount, g.booking_date as doc_date, g.ref as doc_ref, g.counterparty as doc_name
   from lines l join ledger g on g.account_id = l.account_id and abs(l.amount - g.amount) <= 0.01 and abs(date_diff('day', operation_date, booking_date)) <= 7
   where l.status = 0 and not g.reconciled),
  facts as (select *, abs(date_diff('day', operation_date, doc_date)) as days, {CORE.format('payment_reference')} = {CORE.format('doc_ref')} and length({CORE.format('payment_reference')}) >= 8 as strong,
-  {TEXT} as body, {N('doc_ref')} as nref, {N('counterparty_name')} as mine, {N('doc_name')} as other from pairs),
- flags as (select *, not strong and contains(body, nref) as exact, length(mine) > 0 and (contains(mine, other) or contains(other, mine)) as named, length(mine) = 0 and length(other) >= 8 and contains(body, other) as described from facts),
- scored as (select line_id, doc_id, doc_amount, strong or exact as sure, cast(greatest(0, 70 + case when days <= 3 then 30 else 0 end + case when strong then 120 when exact then 50 else 0 end + case when named then 35 else 0 end + case when described then 25 else 0 end
-  - case when days > 3 and not strong then least(80, 20 + 2 * (days - 3)) else 0 end) as int) as score from flags),
+  {TEXT} as body, {N('doc_ref')} as nref, {N('counterparty_name')} as mine, {N('doc_name')} as other, {WORDS.format('description')} as words, {WORDS.format('doc_name')} as phrase from pairs),
+ flags as (select *, not strong and contains(body, nref) as exact, length(mine) > 0 and (contains(mine, other) or contains(other, mine)) as named, length(mine) = 0 and length(trim(phrase)) >= 8 and len(string_split(trim(phrase), ' ')) >= 2 and contains(words, phrase) as described from facts),
+ unlike as (select mine as x, other as y from flags where length(mine) > 0 and not named), {similar('unlike')},
+ scored as (select line_id, doc_id, doc_amount, strong or exact as sure, cast(greatest(0, 70 + case when days <= 3 then 30 else 0 end + case when strong then 120 when exact then 50 else 0 end + case when named then 35 when coalesce(likeness, 0) >= 72 then 25 else 0 end + case when described then 25 else 0 end
+  - case when days > 3 and not strong and not exact then least(80, 20 + 2 * (days - 3)) else 0 end) as int) as score from flags left join likeness on x = mine and y = other and not named),
  ranks as (select *, row_number() over w as rank, cast(score - coalesce(lead(score) over w, 0) as int) as lead from scored where score > 0 window w as (partition by line_id order by score desc, abs(doc_amount), doc_id))"""
 
 
@@ -29,7 +43,69 @@ def scored(spark, sf_dir):
     docs = W.ledger(spark, sf_dir).where("not reconciled").select(
         F.lit("native_bank").alias("kind"), F.col("ledger_id").alias("doc_id"), F.col("account_id").alias("doc_account"), F.col("amount").alias("doc_amount"),
         F.col("booking_date").alias("doc_date"), F.col("ref").alias("doc_ref"), F.col("counterparty").alias("doc_name"))
-    return M.score(M.near_amount_pairs(W.lines(spark, sf_dir).where("status = 0"), docs, 7), 3)
+    return M.score(M.near_amount_pairs(M.prepare_lines(W.lines(spark, sf_dir).where("status = 0")), M.prepare_docs(docs), 7), 3)
+
+
+@query(f"""with near as (select p_partkey, lower(p_name || ' ' || p_brand) as x, lower(p_type || ' ' || p_name) as y from part), {similar('near')}
+ select p_partkey, round(coalesce(likeness, 0), 6) as likeness from near left join likeness using (x, y)""", base=False)
+def f6_text_similarity(spark, sf_dir):
+    p = W.table(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("x"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("y"))
+    return p.select("p_partkey", F.round(text_similarity("x", "y"), 6).alias("likeness"))
+
+
+def _iban(n):
+    """A valid IBAN of a number: 'DE', check digits, 18 digits (27 and 62 are 10**6 and 131400 modulo 97)."""
+    return F.concat(F.lit("DE"), F.lpad((98 - ((n % 97) * 27 + 62) % 97).cast("string"), 2, "0"), F.lpad(n.cast("string"), 18, "0"))
+
+
+IBAN = "'DE' || lpad(cast(98 - (({n} % 97) * 27 + 62) % 97 as varchar), 2, '0') || lpad(cast({n} as varchar), 18, '0')"
+BILLS = f"""bill_lines as (select l.line_id, l.line_id // 10 as k, g.party_id, l.amount, l.operation_date, case when l.line_id // 10 % 4 = 0 then 'FT-' || lpad(cast(l.line_id // 10 as varchar), 8, '0') || '-E1234567' else '' end as payment_reference,
+   l.description || ' RC' || g.party_id as description, l.counterparty_name, case when l.line_id // 10 % 3 = 0 then {IBAN.format(n='g.party_id')} else '' end as iban from lines l join ledger g on g.ledger_id * 10 = l.line_id),
+ bills as (select o_orderkey as doc_id, o_custkey as party_id, case when o_orderkey % 7 = 0 then 'tax' when o_orderkey % 2 = 0 then 'customer_invoice' else 'supplier_invoice' end as kind, cast(o_totalprice as decimal(18,2)) as doc_amount, cast(o_orderdate as date) as doc_date,
+   'FT-' || lpad(cast(o_orderkey as varchar), 8, '0') as doc_ref, case when o_orderkey % 5 = 0 then 'Z9; RC' || o_custkey else '' end as ref_client, case when o_orderkey % 2 = 0 then {IBAN.format(n='o_custkey')} else '' end as doc_iban,
+   case o_orderkey % 3 when 0 then c_name when 1 then 'Custmer ' || c_name else 'Other company' end as doc_name, o_orderkey % 11 = 0 as p_iban, o_orderkey % 13 = 0 as p_text from orders join customer on c_custkey = o_custkey),
+ bill_pairs as (select *, abs(date_diff('day', operation_date, doc_date)) as days, abs(abs(amount) - doc_amount) <= 0.01 as equal from bill_lines join bills using (party_id) where abs(date_diff('day', operation_date, doc_date)) <= 60),
+ bill_facts as (select *, not equal and abs(amount) < doc_amount + 0.01 as partial, {CORE.format('payment_reference')} = {CORE.format('doc_ref')} and length({CORE.format('payment_reference')}) >= 8 as strong, {TEXT} as body, {N('doc_ref')} as nref,
+   {N('counterparty_name')} as mine, {N('doc_name')} as other, {N('description')} as told from bill_pairs),
+ bill_flags as (select *, not strong and contains(body, nref) as exact, length(mine) > 0 and (contains(mine, other) or contains(other, mine)) as named from bill_facts),
+ unlike as (select mine as x, other as y from bill_flags where length(mine) > 0 and not named), {similar('unlike')},
+ bill_why as (select line_id, doc_id, equal, partial, list_filter([case when equal then 'amount' end, case when partial then 'amount_pending' end, case when days <= 3 then 'date' end, case when strong then 'ref_payment' end, case when exact then 'ref_exact' end,
+   case when not strong and not exact and ref_client <> '' and contains(body, 'rc' || party_id) then 'ref_client' end, case when named then 'name_partial' end, case when length(mine) > 0 and not named and coalesce(likeness, 0) >= 72 then 'name_fuzzy' end,
+   case when iban <> '' and iban = doc_iban then 'iban' end, case when (equal or partial) and p_iban and iban <> '' then 'pattern_iban' end, case when (equal or partial) and p_text and contains(told, 'rc' || party_id) then 'pattern_desc' end], lambda x: x is not null) as why
+   from bill_flags left join likeness on x = mine and y = other and not named),
+ bill_points as (select *, list_sum([case w when 'amount' then 70 when 'amount_pending' then 40 when 'date' then 30 when 'ref_payment' then 120 when 'ref_exact' then 50 when 'ref_client' then 35 when 'name_partial' then 35 when 'name_fuzzy' then 25 when 'iban' then 45
+   when 'pattern_iban' then case when equal then 60 else 25 end else case when equal then 40 else 15 end end for w in why]) as points, equal or (partial and list_has_any(why, ['ref_payment', 'ref_exact', 'ref_client', 'name_partial', 'name_fuzzy', 'iban', 'pattern_iban', 'pattern_desc'])) as allowed from bill_why)"""
+
+
+def bill_pairs(spark, sf_dir):
+    """Lines with invoices and taxes of their party: every reason for a score occurs."""
+    party = W.ledger(spark, sf_dir).select((F.col("ledger_id") * 10).alias("line_id"), "party_id")
+    k = (F.col("line_id") / 10).cast("long")
+    own = F.concat(F.lit("FT-"), F.lpad(k.cast("string"), 8, "0"), F.lit("-E1234567"))
+    l = W.lines(spark, sf_dir).join(party, "line_id").withColumns({"payment_reference": F.when(k % 4 == 0, own).otherwise(""), "description": F.concat("description", F.lit(" RC"), F.col("party_id").cast("string")), "counterparty_iban": F.when(k % 3 == 0, _iban(F.col("party_id"))).otherwise("")})  # noqa: E741
+    n = F.col("invoice_id")
+    names = W.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("party_id"), "c_name")
+    d = invoices(spark, sf_dir).join(names, "party_id").select(
+        F.when(n % 7 == 0, "tax").when(n % 2 == 0, "customer_invoice").otherwise("supplier_invoice").alias("kind"), n.alias("doc_id"), "party_id", F.col("total").alias("doc_amount"), F.col("invoice_date").alias("doc_date"), F.col("ref").alias("doc_ref"),
+        F.when(n % 5 == 0, F.concat(F.lit("Z9; RC"), F.col("party_id").cast("string"))).otherwise("").alias("ref_client"), F.when(n % 2 == 0, _iban(F.col("party_id"))).otherwise("").alias("doc_iban"),
+        F.when(n % 3 == 0, F.col("c_name")).when(n % 3 == 1, F.concat(F.lit("Custmer "), "c_name")).otherwise("Other company").alias("doc_name"))
+    told = F.concat(F.lit("rc"), F.col("party_id").cast("string"))
+    rows = lambda step, kind, value: d.where(n_mod(step)).select("kind", "doc_id", F.lit(kind).alias("pattern_type"), value.alias("pattern_value"))
+    n_mod = lambda step: F.col("doc_id") % step == 0
+    patterns = rows(11, "iban", _iban(F.col("party_id"))).unionByName(rows(13, "description", told))
+    pairs = M.prepare_lines(l).join(M.prepare_docs(d, patterns), "party_id").where(F.abs(F.datediff("operation_date", "doc_date")) <= 60)
+    return M.score(pairs, 3)
+
+
+@query(f"with {BILLS} select line_id, doc_id, cast(points as int) as score, array_to_string(why, ',') as details from bill_points where allowed")
+def j9_score_bills(spark, sf_dir):
+    return bill_pairs(spark, sf_dir).where("score > 0").select("line_id", "doc_id", "score", F.array_join("details", ",").alias("details"))
+
+
+@query(f"""with {BILLS}, r as (select *, row_number() over w as k, points - coalesce(lead(points) over w, 0) as lead from (select b.*, doc_amount from bill_points b join bills using (doc_id) where allowed) window w as (partition by line_id order by points desc, abs(doc_amount), doc_id))
+ select line_id, doc_id, points >= 150 and equal and lead >= 35 and list_has_any(why, ['ref_payment', 'ref_exact', 'iban', 'pattern_iban']) as is_safe, lead >= 35 as is_unambiguous from r where k = 1""")
+def j25_best_bill(spark, sf_dir):
+    return M.decided(bill_pairs(spark, sf_dir)).select("line_id", "doc_id", "is_safe", "is_unambiguous")
 
 
 @query(f"with {SCORED} select line_id, doc_id, score from scored where score > 0")
@@ -109,6 +185,6 @@ def j10_transfer_pairs(spark, sf_dir):
     """Restricted account a pays to main account a % 25 + 1; coarse amounts make rivals; only mutual best pairs stay."""
     coarse = (F.floor(F.abs("amount") / 5000) * 50 * F.signum("amount").cast("int")).cast(W.MONEY)
     m = W.lines(spark, sf_dir).where("status = 0").withColumn("amount", coarse)
-    pairs = M.opposite_pairs(m, 2).where("in_account = out_account % 25 + 1").withColumn("d", F.abs(F.datediff("out_date", "in_date")))
+    pairs = M.opposite_pairs(m, 2, F.col("out_account") % 25 + 1).withColumn("d", F.abs(F.datediff("out_date", "in_date")))
     best = lambda a, b: F.row_number().over(Window.partitionBy(a).orderBy("d", b))
     return pairs.withColumn("x", best("out_id", "in_id")).withColumn("y", best("in_id", "out_id")).where("x = 1 and y = 1").select("out_id", "in_id")

@@ -101,9 +101,17 @@ def f13_header_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.header_key(F.concat_ws(" / ", "p_name", "p_type")).alias("key"))
 
 
-@query(f"select line_id, sha256('1|' || account_id || '|' || operation_date || '|' || amount || '|' || {NORM.format('payment_reference')} || '|' || {NORM.format('description')}) as hash from lines")
+FACTS = f"'1|' || account_id || '|' || operation_date || '|' || amount || '|' || {NORM.format('payment_reference')}"
+
+
+@query(f"""with h as (select line_id, account_id, sha256({FACTS} || '|' || {NORM.format("'B-' || line_id")} || '|trf|' || {NORM.format('description')}) as hash, sha256({FACTS} || '|' || {NORM.format('description')}) as legacy from lines)
+ select line_id, hash, legacy, sha256('1|' || account_id || '|u' || line_id) as feed, sha256(hash || '|approved|2') as forced, sha256('f1|' || line_id || '|' || hash) as occurrence from h""")
 def f14_idempotency_hash(spark, sf_dir):
-    return lines(spark, sf_dir).select("line_id", V.line_hash(F.lit(1), "account_id", "operation_date", "amount", "payment_reference", "description").alias("hash"))
+    """All variants: whole, of an earlier generation, of the feed, of an approved duplicate and of a verified spreadsheet's row."""
+    k = F.col("line_id").cast("string")
+    facts = (F.lit(1), "account_id", "operation_date", "amount", "payment_reference")
+    rows = lines(spark, sf_dir).withColumns({"hash": V.line_hash(*facts, F.concat(F.lit("B-"), k), F.lit("TRF"), "description"), "legacy": V.line_hash(*facts, "description")})
+    return rows.select("line_id", "hash", "legacy", V.feed_line_hash(F.lit(1), "account_id", F.concat(F.lit("u"), k)).alias("feed"), V.forced_hash("hash", F.lit(2)).alias("forced"), V.occurrence_hash(F.lit("f1"), "line_id", "hash").alias("occurrence"))
 
 
 @query("select event_id, sha256('w|' || (user_id % 25 + 1) || '|' || event_id) as uid, sha256(cast(value as decimal(24,2)) || '|' || cast(ts as date) || '|EUR') as financial from events", base=False)
@@ -119,18 +127,22 @@ def f17_exact_decimal(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", V.exact_decimal(F.when(F.col("l_linenumber") % 2 == 0, F.concat(text, F.lit("e2"))).otherwise(text)).alias("amount"))
 
 
-@query("select account_id, cast(sum(amount) as decimal(18,2)) as total, cast(sum(abs(amount)) as decimal(18,2)) as turnover, cast(-min(amount) as decimal(18,2)) as lowest from ledger group by account_id")
+@query("""select l_orderkey, l_linenumber, cast(e + t as decimal(24,8)) as added, cast(e - t as decimal(24,8)) as less, cast(e * t as decimal(38,8)) as times, cast(sign(e - 30000) as int) as compared, cast(abs(t - e) as decimal(24,8)) as size, cast(-e as decimal(24,8)) as negated
+ from (select l_orderkey, l_linenumber, cast(l_extendedprice as decimal(18,2)) as e, cast(l_tax as decimal(18,2)) as t from lineitem)""", base=False)
 def f18_decimal_arithmetic(spark, sf_dir):
-    m = "decimal(18,2)"
-    return ledger(spark, sf_dir).groupBy("account_id").agg(F.sum("amount").cast(m).alias("total"), F.sum(F.abs("amount")).cast(m).alias("turnover"), (-F.min("amount")).cast(m).alias("lowest"))
+    li = table(spark, sf_dir, "lineitem")
+    e, t = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_tax").cast("decimal(18,2)")
+    return li.select("l_orderkey", "l_linenumber", V.decimal_add(e, t).alias("added"), V.decimal_sub(e, t).alias("less"), V.decimal_mul(e, t).alias("times"), V.decimal_cmp(e, F.lit("30000")).alias("compared"), V.decimal_abs(V.decimal_sub(t, e)).alias("size"), V.decimal_neg(e).alias("negated"))
 
 
-@query("""with t as (select ledger_id, case when ledger_id % 7 = 0 then 'ESTORNO TPA 0012345 ' || ledger_id when ledger_id % 2 = 0 then 'VENDAS TPA 0012345 ' || lpad(cast(ledger_id % 100000 as varchar(20)), 5, '0') else 'TRF ' || ledger_id end as d from ledger)
- select ledger_id, case when ledger_id % 7 = 0 or ledger_id % 2 = 1 then '' else '0012345/' || lpad(cast(ledger_id % 100000 as varchar(20)), 5, '0') end as identity from t""")
+@query("""select ledger_id, case when ledger_id % 7 in (0, 5) then '' when ledger_id % 3 = 0 then lpad(cast(ledger_id % 100000 as varchar), 6, '0') || '/12345/' || ledger_id % 1000 when ledger_id % 3 = 1 then lpad(cast(ledger_id % 100000 as varchar), 6, '0') || '/' || ledger_id % 1000 else '' end as identity from ledger""")
 def f19_tpa_identity(spark, sf_dir):
+    """Both shapes, with words that refuse it (whole) and others that only begin like them."""
     k = F.col("ledger_id")
-    d = F.when(k % 7 == 0, F.concat(F.lit("ESTORNO TPA 0012345 "), k.cast("string"))).when(k % 2 == 0, F.concat(F.lit("VENDAS TPA 0012345 "), F.lpad((k % 100000).cast("string"), 5, "0"))).otherwise(F.concat(F.lit("TRF "), k.cast("string")))
-    return ledger(spark, sf_dir).select("ledger_id", T.tpa_identity(d).alias("identity"))
+    n, period = F.lpad((k % 100000).cast("string"), 6, "0"), (k % 1000).cast("string")
+    base = F.when(k % 3 == 0, F.concat(F.lit("Fecho  TPA "), n, F.lit("/12345/"), period)).when(k % 3 == 1, F.concat(F.lit("FECHO TPA "), n, F.lit(" Período Nº "), period)).otherwise(F.concat(F.lit("TPA "), n))
+    tail = F.when(k % 7 == 0, " ESTORNO").when(k % 7 == 5, " Comissão").when(k % 7 == 1, " FEEDBACK ESTORNOS").otherwise("")
+    return ledger(spark, sf_dir).select("ledger_id", T.tpa_identity(F.concat(base, tail)).alias("identity"))
 
 
 @query("select c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') as key from customer", base=False)

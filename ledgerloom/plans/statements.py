@@ -9,13 +9,14 @@ from ..sources import sinks, statements as P
 from . import views as W
 from .registry import query
 
-RANKED = "ranked as (select *, cast(row_number() over (partition by account_id order by operation_date, line_id) - 1 as int) as rank from lines where line_id % 3 = 0)"
-LINES = f"with {RANKED} select cast(account_id as varchar) as file, rank, operation_date, amount, cast(line_id as varchar) as reference"
+RANKED = "ranked as (select *, cast(row_number() over (partition by statement_id order by operation_date, line_id) - 1 as int) as rank from lines)"
+LINES = f"with {RANKED} select cast(statement_id as varchar) as file, rank, operation_date, amount, cast(line_id as varchar) as reference"
 
 
 def _ranked(spark, sf_dir):
-    w = Window.partitionBy("account_id").orderBy("operation_date", "line_id")
-    return W.lines(spark, sf_dir).where("line_id % 3 = 0").withColumn("rank", F.row_number().over(w) - 1).withColumn("file", F.col("account_id").cast("string"))
+    """All lines with their place in their statement (an account's month), which is one file."""
+    w = Window.partitionBy("statement_id").orderBy("operation_date", "line_id")
+    return W.lines(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).withColumn("file", F.col("statement_id").cast("string"))
 
 
 def _abs():
@@ -23,8 +24,18 @@ def _abs():
 
 
 def _camt(spark, sf_dir):
-    entry = F.concat(F.lit("<Ntry><Amt Ccy='EUR'>"), _abs(), F.lit("</Amt><CdtDbtInd>"), F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT"), F.lit("</CdtDbtInd><BookgDt><Dt>"), F.col("operation_date").cast("string"), F.lit("</Dt></BookgDt><NtryRef>"), F.col("line_id").cast("string"), F.lit("</NtryRef><AddtlNtryInf>"), "description", F.lit("</AddtlNtryInf></Ntry>"))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", entry, "<Document><Stmt>", "</Stmt></Document>")
+    """Namespaced documents of two statements; every third entry has a time instead of a day, every second its details."""
+    k = F.col("line_id") / 10
+    day = F.when(k % 3 == 0, F.concat(F.lit("<n:DtTm>"), F.col("operation_date").cast("string"), F.lit("T10:00:00</n:DtTm>"))).otherwise(F.concat(F.lit("<n:Dt>"), F.col("operation_date").cast("string"), F.lit("</n:Dt>")))
+    side = F.when(F.col("amount") < 0, "Cdtr").otherwise("Dbtr")
+    party = F.concat(F.lit("<n:Dbtr><n:Nm>me</n:Nm></n:Dbtr><n:Cdtr><n:Nm>me</n:Nm></n:Cdtr>"))
+    other = F.replace(party, F.concat(F.lit("<n:"), side, F.lit("><n:Nm>me")), F.concat(F.lit("<n:"), side, F.lit("><n:Nm>"), F.concat(F.lit("P"), F.col("line_id").cast("string"))))
+    details = F.concat(F.lit("<n:NtryDtls><n:TxDtls><n:Refs><n:EndToEndId>E"), F.col("line_id").cast("string"), F.lit("</n:EndToEndId></n:Refs><n:RltdPties>"), other, F.lit("<n:"), side, F.lit("Acct><n:Id><n:IBAN>pt50 0002</n:IBAN></n:Id></n:"), side, F.lit("Acct></n:RltdPties><n:RmtInf><n:Ustrd>more</n:Ustrd></n:RmtInf></n:TxDtls><n:TxDtls><n:Refs><n:EndToEndId>other</n:EndToEndId></n:Refs></n:TxDtls></n:NtryDtls>"))
+    entry = F.concat(
+        F.lit("<n:Ntry><n:NtryRef>"), F.col("line_id").cast("string"), F.lit("</n:NtryRef><n:Amt Ccy='"), F.when(k % 5 == 0, "usd").otherwise("EUR"), F.lit("'>"), _abs(), F.lit("</n:Amt><n:CdtDbtInd>"), F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT"),
+        F.lit("</n:CdtDbtInd><n:BookgDt>"), day, F.lit("</n:BookgDt><n:AcctSvcrRef>S1</n:AcctSvcrRef>"), F.when(k % 2 == 0, details).otherwise(""), F.lit("<n:AddtlNtryInf>"), "description", F.lit("</n:AddtlNtryInf></n:Ntry>"),
+        F.when(F.col("rank") == 1, "</n:Stmt><n:Stmt>").otherwise(""))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", entry, "<n:Document xmlns:n='urn:iso:std:iso:20022:tech:xsd:camt.053.001.02'><n:BkToCstmrStmt><n:Stmt>", "</n:Stmt></n:BkToCstmrStmt></n:Document>")
 
 
 def _ofx(spark, sf_dir):
@@ -38,11 +49,15 @@ def _mt940(spark, sf_dir):
     return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, ":20:X\n:60F:C950101EUR0,00\n", "\n:62F:C950101EUR0,00")
 
 
-def _norma43(spark, sf_dir):
+def _norma43(spark, sf_dir, head="11000000000000000000USD", override=False):
+    """Every second movement has its text in the record itself and an IBAN in a continuation; with ``override`` every third its currency."""
     cents = F.lpad((F.abs("amount") * 100).cast("decimal(14,0)").cast("string"), 14, "0")
     day = F.date_format("operation_date", "yyMMdd")
-    line = F.concat(F.lit("22        "), day, day, F.lit("99999"), F.when(F.col("amount") < 0, "1").otherwise("2"), cents, F.rpad(F.col("line_id").cast("string"), 10, " "), F.lit("\n2301"), "description")
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, "11000000000000000000978\n", "\n33\n88")
+    k = F.col("line_id") / 10
+    text = F.when(k % 2 == 0, F.concat("description", F.lit("\n2301PT50000201231234567890154"))).otherwise(F.concat(F.lit("\n2301"), "description"))
+    money = F.when((k % 3 == 0) & F.lit(override), "\n2401978").otherwise("")
+    line = F.concat(F.lit("22        "), day, day, F.lit("99999"), F.when(F.col("amount") < 0, "1").otherwise("2"), cents, F.rpad(F.col("line_id").cast("string"), 10, " "), text, money)
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, head + "\n", "\n33\n88\n2301late")
 
 
 def _csv(spark, sf_dir):
@@ -51,9 +66,16 @@ def _csv(spark, sf_dir):
     return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, "Data;Valor;Descricao;Debito;Credito;Saldo\n")
 
 
-@query(LINES + ", description from ranked")
+@query(LINES + """, case when line_id // 10 % 5 = 0 then 'USD' else 'EUR' end as currency, case when line_id // 10 % 2 = 0 then 'P' || line_id else '' end as counterparty_name, case when line_id // 10 % 2 = 0 then 'PT500002' else '' end as counterparty_iban,
+ case when line_id // 10 % 2 = 0 then description || ' more' else description end as description, case when line_id // 10 % 2 = 0 then 'E' || line_id else 'S1' end as payment_reference from ranked""")
 def s1_camt053(spark, sf_dir):
-    return P.parse_camt(_camt(spark, sf_dir)).drop("value_date")
+    return P.parse_camt(_camt(spark, sf_dir)).drop("value_date", "line_uid")
+
+
+@query(f"""with {RANKED}, x as (select *, case when line_id // 10 % 2 = 0 then 'E' || line_id else 'S1' end as p, cast(operation_date as varchar) || case when line_id // 10 % 3 = 0 then 'T10:00:00' else '' end as d from ranked)
+ select cast(statement_id as varchar) as file, rank, sha1(rank || '|' || d || '|' || amount || '|' || p || '|' || line_id) as line_uid from x""")
+def f15_line_uid(spark, sf_dir):
+    return P.parse_camt(_camt(spark, sf_dir)).select("file", "rank", "line_uid")
 
 
 @query(LINES + ", description from ranked")
@@ -66,31 +88,57 @@ def s3_mt940(spark, sf_dir):
     return P.parse_mt940(_mt940(spark, sf_dir)).drop("value_date")
 
 
-@query(LINES + ", description from ranked")
+@query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, 'USD' as currency from ranked")
 def s4_norma43(spark, sf_dir):
     return P.parse_norma43(_norma43(spark, sf_dir)).drop("value_date")
 
 
-@query(f"with {RANKED} select cast(account_id as varchar) as file, rank + 1 as rank, operation_date, amount, description, cast(line_id as decimal(18,2)) as running_balance from ranked")
+@query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, 'EUR' as currency from ranked")
+def s4_norma43_978(spark, sf_dir):
+    return P.parse_norma43(_norma43(spark, sf_dir, "11000000000000000000978")).drop("value_date")
+
+
+@query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, case when line_id // 10 % 3 = 0 then 'EUR' else 'USD' end as currency from ranked")
+def s4_norma43_r24(spark, sf_dir):
+    return P.parse_norma43(_norma43(spark, sf_dir, override=True)).drop("value_date")
+
+
+@query(f"with {RANKED} select cast(statement_id as varchar) as file, rank + 1 as rank, operation_date, amount, description, cast(line_id as decimal(18,2)) as running_balance from ranked")
 def s11_mapped_rows(spark, sf_dir):
     mapping = {"date": 0, "value": 1, "description": 2, "debit": 3, "credit": 4, "balance": 5}
     return P.parse_mapped(_csv(spark, sf_dir), mapping).drop("value_date")
 
 
+def _sheet(spark, sf_dir, sep):
+    """Eight columns: number, two dates, text, reference, debit, credit, balance."""
+    debit, credit = F.when(F.col("amount") < 0, _abs()).otherwise(""), F.when(F.col("amount") >= 0, _abs()).otherwise("")
+    day = F.date_format("operation_date", "dd-MM-yyyy")
+    line = F.concat_ws(sep, F.col("rank").cast("string"), day, day, F.concat("description", F.lit(" PAY-"), F.lpad(F.col("line_id").cast("string"), 9, "0")), F.lit("x"), debit, credit, F.lit("7.00"))
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, sep.join(["n", "data", "valor", "texto", "ref", "debito", "credito", "saldo"]) + "\n")
+
+
 def _all_formats(spark, sf_dir):
+    from . import imports as I
+
     tagged = lambda df, p: df.withColumn("file", F.concat(F.lit(p), "file"))
+    n43 = lambda **k: lambda s, d: _norma43(s, d, **k)
+    makers = {"ofx": _ofx, "mt940": _mt940, "norma43": n43(), "norma43_978": n43(head="11000000000000000000978"), "norma43_r24": n43(override=True), "csv": _csv, "tabulated": lambda s, d: _sheet(s, d, ";"),
+              "tabulated_tsv": lambda s, d: _sheet(s, d, "\t"), "nib_compound": I.nib_files, "consolidated": I.consolidated_files, "bit_recon": I.bit_recon_files, "emc": I.emc_files}
     out = tagged(_camt(spark, sf_dir), "camt053-")
-    for name, f in (("ofx", _ofx), ("mt940", _mt940), ("norma43", _norma43), ("csv", _csv)):
+    for name, f in makers.items():
         out = out.unionByName(tagged(f(spark, sf_dir), f"{name}-"))
     return out
 
 
-@query(f"with {RANKED} select f || '-' || account_id as file, f as format from (select distinct account_id from ranked), unnest(['camt053', 'ofx', 'mt940', 'norma43', 'csv']) t(f)")
+@query(f"""with {RANKED}, s as (select statement_id, count(*) as n, count(*) filter (line_id // 10 % 3 = 0) as overrides from ranked group by 1)
+ select f || '-' || statement_id as file, case when f in ('nib_compound', 'consolidated') and n < 2 then 'unknown' when f = 'bit_recon' and n < 2 then 'unknown' when f = 'norma43_r24' and overrides = 0 then 'norma43'
+  when f = 'tabulated' and n < 3 then 'csv' when f = 'tabulated_tsv' and n < 3 then 'tsv' else f end as format
+ from s, unnest(['camt053', 'ofx', 'mt940', 'norma43', 'norma43_978', 'norma43_r24', 'csv', 'tabulated', 'tabulated_tsv', 'nib_compound', 'consolidated', 'bit_recon', 'emc']) t(f)""")
 def s12_detect_format(spark, sf_dir):
     return P.detect_format(_all_formats(spark, sf_dir))
 
 
-@query(f"with {RANKED} select distinct cast(account_id as varchar) as file, ';' as delimiter from ranked")
+@query(f"with {RANKED} select distinct cast(statement_id as varchar) as file, ';' as delimiter from ranked")
 def s13_detect_delimiter(spark, sf_dir):
     return P.detect_delimiter(_csv(spark, sf_dir))
 
@@ -118,15 +166,15 @@ def s16_statement_evidence(spark, sf_dir):
     return P.explode_evidence(s)
 
 
-@query(f"""with {RANKED}, r as (select account_id, line_id, amount from ranked where rank < 220)
- select cast(account_id as varchar) as file, c.k as "column", case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) else count(*) end as filled,
- case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) when 5 then count(*) else 0 end as "numeric", case when c.k < 2 then count(*) when c.k = 5 then count(*) filter (line_id between 20000 and 90000) else 0 end as dates, case when c.k = 2 then count(*) else 0 end as "text"
- from r, (values (0), (1), (2), (3), (4), (5)) c(k) group by account_id, c.k having case c.k when 3 then count(*) filter (amount < 0) when 4 then count(*) filter (amount >= 0) else count(*) end > 0""")
+@query(f"""with {RANKED}, r as (select *, case c.k when 3 then amount < 0 when 4 then amount >= 0 else true end as shown from ranked, (values (0), (1), (2), (3), (4), (5)) c(k) where rank < 220)
+ select cast(statement_id as varchar) as file, k as "column", count(*) as filled, count(*) filter (k in (3, 4, 5)) as "numeric", count(*) filter (k < 2 or (k = 5 and line_id between 20000 and 90000)) as dates, count(*) filter (k = 2) as "text", 0 as negative,
+  count(*) filter (k in (3, 4, 5)) as positive, 0 as zero, count(*) filter (k in (3, 4, 5)) as non_zero,
+  avg(case when k < 2 then 10 when k = 2 then length(description) when k = 5 then length(cast(line_id as varchar)) else length(cast(abs(amount) as varchar)) end) as mean_length from r where shown group by 1, 2""")
 def m1_profile_columns(spark, sf_dir):
-    return P.profile_columns(_csv(spark, sf_dir), ";").select("file", "column", "filled", "numeric", "dates", "text")
+    return P.profile_columns(_csv(spark, sf_dir), ";")
 
 
-@query(f"with {RANKED} select cast(account_id as varchar) as file, sha256('data_valor_descricao_debito_credito_saldo|' || string_agg('6', ',')) as fingerprint from ranked where rank < 5 group by 1")
+@query(f"with {RANKED} select cast(statement_id as varchar) as file, sha256('data_valor_descricao_debito_credito_saldo|' || string_agg('6', ',')) as fingerprint from ranked where rank < 5 group by 1")
 def m7_layout_fingerprint(spark, sf_dir):
     return P.layout_fingerprint(_csv(spark, sf_dir), ";")
 

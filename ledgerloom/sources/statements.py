@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import header_key
-from ..functions.values import parse_date, parse_number, short_date
+from ..functions.text import extract_iban, extract_strong_reference, header_key, iban_norm
+from ..functions.values import line_uid, parse_date, parse_number, short_date
 
 MONEY = "decimal(18,2)"
-CAMT = "Stmt struct<Acct: struct<Id: struct<Othr: struct<Id: string>>>, Ntry: array<struct<Amt: string, CdtDbtInd: string, BookgDt: struct<Dt: string>, ValDt: struct<Dt: string>, NtryRef: string, AddtlNtryInf: string>>>"
+_PARTY = "struct<Nm: string>"
+_ACCOUNT = "struct<Id: struct<IBAN: string>>"
+_DAY = "struct<Dt: string, DtTm: string>"
+#: What is read of an ISO 20022 entry; of several transaction details the first counts.
+CAMT = f"""Amt struct<_VALUE: string, _Ccy: string>, CdtDbtInd string, BookgDt {_DAY}, ValDt {_DAY}, AcctSvcrRef string, NtryRef string, AddtlNtryInf string,
+ NtryDtls struct<TxDtls: array<struct<Refs: struct<EndToEndId: string>, RltdPties: struct<Dbtr: {_PARTY}, Cdtr: {_PARTY}, DbtrAcct: {_ACCOUNT}, CdtrAcct: {_ACCOUNT}>, RmtInf: struct<Ustrd: array<string>>>>>"""
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -43,12 +48,27 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("content", "\r?\n")).alias("rank", "line"))
 
 
-def parse_camt(files: DataFrame) -> DataFrame:
-    """ISO 20022 account statements: one line an entry, debits negative."""
-    rows = files.select("file", F.from_xml("content", CAMT).alias("d")).select("file", F.posexplode("d.Stmt.Ntry").alias("rank", "e"))
-    sign = F.when(F.col("e.CdtDbtInd") == "DBIT", -1).otherwise(1)
-    booked = F.col("e.BookgDt.Dt").cast("date")
-    return rows.select("file", "rank", booked.alias("operation_date"), F.coalesce(F.col("e.ValDt.Dt").cast("date"), booked).alias("value_date"), (F.col("e.Amt").cast(MONEY) * sign).cast(MONEY).alias("amount"), F.col("e.NtryRef").alias("reference"), F.col("e.AddtlNtryInf").alias("description"))
+def parse_camt(files: DataFrame, currency: str = "EUR") -> DataFrame:
+    """ISO 20022 account statements: one line an entry of any statement of the file, whatever namespace prefix it has.
+
+    Debits are negative; the other side of a debit is the creditor, of a credit the debtor.
+    """
+    bare = F.regexp_replace("content", "<(/?)[A-Za-z0-9_.-]+:", "<$1")
+    entries = files.select("file", F.posexplode(F.regexp_extract_all(bare, F.lit("(?s)<Ntry(?:\\s[^>]*)?>.*?</Ntry>"), 0)).alias("rank", "x"))
+    rows = entries.select("file", "rank", F.from_xml("x", CAMT, {"ignoreNamespace": "true"}).alias("e")).withColumn("t", F.get("e.NtryDtls.TxDtls", F.lit(0)))
+    debit = F.upper("e.CdtDbtInd") == "DBIT"
+    amount = F.abs(F.col("e.Amt._VALUE").cast(MONEY))
+    raw = lambda c: F.coalesce(F.nullif(F.col(f"e.{c}.Dt"), F.lit("")), F.col(f"e.{c}.DtTm"))
+    day = lambda c: parse_date(F.substring(raw(c), 1, 10))
+    side = lambda c: F.coalesce(F.when(debit, F.col(f"t.RltdPties.Cdtr{c}")).otherwise(F.col(f"t.RltdPties.Dbtr{c}")), F.lit(""))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    told = F.trim(F.concat_ws(" ", text("e.AddtlNtryInf"), F.get("t.RmtInf.Ustrd", F.lit(0))))
+    paid = F.coalesce(F.nullif(F.col("t.Refs.EndToEndId"), F.lit("")), text("e.AcctSvcrRef"))
+    out = rows.select(
+        "file", "rank", day("BookgDt").alias("operation_date"), F.coalesce(day("ValDt"), day("BookgDt")).alias("value_date"), F.when(debit, -amount).otherwise(amount).cast(MONEY).alias("amount"),
+        F.upper(F.coalesce(F.nullif(F.col("e.Amt._Ccy"), F.lit("")), F.lit(currency))).alias("currency"), side(".Nm").alias("counterparty_name"), iban_norm(side("Acct.Id.IBAN")).alias("counterparty_iban"),
+        told.alias("description"), paid.alias("payment_reference"), text("e.NtryRef").alias("reference"), raw("BookgDt").alias("_raw"))
+    return out.withColumn("line_uid", line_uid("rank", "_raw", "amount", "payment_reference", "reference")).drop("_raw")
 
 
 def parse_ofx(files: DataFrame) -> DataFrame:
@@ -77,15 +97,35 @@ def parse_mt940(files: DataFrame) -> DataFrame:
     return rows.select("file", (F.col("g") - 1).cast("int").alias("rank"), booked.alias("operation_date"), value.alias("value_date"), signed.cast(MONEY).alias("amount"), F.trim(part(6)).alias("reference"), "description")
 
 
-def parse_norma43(files: DataFrame) -> DataFrame:
-    """Fixed-width records: 22 opens a movement (dates at 10 and 16, sign at 27, cents at 28, reference at 42), 23 continues it."""
-    lines = file_lines(files).withColumn("code", F.substring("line", 1, 2)).where("code in ('22', '23')")
-    grouped = lines.withColumn("g", F.sum((F.col("code") == "22").cast("int")).over(Window.partitionBy("file").orderBy("rank")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("code") == "23", F.struct("rank", F.trim(F.substring("line", 5, 80)).alias("t"))))), lambda x: x["t"]), " ")
-    rows = grouped.groupBy("file", "g").agg(F.max(F.when(F.col("code") == "22", F.col("line"))).alias("m"), text.alias("description"))
+def parse_norma43(files: DataFrame, currency: str = "EUR") -> DataFrame:
+    """Fixed-width records of all three variants: 11 sets the currency (978 is EUR), 22 opens a movement (dates at 10 and 16, sign
+    at 27, cents at 28, reference at 42, text from 52), 23 continues its text, 24 overrides its currency (at 4), 33 and 88 close it.
+
+    The IBAN is the last one in the text; without a reference the strong reference of the text stands in.
+    """
+    lines = file_lines(files).withColumn("code", F.substring("line", 1, 2)).where("code in ('11', '22', '23', '24', '33', '88')")
+    money = lambda c: F.when(c == "978", "EUR").otherwise(c)
+    w = Window.partitionBy("file").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("code") == "11", F.nullif(F.regexp_extract("line", "(978|[A-Z]{3})\\s*[0-9]*\\s*$", 1), F.lit("")))
+    marks = lines.withColumns({"head": F.last(head, ignorenulls=True).over(w), "g": F.sum((F.col("code") == "22").cast("int")).over(w), "shut": F.sum(F.col("code").isin("33", "88").cast("int")).over(w)})
+    opened = F.max(F.when(F.col("code") == "22", F.col("shut"))).over(Window.partitionBy("file", "g"))
+    grouped = marks.withColumn("opened", opened).where("g > 0 and code in ('22', '23', '24') and shut = opened")
+    part = lambda code, at: F.filter(F.array_sort(F.collect_list(F.when(F.col("code") == code, F.struct("rank", F.trim(F.regexp_replace(F.substring("line", at, 200), "\\s+", " ")).alias("t"))))), lambda x: x["t"] != "")
+    rows = grouped.groupBy("file", "g").agg(F.max(F.when(F.col("code") == "22", F.col("line"))).alias("m"), F.max(F.when(F.col("code") == "22", F.col("head"))).alias("head"), part("23", 5).alias("more"), part("24", 5).alias("override"))
     at = lambda i, n: F.substring("m", i + 1, n)
     cents = (at(28, 14).cast("decimal(14,0)") / 100).cast(MONEY)
-    return rows.select("file", (F.col("g") - 1).cast("int").alias("rank"), short_date(at(10, 6)).alias("operation_date"), short_date(at(16, 6)).alias("value_date"), F.when(at(27, 1) == "1", -cents).otherwise(cents).cast(MONEY).alias("amount"), F.trim(at(42, 10)).alias("reference"), "description")
+    words = F.transform("more", lambda x: x["t"])
+    rows = rows.withColumn("description", F.concat_ws(" ", F.nullif(F.trim(F.regexp_replace(at(52, 200), "\\s+", " ")), F.lit("")), words))
+    ibans = F.filter(F.transform(words, extract_iban), lambda x: x != "")
+    own = F.element_at(F.transform("override", lambda x: F.substring(x["t"], 1, 3)), -1)
+    override = F.when(F.size("override") > 0, own)
+    ref = F.coalesce(F.nullif(F.trim(at(42, 10)), F.lit("")), extract_strong_reference("description"))
+    iban = F.coalesce(F.nullif(extract_iban("description"), F.lit("")), F.when(F.size(ibans) > 0, F.element_at(ibans, -1)), F.lit(""))
+    booked = short_date(at(10, 6))
+    out = rows.select(
+        "file", (F.col("g") - 1).cast("int").alias("rank"), booked.alias("operation_date"), F.coalesce(short_date(at(16, 6)), booked).alias("value_date"), F.when(at(27, 1) == "1", -cents).otherwise(cents).cast(MONEY).alias("amount"),
+        money(F.coalesce(override, "head", F.lit(currency))).alias("currency"), ref.alias("reference"), iban.alias("counterparty_iban"), "description")
+    return out.where("operation_date is not null and amount is not null")
 
 
 def parse_mapped(files: DataFrame, mapping: dict[str, int], separator: str = ";") -> DataFrame:
@@ -101,15 +141,20 @@ def parse_mapped(files: DataFrame, mapping: dict[str, int], separator: str = ";"
 
 
 def detect_format(files: DataFrame, sample: int = 200) -> DataFrame:
-    """(file, format) of every file from its first lines: a cascade of signatures."""
+    """(file, format) of every file from its first lines: a cascade of signatures, the surest first."""
     lines = file_lines(files).where(F.col("rank") < sample).where("trim(line) <> ''")
     hits = lambda p: F.count_if(F.col("line").rlike(p))
+    table = lambda d: F.count_if((F.size(F.split("line", f"[{d}]")) >= 8) & parse_date(F.get(F.split("line", f"[{d}]"), F.lit(1))).isNotNull())
     n = lines.groupBy("file").agg(
-        F.count("*").alias("n"), hits("<(Document|BkToCstmrStmt|Ntry)\\b").alias("camt"), hits("<(OFX|STMTTRN)>").alias("ofx"), hits("^:61:").alias("t61"), hits("^:[0-9]{2}[A-Z]?:").alias("tags"),
-        hits("^(11|22|23|24|33|88)[0-9 ]").alias("n43"), hits(";").alias("semi"), hits("\t").alias("tab"), hits(",").alias("comma"))
+        F.count("*").alias("n"), hits("<([A-Za-z0-9]+:)?(Document|BkToCstmrStmt|Ntry)\\b").alias("camt"), hits("<(OFX|STMTTRN)>").alias("ofx"), hits("^:61:").alias("t61"), hits("^:(20|25|28|60[FM]?|61|86)").alias("tags"),
+        hits("^(11|22|23|24|33|88)").alias("n43"), hits("^24").alias("r24"), hits("^11.*978\\s*[0-9]*\\s*$").alias("r978"), hits("^[0-9]{8} .* [0-9]+[.,][0-9]{2}[CD] [0-9]+[.,][0-9]{2}[CD]$").alias("bit"), hits("^03.*[+-][0-9]{18}").alias("cons"),
+        hits("^5[0-9]{12}").alias("nib"), hits("^EMC(13|23)").alias("emc"), table(";,").alias("sheet"), table("\t").alias("tsv"), hits(";").alias("semi"), hits("\t").alias("tab"), hits(",").alias("comma"))
+    records = (F.col("n43") >= 3) & (F.col("n43") >= F.floor(F.greatest(F.lit(3.0), F.col("n") * 0.55)))
     kind = (
-        F.when(F.col("camt") > 0, "camt053").when(F.col("ofx") > 0, "ofx").when((F.col("t61") > 0) & (F.col("tags") >= 3), "mt940").when((F.col("n43") >= 3) & (F.col("n43") >= 0.55 * F.col("n")), "norma43")
-        .when(F.col("tab") >= 2, "tsv").when((F.col("semi") >= 2) | (F.col("comma") >= 2), "csv").otherwise("unknown")
+        F.when(F.col("camt") > 0, "camt053").when(F.col("ofx") > 0, "ofx").when((F.col("t61") > 0) & (F.col("tags") >= 3), "mt940")
+        .when(records & (F.col("r24") > 0), "norma43_r24").when(records & (F.col("r978") > 0), "norma43_978").when(records, "norma43")
+        .when(F.col("bit") >= 2, "bit_recon").when(F.col("cons") >= 2, "consolidated").when(F.col("nib") >= 2, "nib_compound").when(F.col("emc") >= 2, "emc")
+        .when(F.col("sheet") >= 3, "tabulated").when(F.col("tsv") >= 3, "tabulated_tsv").when(F.col("tab") >= 2, "tsv").when((F.col("semi") >= 2) | (F.col("comma") >= 2), "csv").otherwise("unknown")
     )
     return n.select("file", kind.alias("format"))
 
@@ -138,11 +183,17 @@ def explode_evidence(statements: DataFrame) -> DataFrame:
     return good.withColumn("_k", last).where("_k = 1").select("statement_id", "account_id", "sequence", "line_id", "day", "amount")
 
 
+def profile_cells(cells: DataFrame) -> DataFrame:
+    """Per (file, column) of cells (file, column, cell): filled, numeric, dates, text, negative, positive, zero and other cells, mean length."""
+    c = cells.where("trim(cell) <> ''").withColumn("cell", F.trim("cell")).withColumns({"v": parse_number("cell"), "d": parse_date("cell")})
+    return c.groupBy("file", "column").agg(
+        F.count("*").alias("filled"), F.count("v").alias("numeric"), F.count("d").alias("dates"), F.count_if(F.col("cell").rlike("\\p{L}")).alias("text"), F.count_if(F.col("v") < 0).alias("negative"), F.count_if(F.col("v") > 0).alias("positive"),
+        F.count_if(F.col("v") == 0).alias("zero"), F.count_if(F.col("v") != 0).alias("non_zero"), F.avg(F.length("cell")).alias("mean_length"))
+
+
 def profile_columns(files: DataFrame, separator: str, rows: int = 220) -> DataFrame:
-    """Per (file, column): filled, numeric, date, negative, zero and text cells over the first data rows."""
-    cells = file_lines(files).where(F.col("rank").between(1, rows)).select("file", F.posexplode(F.split("line", f"[{separator}]")).alias("column", "cell")).where("trim(cell) <> ''")
-    cells = cells.withColumn("v", parse_number("cell")).withColumn("d", parse_date("cell"))
-    return cells.groupBy("file", "column").agg(F.count("*").alias("filled"), F.count("v").alias("numeric"), F.count("d").alias("dates"), F.count_if(F.col("v") < 0).alias("negative"), F.count_if(F.col("v") == 0).alias("zero"), F.count_if(F.col("v").isNull() & F.col("d").isNull()).alias("text"))
+    """``profile_cells`` of the first data rows after the heading."""
+    return profile_cells(file_lines(files).where(F.col("rank").between(1, rows)).select("file", F.posexplode(F.split("line", f"[{separator}]")).alias("column", "cell")))
 
 
 def layout_fingerprint(files: DataFrame, separator: str) -> DataFrame:
