@@ -20,8 +20,9 @@ n - ceil(t n) + 1 shingles in any fixed order of all shingles; ordering by rarit
 Set elements are 64-bit hashes of shingles; sets are compared element by element.
 
 Defined cases: null, empty or blank text has an empty set, n_shingles 0, and is linked with nothing; fewer words than a
-shingle make one shingle of the whole sequence; rows that repeat a doc_id share that id's component; an empty table
-gives an empty result; other columns are ignored.
+shingle make one shingle of the whole sequence; a text of any length is one set; rows of one doc_id have set sizes of their own
+and share a component; a null doc_id is a document like another, and a component of such alone has none; a similarity at exactly
+the limit is a link; rows in are rows out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import keep
+from .store import keep, named, on_rows
 from .textkit import SPACES, Texts, Words, grams, mix, signed, texts
 
 WORDS, PERCENT = 4, 85
@@ -93,16 +94,16 @@ def _fold(v: np.ndarray, size: int) -> np.ndarray:
     return v
 
 
-PROFILE = "doc_id long, n long, set_hi long, set_lo long, slices binary, sketch binary, bin int, found long"
+PROFILE = "doc_id long, copy long, n long, set_hi long, set_lo long, slices binary, sketch binary, bin int, found long"
 
 
 def _profiles(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("slices", pa.binary()), ("sketch", pa.binary()), ("bin", pa.int32()), ("found", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("slices", pa.binary()), ("sketch", pa.binary()), ("bin", pa.int32()), ("found", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << BINS, np.int64)
         for batch in batches:
-            ids = _get(batch, "doc_id")
+            ids, copies = _get(batch, "doc_id"), _get(batch, "copy")
             for t in texts(_get(batch, "text")):
                 sets = shingle_sets(t, k)
                 n, hi, lo, vec, few = [], [], [], [], []
@@ -116,9 +117,9 @@ def _profiles(k: int):
                     few.append(np.minimum(_fold(v.astype(np.int16), SKETCH), 255).astype(np.uint8).tobytes())
                 found += np.bincount((np.concatenate(sets) >> np.uint64(64 - BINS)).astype(np.int64), minlength=1 << BINS)
                 none = pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(vec, pa.binary()), pa.array(few, pa.binary()), *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), copies.slice(t.first, t.n), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(vec, pa.binary()), pa.array(few, pa.binary()), *none], schema=schema)
         full = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), f.type) for f in list(schema)[:6]), pa.array(full, pa.int32()), pa.array(found[full])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), f.type) for f in list(schema)[:7]), pa.array(full, pa.int32()), pa.array(found[full])], schema=schema)
 
     return task
 
@@ -128,13 +129,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(k: int, percent: int, level: np.ndarray):
-    """(shingle, document) of each document's rarest shingles; one copy of equal sets in a task is enough."""
+    """(shingle, document) of each document's rarest shingles; one copy of equal sets in a batch is enough."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            ids = np.asarray(_get(batch, "doc_id").fill_null(-1))
+            seen = set()
+            ids = np.asarray(_get(batch, "doc_id"))
             for t in texts(_get(batch, "text")):
                 tokens, docs = [], []
                 for i, s in enumerate(shingle_sets(t, k)):
@@ -284,9 +285,8 @@ def _cells(percent: int):
     return task
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links), one row per input row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, copy, n_shingles, component_id for rows (doc_id, copy, text) whose doc_ids are distinct and not null."""
     spark = docs.sparkSession
     table = keep(docs.mapInArrow(_profiles(k), PROFILE))
     counts = table.where("bin is not null").groupBy("bin").agg(F.sum("found").alias("found")).collect()  # 2**BINS rows at most
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     level = np.clip(np.log2(found / found.mean()) + 1, 0, 200).astype(np.uint64)
     mine = table.where("bin is null")
     first = mine.where("n > 0").groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("rep"))
-    classes = keep(mine.join(first, ["set_hi", "set_lo", "n"], "left").select("doc_id", "n", "slices", "sketch", F.coalesce("rep", "doc_id").alias("rep")))
+    classes = keep(mine.join(first, ["set_hi", "set_lo", "n"], "left").select("doc_id", "copy", "n", "slices", "sketch", F.coalesce("rep", "doc_id").alias("rep")))
     reps = classes.where("doc_id = rep").dropDuplicates(["doc_id"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = docs.mapInArrow(_prefixes(k, percent, level), "token long, doc_id long")
@@ -328,8 +328,26 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     alone = final.join(comps.select("node"), "node", "left_anti").select("node", "component")
     where = lifted.unionByName(alone)
     out = classes.join(where.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, copy (hash of the text), n_shingles (set size) and component_id (smallest doc_id reachable), a row for each input row."""
+    docs = named(docs)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null")
+    if again.isEmpty():
+        return _joined(docs, k, percent)
+    # texts are nodes of their own; those of one doc_id are linked with each other
+    nodes = keep(docs.select("doc_id", "copy").distinct().withColumn("node", F.monotonically_increasing_id()))
+    each = keep(on_rows(docs, nodes).select(F.col("node").alias("doc_id"), "copy", "text").dropDuplicates(["doc_id"]))
+    found = keep(_joined(each, k, percent).select(F.col("doc_id").alias("node"), "n_shingles", "component_id").join(nodes, "node"))
+    first = found.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    more = components(found.join(first, "doc_id").select(F.col("component_id").alias("b"), "a"))
+    found = found.join(more.withColumnRenamed("node", "component_id"), "component_id", "left").withColumn("top", F.coalesce("component", "component_id"))
+    least = found.groupBy("top").agg(F.min("doc_id").alias("least"))
+    found = found.join(least, "top").select("doc_id", "copy", "n_shingles", F.col("least").alias("component_id"))
+    return on_rows(docs.select("doc_id", "copy"), found)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copy")

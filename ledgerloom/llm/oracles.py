@@ -47,10 +47,9 @@ again as (select doc_id, k from win group by doc_id, k having count(*) > 1),
 rep as (select doc_id, count(distinct j) as n from win join again using (doc_id, k), unnest(range(i, i + 8)) t(j) group by doc_id),
 once as (select host, text, min(doc_id) as doc_id from d group by host, text),
 line as (select doc_id, host, i, translate(lower({_TRIM.format('lines[i]')}), '0123456789', '0000000000') as x, len(regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+')) as words from d, unnest(range(1, len(lines) + 1)) t(i)),
-near as (select distinct doc_id, host, x, coalesce(prev, chr(0)) || chr(10) || coalesce(next, chr(0)) as y from (select *, lag(x) over w as prev, lead(x) over w as next from line window w as (partition by doc_id order by i)) semi join once using (doc_id)),
-cnt as (select host, x, count(*) as docs, count(distinct y) as places from near group by host, x),
+cnt as (select host, x, count(distinct doc_id) as docs from line semi join once using (doc_id) group by host, x),
 hosts as (select host, count(*) as n from once group by host),
-common as (select host, x from cnt join hosts using (host) where docs > 20 and places >= 0.5 * docs and docs > 0.001 * n),
+common as (select host, x from cnt join hosts using (host) where docs > 20 and docs > 0.001 * n),
 gone as (select doc_id, sum(words) as gone from line semi join common using (host, x) group by doc_id),
 f as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, len(w) - coalesce(gone, 0) as n_left from d left join rep using (doc_id) left join gone using (doc_id)),

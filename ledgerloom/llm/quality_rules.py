@@ -13,8 +13,9 @@ estimates; texts near the limit can fall on either side.
 
 Only DataFrame functions are used. Counts are summed on the map side first.
 
-Defined cases: null text has no words and fails the base rules; a null source is a host of its own; repeated doc_ids are
-judged row by row (exact copies count once); an empty table gives an empty result; other columns are ignored.
+Defined cases: null or empty text has no words and fails the base rules; a null source is a host of its own; a text of any
+length is judged whole; repeated or null doc_ids are judged row by row (exact copies count once), and rows in are rows out; a
+line at exactly a limit is none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .sqltext import BLANKS, blank_words, let, lower_ascii, repeated_words
+from .sqltext import BLANKS, blank_words, let, lower_ascii, repeated_words, run_hashes
 from .store import keep, small, without
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 MIN_DOCS, SHARE, MIN_LEFT = 20, 0.001, 0.3
 SHINGLE, SKETCH, BANDS, NEAR = 5, 128, 8, 0.8
-#: Texts with boilerplate lines (their keys and line hashes) that are broadcast at most.
-BROADCAST_ROWS = 200_000
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -44,15 +43,14 @@ def _lines(text):
 
 def _sketch(text):
     """The smallest hashes of the runs of ``SHINGLE`` words; a shorter text is one run."""
-    runs = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(SHINGLE))))
-    words = F.transform(blank_words(lower_ascii(text)), lambda x: F.xxhash64(x))
-    return F.slice(F.sort_array(F.array_distinct(let(words, runs))), 1, SKETCH)
+    of = lambda w: F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(run_hashes(w, SHINGLE))
+    return F.slice(F.sort_array(F.array_distinct(let(blank_words(lower_ascii(text)), of))), 1, SKETCH)
 
 
 def _text_key():
     """Host, hash and length: what tells texts apart."""
     text = F.coalesce("text", F.lit(""))
-    return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("copy"), F.length(text).alias("size")
+    return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.length(text).alias("size")
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -82,7 +80,8 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 def _near_copies(texts: DataFrame) -> DataFrame:
     """node, component for every text (row, host, sketch) that is a near copy of another; the component is the smallest row."""
-    bands = F.array(*(F.array_min(F.filter("sketch", lambda x, b=b: F.pmod(x, F.lit(BANDS)) == b)) for b in range(BANDS)))
+    part = lambda b: F.array_min(F.filter("sketch", lambda x: F.pmod(x, F.lit(BANDS)) == b))
+    bands = F.array(*(part(b) for b in range(BANDS)))
     held = texts.select("row", "host", F.explode(F.array_compact(bands)).alias("band"))
     pivots = held.groupBy("host", "band").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = held.join(pivots, ["host", "band"]).where("row != pivot").select("row", "pivot").distinct()

@@ -2,20 +2,22 @@
 
 Candidates are all runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (with ``=`` as padding at the end only) in
 every blank-separated word that hold a digit, or letters of both cases that do not read as words (``MIXED``: five consonants
-in a row, or at most two letters between changes of case). Features: length of the run, transitions between character classes,
-distinct characters, digit and upper-case share, dictionary coverage (share of its letters in runs that are frequent words
-of the whole corpus), and path (how usual candidates are in the source).
-
-Labelled findings are those whose context decides: a credential word with an assignment before a quoted value is a true
-finding; an unassigned, unquoted value next to two frequent words is a false one. The forest is trained on at most
-``SAMPLE`` findings of each label taken by hash (the bound is for fitting only), without the columns that decided the
-label, and judges every candidate.
-
-The neighbouring words (whether they are frequent) decide false labels and so are no features.
-
-Only DataFrame functions and Spark's own random forest are used. Defined cases: null or empty text has no candidates;
-with fewer than two labels among the findings, decided labels stand and undecided candidates are kept as findings;
-repeated rows are judged row by row; an empty table gives an empty result; a null source is a path of its own.
+in a row, or at most two letters between changes of case).
+
+Features: length; share of each of the 16 transitions between digits, small letters, capitals and other characters; distinct
+characters, digits and capitals; dictionary coverage (share of its letters in runs that are frequent words of the whole
+corpus); whether the neighbouring words are frequent words; and the path (``source``): its number of words, whether it names
+samples or tests, and its candidates a document.
+
+Labelled findings come from what is no feature: a credential word with an assignment ahead of the value is a true finding.
+False ones are numbers with a right check digit (cards and the like), parts of links, and values that stand under more than
+``HOSTS`` sources, all without credential word and assignment. The forest is trained on at most ``SAMPLE`` findings of each
+label by hash of the value (the bound is for fitting only), never on the fifth ``held_out`` by value, and judges every candidate.
+
+Only DataFrame functions and Spark's own random forest are used. Defined cases: null or empty text has no candidates; a text or
+a run of any length is read whole; with fewer than two labels among the findings, decided labels stand and undecided candidates
+are kept as findings; a probability of exactly 0.5 is a secret; repeated rows and null doc_ids are judged row by row; an empty
+table gives an empty result; a null source is a path of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +28,17 @@ from pyspark.sql import functions as F
 from .sqltext import blank_words, let
 from .store import keep, small
 
-LEAST, SAMPLE, TREES, DEPTH, FREQUENT, WORDS_HELD = 16, 5000, 20, 6, 200, 200_000
+LEAST, SAMPLE, TREES, DEPTH, FREQUENT, HOSTS, FOLDS = 16, 5000, 20, 6, 200, 3, 5
 #: Words that name credentials.
 CREDENTIAL = "(?i)(token|secret|passw(or)?d|pwd|api_?key|apikey|auth|credential|private_?key|access_?key)"
 #: A run starts where no run goes on, so a long one is read once; ``=`` ahead of a value ends it.
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
 MIXED = "(?i:[b-df-hj-np-tv-xz]{5})|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z])"
-FEATURES = ("length", "transitions", "distinct", "digits", "capitals", "coverage", "path")
+#: Words of paths that hold samples.
+SAMPLES = "(?i)(test|example|sample|fixture|mock|demo|doc)"
+MARKS = "1aB-"
+TRANSITIONS = tuple(f"{a}{b}" for a in MARKS for b in MARKS)
+FEATURES = ("length", "distinct", "digits", "capitals", "coverage", "near_before", "near_after", "path_words", "path_samples", "path_rate", *(f"from_{i // 4}_to_{i % 4}" for i in range(16)))
 
 
 def _random(run: Column) -> Column:
@@ -62,6 +68,13 @@ def _classes(run: Column) -> Column:
     return run
 
 
+def _luhn(run: Column) -> Column:
+    """Whether ``run`` is a number of 13 to 19 digits with a right check digit."""
+    digits = F.transform(F.split(F.reverse(F.when(run.rlike("^[0-9]{13,19}$"), run)), ""), lambda d: d.cast("int"))
+    part = lambda d, i: F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
+    return F.coalesce(F.aggregate(F.transform(F.filter(digits, lambda d: d.isNotNull()), part), F.lit(0), lambda a, d: a + d) % 10 == 0, F.lit(False))
+
+
 def _bare(word: str) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(F.col(word), F.lit("")), "[^\\p{L}]", ""))
 
@@ -77,41 +90,45 @@ def findings(docs: DataFrame) -> DataFrame:
     frequent = keep(uses.where(F.col("uses") >= max(2, size / 1e6 * FREQUENT / 100)).select("piece"))
     covered = rows.select("id", F.explode("letters").alias("piece")).join(frequent, "piece").groupBy("id").agg(F.sum(F.length("piece")).alias("covered"))
     beside = lambda c: rows.select("id", _bare(c).alias("piece")).join(frequent, "piece").select("id", F.lit(1.0).alias(f"near_{c}"))
-    paths = rows.groupBy("source").agg(F.count("*").alias("here"))
-    wide = rows.join(covered, "id", "left").join(beside("before"), "id", "left").join(beside("after"), "id", "left").join(paths, "source", "left")
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
+    here = rows.groupBy("source").agg(F.count("*").alias("here"))
+    paths = docs.groupBy(source).agg(F.count("*").alias("documents")).join(here, "source").select("source", (F.col("here") / F.col("documents")).alias("path_rate"))
+    hosts = rows.groupBy("run").agg(F.count_distinct("source").alias("hosts")).where(F.col("hosts") > HOSTS)
+    wide = rows.join(covered, "id", "left").join(beside("before"), "id", "left").join(beside("after"), "id", "left").join(paths, "source", "left").join(hosts, "run", "left")
     classes = _classes(F.col("run"))
     credential = F.concat_ws(" ", "before2", "before", "prefix").rlike(CREDENTIAL)
     assigned = F.concat_ws(" ", "before", "prefix").rlike("[=:]\\s*[\"']?$")
-    quoted = F.col("word").rlike("[\"']")
-    label = F.when(credential & assigned, 1.0).when(~credential & ~assigned & ~quoted & (F.col("near_before") + F.col("near_after") == 2), 0.0)
+    public = _luhn(F.col("run")) | F.col("word").contains("://") | F.col("hosts").isNotNull()
+    label = F.when(credential & assigned, 1.0).when(~credential & ~assigned & public, 0.0)
     n = F.length("run").cast("double")
-    wide = wide.withColumns({"near_before": F.coalesce("near_before", F.lit(0.0)), "near_after": F.coalesce("near_after", F.lit(0.0))})
     shaped = wide.select(
-        "id", "doc_id", "pos", "nth", "run", label.alias("label"), n.alias("length"),
-        (F.length(F.regexp_replace(classes, "(.)\\1+", "$1")) / n).alias("transitions"),
+        "id", "doc_id", "pos", "nth", "run", label.alias("label"), (F.pmod(F.xxhash64("run"), F.lit(FOLDS)) == 0).alias("held_out"), n.alias("length"),
         (F.size(F.array_distinct(F.split("run", ""))) / F.least(n, F.lit(64.0))).alias("distinct"),
         (F.length(F.regexp_replace("run", "[^0-9]", "")) / n).alias("digits"),
         (F.length(F.regexp_replace("run", "[^A-Z]", "")) / n).alias("capitals"),
         (F.coalesce("covered", F.lit(0)) / n).alias("coverage"),
-        F.log1p("here").alias("path"),
+        F.coalesce("near_before", F.lit(0.0)).alias("near_before"), F.coalesce("near_after", F.lit(0.0)).alias("near_after"),
+        F.size(F.array_remove(F.split("source", "[^A-Za-z]+"), "")).cast("double").alias("path_words"),
+        F.col("source").rlike(SAMPLES).cast("double").alias("path_samples"), "path_rate",
+        *((F.regexp_count(classes, F.lit(f"{t[0]}(?={t[1]})")) / n).alias(name) for t, name in zip(TRANSITIONS, FEATURES[10:], strict=True)),
     )
     shaped = keep(shaped)
-    totals = {r["label"]: r["n"] for r in shaped.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    totals = {r["label"]: r["n"] for r in shaped.where("label is not null and not held_out").groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(totals) < 2:
         return shaped.withColumn("p_secret", F.coalesce("label", F.lit(1.0)))
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    spot = F.pmod(F.xxhash64("doc_id", "pos", "nth"), F.lit(1 << 30)) / float(1 << 30)
+    spot = F.pmod(F.xxhash64(F.lit(1), "run"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE / totals[1.0])).otherwise(min(1.0, SAMPLE / totals[0.0]))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    train = vectors.transform(shaped.where("label is not null").where(spot < share))
+    train = vectors.transform(shaped.where("label is not null and not held_out").where(spot < share))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label").fit(train)
     return forest.transform(vectors.transform(shaped)).withColumn("p_secret", vector_to_array("probability")[1])
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Every candidate: doc_id, pos (word), nth (run of the word), length, run_sha256, labelled, p_secret, is_secret."""
+    """Every candidate: doc_id, pos (word), nth (run of the word), length, run_sha256, labelled, held_out, p_secret, is_secret."""
     out = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2("run", 256).alias("run_sha256"), F.col("label").alias("labelled"), "p_secret", (F.col("p_secret") >= 0.5).alias("is_secret"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2("run", 256).alias("run_sha256"), F.col("label").alias("labelled"), "held_out", "p_secret", (F.col("p_secret") >= 0.5).alias("is_secret"))

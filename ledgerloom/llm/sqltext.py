@@ -37,6 +37,18 @@ def covered(starts: Column, length: Column | int) -> Column:
     return F.aggregate(starts, first, step, lambda acc: acc["n"])
 
 
+def run_hashes(words: Column, k: int) -> Column:
+    """Hash of every run of ``k`` words: each word once, then runs twice as long from two neighbours, last two that overlap."""
+
+    def pairs(h: Column, step: int) -> Column:
+        return let(h, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - step), F.slice(v, 1 + step, F.size(v) - step), lambda a, b: F.xxhash64(a, b)))
+
+    h, size = F.transform(words, lambda x: F.xxhash64(x)), 1
+    while size * 2 <= k:
+        h, size = pairs(h, size), size * 2
+    return pairs(h, k - size) if k > size else h
+
+
 def repeated_words(words: Column, k: int) -> Column:
     """Words inside runs of ``k`` words that occur at least twice in ``words``."""
 
@@ -51,5 +63,4 @@ def repeated_words(words: Column, k: int) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, again))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))
-    return F.when(F.size(words) <= k, F.lit(0).cast("long")).otherwise(let(hashes, of))
+    return F.when(F.size(words) <= k, F.lit(0).cast("long")).otherwise(let(run_hashes(words, k), of))

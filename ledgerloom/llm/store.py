@@ -81,6 +81,13 @@ def named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text", *more)
 
 
+def on_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where doc_id (null equals null) and copy agree."""
+    right = right.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("copy", "__copy")
+    same = left["doc_id"].eqNullSafe(right["__doc_id"]) & (left["copy"] == right["__copy"])
+    return left.join(right, same, how).drop("__doc_id", "__copy")
+
+
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id and text (``copy``) are in ``rows``; without ``copy``, whose doc_id is."""
     names = [c for c in ("doc_id", "copy") if c in rows.columns]

@@ -12,8 +12,11 @@ tokens before it in its shard, doc_ids, lengths, the bit stream, its CRC-32, and
    ``BLOCK`` tokens, so a very long document is a block of its own.
 4. Readers decode blocks and add the tokens of the shards before.
 
-Defined cases: null or empty text is the end id alone; a null doc_id is written as -1; repeated doc_ids stay as several
-documents side by side; an empty table gives files without blocks and an empty result; other columns are ignored.
+Codes have at most ``MAX_BITS`` bits, or as many as the number of ids in use needs.
+
+Defined cases: null or empty text is the end id alone; null doc_ids come first, as null (``nulls`` counts them in a block);
+repeated doc_ids stay as several documents side by side, ordered by the CRC-32 of their packed ids; equal counts take code lengths in
+order of id; an empty table gives files without blocks and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ class Codec:
     """Encoding and decoding tables for ids below ``size``."""
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray, size: int, max_bits: int = MAX_BITS):
-        self.bits = max_bits
+        self.bits, self.step = max_bits, (max_bits + 14) // 8  # bytes that any code can touch
         codes = canonical(symbols, lengths)
         self.code, self.length = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.code[symbols], self.length[symbols] = codes, lengths
@@ -96,23 +99,28 @@ class Codec:
         end = np.cumsum(length)
         start = end - length
         total = int(end[-1]) if len(end) else 0
-        value = self.code[ids] << (24 - (start & 7) - length)
+        step = self.step
+        value = self.code[ids] << (8 * step - (start & 7) - length)
         byte = start >> 3
         size = (total + 7) // 8
-        out = np.zeros(size + 3)
-        for k in range(3):
-            out += np.bincount(byte + k, (value >> (16 - 8 * k)) & 255, size + 3)[: size + 3]
+        out = np.zeros(size + step)
+        for k in range(step):
+            out += np.bincount(byte + k, (value >> (8 * (step - 1 - k))) & 255, size + step)[: size + step]
         return out[:size].astype(np.uint8).tobytes(), np.add.reduceat(length, np.arange(0, len(ids), STRIDE)) if len(ids) else length
 
     def decode(self, stream: bytes, runs: np.ndarray, n: int) -> np.ndarray:
         """``n`` ids, every run of ``STRIDE`` from its own checkpoint, all runs side by side."""
-        data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+        step = self.step
+        data = np.frombuffer(stream + bytes(step), np.uint8).astype(np.int64)
         at = np.cumsum(runs) - runs
         out = np.zeros((STRIDE, len(runs)), np.uint32)
-        mask, drop, last = (1 << self.bits) - 1, 24 - self.bits, len(data) - 3
+        mask, drop, last = (1 << self.bits) - 1, 8 * step - self.bits, len(data) - step
         for k in range(min(STRIDE, n)):
             byte = np.minimum(at >> 3, last)
-            peek = ((data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> (drop - (at & 7))) & mask
+            window = data[byte]
+            for j in range(1, step):
+                window = window << 8 | data[byte + j]
+            peek = (window >> (drop - (at & 7))) & mask
             out[k] = self.symbol_of[peek]
             at = at + self.length_of[peek]
         return out.T.reshape(-1)[:n]
@@ -132,7 +140,7 @@ def _encoded(path: str, end_id: int):
         enc, pack = encoder(path), zstandard.ZstdCompressor(3)
         found = np.zeros(max(enc.size, end_id + 1), np.int64)
         for batch in batches:
-            docs = batch.column(batch.schema.get_field_index("doc_id")).fill_null(-1)
+            docs = batch.column(batch.schema.get_field_index("doc_id"))
             for t in texts(batch.column(batch.schema.get_field_index("text")), SLICE):
                 flat, bounds = enc.encode(t, end_id)
                 found += np.bincount(flat, minlength=len(found))
@@ -145,8 +153,8 @@ def _encoded(path: str, end_id: int):
     return task
 
 
-BLOCKS = "shard int, block int, before long, n_tokens long, doc_ids binary, lengths binary, stream binary, crc32 long, checkpoints binary"
-_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("stream", pa.binary()), ("crc32", pa.int64()), ("checkpoints", pa.binary())])
+BLOCKS = "shard int, block int, before long, n_tokens long, nulls int, doc_ids binary, lengths binary, stream binary, crc32 long, checkpoints binary"
+_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("nulls", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("stream", pa.binary()), ("crc32", pa.int64()), ("checkpoints", pa.binary())])
 
 
 def _written(codec: Codec, width: str, block: int):
@@ -156,7 +164,7 @@ def _written(codec: Codec, width: str, block: int):
 
         def close() -> pa.RecordBatch:
             stream, runs = codec.encode(np.concatenate(parts))
-            row = [shard, number, before, held, np.array(docs, "<i8").tobytes(), np.array([len(x) for x in parts], "<u4").tobytes(), stream, zlib.crc32(stream), runs.astype("<u2").tobytes()]
+            row = [shard, number, before, held, docs.count(None), np.array([x or 0 for x in docs], "<i8").tobytes(), np.array([len(x) for x in parts], "<u4").tobytes(), stream, zlib.crc32(stream), runs.astype("<u2").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
         for batch in batches:
@@ -180,12 +188,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block:
     table = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(tokenizer, end_id), ENCODED))
     counts = table.where("id is not null").groupBy("id").agg(F.sum("found").alias("found")).orderBy("id").collect()  # one row an id of the vocabulary
     symbols = np.array([r["id"] for r in counts], np.int64)
-    lengths = code_lengths(np.array([r["found"] for r in counts], np.int64))
+    bits = max(MAX_BITS, (len(symbols) - 1).bit_length())
+    lengths = code_lengths(np.array([r["found"] for r in counts], np.int64), bits)
     spark = docs.sparkSession
-    spark.createDataFrame([(int(s), int(n), size) for s, n in zip(symbols, lengths, strict=True)], "id int, bits int, size int").write.parquet(f"{path}/codes")
+    spark.createDataFrame([(int(s), int(n), size, bits) for s, n in zip(symbols, lengths, strict=True)], "id int, bits int, size int, most int").write.parquet(f"{path}/codes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = table.where("id is null").select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_written(Codec(symbols, lengths, size), _width(encoder(tokenizer).size), block), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows = table.where("id is null").select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    rows.mapInArrow(_written(Codec(symbols, lengths, size, bits), _width(encoder(tokenizer).size), block), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 TOKENS = "shard int, doc_id long, before long, n_tokens long, ids binary, ids_crc32 long"
@@ -193,18 +202,18 @@ TOKENS = "shard int, doc_id long, before long, n_tokens long, ids binary, ids_cr
 
 def _read(codec: Codec, with_ids: bool):
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
-    names = ("shard", "before", "n_tokens", "doc_ids", "lengths", "stream", "crc32", "checkpoints")
+    names = ("shard", "before", "n_tokens", "nulls", "doc_ids", "lengths", "stream", "crc32", "checkpoints")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, before, n, docs, lengths, stream, crc, runs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            for shard, before, n, nulls, docs, lengths, stream, crc, runs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 if zlib.crc32(stream) != crc:
                     raise ValueError("a block of the token file is damaged")
                 size = np.frombuffer(lengths, "<u4").astype(np.int64)
                 raw = codec.decode(stream, np.frombuffer(runs, "<u2").astype(np.int64), n).astype("<u4").tobytes()
                 end = np.cumsum(size)
                 parts = [raw[4 * (b - a) : 4 * b] for a, b in zip(size.tolist(), end.tolist(), strict=True)]
-                cols = [pa.array([shard] * len(size), pa.int32()), pa.array(np.frombuffer(docs, "<i8")), pa.array(before + end - size), pa.array(size), pa.array(parts, pa.binary()) if with_ids else pa.nulls(len(size), pa.binary()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                cols = [pa.array([shard] * len(size), pa.int32()), pa.array(np.frombuffer(docs, "<i8"), mask=np.arange(len(size)) < nulls), pa.array(before + end - size), pa.array(size), pa.array(parts, pa.binary()) if with_ids else pa.nulls(len(size), pa.binary()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return task
@@ -213,7 +222,7 @@ def _read(codec: Codec, with_ids: bool):
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Documents of a token file: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32 bits), ids_crc32."""
     codes = spark.read.parquet(f"{path}/codes").collect()  # one row an id of the vocabulary
-    codec = Codec(np.array([r["id"] for r in codes], np.int64), np.array([r["bits"] for r in codes], np.int64), max((r["size"] for r in codes), default=1))
+    codec = Codec(np.array([r["id"] for r in codes], np.int64), np.array([r["bits"] for r in codes], np.int64), max((r["size"] for r in codes), default=1), max((r["most"] for r in codes), default=MAX_BITS))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row a written partition
     start = np.cumsum([0, *(r["n"] for r in shards)]).tolist()

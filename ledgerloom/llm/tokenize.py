@@ -2,8 +2,8 @@
 
 Both tokenizers cut a text at white space before they merge, so a text may be cut where that cut is certain: before a
 single space between two characters that are not white space, after a single line feed between such characters, and
-between a Latin letter and a stop or comma. The pieces repeat, so each is encoded once and its ids are gathered for every place. A text that holds white space outside
-ASCII is encoded whole.
+between a Latin letter and a stop or comma. The pieces repeat, so each is encoded once and its ids are gathered for every
+place; pieces are found by hash and compared byte by byte. A text that holds white space outside ASCII is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .textkit import Texts, expand, range_hashes
+from .textkit import Texts, expand, range_hashes, same_bytes
 
 #: Pieces held for reuse in a worker (about 40 bytes each); beyond it the store starts afresh.
 HELD = 1_500_000
@@ -44,6 +44,7 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of pieces in order, and their numbers
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of the pieces, one after the other
         self.start, self.length, self.pieces = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _add(self, lists: list[list[int]]) -> None:
@@ -102,10 +103,23 @@ class Encoder:
         finish = np.append(begin[1:], size)
         keys = range_hashes(data, begin, finish)
         distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = np.flatnonzero(~self._known(distinct))
+        known = self._known(distinct)
+        first = sample[which.reshape(-1)]
+        alike = same_bytes(data, begin, finish, begin[first], finish[first]).all()
+        if alike and known.any():
+            held, here = self.index[np.searchsorted(self.keys, distinct[known])], sample[known]
+            a, b = self.raw_at[held] + size, self.raw_at[held + 1] + size
+            alike = same_bytes(np.concatenate([data, self.raw]), begin[here], finish[here], a, b).all()
+        if not alike:  # two pieces share a hash: these texts are encoded whole
+            lists = self._lists([t.text(i).decode() for i in range(t.n)])
+            return np.array([i for x in lists for i in (*x, end_id)], np.uint32), np.append(0, np.cumsum([len(x) + 1 for x in lists]))
+        new = np.flatnonzero(~known)
         if len(new):
             raw, first = data.tobytes(), self.pieces
             self._add(self._lists([raw[begin[j] : finish[j]].decode("utf-8", "replace") for j in sample[new]]))
+            fresh = finish[sample[new]] - begin[sample[new]]
+            self.raw = np.concatenate([self.raw, data[expand(begin[sample[new]], fresh)]])
+            self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(fresh)])
             every = np.concatenate([self.keys, distinct[new]])
             by = np.argsort(every, kind="stable")
             self.keys, self.index = every[by], np.concatenate([self.index, np.arange(first, self.pieces, dtype=np.int32)])[by]

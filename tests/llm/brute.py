@@ -194,3 +194,22 @@ def bootstrap(texts):
     for i, spans in added.items():
         out[i] |= {s for s in spans if not any(o != s and o[0] == s[0] and o[1] <= s[1] and o[2] >= s[2] for o in spans)}
     return {i: ",".join(f"{order[k]}:{a}:{b}" for k, a, b in sorted(x)) for i, x in out.items()}
+
+
+def repeated_rows(ids, units, key, k=50):
+    """Flags of removed units for each row: windows that also start in a row with a smaller id; null ids are never compared."""
+    least = {}
+    for i, u in zip(ids, units, strict=True):
+        if i is not None:
+            for j in range(len(u) - k + 1):
+                x = key(u, j)
+                least[x] = min(i, least.get(x, i))
+    out = []
+    for i, u in zip(ids, units, strict=True):
+        g = [0] * len(u)
+        if i is not None:
+            for j in range(len(u) - k + 1):
+                if least[key(u, j)] < i:
+                    g[j : j + k] = [1] * k
+        out.append(g)
+    return out
