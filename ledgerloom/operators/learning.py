@@ -24,16 +24,71 @@ def rebalance(samples: DataFrame, label: str, order: list, ratio: int = 4) -> Da
     return ranked.join(F.broadcast(limit)).where("_k <= limit").drop("_k", "limit")  # one row is broadcast
 
 
-def nearest(queries: DataFrame, samples: DataFrame, block: list[str], k: int) -> DataFrame:
-    """Probability of label 1 by the k nearest samples of the same block; ties at the k-th distance all count; weights 1 / (1 + d)."""
-    s = samples.select(*block, F.array(*FEATURES).alias("_s"), "label")
+#: Newest samples of a block that a fit reads at most (a bound of fitting).
+SAMPLES = 5_000
+
+
+def neighbours(n):
+    """How many neighbours vote: the root of the samples, odd, from 3 to 31."""
+    root = F.floor(F.sqrt(n))
+    return F.greatest(F.lit(3), F.least(F.lit(31), root - F.when(root % 2 == 0, 1).otherwise(0))).cast("int")
+
+
+def nearest(queries: DataFrame, samples: DataFrame, block: list[str], newest: list, k: int | None = None) -> DataFrame:
+    """Probability of label 1 by the nearest of the ``SAMPLES`` newest samples of the same block (``neighbours`` of them, or ``k``); ties at
+    the k-th distance all count; weights 1 / (1 + d)."""
+    kept = samples.withColumn("_n", F.row_number().over(Window.partitionBy(*block).orderBy(*newest))).where(F.col("_n") <= SAMPLES)
+    many = F.lit(k) if k else neighbours(F.count("*").over(Window.partitionBy(*block)))
+    s = kept.withColumn("_k", many).select(*block, F.array(*FEATURES).alias("_s"), "label", "_k")
     pairs = queries.withColumn("_q", F.array(*FEATURES)).select("id", *block, "_q").join(s, block)
     d = F.sqrt(F.aggregate(F.zip_with("_q", "_s", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    ranked = pairs.select("id", "label", F.round(d, 9).alias("d")).withColumn("_k", F.rank().over(Window.partitionBy("id").orderBy("d")))
-    near = ranked.where(F.col("_k") <= k).withColumn("w", 1 / (1 + F.col("d")))
+    ranked = pairs.select("id", "label", "_k", F.round(d, 9).alias("d")).withColumn("_r", F.rank().over(Window.partitionBy("id").orderBy("d")))
+    near = ranked.where(F.col("_r") <= F.col("_k")).withColumn("w", 1 / (1 + F.col("d")))
     return near.groupBy("id").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("p"), F.count("*").alias("neighbours"))
 
 
+def predict_batch(queries: DataFrame, samples: DataFrame, block: list[str], newest: list, threshold: int = 80) -> DataFrame:
+    """(id, p, is_batch): class 1 with a probability of at least ``threshold`` (50 to 99) percent."""
+    level = min(99, max(50, threshold)) / 100
+    return nearest(queries, samples, block, newest).select("id", "p", (F.col("p") >= level).alias("is_batch"))
+
+
+#: Samples, and samples of each class, that a classifier needs.
+NEEDED, NEEDED_EACH = 24, 4
+
+
+def fit_classifier(kind: str, train: DataFrame, features: str = "features", label: str = "label"):
+    """A fitted ``naive_bayes`` (Gaussian), ``decision_tree`` or ``random_forest`` (31 trees); None where samples are too few."""
+    from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
+
+    sizes = [r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()]  # a row a class
+    if len(sizes) < 2 or sum(sizes) < NEEDED or min(sizes) < NEEDED_EACH:
+        return None
+    columns = {"featuresCol": features, "labelCol": label}
+    makers = {"naive_bayes": lambda: NaiveBayes(modelType="gaussian", **columns), "decision_tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=3, **columns), "random_forest": lambda: RandomForestClassifier(numTrees=31, maxDepth=5, seed=3, **columns)}
+    return makers[kind]().fit(train)
+
+
+#: Bins of the hashed words of a supplier's line.
+BINS = 64
+
+
+def supplier_features(lines: DataFrame) -> DataFrame:
+    """``lines`` (amount, counterparty_name, counterparty_iban, description, payment_reference) with four numbers in [0, 1] (size, outflow,
+    IBAN given, length of the name) and ``bins``: the shares of its words of two letters and more by CRC-32."""
+    from ..functions.text import normalize_text
+
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double")))
+    text = normalize_text(F.concat_ws(" ", "counterparty_name", "counterparty_iban", "description", "payment_reference"))
+    words = F.filter(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 2)
+    rows = lines.withColumn("_words", words)
+    place = F.transform("_words", lambda w: (F.crc32(w) % BINS).cast("int"))
+    share = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.size(F.filter("_at", lambda x: x == i)) / F.nullif(F.size("_at"), F.lit(0)), F.lit(0.0)))
+    return rows.withColumn("_at", place).withColumns({
+        "s1": unit(F.log10(1 + F.abs("amount").cast("double")) / 6), "s2": (F.col("amount") < 0).cast("double"), "s3": (F.coalesce("counterparty_iban", F.lit("")) != "").cast("double"), "s4": unit(F.length(F.trim("counterparty_name")) / 80),
+        "tokens": F.size("_words"), "bins": share}).drop("_words", "_at")
+
+
 def newest_per(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
 

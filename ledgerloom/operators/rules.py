@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import iban_valid
+
 #: Allowed field and operator pairs.
 ALLOWED = {
     "description": ("contains", "not_contains", "regex"), "counterparty_name": ("contains",), "amount": ("equals", "between"),
@@ -75,3 +77,38 @@ def pair_problems(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
     rows = pairs.join(mains, "restricted", "left").join(live, "main", "left")
     why = F.when(F.col("restricted") == F.col("main"), "self").when(F.col("_chain"), "chain").when(F.col("_open").isNull(), "account")
     return rows.select("restricted", why.alias("problem")).where("problem is not null")
+
+
+#: Most conditions of a group, and most characters of a value.
+CONDITIONS, LONGEST = 12, 256
+
+
+def validate_rules(conditions: DataFrame, actions: DataFrame) -> DataFrame:
+    """(rule_id, problem) of rules held in tables; null where a rule is good.
+
+    ``conditions``: rule_id, side (all, any), field, operator, value, max; ``actions``: rule_id, type, party_id, invoice_type, category_id,
+    account, payment_mode, label, vat. Checked in order: some condition, at most ``CONDITIONS`` a side, allowed field and operator, value, interval,
+    IBAN checksum, currency, safe pattern, shape of the action.
+    """
+    number = lambda c: F.when(F.col(c).rlike("^-?[0-9]{1,16}([.][0-9]{1,8})?$"), F.col(c).cast("decimal(24,8)"))
+    allowed = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("operator").isin(*ops) for f, ops in ALLOWED.items()])
+    between = F.col("operator") == "between"
+    unsafe = reduce(lambda a, b: a | b, [F.contains("value", F.lit(x)) for x in ("(?<", "(?=", "(?!", "\\1", "*+", "++")])
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    why = (
+        F.when(no(allowed), 2).when(no((F.length("value") > 0) & (F.length("value") <= LONGEST)), 3).when((F.col("field") == "amount") & (number("value").isNull() | (between & number("max").isNull())), 3)
+        .when(between & no(number("value") <= number("max")), 4).when((F.col("field") == "counterparty_iban") & ~iban_valid("value"), 5).when((F.col("field") == "currency") & no(F.col("value").rlike("^[A-Za-z]{3}$")), 6)
+        .when((F.col("operator") == "regex") & unsafe, 7)
+    )
+    sides = conditions.groupBy("rule_id", "side").agg(F.count("*").alias("n"), F.min(why).alias("why"))
+    per = sides.groupBy("rule_id").agg(F.max("n").alias("most"), F.min("why").alias("why"))
+    present = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    text = lambda c, p: F.coalesce(F.col(c).rlike(p), F.lit(False))
+    shape = (
+        F.when(F.col("type") == "invoice_search", present("party_id") & F.coalesce(F.col("invoice_type").isin("customer_invoice", "supplier_invoice"), F.lit(False))).when(F.col("type") == "category", present("category_id"))
+        .when(F.col("type") == "quick_entry", present("party_id") & text("account", "(?i)^[a-z0-9_.-]{1,32}$") & text("payment_mode", "(?i)^[a-z0-9_]{1,6}$") & F.coalesce(F.length(F.trim("label")).between(1, 255), F.lit(False)) & F.coalesce(F.col("vat").between(0, 100), F.lit(False)))
+        .otherwise(False)
+    )
+    names = F.array(*[F.lit(x) for x in ("conditions", "operator", "value", "interval", "iban", "currency", "regex", "action")])
+    code = F.when(F.col("most").isNull() | (F.col("most") > CONDITIONS), 1).when(F.col("why").isNotNull(), F.col("why")).when(~F.coalesce(F.col("good"), F.lit(False)), 8)
+    return actions.withColumn("good", shape).join(per, "rule_id", "left").select("rule_id", F.when(code.isNotNull(), F.element_at(names, code)).alias("problem"))

@@ -65,9 +65,13 @@ def top_descriptions(lines: DataFrame, k: int) -> DataFrame:
 
 def candidate_metrics(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Same-day documents of the line's account and sign no larger than it: how many, and what percent of it they sum to."""
-    d = docs.select("account_id", F.col("booking_date").alias("operation_date"), F.col("amount").alias("_m"))
-    pairs = lines.join(d, ["account_id", "operation_date"]).where((F.signum("amount") == F.signum("_m")) & (F.abs("_m") <= F.abs("amount")))
-    return pairs.groupBy("line_id").agg(F.count("*").alias("documents"), F.floor(F.sum(F.abs("_m")) * 100 / F.max(F.abs("amount"))).cast("long").alias("coverage"))
+    size = F.abs("amount").cast(MONEY)
+    key = lambda r, day: r.select("account_id", F.col(day).alias("_day"), F.signum("amount").cast("int").alias("_sign"), size.alias("_size"))
+    d = key(docs, "booking_date").withColumns({"line_id": F.lit(None).cast("long"), "_n": F.lit(1), "_m": F.col("_size")})
+    l = lines.select("account_id", F.col("operation_date").alias("_day"), F.signum("amount").cast("int").alias("_sign"), size.alias("_size"), F.col("line_id").cast("long").alias("line_id"), F.lit(0).alias("_n"), F.lit(0).cast(MONEY).alias("_m"))  # noqa: E741
+    w = Window.partitionBy("account_id", "_day", "_sign").orderBy("_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = l.unionByName(d.select(*l.columns)).withColumns({"documents": F.sum("_n").over(w), "_sum": F.sum("_m").over(w)})
+    return both.where("line_id is not null and documents > 0").select("line_id", "documents", F.floor(F.col("_sum") * 100 / F.col("_size")).cast("long").alias("coverage"))
 
 
 def retention(audit: DataFrame, date: str, cutoff: Column) -> DataFrame:
@@ -166,3 +170,73 @@ def materialize(lines: DataFrame, guarded: DataFrame) -> DataFrame:
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
+def remaining_amount(parents: DataFrame, children: DataFrame, key: str, total: str, paid: str) -> DataFrame:
+    """key, remaining (total less its children, 0 at least), settled."""
+    sums = children.groupBy(key).agg(F.sum(paid).alias("_paid"))
+    left = (F.col(total) - F.coalesce("_paid", F.lit(0))).cast(MONEY)
+    return parents.join(sums, key, "left").select(key, F.greatest(left, F.lit(0).cast(MONEY)).alias("remaining"), (left <= 0).alias("settled"))
+
+
+def feed_run_summary(outcomes: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Per entity of a feed run: accounts mapped and not, transactions imported, unchanged, in conflict and failed.
+    ``outcomes``: account_id, outcome; ``accounts``: account_id, entity, mapped."""
+    tx = outcomes.join(accounts.select("account_id", "entity"), "account_id").groupBy("entity").agg(
+        F.count_if(F.col("outcome").isin("new", "zero")).alias("imported"), F.count_if(F.col("outcome").isin("unchanged", "described", "kept")).alias("unchanged"), F.count_if(F.col("outcome") == "review").alias("conflicts"), F.count_if(F.col("outcome") == "ambiguous").alias("failed"))
+    heads = accounts.groupBy("entity").agg(F.count_if("mapped").alias("mapped"), F.count_if(~F.col("mapped")).alias("unmapped"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return heads.join(tx, "entity", "left").select("entity", "mapped", "unmapped", *[zero(c) for c in ("imported", "unchanged", "conflicts", "failed")])
+
+
+def claims(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """Every claim on a ledger row: ledger_id, by (line or batch), id."""
+    direct = lines.where("linked_ledger_id is not null").select(F.col("linked_ledger_id").alias("ledger_id"), F.lit("line").alias("by"), F.col("line_id").alias("id"))
+    return direct.unionByName(members.select("ledger_id", F.lit("batch").alias("by"), F.col("batch_id").alias("id")))
+
+
+def retention_split(audit: DataFrame, date: str, as_of: str, days: int = 365) -> tuple[DataFrame, DataFrame]:
+    """(kept, purged) audit rows by age; ``days`` from 1 to 3650."""
+    cut = F.date_sub(F.lit(as_of).cast("date"), min(3650, max(1, days)))
+    old = F.coalesce(F.col(date) < cut, F.lit(False))
+    return audit.where(~old), audit.where(old)
+
+
+def provider_evidence(lines: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Lines whose stored provider payload (line_id, payload, payload_hash) does not hash to what was stored or does not tell the line's amount,
+    currency and day: line_id, problem."""
+    from ..functions.text import payload_text
+
+    p = payloads.withColumns({"_amount": payload_text("payload", "amount").try_cast("decimal(24,8)"), "_currency": payload_text("payload", "currency"), "_day": payload_text("payload", "operation_date").try_cast("date")})
+    rows = lines.join(p, "line_id", "left")
+    same = (F.col("_amount") == F.col("amount")) & (F.col("_currency") == F.col("currency")) & (F.col("_day") == F.col("operation_date"))
+    problem = F.when(F.col("payload").isNull(), "missing").when(F.sha2("payload", 256) != F.col("payload_hash"), "hash").when(~F.coalesce(same, F.lit(False)), "facts")
+    return rows.select("line_id", problem.alias("problem")).where("problem is not null")
+
+
+def apply_batches(proposed: DataFrame, lines: DataFrame, ledger: DataFrame, active: DataFrame) -> DataFrame:
+    """Outcome of each proposed batch (line_id, ledger_id rows): line_id, members, outcome: applied, or why not (members, sum, taken, done).
+
+    A batch needs two members at least, of its account, exactly the line's amount together, unreconciled, in no ``active`` batch
+    (ledger_id), linked by no line, and in no other proposed batch of a smaller line.
+    """
+    linked = lines.where("linked_ledger_id is not null").select(F.col("linked_ledger_id").alias("ledger_id")).unionByName(active.select("ledger_id")).distinct().withColumn("_held", F.lit(True))
+    m = proposed.distinct().withColumn("_first", F.min("line_id").over(Window.partitionBy("ledger_id")))
+    m = m.join(ledger.select("ledger_id", F.col("account_id").alias("_acc"), F.col("amount").alias("_m"), "reconciled"), "ledger_id", "left").join(linked, "ledger_id", "left")
+    m = m.join(lines.select("line_id", "account_id", "amount", "status"), "line_id")
+    taken = F.coalesce(F.col("_held"), F.lit(False)) | F.coalesce(F.col("reconciled"), F.lit(True)) | (F.col("_first") < F.col("line_id"))
+    per = m.groupBy("line_id", "amount", "status").agg(F.count("*").alias("members"), F.sum("_m").alias("total"), F.bool_or(taken).alias("taken"), F.bool_and(F.coalesce(F.col("_acc") == F.col("account_id"), F.lit(False))).alias("own"))
+    outcome = F.when(F.col("status") >= 2, "done").when(F.col("members") < 2, "members").when(~F.col("own") | ~F.coalesce(F.col("total") == F.col("amount"), F.lit(False)), "sum").when(F.col("taken"), "taken").otherwise("applied")
+    return per.select("line_id", "members", outcome.alias("outcome"))
+
+
+def batched_ledger(ledger: DataFrame, proposed: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger after applied batches: their members are reconciled."""
+    done = proposed.join(outcomes.where("outcome = 'applied'").select("line_id"), "line_id", "left_semi").select("ledger_id").distinct().withColumn("_b", F.lit(True))
+    return ledger.join(done, "ledger_id", "left").withColumn("reconciled", F.col("reconciled") | F.coalesce("_b", F.lit(False))).drop("_b").select(*ledger.columns)
+
+
+def undo_batches(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """Batch members (line_id, ledger_id, active) with those of the given lines inactive; nothing is deleted."""
+    undone = lines.select("line_id").distinct().withColumn("_u", F.lit(True))
+    return members.join(undone, "line_id", "left").withColumn("active", F.col("active") & F.col("_u").isNull()).drop("_u").select(*members.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import aggregates, balances, candidates, evidence, feeds, histories, imports, layouts, learning, matches, scalars, selections, statements  # noqa: F401
+    from . import aggregates, balances, candidates, evidence, feeds, histories, imports, layouts, learning, matches, reading, report_rows, scalars, selections, statements  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -91,8 +91,3 @@ def a14_audit_retention(spark, sf_dir):
 def a15_feed_history_range(spark, sf_dir):
     e = W.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 25 + 1).alias("account_id")).agg(F.min(F.col("ts").cast("date")).alias("lo"), F.max(F.col("ts").cast("date")).alias("hi"))
     return e.select("account_id", F.least("lo", F.lit("2024-01-10").cast("date")).alias("first_day"), F.greatest("hi", F.lit("2024-01-20").cast("date")).alias("last_day"))
-
-
-@query("select entity, count(*) as n, cast(sum(amount) as decimal(18,2)) as total from lines join accounts using (account_id) group by 1")
-def a16_entity_summary(spark, sf_dir):
-    return W.lines(spark, sf_dir).join(W.accounts(spark, sf_dir), "account_id").groupBy("entity").agg(F.count("*").alias("n"), F.sum("amount").cast(M).alias("total"))

@@ -8,7 +8,6 @@ from ..functions import values as V
 from ..operators import matching as J
 from ..operators import summaries as A
 from . import views as W
-from .aggregates import members
 from .matches import SCORED, scored
 from .registry import query
 
@@ -164,11 +163,3 @@ def t6_movable(spark, sf_dir):
 def t7_materialize_lines(spark, sf_dir):
     l, g = W.lines(spark, sf_dir), W.ledger(spark, sf_dir)  # noqa: E741
     return A.materialize(l, J.existing_movement(l, g, 3))
-
-
-@query("""with m as (select cast(floor(ledger_id / 3) as bigint) as batch_id, ledger_id, amount from ledger where ledger_id % 7 = 0 or ledger_id % 4 = 0), n as (select batch_id from m group by 1 having count(*) >= 2)
- select ledger_id, batch_id in (select batch_id from n) as batched from m""")
-def t3_apply_batches(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return members(spark, sf_dir).select("ledger_id", (F.count("*").over(Window.partitionBy("batch_id")) >= 2).alias("batched"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.erp import shared_path
 from ..streaming import feed as N
 from . import views as W
 from .registry import query
@@ -14,13 +12,14 @@ from .registry import query
 M = W.MONEY
 
 
-@query("""with f as (select c_custkey as feed_id, 'PT' || lpad(cast(c_custkey % 30 as varchar(10)), 2, '0') as iban from customer where c_custkey <= 40),
+@query("""with f as (select c_custkey as feed_id, 'PT' || lpad(cast(case when c_custkey <= 30 then c_custkey else c_custkey % 40 end as varchar(10)), 2, '0') as iban from customer), n as (select *, count(*) over (partition by iban) as c from f),
  a as (select n_nationkey + 1 as account_id, 'PT' || lpad(cast(n_nationkey + 1 as varchar(10)), 2, '0') as iban, n_nationkey % 9 = 8 as closed from nation)
- select distinct feed_id, case when account_id is null then 'unavailable' when (select count(*) from f g where g.iban = f.iban) > 1 or closed then 'mapping_review' else 'mapped' end as state,
- case when not ((select count(*) from f g where g.iban = f.iban) > 1 or closed) then account_id end as account_id from f left join a using (iban)""", base=False)
+ select feed_id, case when account_id is null then 'unavailable' when c > 1 or closed then 'mapping_review' else 'mapped' end as state, case when not (c > 1 or closed) then account_id end as account_id from n left join a using (iban)""", base=False)
 def n1_map_accounts(spark, sf_dir):
+    """Every customer is a feed account."""
     iban = lambda c: F.concat(F.lit("PT"), F.lpad(c.cast("string"), 2, "0"))
-    feed = W.table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("feed_id"), iban(F.col("c_custkey") % 30).alias("iban"), F.lit("EUR").alias("currency"))
+    k = F.col("c_custkey")
+    feed = W.table(spark, sf_dir, "customer").select(k.alias("feed_id"), iban(F.when(k <= 30, k).otherwise(k % 40)).alias("iban"), F.lit("EUR").alias("currency"))
     accounts = W.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("account_id"), iban(F.col("n_nationkey") + 1).alias("iban"), F.lit("EUR").alias("currency"), (F.col("n_nationkey") % 9 == 8).alias("closed"))
     return N.map_accounts(feed, accounts)
 
@@ -46,14 +45,46 @@ def n3_upsert(spark, sf_dir):
     return N.upsert(tx.where("tx_id % 3 <> 1"), new).select("tx_id", "amount", "description", "outcome")
 
 
+@query("""with e as (select event_id as k, cast(value as decimal(18,2)) as amount from events)
+ select k as tx_id, case when k % 6 = 5 or k % 6 = 4 then null when k % 6 = 2 then k + 1000000000 else k end as known_id, case when k % 6 = 5 then 'ambiguous' when k % 6 = 4 then (case when k % 5 = 0 or amount = 0 then 'zero' else 'new' end) when k % 6 = 3 then 'review' when k % 6 = 1 then 'described' else 'unchanged' end as outcome,
+  k % 6 = 4 and k % 5 <> 0 and amount <> 0 as staged from e""", base=False)
+def n3_identities(spark, sf_dir):
+    """Known by id, by a current or previous external id, by two that disagree, or not at all; amounts and texts change for some."""
+    t = W.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("value").cast(M).alias("amount"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("description"))
+    k = F.col("k")
+    m, x = k % 6, k.cast("string")
+    state = t.where(m != 4).select(F.when(m == 2, k + 1000000000).otherwise(k).alias("tx_id"), F.concat(F.lit("x"), x).alias("external"), "amount", "day", "description")
+    twin = t.where(m == 5).select((k + 2000000000).alias("tx_id"), F.concat(F.lit("y"), x).alias("external"), "amount", "day", "description")
+    batch = t.select(k.alias("tx_id"), F.when(m == 5, F.concat(F.lit("y"), x)).when(m == 0, "").otherwise(F.concat(F.lit("new"), x)).alias("external"), F.when(m == 2, F.concat(F.lit("x"), x)).otherwise("").alias("previous"),
+                     F.when(m == 3, F.col("amount") + 1).when((m == 4) & (k % 5 == 0), 0).otherwise(F.col("amount")).cast(M).alias("amount"), "day", F.when(m == 1, F.concat("description", F.lit("!"))).otherwise(F.col("description")).alias("description"))
+    s = state.unionByName(twin)
+    return N.outcomes(s, N.identified(s, batch))
+
+
+@query("select event_id as tx_id, case when event_id % 4 = 0 then 'kept' when event_id % 4 = 1 then 'new' else 'described' end as outcome, case when event_id % 4 = 0 then event_type else event_type || ' 2' end as description from events", base=False)
+def n3_upsert_stream(spark, sf_dir):
+    """Landed pages applied one after the other; a quarter is only known, a quarter only arrives."""
+    tx = _tx(spark, sf_dir)
+    path = shared_path(spark, "upsert")
+    new = tx.where("tx_id % 4 <> 0").withColumns({"description": F.concat("description", F.lit(" 2")), "version": F.lit(2)})
+    new.write.parquet(f"{path}/landed")
+    start = tx.where("tx_id % 4 <> 1").withColumn("outcome", F.lit("kept"))
+    return N.upsert_stream(spark.readStream.schema(new.schema).parquet(f"{path}/landed"), path, start).select("tx_id", "outcome", "description")
+
+
+@query("select event_id, case when event_id % 9 = 0 or ts < timestamp '2024-01-18 12:00:00' then 'stale' else 'ready' end as state from events", base=False)
+def n6_freshness(spark, sf_dir):
+    e = W.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("at"))
+    return N.freshness(e, "at", "2024-01-20 00:00:00").select("event_id", "state")
+
+
 @query("select event_id, user_id from events", base=False)
 def n4_stream_deduplicated(spark, sf_dir):
     """The events as a stream, each once within the 48 hours that are read again."""
     schema = W.table(spark, sf_dir, "events").select("event_id", "user_id", "ts").schema
     stream = N.read_landed(spark, f"{sf_dir}/events.parquet", schema).withColumn("at", F.col("ts").cast("timestamp"))
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-feed-")
-    return N.run_once(N.deduplicated(twice, "event_id", "at").select("event_id", "user_id"), f"{root.rstrip('/')}/feed-{uuid.uuid4().hex}")
+    return N.run_once(N.deduplicated(twice, "event_id", "at").select("event_id", "user_id"), shared_path(spark, "feed"))
 
 
 @query("""select event_id, case when hour(ts) >= 18 then date_trunc('day', ts) + interval 18 hour when hour(ts) >= 7 then date_trunc('day', ts) + interval 7 hour else date_trunc('day', ts) - interval 6 hour end as slot from events""", base=False)

@@ -9,7 +9,6 @@ from ..operators import learning as L
 from ..operators import rules as R
 from ..operators import summaries as A
 from . import views as W
-from .learning import RULES
 from .registry import query
 
 M = W.MONEY
@@ -72,15 +71,17 @@ def d18_audit_filters(spark, sf_dir):
     return e.where(F.col("ts").cast("date").between("2024-01-05", "2024-01-20") & F.col("event_type").isin("click", "purchase") & F.contains("props", F.lit("1"))).select("event_id", "event_type")
 
 
-@query("select id, problem from (values (1, null), (2, null), (3, null), (4, 'operator'), (5, null), (6, 'interval'), (7, 'regex'), (8, 'conditions')) t(id, problem), (select count(*) as n from lines) where n > 0")
+@query("""select c_custkey as rule_id, case c_custkey % 13 when 0 then 'conditions' when 1 then 'conditions' when 2 then 'operator' when 3 then 'value' when 4 then 'interval' when 5 then 'iban' when 6 then 'currency' when 7 then 'regex' when 8 then 'action' when 9 then 'action' end as problem from customer""", base=False)
 def b1_validate_rules(spark, sf_dir):
-    """Rules over the lines at hand, with the reason each is refused for."""
-    bad = [
-        {"id": 6, "priority": 1, "all": [{"field": "amount", "operator": "between", "value": "9", "max": "1"}]},
-        {"id": 7, "priority": 1, "all": [{"field": "description", "operator": "regex", "value": "(?=x)"}]}, {"id": 8, "priority": 1},
-    ]
-    rows = spark.createDataFrame([(r["id"], R.problem(r)) for r in RULES + bad], "id int, problem string")
-    return rows.join(W.lines(spark, sf_dir).agg(F.count("*").alias("n")).where("n > 0"), how="inner").select("id", "problem")
+    """A rule a customer, most with one flaw: no or too many conditions, operator, value, interval, IBAN, currency, pattern, action."""
+    c = W.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), (F.col("c_custkey") % 13).cast("int").alias("k"))
+    k = F.col("k")
+    pick = lambda rest, **by: F.coalesce(*[F.when(k == int(n[1:]), F.lit(v)) for n, v in by.items()], F.lit(rest))
+    one = F.struct(F.lit("all").alias("side"), pick("description", k3="description", k4="amount", k5="counterparty_iban", k6="currency").alias("field"), pick("contains", k2="between", k4="between", k5="equals", k6="equals", k7="regex").alias("operator"),
+                   pick("abc", k3="", k4="9", k5="PT50000201231234567890155", k6="euro", k7="a(?=b)").alias("value"), pick("", k4="1").alias("max"))
+    rows = c.where("k <> 0").select("rule_id", F.explode(F.when(k == 1, F.array_repeat(one, 13)).otherwise(F.array(one))).alias("c")).select("rule_id", "c.*")
+    actions = c.select("rule_id", F.when(k == 8, "unknown").when(k % 2 == 0, "category").otherwise("invoice_search").alias("type"), F.when(k != 9, 5).alias("party_id"), F.lit("customer_invoice").alias("invoice_type"), F.lit(3).alias("category_id"), *(F.lit(None).cast("string").alias(x) for x in ("account", "payment_mode", "label")), F.lit(None).cast("decimal(5,2)").alias("vat"))
+    return R.validate_rules(rows, actions)
 
 
 @query("select account_id, line_id from (select account_id, line_id, row_number() over (partition by account_id order by operation_date desc, line_id) as k from lines where status = 2 and linked_ledger_id is not null and line_id % 4 <> 1) where k <= 20")
@@ -97,15 +98,29 @@ def l9_supplier_training(spark, sf_dir):
     return A.single_party(rows, "ledger_id", "party_id").select("ledger_id", "party_id")
 
 
-@query(None)
-def l4_batch_forest(spark, sf_dir):
-    """Random forest of 31 trees over the batch features; predictions of the held-out lines."""
-    from pyspark.ml.classification import RandomForestClassifier
+def _predicted(spark, sf_dir, kind):
     from pyspark.ml.feature import VectorAssembler
 
     from .learning import featured
 
     rows = L.holdout(featured(spark, sf_dir), "operation_date", "id")
     v = VectorAssembler(inputCols=list(L.FEATURES), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=31, maxDepth=5, seed=3, labelCol="label").fit(v.where("part = 'train'"))
-    return model.transform(v.where("part = 'test'")).select("id", "label", F.col("prediction").cast("int").alias("predicted"))
+    model = L.fit_classifier(kind, v.where("part = 'train'"))
+    test = v.where("part = 'test'")
+    return test.select("id", "label", F.lit(None).cast("int").alias("predicted")) if model is None else model.transform(test).select("id", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query(None)
+def l4_batch_forest(spark, sf_dir):
+    """Random forest of 31 trees over the batch features; predictions of the held-out lines."""
+    return _predicted(spark, sf_dir, "random_forest")
+
+
+@query(None)
+def l4_batch_tree(spark, sf_dir):
+    return _predicted(spark, sf_dir, "decision_tree")
+
+
+@query(None)
+def l4_batch_bayes(spark, sf_dir):
+    return _predicted(spark, sf_dir, "naive_bayes")

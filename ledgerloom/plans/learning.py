@@ -65,12 +65,30 @@ def l3_rebalance(spark, sf_dir):
     return L.rebalance(featured(spark, sf_dir), "label", [F.desc("operation_date"), F.desc("id")], 2).select("id")
 
 
-@query(f"""with {FEATURED}, q as (select * from featured where id % 70 = 0), s as (select * from featured where status = 2),
- d as (select q.id, s.label, round(sqrt((q.f1-s.f1)**2 + (q.f2-s.f2)**2 + (q.f3-s.f3)**2 + (q.f4-s.f4)**2 + (q.f5-s.f5)**2 + (q.f6-s.f6)**2), 9) as d from q join s using (account_id)),
- r as (select *, rank() over (partition by id order by d) as k from d) select id, round(sum(label / (1 + d)) / sum(1 / (1 + d)), 6) as p, count(*) as neighbours from r where k <= 7 group by id""")
+KNN = f"""{FEATURED}, q as (select * from featured where id % 100 = 0), s as (select *, greatest(3, least(31, floor(sqrt(n)) - case when floor(sqrt(n)) % 2 = 0 then 1 else 0 end)) as kk from (select *, count(*) over (partition by account_id) as n from (select *, row_number() over (partition by account_id order by operation_date desc, id desc) as newest from featured where status = 2) where newest <= 5000)),
+ d as (select q.id, s.label, kk, round(sqrt((q.f1-s.f1)**2 + (q.f2-s.f2)**2 + (q.f3-s.f3)**2 + (q.f4-s.f4)**2 + (q.f5-s.f5)**2 + (q.f6-s.f6)**2), 9) as d from q join s using (account_id)),
+ r as (select *, rank() over (partition by id order by d) as k from d), near as (select id, sum(label / (1 + d)) / sum(1 / (1 + d)) as p, count(*) as neighbours from r where k <= kk group by id)"""
+
+
+@query(f"with {KNN} select id, round(p, 6) as p, neighbours from near")
 def l5_knn_probability(spark, sf_dir):
+    """Queries are the lines with ids divisible by 100, against the newest reconciled lines of their account."""
     f = featured(spark, sf_dir)
-    return L.nearest(f.where("id % 70 = 0"), f.where("status = 2"), ["account_id"], 7).select("id", F.round("p", 6).alias("p"), "neighbours")
+    return L.nearest(f.where("id % 100 = 0"), f.where("status = 2"), ["account_id"], [F.desc("operation_date"), F.desc("id")]).select("id", F.round("p", 6).alias("p"), "neighbours")
+
+
+@query(f"with {KNN} select id, round(p, 6) as p, p >= 0.6 as is_batch from near")
+def l6_predict_batch(spark, sf_dir):
+    f = featured(spark, sf_dir)
+    return L.predict_batch(f.where("id % 100 = 0"), f.where("status = 2"), ["account_id"], [F.desc("operation_date"), F.desc("id")], 60).select("id", F.round("p", 6).alias("p"), "is_batch")
+
+
+@query("""with w as (select line_id, amount, counterparty_name, string_split(regexp_replace(lower(counterparty_name || ' ' || description || ' ' || payment_reference), '[^a-z0-9]+', ' ', 'g'), ' ') as t from lines)
+ select line_id, round(least(1, log10(1 + abs(amount)::double) / 6), 6) as s1, cast(amount < 0 as int)::double as s2, 0::double as s3, round(least(1, length(trim(counterparty_name)) / 80.0), 6)::double as s4, cast(len(list_filter(t, lambda x: length(x) >= 2)) as int) as tokens, 1.0::double as total from w""")
+def l8_supplier_features(spark, sf_dir):
+    """The bins themselves are tested against plain code: SQL has no CRC-32 here; their shares sum to one."""
+    rows = L.supplier_features(W.lines(spark, sf_dir).withColumn("counterparty_iban", F.lit("")))
+    return rows.select("line_id", F.round("s1", 6).alias("s1"), "s2", "s3", F.round("s4", 6).alias("s4"), "tokens", F.round(F.aggregate("bins", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"with {FEATURED}, r as (select *, row_number() over (order by operation_date desc, id desc) as k, count(*) over () as n from featured) select id, case when k <= floor(n * 20 / 100) then 'test' else 'train' end as part from r")

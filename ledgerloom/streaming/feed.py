@@ -42,6 +42,58 @@ def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("tx_id", *[pick(c) for c in ("account_id", "amount", "day", "description", "version")], outcome.alias("outcome"))
 
 
+def identified(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch`` (tx_id, external, previous) with ``known_id``: the transaction of ``state`` (tx_id, external) that it is, by its id or by its
+    current or previous external id (empty: none), and ``ambiguous`` where these name several."""
+    s = state.select(F.col("tx_id").alias("_s"), F.col("external").alias("_e"))
+    hits = batch.select("tx_id", F.col("tx_id").alias("_s")).join(s.select("_s"), "_s").select("tx_id", "_s")
+    for name in ("external", "previous"):
+        hits = hits.unionByName(batch.where(F.col(name) != "").select("tx_id", F.col(name).alias("_e")).join(s, "_e").select("tx_id", "_s"))
+    per = hits.distinct().groupBy("tx_id").agg(F.count("*").alias("_n"), F.min("_s").alias("known_id"))
+    out = batch.join(per, "tx_id", "left")
+    return out.withColumns({"ambiguous": F.coalesce(F.col("_n") > 1, F.lit(False)), "known_id": F.when(F.col("_n") == 1, F.col("known_id"))}).drop("_n")
+
+
+def outcomes(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Outcome of each identified transaction (``identified``; amount, day, description): tx_id, known_id, outcome, staged.
+
+    ambiguous, review (money or day changed), described (text changed), unchanged, zero (recorded, not staged) or new.
+    """
+    s = state.select(F.col("tx_id").alias("known_id"), *[F.col(c).alias(f"_{c}") for c in ("amount", "day", "description")])
+    rows = batch.join(s, "known_id", "left")
+    money = lambda p: financial_hash(f"{p}amount", f"{p}day", F.lit("EUR"))
+    outcome = (
+        F.when(F.col("ambiguous"), "ambiguous").when(F.col("known_id").isNotNull() & (money("") != money("_")), "review").when(F.col("known_id").isNotNull() & (F.col("description") != F.col("_description")), "described")
+        .when(F.col("known_id").isNotNull(), "unchanged").when(F.col("amount") == 0, "zero").otherwise("new")
+    )
+    return rows.select("tx_id", "known_id", outcome.alias("outcome"), (outcome == "new").alias("staged"))
+
+
+def upsert_stream(stream: DataFrame, path: str, start: DataFrame) -> DataFrame:
+    """Apply landed batches to the snapshot one after the other (``upsert`` in ``foreachBatch``) and return the last one.
+
+    Every batch writes a snapshot of its own below ``path`` from the one before; a batch that is run again writes the same.
+    """
+    spark = stream.sparkSession
+    start.write.mode("overwrite").parquet(f"{path}/state/-1")
+    last = [-1]
+
+    def one(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/state/{number - 1}")
+        upsert(before.drop("outcome"), batch).write.mode("overwrite").parquet(f"{path}/state/{number}")
+        last[0] = number
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/state/{last[0]}")
+
+
+def freshness(accounts: DataFrame, updated: str, as_of: str, hours: int = 36) -> DataFrame:
+    """``accounts`` with ``state``: stale where the bank's last update is missing or over ``hours`` before ``as_of``, else ready."""
+    old = F.col(updated).isNull() | (F.col(updated).cast("timestamp") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    return accounts.withColumn("state", F.when(old, "stale").otherwise("ready"))
+
+
 def slot(ts: Column, hours: list[int]) -> Column:
     """The latest of the day's collection hours at or before a time; the day before's last one if there is none."""
     day = F.date_trunc("day", ts)
