@@ -81,6 +81,16 @@ def named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text", *more)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, nth, text of ``named`` rows without null doc_ids; ``nth`` tells rows of one doc_id and other texts apart: 0 for all rows of
+    almost every doc_id, so it costs nothing to carry."""
+    several = docs.groupBy("doc_id").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a < b").select("doc_id")
+    again = keep(docs.select("doc_id", "copy").join(small(keep(several)), "doc_id", "left_semi").distinct())
+    place = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("copy")).alias("copies")).select("doc_id", F.posexplode("copies").alias("nth", "copy"))
+    out = docs.join(small(keep(place.where("nth > 0"))), ["doc_id", "copy"], "left")
+    return out.withColumn("nth", F.coalesce("nth", F.lit(0)).cast("int"))
+
+
 def on_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right`` where doc_id (null equals null) and copy agree."""
     right = right.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("copy", "__copy")

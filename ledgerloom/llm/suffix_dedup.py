@@ -5,15 +5,16 @@ consecutive strings with one minimiser form a segment of the document, and segme
 
 1. Exact copies of a text are represented by their smallest document.
 2. (minimiser, document) pairs are sorted by minimiser and streamed; only minimisers that two documents share stay.
-3. Segments of those minimisers travel to their shards. A shard is read in order of minimiser and sorted in parts of whole
-   minimisers: distinct segments are laid end to end, their suffixes ordered by induced sorting (``induced_sort``: disk-backed
-   queues of suffix tuples, recursion on the string of LMS names), and neighbours that share ``WINDOW`` bytes form a class,
-   whose smallest document keeps its bytes. Minimisers with over ``HOT`` strings are dealt out by a 128-bit BLAKE2 digest of
-   the string instead, with map-side minima and salted hot digests, so no shard gets a whole hot minimiser.
+3. Segments of those minimisers travel to their shards, in order of minimiser. A shard is sorted in parts of whole minimisers of
+   about ``PART`` bytes. A segment goes on only where it shares, to the left or the right of its minimiser, as much with another
+   document as any common string must. Distinct segments are laid end to end, and external induced sorting (``induced_sort``:
+   disk-backed queues of suffix tuples that carry common-prefix values, recursion to the end) streams the suffixes in order;
+   suffixes that share ``WINDOW`` bytes with their neighbour form a class, whose smallest document keeps its bytes.
+   Queues and lists hold ``HELD`` bytes in memory, a fraction of a part, so the external path is the one that runs; minimisers
+   with over ``HOT`` strings are dealt out by a 128-bit BLAKE2 digest of the string instead, with map-side minima and salted hot
+   digests, so no shard gets a whole hot minimiser.
 4. Each document removes the bytes under its repeated strings.
 
-Common-prefix values matter only up to ``WINDOW``, so they are compared where neighbours meet instead of being carried.
-
 Defined cases: null or empty text has no bytes; texts under ``WINDOW`` bytes never change; rows of one doc_id are all kept, and
 their strings never repeat against each other; a null doc_id is neither smaller nor larger than another, so its row stays as it
 is; rows in are rows out; removed bytes may split a character, so results are bytes; an empty table gives an empty result;
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .induced_sort import common_prefix, suffix_order
-from .store import keep, named, small, spread_join
-from .textkit import Texts, expand, mix, signed, texts, window_min
+from .induced_sort import BITS, HELD, LOW, sorted_suffixes
+from .store import keep, named, numbered, small, spread_join
+from .textkit import Texts, expand, mix, range_hashes, signed, texts, window_min
 
 WINDOW, GRAM = 50, 16
 #: Strings of one minimiser that a shard sorts; beyond it they are dealt out by fingerprint.
 HOT = 200_000
-#: Bytes of distinct segments sorted at once.
-PART = 1 << 20
+#: Bytes of segments sorted at once.
+PART = 4 << 20
 #: Longest segment in strings; longer runs are cut, which changes no string.
 LONGEST = 64
 
@@ -117,16 +118,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc)], schema=schema)
 
 
-_SEGMENT = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
-SEGMENT = "mini long, doc_id long, copy long, first long, n long, packed binary"
+_SEGMENT = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+SEGMENT = "mini long, doc_id long, nth int, first long, n long, packed binary"
 
 
 def _segments(window: int, gram: int):
-    """Rows (doc_id, copy, text, keys) to the segments of those minimisers."""
+    """Rows (doc_id, nth, text, keys) to the segments of those minimisers."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, keys = np.asarray(_get(batch, "doc_id")), np.asarray(_get(batch, "copy")), _get(batch, "keys")
+            ids, nth, keys = np.asarray(_get(batch, "doc_id")), np.asarray(_get(batch, "nth")), _get(batch, "keys")
             for t in texts(_get(batch, "text")):
                 mini, doc, first, n = _minimisers(t, window, gram)
                 edge = np.searchsorted(doc, np.arange(t.n + 1))
@@ -139,40 +140,86 @@ def _segments(window: int, gram: int):
                 a = t.at[doc] + first
                 raw = t.data.tobytes()
                 packed = [raw[x:y] for x, y in zip(a.tolist(), (a + n + window - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(ids[t.first + doc]), pa.array(copies[t.first + doc]), pa.array(first), pa.array(n), pa.array(packed, pa.binary())], schema=_SEGMENT)
+                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(ids[t.first + doc]), pa.array(nth[t.first + doc]), pa.array(first), pa.array(n), pa.array(packed, pa.binary())], schema=_SEGMENT)
 
     return task
 
 
-def least_documents(segments: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct segments with their smallest documents: bounds (n + 1), and the smallest document of every string."""
+def likely(mini: np.ndarray, doc: np.ndarray, packed: list[bytes], window: int, gram: int) -> np.ndarray:
+    """Which segments can share a string with one of another document.
+
+    A common string holds the minimiser and reaches half of what is left over at least, to its left or to its right; so one of the two
+    longer grams must be shared. Segments that hold their minimiser twice are not judged.
+    """
+    half = (window - gram) // 2
+    size = np.array([len(x) for x in packed], np.int64)
+    start = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(packed), np.uint8)
+    h = signed(_grams(text, gram))
+    row = np.repeat(np.arange(len(size)), size)[: len(h)]
+    at = np.flatnonzero((h == mini[row]) & (np.arange(len(h)) + gram <= (start + size)[row]))
+    owner, first, times = np.unique(row[at], return_index=True, return_counts=True)
+    keep_ = np.ones(len(size), bool)
+    one = times == 1
+    owner, p = owner[one], at[first[one]]
+    keep_[owner] = False
+    for a, b in ((p - half, p + gram), (p, p + gram + half)):
+        inside = (a >= start[owner]) & (b <= (start + size)[owner])
+        who = owner[inside]
+        key = mix(range_hashes(text, a[inside], b[inside]) ^ mini[who].view(np.uint64))
+        by = np.argsort(key, kind="stable")
+        key, d = key[by], doc[who[by]]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        if len(new):
+            mixed = np.minimum.reduceat(d, new) < np.maximum.reduceat(d, new)
+            keep_[who[by]] |= np.repeat(mixed, np.diff(np.append(new, len(key))))
+    return keep_
+
+
+def least_documents(segments: list[bytes], docs: np.ndarray, window: int, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct segments with their smallest documents: bounds (n + 1), and the smallest document of every string.
+
+    Suffixes stream by in order, the largest first. A suffix between two that share ``window`` bytes shares them too and so begins a
+    string, as no string holds the mark between segments.
+    """
     size = np.array([len(x) for x in segments], np.int64)
-    text = np.frombuffer(b"\xff".join(segments), np.uint8)  # no byte of UTF-8 is 0xFF
-    s = np.append(np.where(text == 255, 1, text.astype(np.int64) + 2), 0)
+    text = np.frombuffer(b"\xff".join(segments), np.uint8)  # no byte of UTF-8 is over 0xF4
+    s = np.append(np.where(text == 255, np.uint8(1), text + np.uint8(2)), np.uint8(0))
     count = size - window + 1
     start = np.cumsum(size + 1) - size - 1
     bounds = np.append(0, np.cumsum(count))
-    place = np.repeat(start - bounds[:-1], count) + np.arange(bounds[-1])
-    string = np.full(len(s), -1, np.int64)
-    string[place] = np.arange(bounds[-1])
-    order = suffix_order(s)
-    joined = common_prefix(s, order, window)
-    here = string[order] >= 0
-    group = np.cumsum(~joined)[here]
-    member = string[order][here]
-    owner = np.repeat(docs, count)
-    least = np.full(len(order) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, owner[member])
-    out = np.empty(bounds[-1], np.int64)
-    out[member] = least[group]
-    return bounds, out
-
-
-_HITS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-HITS = "doc_id long, copy long, first long, last long"
-
-
-def _hits(doc: np.ndarray, copy: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    group, least, classes, last = np.empty(bounds[-1], np.int64), [], 0, -1
+    passed = 0  # suffixes so far that share less with the one before
+    for rows in sorted_suffixes(s, window, held):
+        pos = rows >> BITS
+        run = passed + np.cumsum((rows & LOW) < window)
+        passed = int(run[-1])
+        seg = np.searchsorted(start, pos, "right") - 1
+        offset = pos - start[seg]
+        here = offset < count[seg]
+        seg, run, string = seg[here], run[here], (bounds[seg] + offset)[here]
+        if not len(run):
+            continue
+        new = np.append(run[0] != last, run[1:] != run[:-1])
+        number = classes - 1 + np.cumsum(new)
+        group[string] = number
+        owner = docs[seg]
+        begin = np.flatnonzero(np.append(True, new[1:]))
+        minima = np.minimum.reduceat(owner, begin)
+        if not new[0]:
+            least[-1][-1] = min(least[-1][-1], minima[0])
+            minima = minima[1:]
+        if len(minima):
+            least.append(minima)
+        classes, last = int(number[-1]) + 1, int(run[-1])
+    return bounds, np.concatenate(least)[group] if least else group
+
+
+_HITS = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
+HITS = "doc_id long, nth int, first long, last long"
+
+
+def _hits(doc: np.ndarray, nth: np.ndarray, first: np.ndarray, n: np.ndarray, least_at: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
     """Runs of strings of the segments whose smallest document is another."""
     string = np.repeat(least_at - (np.cumsum(n) - n), n) + np.arange(n.sum())
     hit = least[string] < np.repeat(doc, n)
@@ -181,55 +228,58 @@ def _hits(doc: np.ndarray, copy: np.ndarray, first: np.ndarray, n: np.ndarray, l
     seg, at = seg[hit], at[hit]
     begin = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1))[: len(seg)])
     end = np.append(begin[1:], len(seg))[: len(begin)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[seg[begin]]), pa.array(copy[seg[begin]]), pa.array(at[begin]), pa.array(at[end])], schema=_HITS)
+    return pa.RecordBatch.from_arrays([pa.array(doc[seg[begin]]), pa.array(nth[seg[begin]], pa.int32()), pa.array(at[begin]), pa.array(at[end])], schema=_HITS)
 
 
-def _shards(window: int, part: int):
+def _shards(window: int, gram: int, part: int, held: int):
     """Rows sorted by minimiser: suffix-sort whole minimisers, about ``part`` bytes at a time."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.filter(pa.array(likely(np.asarray(rows["mini"]), np.asarray(rows["doc_id"]), rows["packed"].to_pylist(), window, gram)))
         packed = rows["packed"].combine_chunks().dictionary_encode()
         which = np.asarray(packed.indices)
-        doc, copy, first, n = (np.asarray(rows[c]) for c in ("doc_id", "copy", "first", "n"))
+        doc, nth, first, n = (np.asarray(rows[c]) for c in ("doc_id", "nth", "first", "n"))
+        if not len(doc):
+            return pa.RecordBatch.from_arrays([pa.nulls(0, f.type) for f in _HITS], schema=_HITS)
         least_doc = np.full(len(packed.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(least_doc, which, doc)
-        bounds, least = least_documents(packed.dictionary.to_pylist(), least_doc, window)
-        return _hits(doc, copy, first, n, bounds[which], least)
+        bounds, least = least_documents(packed.dictionary.to_pylist(), least_doc, window, held)
+        return _hits(doc, nth, first, n, bounds[which], least)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        pieces, size = [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 piece = batch.slice(k, 2000)
-                held.append(piece)
+                pieces.append(piece)
                 size += _get(piece, "packed").nbytes
                 if size >= part:
-                    rows = pa.Table.from_batches(held)
+                    rows = pa.Table.from_batches(pieces)
                     keys = np.asarray(rows["mini"])
                     other = np.flatnonzero(keys != keys[-1])
                     if len(other):
                         cut = int(other[-1]) + 1
                         yield solve(rows.slice(0, cut))
-                        held = rows.slice(cut).to_batches()
-                        size = sum(_get(x, "packed").nbytes for x in held)
-        if held:
-            yield solve(pa.Table.from_batches(held))
+                        pieces = rows.slice(cut).to_batches()
+                        size = sum(_get(x, "packed").nbytes for x in pieces)
+        if pieces:
+            yield solve(pa.Table.from_batches(pieces))
 
     return task
 
 
 def _strings(window: int):
     """Strings of hot minimisers, one row each, by their 128-bit digest."""
-    schema = pa.schema([("string", pa.binary()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("first", pa.int64())])
+    schema = pa.schema([("string", pa.binary()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("first", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 rows = batch.slice(k, 1000)
-                n, first, doc, copy = (np.asarray(_get(rows, c)) for c in ("n", "first", "doc_id", "copy"))
+                n, first, doc, nth = (np.asarray(_get(rows, c)) for c in ("n", "first", "doc_id", "nth"))
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 digest = [hashlib.blake2b(x[i : i + window], digest_size=16).digest() for x, m in zip(_get(rows, "packed").to_pylist(), n.tolist(), strict=True) for i in range(m)]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(np.repeat(doc, n)), pa.array(np.repeat(copy, n)), pa.array(np.repeat(first, n) + offset)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(np.repeat(doc, n)), pa.array(np.repeat(nth, n)), pa.array(np.repeat(first, n) + offset)], schema=schema)
 
     return task
 
@@ -262,34 +312,36 @@ def _clean(window: int):
     return task
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, part: int = PART) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, part: int = PART, held: int = HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (bytes, last exclusive)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = ["doc_id", "copy"]
+    key = ["doc_id", "nth"]
     docs = named(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    facts = keep(docs.select(*key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-    known = facts.where("doc_id is not null")
-    first = keep(known.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("members")).where("first_id < last_id").drop("last_id"))
-    copies = keep(spread_join(known, first, ["sha"], "members").where("doc_id > first_id").select(*key).distinct())
-    live = docs.where("doc_id is not null").join(small(copies), key, "left_anti")
+    known = numbered(docs.where("doc_id is not null")).drop("copy")
+    facts = keep(known.select(*key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+    first = keep(facts.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("members")).where("first_id < last_id").drop("last_id"))
+    copies = small(keep(spread_join(facts.select(*key, "sha"), first, ["sha"], "members").where("doc_id > first_id").select(*key).distinct()))
+    live = known.join(copies, key, "left_anti")
     tokens = live.mapInArrow(_keys(window, gram), "token long, doc_id long, sure boolean")
     sent = tokens.where("not sure").select("token", "doc_id").repartition(parts, "token").sortWithinPartitions("token", "doc_id").mapInArrow(_shared, "token long, doc_id long")
     per = keep(sent.unionByName(tokens.where("sure").select("token", "doc_id")).groupBy("doc_id").agg(F.collect_set("token").alias("keys")))
-    candidates = keep(live.join(small(per.select("doc_id")), "doc_id", "left_semi").join(per, "doc_id").select(*key, "text", "keys"))
+    candidates = live.join(small(per.select("doc_id")), "doc_id", "left_semi").join(per, "doc_id").select(*key, "text", "keys")
     pieces = keep(candidates.mapInArrow(_segments(window, gram), SEGMENT))
     hots = small(keep(pieces.groupBy("mini").agg(F.sum("n").alias("strings")).where(F.col("strings") > hot).select("mini")))
-    cold = pieces.join(hots, "mini", "left_anti").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_shards(window, part), HITS)
-    each = keep(pieces.join(hots, "mini", "left_semi").mapInArrow(_strings(window), "string binary, doc_id long, copy long, first long"))
-    least = each.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members")).where("least < most").drop("most")
-    hotter = spread_join(each, keep(least), ["string"], "members").where("doc_id > least").select(*key, "first", F.col("first").alias("last"))
+    cold = pieces.join(hots, "mini", "left_anti").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_shards(window, gram, part, held), HITS)
+    each = pieces.join(hots, "mini", "left_semi").mapInArrow(_strings(window), "string binary, doc_id long, nth int, first long")
+    least = keep(each.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members")).where("least < most").drop("most"))
+    hotter = spread_join(each, least, ["string"], "members").where("doc_id > least").select(*key, "first", F.col("first").alias("last"))
     runs = keep(cold.unionByName(hotter).groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs")))
-    changed = candidates.join(runs, key).select("doc_id", "text", "runs").mapInArrow(_clean(window), RESULT)
-    copied = facts.join(small(copies), key).where(f"n_bytes >= {window}")
+    found = small(runs.select(*key))
+    changed = live.join(found, key, "left_semi").join(runs, key).select("doc_id", "text", "runs").mapInArrow(_clean(window), RESULT)
+    copied = facts.join(copies, key).where(f"n_bytes >= {window}")
     span = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("last")))
     copied = copied.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), span.alias("spans"))
     zero = F.lit(0).cast("long")
-    short = facts.join(small(copies), key, "left_semi").where(f"n_bytes < {window}")
-    rest = facts.join(small(copies), key, "left_anti").join(small(runs.select(*key)), key, "left_anti").unionByName(short)
+    short = facts.join(copies, key, "left_semi").where(f"n_bytes < {window}")
+    nameless = docs.where("doc_id is null").select("doc_id", F.lit(0).alias("nth"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    rest = facts.join(copies, key, "left_anti").join(found, key, "left_anti").unionByName(short).unionByName(nameless)
     same = rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans"))
     return changed.unionByName(copied).unionByName(same)
 

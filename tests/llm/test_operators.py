@@ -84,19 +84,36 @@ def test_substring_dedup(docs, texts, empty, hot):
     assert dedup_windows(empty).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "part"), [(200_000, 1 << 20), (30, 500)])
-def test_suffix_dedup(docs, texts, empty, hot, part):
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in dedup_bytes(docs, hot=hot, part=part).collect()}
+@pytest.mark.parametrize(("hot", "part", "held"), [(200_000, 1 << 20, 1 << 23), (30, 500, 1 << 10), (200_000, 1 << 20, 1 << 10)])
+def test_suffix_dedup(docs, texts, empty, hot, part, held):
+    """The last case sorts parts a thousand times as large as what a queue holds in memory."""
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in dedup_bytes(docs, hot=hot, part=part, held=held).collect()}
     assert got == brute.byte_strings(texts)
     assert dedup_bytes(empty).count() == 0
 
 
-def test_induced_sort():
+@pytest.mark.parametrize("most", [1 << 15, 7])
+def test_induced_sort(monkeypatch, most):
+    """Order and shared characters, in memory and from files, with small batches and name buckets; queues do spill."""
+    monkeypatch.setattr(induced_sort, "BATCH", most)
+    monkeypatch.setattr(induced_sort, "NAMES", most)
+    spilled = []
+    push = induced_sort.Buckets.push
+    monkeypatch.setattr(induced_sort.Buckets, "push", lambda self, *a: (push(self, *a), spilled.append(self.spilled))[0])
     rng = np.random.default_rng(0)
-    for n, k in ((1, 3), (50, 2), (800, 3), (900, 1), (700, 40)):
-        s = np.append(rng.integers(1, k + 1, n), 0)
-        raw = s.astype(np.uint8).tobytes()
-        assert induced_sort.suffix_order(s, held=64).tolist() == sorted(range(n + 1), key=lambda i: raw[i:])
+    for n, k in ((1, 3), (2, 1), (50, 2), (800, 3), (900, 1), (700, 40), (2500, 2)):
+        s = np.append(rng.integers(1, k + 1, n), 0).astype(np.uint8)
+        if n == 800:
+            s[:-1] = np.tile(s[:100], 8)
+        raw = s.tobytes()
+        want = sorted(range(n + 1), key=lambda i: raw[i:], reverse=True)
+        for held in (64, 1 << 20):
+            assert induced_sort.suffix_order(s, held).tolist() == want[::-1]
+            rows = np.concatenate(list(induced_sort.sorted_suffixes(s, 50, held)))
+            assert (rows >> induced_sort.BITS).tolist() == want
+            for a, b, x in zip(want, want[1:], rows[1:].tolist(), strict=False):
+                assert min(len(os.path.commonprefix([raw[a:], raw[b:]])), 50) == min(x & induced_sort.LOW, 50)
+    assert max(spilled) > 0
 
 
 @pytest.mark.parametrize("cell", [1024, 3])
