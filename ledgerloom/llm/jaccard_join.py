@@ -1,21 +1,25 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-The Jaccard distance 1 - J is a metric, so a pair at distance at most r lies within r of each other's distance to any
-pivot. Distances to a random pivot are almost always 1 and tell nothing, so regions are seeded where they do tell:
-documents that share one of their rarest shingles. Two sets with J >= t must share one of their first
-n - ceil(t n) + 1 shingles in any fixed order of all shingles; ordering by rarity keeps these regions small.
+The Jaccard distance 1 - J is a metric. Pivots that are whole documents do not divide it: two texts that are not copies are at
+distance 1, or nearly, so every text lies within the triangle window of every such pivot (README has figures). Pivots are therefore
+small sets of the corpus' own shingles. A set of n shingles is at distance 1 - k / n from a pivot of k of them and at 1 from pivots
+that it shares nothing with, so its nearest pivots of one shingle are its own; ties go to the rarer shingle, and its Voronoi region is
+that of its rarest one. A set y within distance r = 1 - t of x overlaps it in at least t n shingles, so in any fixed order of all
+shingles both must hold one pivot among their first n - ceil(t n) + 1: that is the window in which boundary documents are replicated.
 
 1. ``profiles``: one scan gives each document's set size, a 128-bit set identity, and its distances to virtual pivots
    (how many of its shingles fall in each slice of the hash space: a bound on the symmetric difference), and
    counts all shingles in 2**16 bins, so that the order of rarity covers every document.
 2. Equal sets are one class, stood for by the smallest doc_id.
-3. ``regions``: a second scan sends (prefix shingle, document) to the shingle's region; the smallest document there is the
-   pivot. A region is streamed in order, so a hot one needs no more memory than a cold one.
-4. Every member is held against its region's pivot exactly. Members within the limit belong to the pivot's component, so
+3. ``regions``: a second scan sends (pivot, document) for every pivot of the window; the smallest document there is the
+   region's centre. A region is streamed in order, so a hot one needs no more memory than a cold one.
+4. Every member is held against its region's centre exactly. Members within the limit belong to the centre's component, so
    no pairs among them are needed.
-5. Only pairs of different components can still add links. Regions that hold several components are joined again: window
-   on size, window on the distance to the pivot (triangle inequality), bound from the virtual pivots. Large regions are
-   cut in cells that join recursively, each cell pair in its own task, and what is left is compared exactly.
+5. Only pairs of different components can still add links. Regions of several components with over ``CELL`` members are divided
+   again: sets that overlap so much share at least l of their first n - ceil(t n) + l shingles, so pivots of l shingles, those of the
+   region and one more, divide it without loss; and so on, ``LEVELS`` times. Regions are then joined: window on size, window on the
+   distance to the centre (triangle inequality), bound from the virtual pivots, and what is left is compared exactly. What no pivots
+   divide is dealt out in cells of pairs of blocks.
 
 Set elements are 64-bit hashes of shingles; sets are compared element by element.
 
@@ -28,6 +32,7 @@ the limit is a link; rows in are rows out; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import keep, named, on_rows
+from .store import keep, named, on_rows, small
 from .textkit import SPACES, Texts, Words, grams, mix, signed, texts
 
 WORDS, PERCENT = 4, 85
@@ -45,8 +50,10 @@ LEAST_SLICES, MOST_SLICES = 64, 8192
 SKETCH = 256
 #: Bins of the shingle counts that order shingles by rarity.
 BINS = 16
-#: Members of a region that one task compares; larger regions are cut in cells of about this many.
-CELL = 1024
+#: Members of a region that one task compares; larger regions are divided by larger pivots, so many times at most.
+CELL, LEVELS = 1024, 5
+#: Pairs of one document that a task compares.
+PAIRS = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -152,6 +159,23 @@ def _prefixes(k: int, percent: int, level: np.ndarray):
     return task
 
 
+def _windows(k: int, percent: int, level: np.ndarray, more: int):
+    """(doc_id, tokens): each document's rarest shingles, ``more`` beyond the window of pivots of one, the rarest first."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _get(batch, "doc_id")
+            for t in texts(_get(batch, "text")):
+                tokens = []
+                for s in shingle_sets(t, k):
+                    key = np.sort((level[(s >> np.uint64(64 - BINS)).astype(np.int64)] << np.uint64(56)) | (mix(s) >> np.uint64(8)))
+                    tokens.append(signed(key[: prefix_length(len(s), percent) + more]))
+                yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
+
+    return task
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (token, doc_id) to the rows of regions with several documents, each with the region's pivot."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("pivot", pa.int64())])
@@ -198,39 +222,78 @@ def _possible(percent: int):
 
 
 def _compare(k: int):
-    """Rows (a, b, text_a, text_b) to exact (a, b, both, either)."""
+    """Rows sorted by (b, salt, a), the text of b ahead (a null), to exact (a, b, both, either)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held = None
         for batch in batches:
-            a, b = np.asarray(_get(batch, "a")), np.asarray(_get(batch, "b"))
-            text_b = _get(batch, "text_b")
-            for t in texts(_get(batch, "text_a")):
-                both, either = [], []
+            a, b = _get(batch, "a").to_pylist(), np.asarray(_get(batch, "b"))
+            for t in texts(_get(batch, "text")):
+                rows, both, either = [], [], []
                 for i, s in enumerate(shingle_sets(t, k)):
                     r = t.first + i
-                    if b[r] != last:
-                        last, held = b[r], shingle_sets(next(texts(text_b.slice(r, 1))), k)[0]
+                    if a[r] is None:
+                        held = s
+                        continue
                     x = np.sort(np.concatenate([s, held]))
+                    rows.append(r)
                     both.append(int((x[1:] == x[:-1]).sum()))
                     either.append(len(x) - both[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(a[t.first : t.first + t.n]), pa.array(b[t.first : t.first + t.n]), pa.array(both, pa.int64()), pa.array(either, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([a[r] for r in rows], pa.int64()), pa.array(b[rows] if rows else [], pa.int64()), pa.array(both, pa.int64()), pa.array(either, pa.int64())], schema=schema)
 
     return task
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact set comparison of candidate pairs (a, b) that the bounds allow."""
+    """Exact set comparison of candidate pairs (a, b) that the bounds allow. One text a pair travels, and one for up to ``PAIRS`` pairs of b."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("slices").alias(f"v_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     left = keep(sized.mapInArrow(_possible(percent), "a long, b long"))
-    ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    whole = keep(docs.join(ids, "doc_id", "left_semi"))
-    both = left.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    salts = keep(left.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts")))
+    hot = small(keep(salts.where("salts > 1")))
+    salted = left.join(hot, "b", "left").select("a", "b", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("salts"))).cast("int").alias("salt"))
+    ids = small(keep(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()))
+    whole = keep(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"))
+    one = salted.join(whole.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "b", "salt", "text")
+    centre = whole.select(F.col("doc_id").alias("b"), "text").join(salts, "b").select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = one.unionByName(centre).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
     return keep(both.mapInArrow(_compare(k), "a long, b long, both long, either long"))
 
 
+def _mixed(members: DataFrame, region: str) -> DataFrame:
+    """Regions that hold several components, with their size; of regions of the same documents one."""
+    who = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
+    mixed = members.groupBy(region).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), *who).where("lo < hi")
+    return keep(mixed.groupBy("members", "who1", "who2").agg(F.min(region).alias(region)).select(region, "members"))
+
+
+def _divided(members: DataFrame, docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
+    """``members`` (token, doc_id, pivot, component, n) of regions of several components with their size, large ones divided by pivots of more
+    shingles: region, token, doc_id, pivot (null beyond the first division), component, n, members.
+
+    Sets that may overlap in no more shingles than the pivot has stay in the region as well: a larger pivot would lose them.
+    """
+    first = _mixed(members, "token")
+    rows = members.join(first, "token").withColumn("region", F.col("token"))
+    done = [rows.where(F.col("members") <= CELL)]
+    big = keep(rows.where(F.col("members") > CELL).withColumn("own", F.array("token")))
+    for more in range(1, LEVELS):
+        if big.isEmpty():
+            return reduce(DataFrame.unionByName, [d.drop("own") for d in done])
+        done.append(big.where(F.ceil(F.col("n") * percent / 100) <= F.size("own")))
+        inside = docs.join(small(keep(big.select("doc_id").distinct())), "doc_id", "left_semi")
+        wide = inside.mapInArrow(_windows(k, percent, level, more), "doc_id long, tokens array<long>")
+        each = big.drop("members").join(wide, "doc_id").withColumn("next", F.explode(F.array_except("tokens", "own")))
+        each = each.withColumn("own", F.array_sort(F.array_union("own", F.array("next")))).withColumn("region", F.xxhash64("own")).drop("next", "tokens")
+        each = keep(each.withColumn("pivot", F.lit(None).cast("long")).dropDuplicates(["region", "doc_id"]))
+        rows = each.join(_mixed(each, "region"), "region")
+        done.append(rows.where(F.col("members") <= CELL))
+        big = keep(rows.where(F.col("members") > CELL))
+    return reduce(DataFrame.unionByName, [d.drop("own") for d in [*done, big]])
+
+
 def _cells(percent: int):
     """Rows sorted by (token, cell, n): pairs of different components that every bound allows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -308,18 +371,15 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     linked = lambda df: df.where(f"100 * both >= {percent} * either").select("a", "b")
     comps = keep(components(linked(star)))
     members = stand(stand(region, "doc_id"), "pivot").distinct()
-    members = members.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = members.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(reps.select("doc_id", "n"), "doc_id")
     members = keep(members)
-    who = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
-    mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), *who).where("lo < hi")
-    mixed = mixed.groupBy("members", "who1", "who2").agg(F.min("token").alias("token")).select("token", "members")  # regions of the same documents once
-    rows = members.join(mixed, "token").join(reps.select("doc_id", "n", "sketch"), "doc_id")
+    rows = _divided(members, docs, k, percent, level).join(reps.select("doc_id", "sketch"), "doc_id")
     rows = rows.join(star.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "both", "either"), ["doc_id", "pivot"], "left")
     blocks = F.ceil(F.col("members") / CELL).cast("long")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    cells = rows.select("token", "cell", "block", "doc_id", "component", "n", "sketch", "both", "either")
+    cells = rows.select(F.col("region").alias("token"), "cell", "block", "doc_id", "component", "n", "sketch", "both", "either")
     more = cells.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(_cells(percent), "a long, b long").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = _verified(more.join(known, ["a", "b"], "left_anti"), reps, docs, k, percent)

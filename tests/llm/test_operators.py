@@ -124,6 +124,37 @@ def test_jaccard_join(monkeypatch, docs, texts, empty, cell):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("k", [4, 1])
+def test_jaccard_division(monkeypatch, spark, k):
+    """Large regions divided five times: common shingles in all texts, small sets, chains of near copies; against all pairs."""
+    monkeypatch.setattr(jaccard_join, "CELL", 2)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 3)
+    rng = np.random.default_rng(k)
+    common = [f"c{j}" for j in range(8)]
+    rows, base = [], [f"w{j}" for j in range(40)]
+    for i in range(40):
+        text = list(common) + [f"x{rng.integers(0, 12)}" for _ in range(int(rng.integers(0, 4)))]
+        if i % 4 == 0:
+            base[int(rng.integers(0, 40))] = f"e{i}"
+            text = list(base)
+        rows.append((i, " ".join(text)))
+    sets = {i: brute.shingles(t, k) for i, t in rows}
+    top = list(range(40))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(40):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=80).collect()}
+    assert got == {i: (len(sets[i]), root(i)) for i in range(40)}
+
+
 def test_pipeline_near_duplicates(spark):
     """Two of 100 words changed: 5-word Jaccard 86/106 is a copy for the stage, 4-word 89/105 is none for op7."""
     from corpus_pipeline import near_duplicate_stage
