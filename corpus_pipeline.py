@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, n-gram Jaccard join, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the columns
-of documents. Rows are told apart by doc_id; a repeated doc_id shares its verdict.
+of documents.
+
+Defined cases: null or empty texts fail the quality rules; rows of one doc_id are judged by their own texts, but for near copies they
+are one document; of rows with equal doc_id and text one stays; a null doc_id is a document like another; a very long text is
+judged whole; at a limit, each operator's docstring says which side; empty tables give no rows; extra columns go through to the
+stage before packing.
 """
 
 from __future__ import annotations
@@ -26,8 +31,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the smallest doc_id."""
-    return without(docs, jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id != component_id"))
+    """One document of each group of linked documents: the smallest doc_id; of rows that are equal in doc_id and text, one."""
+    found = jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    kept = without(docs, found.where("component_id is not null and not (doc_id <=> component_id)"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no tokenizer; the operators of the stages are tested against plain versions (the whole run has no such test yet).
+#: SQL has no tokenizer; the whole run is tested against plain code (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
