@@ -42,11 +42,16 @@ def closest_subset(targets: DataFrame, rows: DataFrame, key: str, most: int = 60
     return solved.select(key, (-best["v"] / 100).cast(MONEY).alias("sum"), status.alias("status"))
 
 
-def batch_reason(lines: DataFrame, metrics: DataFrame, keyword) -> DataFrame:
-    """Why a line looks like a batch: a keyword, or four same-day documents that cover 90 percent of it."""
+def batch_reason(lines: DataFrame, metrics: DataFrame, keyword, predicted: DataFrame | None = None, documents: int = 4, coverage: int = 90) -> DataFrame:
+    """Why a line looks like a batch: a keyword, the model (``predicted``: id, is_batch, as ``learning.predict_batch`` gives), or so many
+    same-day documents that cover so much percent of it."""
     rows = lines.join(metrics, "line_id", "left")
-    enough = (F.coalesce("documents", F.lit(0)) >= 4) & (F.coalesce("coverage", F.lit(0)) >= 90)
-    return rows.select("line_id", F.when(keyword, "keyword").when(enough, "coverage").alias("reason"))
+    told = F.lit(False)
+    if predicted is not None:
+        rows = rows.join(predicted.select(F.col("id").alias("line_id"), F.col("is_batch").alias("_model")), "line_id", "left")
+        told = F.coalesce("_model", F.lit(False))
+    enough = (F.coalesce("documents", F.lit(0)) >= documents) & (F.coalesce("coverage", F.lit(0)) >= coverage)
+    return rows.select("line_id", F.when(keyword, "keyword").when(told, "model").when(enough, "coverage").alias("reason"))
 
 
 def draft_invoices(lines: DataFrame, invoices: DataFrame) -> DataFrame:

@@ -281,3 +281,8 @@ def anchor_valid(feeds: DataFrame, tx: DataFrame, lines: DataFrame) -> DataFrame
     alone = owned.join(tx.where("status = 'imported'").select("feed_id", "line_id"), ["feed_id", "line_id"], "left_anti").select("feed_id")
     refused = wrong.union(twice).union(alone).distinct().withColumn("_no", F.lit(True))
     return feeds.join(refused, "feed_id", "left").select("feed_id", (F.coalesce(head, F.lit(False)) & F.col("_no").isNull()).alias("valid"))
+
+
+def pending_totals(rows: DataFrame, valid: Column) -> DataFrame:
+    """account_id, bad_dates, bad_amounts, and the total of the pending rows; null where any of them is not valid."""
+    return rows.groupBy("account_id").agg(F.count_if(F.col("operation_date").isNull()).alias("bad_dates"), F.count_if(F.col("amount") == 0).alias("bad_amounts"), F.when(F.bool_and(valid), F.sum("amount")).cast(MONEY).alias("pending_total"))

@@ -240,3 +240,47 @@ def undo_batches(members: DataFrame, lines: DataFrame) -> DataFrame:
     """Batch members (line_id, ledger_id, active) with those of the given lines inactive; nothing is deleted."""
     undone = lines.select("line_id").distinct().withColumn("_u", F.lit(True))
     return members.join(undone, "line_id", "left").withColumn("active", F.col("active") & F.col("_u").isNull()).drop("_u").select(*members.columns)
+
+
+def worklist_counts(states: DataFrame) -> DataFrame:
+    """One row of counts of ``state``: pending (drafts too), draft, reconciled, review, every."""
+    s = F.col("state")
+    return states.agg(F.count_if(s.isin("pending", "registered")).alias("pending"), F.count_if(s == "registered").alias("draft"), F.count_if(s == "reconciled").alias("reconciled"), F.count_if(s == "review").alias("review"), F.count("*").alias("every"))
+
+
+def history_summary(lines: DataFrame) -> DataFrame:
+    """Reconciled lines by currency: how many, how many linked, credits and debits."""
+    zero = F.lit(0).cast(MONEY)
+    return lines.where("status = 2").groupBy("currency").agg(F.count("*").alias("n"), F.count("linked_ledger_id").alias("linked"), F.sum(F.greatest("amount", zero)).cast(MONEY).alias("credit"), F.sum(F.least("amount", zero)).cast(MONEY).alias("debit"))
+
+
+def feed_history_range(tx: DataFrame, day: str, since: str, until: str) -> DataFrame:
+    """First and last day of each account's transactions, widened to the range asked for."""
+    e = tx.groupBy("account_id").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    return e.select("account_id", F.least("lo", F.lit(since).cast("date")).alias("first_day"), F.greatest("hi", F.lit(until).cast("date")).alias("last_day"))
+
+
+def missing_connections(accounts: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Open accounts without a feed, by entity."""
+    return accounts.where("not closed").join(feeds.select("account_id"), "account_id", "left_anti").groupBy("entity").agg(F.count("*").alias("missing"))
+
+
+def feed_account_status(accounts: DataFrame, tx: DataFrame) -> DataFrame:
+    """Open accounts with the balance, number and last day of their transactions (account_id, amount, day)."""
+    e = tx.groupBy("account_id").agg(F.sum("amount").cast(MONEY).alias("balance"), F.count("*").alias("n"), F.max("day").alias("last_day"))
+    return accounts.where("not closed").join(e, "account_id", "left").select("account_id", "label", "balance", F.coalesce("n", F.lit(0)).alias("n"), "last_day")
+
+
+def repeated_identities(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in several rows, and how many."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def hash_mismatches(rows: DataFrame, key: str, stored: Column, now: Column) -> DataFrame:
+    """Keys whose stored hash does not follow from their facts any more."""
+    return rows.where(~stored.eqNullSafe(now)).select(key)
+
+
+def payload_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows and total of a payload value by kind."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0)).alias("total"))

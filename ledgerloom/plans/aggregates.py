@@ -51,14 +51,12 @@ def a5_status_counts(spark, sf_dir):
 
 @query(f"with {STATE} select count(*) filter (state in ('pending', 'registered')) as pending, count(*) filter (state = 'registered') as draft, count(*) filter (state = 'reconciled') as reconciled, count(*) filter (state = 'review') as review, count(*) as every from states")
 def a6_worklist_counts(spark, sf_dir):
-    s = F.col("state")
-    return states(spark, sf_dir).agg(F.count_if(s.isin("pending", "registered")).alias("pending"), F.count_if(s == "registered").alias("draft"), F.count_if(s == "reconciled").alias("reconciled"), F.count_if(s == "review").alias("review"), F.count("*").alias("every"))
+    return A.worklist_counts(states(spark, sf_dir))
 
 
 @query("select 'EUR' as currency, count(*) as n, count(linked_ledger_id) as linked, cast(sum(greatest(amount, 0)) as decimal(18,2)) as credit, cast(sum(least(amount, 0)) as decimal(18,2)) as debit from lines where status = 2")
 def a7_history_summary(spark, sf_dir):
-    zero = F.lit(0).cast(M)
-    return W.lines(spark, sf_dir).where("status = 2").groupBy(F.lit("EUR").alias("currency")).agg(F.count("*").alias("n"), F.count("linked_ledger_id").alias("linked"), F.sum(F.greatest("amount", zero)).cast(M).alias("credit"), F.sum(F.least("amount", zero)).cast(M).alias("debit"))
+    return A.history_summary(W.lines(spark, sf_dir).withColumn("currency", F.lit("EUR")))
 
 
 @query("select o_custkey, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as priorities from orders group by 1", base=False)
@@ -89,5 +87,5 @@ def a14_audit_retention(spark, sf_dir):
 
 @query("select user_id % 25 + 1 as account_id, least(min(cast(ts as date)), date '2024-01-10') as first_day, greatest(max(cast(ts as date)), date '2024-01-20') as last_day from events group by 1", base=False)
 def a15_feed_history_range(spark, sf_dir):
-    e = W.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 25 + 1).alias("account_id")).agg(F.min(F.col("ts").cast("date")).alias("lo"), F.max(F.col("ts").cast("date")).alias("hi"))
-    return e.select("account_id", F.least("lo", F.lit("2024-01-10").cast("date")).alias("first_day"), F.greatest("hi", F.lit("2024-01-20").cast("date")).alias("last_day"))
+    e = W.table(spark, sf_dir, "events").select((F.col("user_id") % 25 + 1).alias("account_id"), F.col("ts").cast("date").alias("day"))
+    return A.feed_history_range(e, "day", "2024-01-10", "2024-01-20")

@@ -115,7 +115,7 @@ def r6_detail_rows(spark, sf_dir):
 @query("""select account_id, count(*) filter (operation_date is null) as bad_dates, count(*) filter (amount = 0) as bad_amounts, case when bool_or(line_id % 12347 = 0) then null else cast(sum(amount) as decimal(18,2)) end as pending_total from lines where status < 2 group by 1""")
 def r13_validity_and_total(spark, sf_dir):
     rows = W.lines(spark, sf_dir).where("status < 2")
-    return rows.groupBy("account_id").agg(F.count_if(F.col("operation_date").isNull()).alias("bad_dates"), F.count_if(F.col("amount") == 0).alias("bad_amounts"), F.when(~F.bool_or(F.col("line_id") % 12347 == 0), F.sum("amount")).cast(M).alias("pending_total"))
+    return R.pending_totals(rows, F.col("line_id") % 12347 != 0)
 
 
 OFFICIAL = "official as (select account_id, start_date, cast(case when account_id % 4 = 1 then 0 else 100000 end as decimal(18,2)) as official from openings)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import matching as J
+from ..operators import selection as S
 from ..operators import summaries as A
 from . import views as W
 from .matches import SCORED, scored
@@ -22,8 +23,7 @@ def u1_unite_generations(spark, sf_dir):
 
 @query("select ledger_id from ledger where reconciled and ledger_id not in (select linked_ledger_id from lines where linked_ledger_id is not null)")
 def u4_unclaimed_reconciled(spark, sf_dir):
-    claimed = W.lines(spark, sf_dir).select(F.col("linked_ledger_id").alias("ledger_id"))
-    return W.ledger(spark, sf_dir).where("reconciled").join(claimed, "ledger_id", "left_anti").select("ledger_id")
+    return S.unbacked_ledger(W.ledger(spark, sf_dir), W.lines(spark, sf_dir)).select("ledger_id")
 
 
 def _import(spark, sf_dir):
@@ -64,7 +64,7 @@ def x3_statement_refs(spark, sf_dir):
 @query("select line_id, count(*) as n from (select line_id from lines union all select line_id from lines where line_id % 900 = 10) group by 1 having count(*) > 1")
 def x4_repeated_identities(spark, sf_dir):
     l = W.lines(spark, sf_dir).select("line_id")  # noqa: E741
-    return l.unionByName(l.where("line_id % 900 = 10")).groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1")
+    return A.repeated_identities(l.unionByName(l.where("line_id % 900 = 10")), "line_id")
 
 
 @query("""with v as (select 'orphan_links' as what, count(*) filter (linked_ledger_id is not null and linked_ledger_id not in (select ledger_id from ledger)) as n from lines
@@ -76,11 +76,7 @@ def k1_diagnostics(spark, sf_dir):
 
 @query("select line_id from lines l join accounts a using (account_id) left join openings o using (account_id) where closed or not reconcilable or coalesce(operation_date < start_date, false)")
 def k2_scope_violations(spark, sf_dir):
-    from ..operators.selection import historical
-
-    bad = W.accounts(spark, sf_dir).where("closed or not reconcilable").select("account_id", F.lit(True).alias("bad"))
-    rows = historical(W.lines(spark, sf_dir), W.openings(spark, sf_dir), "operation_date").join(bad, "account_id", "left")
-    return rows.where("bad or historical").select("line_id")
+    return S.scope_violations(W.lines(spark, sf_dir), W.accounts(spark, sf_dir), W.openings(spark, sf_dir)).select("line_id")
 
 
 @query("select event_id from events where event_id % 50 = 3", base=False)
@@ -89,7 +85,7 @@ def k3_feed_evidence(spark, sf_dir):
     e = W.table(spark, sf_dir, "events")
     stored = V.financial_hash(F.col("value") + F.when(F.col("event_id") % 50 == 3, 1).otherwise(0), F.col("ts").cast("date"), F.lit("EUR"))
     now = V.financial_hash("value", F.col("ts").cast("date"), F.lit("EUR"))
-    return e.where(stored != now).select("event_id")
+    return A.hash_mismatches(e, "event_id", stored, now)
 
 
 @query("select line_id, case when line_id % 11 = 0 then 'removed' else 'changed' end as change from lines where line_id % 11 = 0 or line_id % 13 = 0 union all select -line_id, 'added' from lines where line_id % 17 = 0")
@@ -108,7 +104,7 @@ def k6_retention_split(spark, sf_dir):
 @query("select event_type, count(*) as n, cast(sum(coalesce(cast(json_extract_string(props, '$.k') as bigint), 0)) as bigint) as total from events group by 1", base=False)
 def k7_payload_summary(spark, sf_dir):
     e = W.table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
+    return A.payload_summary(e, "event_type", "k")
 
 
 OUTCOME = f"""{SCORED}, m as (select line_id, doc_id as ledger_id, score from ranks where rank = 1),
@@ -134,10 +130,8 @@ def t1_lines_after(spark, sf_dir):
 
 @query("select line_id, case when u then 0 else status end as status, case when not u then linked_ledger_id end as linked_ledger_id from (select l.*, l.line_id % 30 = 0 and coalesce(operation_date >= start_date, true) as u from lines l left join openings using (account_id))")
 def t2_undo_matches(spark, sf_dir):
-    from ..operators.selection import historical
-
     l = W.lines(spark, sf_dir)  # noqa: E741
-    old = historical(l, W.openings(spark, sf_dir), "operation_date").where("historical")
+    old = S.historical(l, W.openings(spark, sf_dir), "operation_date").where("historical")
     return A.undo_matches(l, l.where("line_id % 30 = 0"), old).select("line_id", "status", "linked_ledger_id")
 
 
@@ -149,13 +143,13 @@ def t4_delete_statements(spark, sf_dir):
 
 @query("select line_id, case when line_id % 6 = 0 and status < 2 then 3 else status end as status from lines")
 def t5_skip_lines(spark, sf_dir):
-    return W.lines(spark, sf_dir).select("line_id", F.when((F.col("line_id") % 6 == 0) & (F.col("status") < 2), 3).otherwise(F.col("status")).alias("status"))
+    l = W.lines(spark, sf_dir)  # noqa: E741
+    return S.skip_lines(l, l.where("line_id % 6 = 0")).select("line_id", "status")
 
 
 @query("select ledger_id, not reconciled and ledger_id not in (select linked_ledger_id from lines where linked_ledger_id is not null) as movable from ledger")
 def t6_movable(spark, sf_dir):
-    held = W.lines(spark, sf_dir).where("linked_ledger_id is not null").select(F.col("linked_ledger_id").alias("ledger_id"), F.lit(True).alias("held"))
-    return W.ledger(spark, sf_dir).join(held, "ledger_id", "left").select("ledger_id", (~F.col("reconciled") & F.col("held").isNull()).alias("movable"))
+    return S.movable(W.ledger(spark, sf_dir), W.lines(spark, sf_dir)).select("ledger_id", "movable")
 
 
 @query("""select -line_id as ledger_id, account_id, operation_date as booking_date, amount, case when amount < 0 then 'DEB' else 'CRE' end as operation, case when payment_reference <> '' then payment_reference else description end as label

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import summaries as A
 from ..sources.erp import shared_path
 from ..streaming import feed as N
 from . import views as W
@@ -95,10 +96,10 @@ def n5_collection_slot(spark, sf_dir):
 @query("select entity, count(*) as missing from accounts where not closed and account_id not in (select user_id % 20 + 1 from events) group by 1")
 def n7_missing_connections(spark, sf_dir):
     fed = W.table(spark, sf_dir, "events").select((F.col("user_id") % 20 + 1).alias("account_id"))
-    return W.accounts(spark, sf_dir).where("not closed").join(fed, "account_id", "left_anti").groupBy("entity").agg(F.count("*").alias("missing"))
+    return A.missing_connections(W.accounts(spark, sf_dir), fed)
 
 
 @query("select account_id, label, cast(sum(cast(value as decimal(18,2))) as decimal(18,2)) as balance, count(event_id) as n, max(cast(ts as date)) as last_day from accounts left join events on user_id % 20 + 1 = account_id where not closed group by 1, 2")
 def n8_feed_account_status(spark, sf_dir):
-    e = W.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20 + 1).alias("account_id")).agg(F.sum(F.col("value").cast(M)).cast(M).alias("balance"), F.count("*").alias("n"), F.max(F.col("ts").cast("date")).alias("last_day"))
-    return W.accounts(spark, sf_dir).where("not closed").join(e, "account_id", "left").select("account_id", "label", "balance", F.coalesce("n", F.lit(0)).alias("n"), "last_day")
+    e = W.table(spark, sf_dir, "events").select((F.col("user_id") % 20 + 1).alias("account_id"), F.col("value").cast(M).alias("amount"), F.col("ts").cast("date").alias("day"))
+    return A.feed_account_status(W.accounts(spark, sf_dir), e)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import selection as S
+from ..streaming import feed as N
 from . import views as W
 from .registry import query
 
@@ -25,9 +26,7 @@ def d1_pending_lines(spark, sf_dir):
 
 @query("select line_id from lines where contains(lower(description || ' ' || payment_reference), 'cartao') and abs(abs(amount) - 1000) <= 900 and amount < 0 and operation_date between date '1995-01-01' and date '1997-12-31'")
 def d2_line_filters(spark, sf_dir):
-    text = F.lower(F.concat_ws(" ", "description", "payment_reference"))
-    rows = W.lines(spark, sf_dir).where(F.contains(text, F.lit("cartao")) & (F.abs(F.abs("amount") - 1000) <= 900) & (F.col("amount") < 0))
-    return rows.where(F.col("operation_date").between("1995-01-01", "1997-12-31")).select("line_id")
+    return S.line_filter(W.lines(spark, sf_dir), "CARTAO", "1000", "900", -1, "1995-01-01", "1997-12-31").select("line_id")
 
 
 @query("select '>=' || 1000 as f, count(*)::bigint as n from lines where amount >= 1000 union all select '<> 2,5', count(*) from lines where amount <> 2.5 union all select 'dash', count(*) from lines where linked_ledger_id is null union all select 'bad', 0")
@@ -39,9 +38,7 @@ def d3_comparison_language(spark, sf_dir):
 
 @query("select line_id from lines where operation_date >= date '1996-03-01' and operation_date < date '1996-03-31' + interval 1 day and contains(description, '_') = false and amount > 0 and status = 0")
 def d4_statement_filter(spark, sf_dir):
-    rows = W.lines(spark, sf_dir)
-    day = (F.col("operation_date") >= "1996-03-01") & (F.col("operation_date") < F.date_add(F.lit("1996-03-31").cast("date"), 1))
-    return rows.where(day & ~F.contains("description", F.lit("_")) & S.comparison("> 0", F.col("amount")) & (F.col("status") == 0)).select("line_id")
+    return S.statement_filter(W.lines(spark, sf_dir), "1996-03-01", "> 0", 0).where(~F.contains("description", F.lit("_"))).select("line_id")
 
 
 @query("select line_id from lines where contains(lower(description || ' ' || counterparty_name), 'pagamento') and (contains(lower(description || ' ' || counterparty_name), '12') or abs(amount) = 12.00)")
@@ -76,29 +73,23 @@ def d10_line_state(spark, sf_dir):
 
 @query(f"with {STATE} select line_id, case when state in ('review', 'reconciled') then state when state = 'registered' then 'draft' when not closed and reconcilable then 'pending' end as worklist from states join accounts using (account_id)")
 def d11_worklist_status(spark, sf_dir):
-    rows = states(spark, sf_dir).join(W.accounts(spark, sf_dir).select("account_id", "closed", "reconcilable"), "account_id")
-    gate = ~F.col("closed") & F.col("reconcilable")
-    return rows.select("line_id", F.when(F.col("state").isin("review", "reconciled"), F.col("state")).when(F.col("state") == "registered", "draft").when(gate, "pending").alias("worklist"))
+    return S.worklist_status(states(spark, sf_dir), W.accounts(spark, sf_dir)).select("line_id", "worklist")
 
 
 @query("select line_id, g.ledger_id is null or not g.reconciled or l.amount <> g.amount as needs_review from lines l left join ledger g on g.ledger_id = l.linked_ledger_id where l.status = 2")
 def d12_history_needs_review(spark, sf_dir):
-    g = W.ledger(spark, sf_dir).select(F.col("ledger_id").alias("linked_ledger_id"), F.col("amount").alias("a"), "reconciled")
-    rows = W.lines(spark, sf_dir).where("status = 2").join(g, "linked_ledger_id", "left")
-    return rows.select("line_id", (F.col("a").isNull() | ~F.col("reconciled") | (F.col("amount") != F.col("a"))).alias("needs_review"))
+    return S.history_needs_review(W.lines(spark, sf_dir), W.ledger(spark, sf_dir)).select("line_id", "needs_review")
 
 
 @query("select ledger_id from ledger g where reconciled and exists (select 1 from lines l where l.linked_ledger_id = g.ledger_id)")
 def d13_matched_ledger(spark, sf_dir):
-    backed = W.lines(spark, sf_dir).where("linked_ledger_id is not null").select(F.col("linked_ledger_id").alias("ledger_id"))
-    return W.ledger(spark, sf_dir).where("reconciled").join(backed, "ledger_id", "left_semi").select("ledger_id")
+    return S.matched_ledger(W.ledger(spark, sf_dir), W.lines(spark, sf_dir)).select("ledger_id")
 
 
 @query("""select user_id % 25 + 1 as account_id, case when max(ts) < timestamp '2024-06-01 00:00:00' - interval 36 hour then 'stale' else 'ready' end as state from events group by 1""", base=False)
 def d14_feed_state(spark, sf_dir):
     e = W.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 25 + 1).alias("account_id")).agg(F.max("ts").alias("last"))
-    limit = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz") - F.expr("interval 36 hours")
-    return e.select("account_id", F.when(F.col("last").cast("timestamp_ntz") < limit, "stale").otherwise("ready").alias("state"))
+    return N.freshness(e, "last", "2024-06-01 00:00:00").select("account_id", "state")
 
 
 KIND = "case ledger_id % 4 when 0 then 'native_bank' when 1 then 'payment' when 2 then 'supplier_invoice' else 'tax' end"
@@ -113,20 +104,20 @@ def d15_direction_compatible(spark, sf_dir):
 
 @query("select line_id, case when amount < 0 then 'payment' else 'receipt' end as nature, strftime(operation_date, '%Y-%m') as origin_month from lines")
 def d16_nature_and_month(spark, sf_dir):
-    return W.lines(spark, sf_dir).select("line_id", F.when(F.col("amount") < 0, "payment").otherwise("receipt").alias("nature"), F.date_format("operation_date", "yyyy-MM").alias("origin_month"))
+    return S.nature_and_month(W.lines(spark, sf_dir)).select("line_id", "nature", "origin_month")
 
 
 @query("select distinct account_id, label from accounts a where exists (select 1 from lines l where l.account_id = a.account_id)")
 def d22_statement_accounts(spark, sf_dir):
-    return W.accounts(spark, sf_dir).join(W.lines(spark, sf_dir).select("account_id"), "account_id", "left_semi").select("account_id", "label")
+    return S.statement_accounts(W.accounts(spark, sf_dir), W.lines(spark, sf_dir)).select("account_id", "label")
 
 
 @query("select account_id, line_id, linked_ledger_id, row_number() over (partition by account_id order by linked_ledger_id nulls last, operation_date nulls last, line_id) as position from lines")
 def o1_stable_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     order = S.stable_order("linked_ledger_id", "operation_date", tiebreak="line_id")
-    return W.lines(spark, sf_dir).select("account_id", "line_id", "linked_ledger_id", F.row_number().over(Window.partitionBy("account_id").orderBy(*order)).alias("position"))
+    link, day = F.col("linked_ledger_id"), F.col("operation_date")
+    coarse = [link.isNull(), F.floor(link / 4096), F.when(link.isNull(), F.coalesce(day, F.lit("9999-12-31").cast("date")))]
+    return S.positions(W.lines(spark, sf_dir), ["account_id"], coarse, order).select("account_id", "line_id", "linked_ledger_id", "position")
 
 
 @query("select * from (select account_id, line_id, amount, row_number() over (partition by account_id order by abs(amount) desc, line_id) as rank from lines) where rank <= 5")
@@ -136,13 +127,11 @@ def o2_top_k(spark, sf_dir):
 
 @query("select statement_id, line_id, row_number() over (partition by account_id order by operation_date desc nulls last, statement_id desc, line_id desc) as position from lines")
 def o3_statement_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("account_id").orderBy(F.col("operation_date").desc_nulls_last(), F.desc("statement_id"), F.desc("line_id"))
-    return W.lines(spark, sf_dir).select("statement_id", "line_id", F.row_number().over(w).alias("position"))
+    far = F.coalesce(-F.datediff("operation_date", F.lit("1970-01-01").cast("date")), F.lit(1 << 30))
+    return S.positions(W.lines(spark, sf_dir), ["account_id"], [far], [F.desc("statement_id"), F.desc("line_id")]).select("statement_id", "line_id", "position")
 
 
 @query("""select account_id, line_id, n < total as more from (select account_id, line_id, row_number() over (partition by account_id order by operation_date, line_id) as n, count(*) over (partition by account_id) as total from lines)
  where n between 101 and 150 and n <= 150""")
 def o4_page(spark, sf_dir):
-    return S.page(W.lines(spark, sf_dir), [F.asc("operation_date"), F.asc("line_id")], 50, 2, ["account_id"]).select("account_id", "line_id", "more")
+    return S.page_of(W.lines(spark, sf_dir), ["account_id"], [F.col("operation_date")], [F.asc("line_id")], 50, 2).select("account_id", "line_id", "more")
