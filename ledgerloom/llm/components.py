@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import forget, keep
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = keep(small.where("a != b").distinct())
         after = _sign(step)
         if after == sign:
+            forget(step)
             break
+        forget(now)
         now, sign = step, after
     least = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))

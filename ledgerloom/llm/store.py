@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under the folder in ``spark.checkpoint.dir``; a temporary folder where that is unset (tests)."""
+    """A new path under the folder in ``spark.checkpoint.dir``; a temporary folder where that is unset and the master local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
         root = "file://" + tempfile.mkdtemp(prefix="spark-ll-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ll-{uuid.uuid4().hex}"
@@ -36,13 +40,40 @@ def bound_batches(spark: SparkSession) -> None:
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it.
 
-    The tables lie below ``spark.checkpoint.dir``; results read them lazily, so they go when their owner clears that folder.
+    Results read the tables lazily, so an operator leaves them below ``spark.checkpoint.dir``; who keeps its result can do so in
+    ``only_last``.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    for made in _SCOPES:
+        made.append(table)
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def only_last() -> Iterator[None]:
+    """Of the tables kept inside, leave the last one: for work whose result is kept itself."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+    forget(*made[:-1])
 
 
 #: Bytes (values and 32 a row for the hash table) that are broadcast at most.
