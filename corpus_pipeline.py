@@ -19,7 +19,7 @@ from ledgerloom.llm.jaccard_join import jaccard_components
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.personal_data import redact
 from ledgerloom.llm.quality_rules import cleaned
-from ledgerloom.llm.store import keep, without
+from ledgerloom.llm.store import keep, only_last, without
 
 #: Near copies of the pipeline share this percentage of their runs of so many words; op7_jaccard_join has bounds of its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -70,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        with only_last():
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
