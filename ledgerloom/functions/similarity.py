@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+
 #: Characters of each text that are compared, and the ratio of lengths beyond which texts are unlike.
 COMPARED, RATIO = 50, 3
 
