@@ -31,7 +31,7 @@ def bound_batches(spark: SparkSession) -> None:
 
     A bound that the user has set stays.
     """
-    for key, default, value in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", (None, "-1", str(2**31 - 1), str(256 << 20), "256MB", "256m"), BATCH_BYTES)):
+    for key, default, value in (("maxRecordsPerBatch", (None, "10000"), BATCH_ROWS), ("maxBytesPerBatch", (None,), BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key, None) in default:
             spark.conf.set(key, str(value))
