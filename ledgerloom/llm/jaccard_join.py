@@ -15,11 +15,11 @@ shingles both must hold one pivot among their first n - ceil(t n) + 1: that is t
    region's centre. A region is streamed in order, so a hot one needs no more memory than a cold one.
 4. Every member is held against its region's centre exactly. Members within the limit belong to the centre's component, so
    no pairs among them are needed.
-5. Only pairs of different components can still add links. Regions of several components with over ``CELL`` members are divided
+5. Only pairs of different components can still add links. Regions of several components with over ``DIVIDE`` members are divided
    again: sets that overlap so much share at least l of their first n - ceil(t n) + l shingles, so pivots of l shingles, those of the
    region and one more, divide it without loss; and so on, ``LEVELS`` times. Regions are then joined: window on size, window on the
-   distance to the centre (triangle inequality), bound from the virtual pivots, and what is left is compared exactly. What no pivots
-   divide is dealt out in cells of pairs of blocks.
+   distance to the centre (triangle inequality), bound from the virtual pivots, and what is left is compared exactly. Regions over
+   ``CELL`` members are dealt out in cells of pairs of blocks.
 
 Set elements are 64-bit hashes of shingles; sets are compared element by element.
 
@@ -50,8 +50,9 @@ LEAST_SLICES, MOST_SLICES = 64, 8192
 SKETCH = 256
 #: Bins of the shingle counts that order shingles by rarity.
 BINS = 16
-#: Members of a region that one task compares; larger regions are divided by larger pivots, so many times at most.
-CELL, LEVELS = 1024, 5
+#: Members of a region that one task compares; larger regions are dealt out in cells of pairs of blocks, each member at most
+#: ``DIVIDE`` / ``CELL`` times; beyond ``DIVIDE`` members a region is divided by larger pivots, ``LEVELS`` - 1 times at most.
+CELL, DIVIDE, LEVELS = 1024, 16_384, 5
 #: Pairs of one document that a task compares.
 PAIRS = 4096
 
@@ -277,8 +278,8 @@ def _divided(members: DataFrame, docs: DataFrame, k: int, percent: int, level: n
     """
     first = _mixed(members, "token")
     rows = members.join(first, "token").withColumn("region", F.col("token"))
-    done = [rows.where(F.col("members") <= CELL)]
-    big = keep(rows.where(F.col("members") > CELL).withColumn("own", F.array("token")))
+    done = [rows.where(F.col("members") <= DIVIDE)]
+    big = keep(rows.where(F.col("members") > DIVIDE).withColumn("own", F.array("token")))
     for more in range(1, LEVELS):
         if big.isEmpty():
             return reduce(DataFrame.unionByName, [d.drop("own") for d in done])
@@ -289,8 +290,8 @@ def _divided(members: DataFrame, docs: DataFrame, k: int, percent: int, level: n
         each = each.withColumn("own", F.array_sort(F.array_union("own", F.array("next")))).withColumn("region", F.xxhash64("own")).drop("next", "tokens")
         each = keep(each.withColumn("pivot", F.lit(None).cast("long")).dropDuplicates(["region", "doc_id"]))
         rows = each.join(_mixed(each, "region"), "region")
-        done.append(rows.where(F.col("members") <= CELL))
-        big = keep(rows.where(F.col("members") > CELL))
+        done.append(rows.where(F.col("members") <= DIVIDE))
+        big = keep(rows.where(F.col("members") > DIVIDE))
     return reduce(DataFrame.unionByName, [d.drop("own") for d in [*done, big]])
 
 

@@ -128,6 +128,7 @@ def test_jaccard_join(monkeypatch, docs, texts, empty, cell):
 def test_jaccard_division(monkeypatch, spark, k):
     """Large regions divided five times: common shingles in all texts, small sets, chains of near copies; against all pairs."""
     monkeypatch.setattr(jaccard_join, "CELL", 2)
+    monkeypatch.setattr(jaccard_join, "DIVIDE", 3)
     monkeypatch.setattr(jaccard_join, "PAIRS", 3)
     rng = np.random.default_rng(k)
     common = [f"c{j}" for j in range(8)]
