@@ -17,6 +17,8 @@ POINTS = {"amount": 70, "amount_pending": 40, "date": 30, "ref_payment": 120, "r
 PATTERN_POINTS = {"pattern_iban": (60, 25), "pattern_desc": (40, 15)}
 IDENTITY = ("ref_payment", "ref_exact", "ref_client", "name_partial", "name_fuzzy", "iban", "pattern_iban", "pattern_desc")
 SAFE_GAP, SAFE_SCORE, FUZZY = 35, 150, 72
+#: Rows up to which all sums are listed; more are searched sum by sum.
+FEW = 12
 PARTIAL = ("customer_invoice", "supplier_invoice", "tax")
 CENT = "decimal(18,2)"
 
@@ -173,11 +175,18 @@ def subset_sums(targets: DataFrame, rows: DataFrame, key: str, most: int = 100,
         return F.when(acc["full"], acc).otherwise(grown)
 
     live = asked.where("items is not null and _t <> 0 and n >= 2 and _rest >= 0").withColumn("_g", goal)
-    solved = live.withColumn("_s", F.aggregate("items", start, step)).withColumn("_hit", F.try_element_at("_s.m", F.col("_g")))
+    # few rows: every sum with its members' bits in one integer
+    doubled = F.aggregate(F.transform("items", lambda x, i: F.shiftleft(x["c"], FEW) + F.pow(F.lit(2), i).cast("long")), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.transform(acc, lambda v: v + x)))
+    few = live.where(F.col("n") <= FEW).withColumn("_hits", F.filter(doubled, lambda v: F.shiftright(v, FEW) == F.col("_g")))
+    bits = F.get("_hits", F.lit(0))
+    picked = F.transform(F.filter("items", lambda x, i: (F.getbit(bits, i) == 1) == (F.col("_g") == F.abs("_t"))), lambda x: x["id"])
+    found = F.when(F.size("_hits") == 0, "none").when(F.size("_hits") > 1, "ambiguous").otherwise("unique")
+    quick = few.select(key, found.alias("status"), F.when(found == "unique", F.array_sort(picked)).alias("ids"))
+    solved = live.where(F.col("n") > FEW).withColumn("_s", F.aggregate("items", start, step)).withColumn("_hit", F.try_element_at("_s.m", F.col("_g")))
     ids = F.transform("items", lambda x: x["id"])
     chosen = F.when(F.col("_g") == F.abs("_t"), F.col("_hit.path")).otherwise(F.array_except(ids, F.col("_hit.path")))
     status = F.when(F.col("_s.full"), "bounded").when(F.col("_hit").isNull(), "none").when(F.col("_hit.ways") > 1, "ambiguous").otherwise("unique")
-    answered = solved.select(key, status.alias("status"), F.when(status == "unique", F.array_sort(chosen)).alias("ids"))
+    answered = solved.select(key, status.alias("status"), F.when(status == "unique", F.array_sort(chosen)).alias("ids")).unionByName(quick)
     rest = asked.join(live.select(key), key, "left_anti").select(key, F.when(F.col("_t") == 0, "invalid").when(F.col("n") > most, "bounded").otherwise("none").alias("status"), F.lit(None).cast(answered.schema["ids"].dataType).alias("ids"))
     return answered.unionByName(rest)
 
