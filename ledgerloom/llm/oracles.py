@@ -56,4 +56,11 @@ f as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_s
 g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
 select *, not base_failed and n_left >= 20 and n_left >= 0.3 * n_words as kept from g"""
 
-ORACLES = {"op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op7_jaccard_join": OP7, "op8_quality_rules": OP8}
+OP12 = f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, i, lines[i] as x, translate({_TRIM.format('lines[i]')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from d, unnest(range(1, len(lines) + 1)) t(i)),
+f as (select k, max(doc_id) as holder from l where length(k) >= 40 group by k having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (where doc_id <> holder) as n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (where holder is null or doc_id = holder), '')) as kept_sha256
+from l left join f using (k) group by doc_id"""
+
+ORACLES = {"op4_substring_dedup": OP4, "op5_decontaminate": OP5, "op7_jaccard_join": OP7, "op8_quality_rules": OP8, "op12_line_dedup": OP12}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .jaccard_join import op7_jaccard_join
+from .line_dedup import op12_line_dedup
 from .oracles import ORACLES
 from .packing import op3_packing
 from .personal_data import op6_personal_data
@@ -16,4 +17,4 @@ from .weak_labels import op2_weak_labels
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_weak_labels, op3_packing, op4_substring_dedup, op5_decontaminate, op6_personal_data, op7_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_weak_labels, op3_packing, op4_substring_dedup, op5_decontaminate, op6_personal_data, op7_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, op12_line_dedup)}

@@ -37,8 +37,9 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return the table read back: later jobs survive lost executors without recomputing it.
+def keep(df: DataFrame, *parts: str) -> DataFrame:
+    """Write ``df`` once (in folders by ``parts``, its last columns) and return the table read back: later jobs survive lost executors
+    without recomputing it.
 
     Results read the tables lazily, so an operator leaves them below ``spark.checkpoint.dir``; who keeps its result can do so in
     ``only_last``.
@@ -46,7 +47,7 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*parts).option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.kept_at = path
     for made in _SCOPES:
@@ -83,10 +84,15 @@ _FIXED = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
 
 def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``table`` (written, so measuring is cheap) marked for broadcast if it has at most ``most`` bytes; else joined by shuffle."""
+    return F.broadcast(table) if measured(table) <= most else table
+
+
+def measured(table: DataFrame) -> int:
+    """Bytes of a written table's values, and 32 a row."""
     fixed = 32 + sum(_FIXED.get(t, 0) for _, t in table.dtypes)
     wide = [c for c, t in table.dtypes if t not in _FIXED]
     own = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in wide), F.lit(fixed).cast("long"))
-    return F.broadcast(table) if (table.agg(F.sum(own)).first()[0] or 0) <= most else table
+    return table.agg(F.sum(own)).first()[0] or 0
 
 
 #: Rows of one key that a task joins; more are dealt out.
@@ -107,6 +113,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], members: str
     return mine.join(theirs, [*keys, "__salt"]).drop("__salt")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], members: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``left`` joined with ``right`` (written; one row a key, in ``members`` how many rows of ``left`` have it): broadcast where it has at
+    most ``most`` bytes, else a shuffle join whose hot keys are dealt out."""
+    return left.join(F.broadcast(right), keys) if measured(right) <= most else spread_join(left, right, keys, members)
+
+
 def named(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long), ``copy`` (hash of the text, which tells rows of one doc_id apart), text and ``more``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text", *more)
