@@ -1,8 +1,8 @@
-"""Audit history, closest subsets, enrichment and late suggestions."""
+"""Audit history, enrichment and late suggestions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -20,28 +20,6 @@ def enrich_transfers(ledger: DataFrame, payments: DataFrame, key: str, most: int
     return ledger.join(sums.where((F.col("a") == F.col("b")) & (F.col("n") <= most)), key).where("total = amount").select(key, F.col("a").alias("party_id"), "n")
 
 
-def closest_subset(targets: DataFrame, rows: DataFrame, key: str, most: int = 600, states: int = 8_000) -> DataFrame:
-    """The subset sum nearest to the target (the larger on ties): key, sum, status (exact, nearest, bounded).
-
-    Of the ``most`` largest rows; beyond ``states`` sums those nearest to the target go on, and an answer that is not exact is then
-    ``bounded`` (the limits of the search are part of its meaning).
-    """
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list((F.col("amount") * 100).cast("long")), asc=False).alias("c"))
-    goal = (F.col("target") * 100).cast("long")
-    found = targets.join(packed, key).withColumn("_goal", goal).withColumn("_cut", F.size("c") > most).withColumn("c", F.slice("c", 1, most))
-    start = F.struct(F.array(F.lit(0).cast("long")).alias("s"), F.col("_cut").alias("cut"))
-    near = lambda s: F.transform(F.slice(F.array_sort(F.transform(s, lambda v: F.struct(F.abs(v - F.col("_goal")).alias("d"), v.alias("v")))), 1, states), lambda x: x["v"])
-
-    def step(acc: Column, x: Column) -> Column:
-        both = F.array_distinct(F.concat(acc["s"], F.transform(acc["s"], lambda a: a + x)))
-        return F.transform(F.array(both), lambda b: F.struct(F.when(F.size(b) > states, near(b)).otherwise(b).alias("s"), (acc["cut"] | (F.size(b) > states)).alias("cut")))[0]
-
-    solved = found.withColumn("r", F.aggregate("c", start, step))
-    best = F.array_min(F.transform("r.s", lambda v: F.struct(F.abs(v - F.col("_goal")).alias("d"), (-v).alias("v"))))
-    status = F.when(best["d"] == 0, "exact").when(F.col("r.cut"), "bounded").otherwise("nearest")
-    return solved.select(key, (-best["v"] / 100).cast(MONEY).alias("sum"), status.alias("status"))
-
-
 def batch_reason(lines: DataFrame, metrics: DataFrame, keyword, predicted: DataFrame | None = None, documents: int = 4, coverage: int = 90) -> DataFrame:
     """Why a line looks like a batch: a keyword, the model (``predicted``: id, is_batch, as ``learning.predict_batch`` gives), or so many
     same-day documents that cover so much percent of it."""

@@ -17,8 +17,6 @@ POINTS = {"amount": 70, "amount_pending": 40, "date": 30, "ref_payment": 120, "r
 PATTERN_POINTS = {"pattern_iban": (60, 25), "pattern_desc": (40, 15)}
 IDENTITY = ("ref_payment", "ref_exact", "ref_client", "name_partial", "name_fuzzy", "iban", "pattern_iban", "pattern_desc")
 SAFE_GAP, SAFE_SCORE, FUZZY = 35, 150, 72
-#: Rows up to which all sums are listed; more are searched sum by sum.
-FEW = 12
 PARTIAL = ("customer_invoice", "supplier_invoice", "tax")
 CENT = "decimal(18,2)"
 
@@ -150,47 +148,6 @@ def decided(scored: DataFrame) -> DataFrame:
     return top.withColumn("is_mutual", F.col("is_safe") & (rivals == 1))
 
 
-def subset_sums(targets: DataFrame, rows: DataFrame, key: str, most: int = 100, states: int = 10_000) -> DataFrame:
-    """The unique subset of at least two rows of the target's sign whose exact sum is the target. ``rows``: key, id, amount;
-    ``targets``: key, target. Rows as large as the target cannot be members; where less is left over than chosen, what is left over
-    is searched for.
-
-    Returns key, status and the ids of a unique subset. Status: unique, ambiguous, none, invalid (target 0), bounded (more than
-    ``most`` rows or ``states`` sums: the limits of the search are part of its meaning).
-    """
-    cents = lambda c: (F.col(c) * 100).cast("long")
-    t = targets.select(key, cents("target").alias("_t"))
-    may = rows.join(t, key).select(key, "id", (cents("amount") * F.signum("_t").cast("long")).alias("c"), F.abs("_t").alias("_goal")).where("c > 0 and c < _goal")
-    sized = may.groupBy(key).agg(F.count("*").alias("n"), F.sum("c").alias("total"))
-    packed = may.join(sized.where(F.col("n") <= most).select(key), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("items"))
-    asked = t.join(sized, key, "left").join(packed, key, "left").withColumn("_rest", F.col("total") - F.abs("_t"))
-    goal = F.least(F.abs("_t"), "_rest")
-    empty = F.slice(F.transform("items", lambda x: x["id"]), 1, 0)
-    start = F.struct(F.map_from_arrays(F.array(F.lit(0).cast("long")), F.array(F.struct(F.lit(1).alias("ways"), empty.alias("path")))).alias("m"), F.lit(False).alias("full"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.transform_values(F.transform_keys(F.map_filter(acc["m"], lambda k, _: k + x["c"] <= F.col("_g")), lambda k, _: k + x["c"]), lambda _, v: F.struct(v["ways"].alias("ways"), F.concat(v["path"], F.array(x["id"])).alias("path")))
-        both = F.map_zip_with(acc["m"], more, lambda _, a, b: F.struct(F.least(F.lit(2), F.coalesce(a["ways"], F.lit(0)) + F.coalesce(b["ways"], F.lit(0))).alias("ways"), F.coalesce(a["path"], b["path"]).alias("path")))
-        grown = F.struct(both.alias("m"), (acc["full"] | (F.size(both) > states)).alias("full"))
-        return F.when(acc["full"], acc).otherwise(grown)
-
-    live = asked.where("items is not null and _t <> 0 and n >= 2 and _rest >= 0").withColumn("_g", goal)
-    # few rows: every sum with its members' bits in one integer
-    doubled = F.aggregate(F.transform("items", lambda x, i: F.shiftleft(x["c"], FEW) + F.pow(F.lit(2), i).cast("long")), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.transform(acc, lambda v: v + x)))
-    few = live.where(F.col("n") <= FEW).withColumn("_hits", F.filter(doubled, lambda v: F.shiftright(v, FEW) == F.col("_g")))
-    bits = F.get("_hits", F.lit(0))
-    picked = F.transform(F.filter("items", lambda x, i: (F.getbit(bits, i) == 1) == (F.col("_g") == F.abs("_t"))), lambda x: x["id"])
-    found = F.when(F.size("_hits") == 0, "none").when(F.size("_hits") > 1, "ambiguous").otherwise("unique")
-    quick = few.select(key, found.alias("status"), F.when(found == "unique", F.array_sort(picked)).alias("ids"))
-    solved = live.where(F.col("n") > FEW).withColumn("_s", F.aggregate("items", start, step)).withColumn("_hit", F.try_element_at("_s.m", F.col("_g")))
-    ids = F.transform("items", lambda x: x["id"])
-    chosen = F.when(F.col("_g") == F.abs("_t"), F.col("_hit.path")).otherwise(F.array_except(ids, F.col("_hit.path")))
-    status = F.when(F.col("_s.full"), "bounded").when(F.col("_hit").isNull(), "none").when(F.col("_hit.ways") > 1, "ambiguous").otherwise("unique")
-    answered = solved.select(key, status.alias("status"), F.when(status == "unique", F.array_sort(chosen)).alias("ids")).unionByName(quick)
-    rest = asked.join(live.select(key), key, "left_anti").select(key, F.when(F.col("_t") == 0, "invalid").when(F.col("n") > most, "bounded").otherwise("none").alias("status"), F.lit(None).cast(answered.schema["ids"].dataType).alias("ids"))
-    return answered.unionByName(rest)
-
-
 def opposite_pairs(lines: DataFrame, days: int, main: Column | None = None) -> DataFrame:
     """Lines of two accounts with opposite exact amounts within ``days``; each pair once, the outflow first. ``main`` (of out_account)
     names the one account that the outflow can go to."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import selection as S
+from ..operators.subsets import subset_sums
 from . import views as W
 from .registry import query
 
@@ -96,7 +97,7 @@ def j8_batch_suggest(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     rows = W.table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("id"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
     targets = rows.groupBy("l_orderkey").agg(F.sum(F.when(F.col("id") % 2 == 1, F.col("amount"))).alias("target"))
-    return M.subset_sums(targets, rows, "l_orderkey").select("l_orderkey", "status", F.array_join("ids", ",").alias("ids"))
+    return subset_sums(targets, rows, "l_orderkey").select("l_orderkey", "status", F.array_join("ids", ",").alias("ids"))
 
 
 @query("""with m as (select line_id, account_id, operation_date, amount from lines union all

@@ -9,6 +9,7 @@ from ..operators import learning as L
 from ..operators import rules as R
 from ..operators import selection as S
 from ..operators import summaries as A
+from ..operators.subsets import closest_subset
 from . import views as W
 from .registry import query
 
@@ -44,7 +45,7 @@ def j16_transfer_enrichment(spark, sf_dir):
 def j28_closest_subset(spark, sf_dir):
     li = W.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast(M).alias("amount"))
     targets = li.groupBy("l_orderkey").agg((F.floor(F.sum((F.col("amount") * 100).cast("long")) / 2) / 100).cast(M).alias("target"))
-    return H.closest_subset(targets, li, "l_orderkey")
+    return closest_subset(targets, li, "l_orderkey")
 
 
 @query("""with m as (select line_id, count(*) as documents, cast(sum(cast(abs(g.amount) * 100 as bigint)) * 100 // max(cast(abs(l.amount) * 100 as bigint)) as bigint) as coverage from lines l join ledger g on g.account_id = l.account_id and g.booking_date = l.operation_date and sign(g.amount) = sign(l.amount) and abs(g.amount) <= abs(l.amount) group by 1)

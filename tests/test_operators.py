@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.similarity import common_length, similarity
-from ledgerloom.operators import history, learning, matching, reports
+from ledgerloom.operators import learning, matching, reports
 from ledgerloom.plans import layouts as plans
 from ledgerloom.sources import layouts, statements
 
@@ -49,34 +49,6 @@ def test_camt(spark):
     assert (b["value_date"], b["counterparty_name"], b["payment_reference"], b["currency"], b["description"]) == (D(2026, 2, 1), "", "s2", "EUR", "")
 
 
-def test_subset_sums(spark):
-    """More rows than a mask could take, the search of what is left over, both signs, ambiguity and every limit."""
-    rows = [("wide", i, Decimal(2**i)) for i in range(30)] + [("rest", i, Decimal(3**i)) for i in range(12)] + [("two", i, Decimal(1)) for i in range(3)] + [("minus", i, Decimal(-(i + 1))) for i in range(3)] + [("minus", 9, Decimal(5))]
-    rows += [("much", i, Decimal(i)) for i in range(1, 120)] + [("odd", 1, Decimal(2)), ("odd", 2, Decimal(4)), ("zero", 1, Decimal(1))]
-    targets = [("wide", Decimal(2**29 + 2**3)), ("rest", Decimal(sum(3**i for i in range(12)) - 3)), ("two", Decimal(2)), ("minus", Decimal(-5)), ("much", Decimal(50)), ("odd", Decimal(5)), ("zero", Decimal(0)), ("alone", Decimal(4))]
-    t = spark.createDataFrame(targets, "k string, target decimal(18,2)")
-    got = {r["k"]: (r["status"], r["ids"]) for r in matching.subset_sums(t, spark.createDataFrame(rows, "k string, id int, amount decimal(18,2)"), "k", states=100_000).collect()}
-    assert got["rest"] == ("unique", [0, *range(2, 12)]) and got["two"][0] == "ambiguous" and got["minus"] == ("unique", [1, 2]) and got["odd"][0] == "none" and got["zero"][0] == "invalid" and got["alone"][0] == "none" and got["much"][0] == "ambiguous"
-    few = {r["k"]: r["status"] for r in matching.subset_sums(t, spark.createDataFrame(rows, "k string, id int, amount decimal(18,2)"), "k", most=20, states=50).collect()}
-    assert few["wide"] == "bounded" and few["much"] == "bounded" and few["two"] == "ambiguous"
-
-
-def test_closest_subset(spark):
-    rng = random.Random(4)
-    rows = [(k, Decimal(rng.randrange(1, 400))) for k in range(20) for _ in range(9)]
-    targets = [(k, Decimal(rng.randrange(1, 2500))) for k in range(20)]
-    got = {r["k"]: (int(r["sum"]), r["status"]) for r in history.closest_subset(spark.createDataFrame(targets, "k int, target decimal(18,2)"), spark.createDataFrame(rows, "k int, amount decimal(18,2)"), "k").collect()}
-    for k, goal in targets:
-        sums = {0}
-        for j, a in rows:
-            if j == k:
-                sums |= {s + int(a) for s in sums}
-        best = min(sums, key=lambda s: (abs(s - int(goal)), -s))
-        assert got[k] == (best, "exact" if best == goal else "nearest")
-    few = history.closest_subset(spark.createDataFrame(targets, "k int, target decimal(18,2)"), spark.createDataFrame(rows, "k int, amount decimal(18,2)"), "k", states=8)
-    assert {r["status"] for r in few.collect()} <= {"bounded", "exact"}
-
-
 def test_supplier_bins(spark):
     text = "Acme Ltda; TRF 12 acme x"
     row = learning.supplier_features(spark.createDataFrame([(Decimal("-99"), "Acme", "PT1", text, "")], "amount decimal(18,2), counterparty_name string, counterparty_iban string, description string, payment_reference string")).first()
