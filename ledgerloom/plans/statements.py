@@ -55,9 +55,9 @@ def _norma43(spark, sf_dir, head="11000000000000000000USD", override=False):
     day = F.date_format("operation_date", "yyMMdd")
     k = F.col("line_id") / 10
     text = F.when(k % 2 == 0, F.concat("description", F.lit("\n2301PT50000201231234567890154"))).otherwise(F.concat(F.lit("\n2301"), "description"))
-    money = F.when((k % 3 == 0) & F.lit(override), "\n2401978").otherwise("")
+    money = F.when((k % 3 == 0) & F.lit(override), F.concat(F.lit("\n2401978"), cents)).otherwise("")
     line = F.concat(F.lit("22        "), day, day, F.lit("99999"), F.when(F.col("amount") < 0, "1").otherwise("2"), cents, F.rpad(F.col("line_id").cast("string"), 10, " "), text, money)
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, head + "\n", "\n33\n88\n2301late")
+    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, head + "\n", "\n3300000000\n8899999999\n2301late")
 
 
 def _csv(spark, sf_dir):
@@ -131,7 +131,7 @@ def _all_formats(spark, sf_dir):
 
 
 @query(f"""with {RANKED}, s as (select statement_id, count(*) as n, count(*) filter (line_id // 10 % 3 = 0) as overrides from ranked group by 1)
- select f || '-' || statement_id as file, case when f in ('nib_compound', 'consolidated') and n < 2 then 'unknown' when f = 'bit_recon' and n < 2 then 'unknown' when f = 'norma43_r24' and overrides = 0 then 'norma43'
+ select f || '-' || statement_id as file, case when f in ('nib_compound', 'consolidated') and n < 2 then 'unknown' when f in ('norma43', 'norma43_r24') and overrides * (f = 'norma43_r24')::int = 0 then case when contains(cast(statement_id as varchar), '978') then 'norma43_978' else 'norma43' end
   when f = 'tabulated' and n < 3 then 'csv' when f = 'tabulated_tsv' and n < 3 then 'tsv' else f end as format
  from s, unnest(['camt053', 'ofx', 'mt940', 'norma43', 'norma43_978', 'norma43_r24', 'csv', 'tabulated', 'tabulated_tsv', 'nib_compound', 'consolidated', 'bit_recon', 'emc']) t(f)""")
 def s12_detect_format(spark, sf_dir):

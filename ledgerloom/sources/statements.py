@@ -141,19 +141,24 @@ def parse_mapped(files: DataFrame, mapping: dict[str, int], separator: str = ";"
 
 
 def detect_format(files: DataFrame, sample: int = 200) -> DataFrame:
-    """(file, format) of every file from its first lines: a cascade of signatures, the surest first."""
+    """(file, format) of every file from its first lines: a cascade of signatures, the surest first; for formats whose lines have no mark
+    the file's name may tell."""
     lines = file_lines(files).where(F.col("rank") < sample).where("trim(line) <> ''")
     hits = lambda p: F.count_if(F.col("line").rlike(p))
     table = lambda d: F.count_if((F.size(F.split("line", f"[{d}]")) >= 8) & parse_date(F.get(F.split("line", f"[{d}]"), F.lit(1))).isNotNull())
+    record = lambda codes: f"^({codes})\\s*[0-9A-Z]{{6,}}"  # noqa: E731  a day of the month at the start of a line is no record
     n = lines.groupBy("file").agg(
-        F.count("*").alias("n"), hits("<([A-Za-z0-9]+:)?(Document|BkToCstmrStmt|Ntry)\\b").alias("camt"), hits("<(OFX|STMTTRN)>").alias("ofx"), hits("^:61:").alias("t61"), hits("^:(20|25|28|60[FM]?|61|86)").alias("tags"),
-        hits("^(11|22|23|24|33|88)").alias("n43"), hits("^24").alias("r24"), hits("^11.*978\\s*[0-9]*\\s*$").alias("r978"), hits("^[0-9]{8} .* [0-9]+[.,][0-9]{2}[CD] [0-9]+[.,][0-9]{2}[CD]$").alias("bit"), hits("^03.*[+-][0-9]{18}").alias("cons"),
+        hits("<([A-Za-z0-9]+:)?(Document|BkToCstmrStmt|Ntry)\\b").alias("camt"), hits("<(OFX|STMTTRN)>").alias("ofx"), hits("^:61:").alias("t61"), hits("^:(20|25|28|60[FM]?|61|86)").alias("tags"),
+        hits(record("11|22|23|24|33|88")).alias("n43"), hits(record("24")).alias("r24"), F.count_if(F.col("line").rlike(record("11")) & F.col("line").rlike("978\\s*[0-9]*\\s*$")).alias("r978"), hits("^[0-9]{8} .* [0-9]+[.,][0-9]{2}[CD] [0-9]+[.,][0-9]{2}[CD]$").alias("bit"), hits("^03.*[+-][0-9]{18}").alias("cons"),
         hits("^5[0-9]{12}").alias("nib"), hits("^EMC(13|23)").alias("emc"), table(";,").alias("sheet"), table("\t").alias("tsv"), hits(";").alias("semi"), hits("\t").alias("tab"), hits(",").alias("comma"))
-    records = (F.col("n43") >= 3) & (F.col("n43") >= F.floor(F.greatest(F.lit(3.0), F.col("n") * 0.55)))
+    records = F.col("n43") >= 3
+    name = F.lower(F.element_at(F.split("file", "/"), -1))
+    told = lambda *words: F.array_contains(F.array(*(F.contains(name, F.lit(x)) for x in words)), True)
     kind = (
         F.when(F.col("camt") > 0, "camt053").when(F.col("ofx") > 0, "ofx").when((F.col("t61") > 0) & (F.col("tags") >= 3), "mt940")
-        .when(records & (F.col("r24") > 0), "norma43_r24").when(records & (F.col("r978") > 0), "norma43_978").when(records, "norma43")
-        .when(F.col("bit") >= 2, "bit_recon").when(F.col("cons") >= 2, "consolidated").when(F.col("nib") >= 2, "nib_compound").when(F.col("emc") >= 2, "emc")
+        .when(records & ((F.col("r24") > 0) | told("registo 24", "registo24")), "norma43_r24").when(records & ((F.col("r978") > 0) | told("978")), "norma43_978").when(records, "norma43")
+        .when((F.col("bit") >= 2) | told("bit reconcilia", "bit_recon"), "bit_recon").when((F.col("cons") >= 2) | told("consolidado"), "consolidated")
+        .when((F.col("nib") >= 2) | told("composto com nib", "composto_nib", "nib_composto"), "nib_compound").when((F.col("emc") >= 2) | name.rlike("(^|[^a-z])emc([^a-z]|$)"), "emc")
         .when(F.col("sheet") >= 3, "tabulated").when(F.col("tsv") >= 3, "tabulated_tsv").when(F.col("tab") >= 2, "tsv").when((F.col("semi") >= 2) | (F.col("comma") >= 2), "csv").otherwise("unknown")
     )
     return n.select("file", kind.alias("format"))
