@@ -23,6 +23,8 @@ import functools
 import hashlib
 import os
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from .store import bound_batches, keep, meet
 from .textkit import expand
 
-#: Segments held in a worker, and the longest one held (in characters).
-HELD, HELD_CHARS = 400_000, 200
+#: Segments held in a worker (some 300 bytes each); beyond it they start afresh.
+HELD = 700_000
 #: Documents (or characters) that are summed up at once.
 ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -80,7 +82,7 @@ class Pair:
 
     def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each segment with a space ahead."""
-        first = self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)
+        first = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
         return [(x.ids, y) for x, y in zip(first, self.b.encode(segments, num_threads=1), strict=True)]
 
 
@@ -90,53 +92,59 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-class Aligned:
-    """A segment: whether its bytes come back, its groups as text, counts, and its links by pair (pair code, times)."""
-
-    __slots__ = ("counts", "exact", "exact_times", "good", "groups", "irregular", "times")
-
-    def __init__(self, p: Pair, segment: str, a: list[int], b: list[int]):
-        parts, others = [p.a_bytes[i] for i in a], [p.b_bytes[i] for i in b]
-        raw = (" " + segment).encode()
-        self.good = b"".join(parts) == raw == b"".join(others)
-        if not self.good:
-            return
-        a_end, b_end = np.cumsum([len(x) for x in parts]), np.cumsum([len(x) for x in others])
-        ends = np.intersect1d(a_end, b_end)
-        # a token without bytes cannot be: both vocabularies have none that a text gives
-        a_at, b_at = np.searchsorted(a_end, ends, "right").tolist(), np.searchsorted(b_end, ends, "right").tolist()
-        links: dict[tuple[int, int], int] = {}
-        text, n_links, i, j = [], 0, 0, 0
-        for k, m in zip(a_at, b_at, strict=True):
-            own, other = a[i:k], b[j:m]
-            text.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
-            n_links += len(own) * len(other)
-            if len(own) == len(other) == 1:
-                links[own[0], other[0]] = links.get((own[0], other[0]), 0) + 1
-            else:
-                left, right = np.unique(own, return_counts=True), np.unique(other, return_counts=True)
-                for x, n in zip(*(v.tolist() for v in left), strict=True):
-                    for y, r in zip(*(v.tolist() for v in right), strict=True):
-                        links[x, y] = links.get((x, y), 0) + n * r
-            i, j = k, m
-        self.groups = ";".join(text)
-        self.counts = np.array([len(a), len(b), len(ends), n_links], np.int64)
-        exact = [(x, n) for (x, y), n in links.items() if p.identity[x] == y]
-        rest = [(x * p.b_size + y, n) for (x, y), n in links.items() if p.identity[x] != y]
-        self.exact, self.exact_times = (np.array([v[k] for v in exact], np.int64) for k in (0, 1))
-        self.irregular, self.times = (np.array([v[k] for v in rest], np.int64) for k in (0, 1))
-
-
 class Aligner:
-    """Segments met so far by text, with their links one after the other for lookup by number."""
+    """Segments met so far, one after the other in flat arrays: counts, and links as (code, times). An exact link has its A id as
+    code, an irregular one A's size + A id * B's size + B id."""
 
     def __init__(self, p: Pair):
         self.pair = p
+        self.a_len, self.b_len, self.same = [len(x) for x in p.a_bytes], [len(x) for x in p.b_bytes], p.identity.tolist()
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.known: list[Aligned] = []
+        self.groups: list[str | None] = []  # none: the bytes do not come back
+        self.counts, self.codes, self.times, self.at = array("q"), array("q"), array("q"), array("q", [0])
+
+    def _add(self, segment: str, a: list[int], b: list[int]) -> None:
+        """Align a segment's ids and append it."""
+        p, raw = self.pair, (" " + segment).encode()
+        self.number[segment] = len(self.groups)
+        if not b"".join([p.a_bytes[x] for x in a]) == raw == b"".join([p.b_bytes[y] for y in b]):
+            self.groups.append(None)
+            self.counts.extend((0, 0, 0, 0))
+            self.at.append(len(self.codes))
+            return
+        a_len, b_len, same, a_size, b_size = self.a_len, self.b_len, self.same, p.a_size, p.b_size
+        text, links, n_links, i, j, x, y = [], {}, 0, 0, 0, 0, 0
+        while i < len(a):  # every id has bytes, so both end together
+            first, other = i, j
+            x, y, i, j = x + a_len[a[i]], y + b_len[b[j]], i + 1, j + 1
+            while x != y:
+                if x < y:
+                    x, i = x + a_len[a[i]], i + 1
+                else:
+                    y, j = y + b_len[b[j]], j + 1
+            if i - first == j - other == 1:
+                u, v = a[first], b[other]
+                text.append(f"{u}|{v}")
+                code, n_links = u if same[u] == v else a_size + u * b_size + v, n_links + 1
+                links[code] = links.get(code, 0) + 1
+                continue
+            own, theirs = a[first:i], b[other:j]
+            text.append(",".join(map(str, own)) + "|" + ",".join(map(str, theirs)))
+            n_links += len(own) * len(theirs)
+            few = len(own) * len(theirs) <= 16  # of a long group equal ids are taken together
+            right = [(v, 1) for v in theirs] if few else Counter(theirs).items()
+            for u, n in [(u, 1) for u in own] if few else Counter(own).items():
+                for v, m in right:
+                    code = u if same[u] == v else a_size + u * b_size + v
+                    links[code] = links.get(code, 0) + n * m
+        self.groups.append(";".join(text))
+        self.counts.extend((len(a), len(b), len(text), n_links))
+        self.codes.extend(links.keys())
+        self.times.extend(links.values())
+        self.at.append(len(self.codes))
 
     def numbers(self, segments: list[str]) -> list[int]:
         """The number of each segment; new ones are encoded together."""
@@ -144,50 +152,50 @@ class Aligner:
         if None in found:
             new = list(dict.fromkeys(s for s, n in zip(segments, found, strict=True) if n is None))
             for s, (a, b) in zip(new, self.pair.encode(new), strict=True):
-                self.number[s] = len(self.known)
-                self.known.append(Aligned(self.pair, s, a, b))
+                self._add(s, a, b)
             found = list(map(self.number.get, segments))
         return found
 
     def forget(self) -> None:
-        """Drop segments that are too long to hold, and all of them where there are too many."""
-        if len(self.known) > HELD:
+        """Start afresh where too many segments are held, or very long ones."""
+        if len(self.groups) > HELD or len(self.codes) > 8 * HELD:
             self._clear()
-        else:
-            for s in [s for s in self.number if len(s) > HELD_CHARS]:
-                self.known[self.number.pop(s)] = None
-
-    def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, tuple, tuple]:
-        """Of each text the digest of its groups and its counts; and exact and irregular links as (text, id or pair, times)."""
-        rows = [self.numbers(self.pair.segments(t)) if t else [] for t in texts]
-        for k, own in enumerate(rows):
-            if not all(self.known[s].good for s in set(own)):
-                rows[k] = []
-        digests = [hashlib.sha256(";".join([self.known[s].groups for s in own]).encode()).hexdigest() if own else "" for own in rows]
-        counts = np.zeros((len(texts), 4), np.int64)
-        who = np.repeat(np.arange(len(rows)), [len(own) for own in rows])
-        flat = np.array([s for own in rows for s in own], np.int64)
-        if not len(flat):
-            none = (np.zeros(0, np.int64),) * 3
-            return digests, counts, none, none
-        both, often = np.unique(who * len(self.known) + flat, return_counts=True)
-        who, which = np.divmod(both, len(self.known))
-        distinct, place = np.unique(which, return_inverse=True)
-        held = [self.known[s] for s in distinct.tolist()]
-        for c in range(4):
-            counts[:, c] = np.bincount(who, np.array([x.counts[c] for x in held])[place] * often, len(texts)).astype(np.int64)
-
-        def links(ids: list[np.ndarray], times: list[np.ndarray]) -> tuple:
-            size = np.array([len(x) for x in ids], np.int64)
-            at = expand((np.cumsum(size) - size)[place], size[place])
-            doc, code = np.repeat(who, size[place]), np.concatenate(ids)[at]
-            n = np.concatenate(times)[at] * np.repeat(often, size[place])
-            by = np.lexsort((code, doc))
-            doc, code, n = doc[by], code[by], n[by]
-            first = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(code) != 0))) if len(doc) else by
-            return doc[first], code[first], np.add.reduceat(n, first) if len(first) else n
-
-        return digests, counts, links([x.exact for x in held], [x.exact_times for x in held]), links([x.irregular for x in held], [x.times for x in held])
+
+    def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the digest of its groups and its counts; and its links as (text, code, times), in order."""
+        parts = [self.pair.segments(t) if t else [] for t in texts]
+        flat = self.numbers([s for own in parts for s in own])
+        digests, ends, groups = [], np.cumsum([len(own) for own in parts]).tolist(), self.groups
+        keep = np.ones(len(flat), bool)
+        for k, end in enumerate(ends):
+            first = ends[k - 1] if k else 0
+            own = [groups[s] for s in flat[first:end]]
+            if None in own:
+                own, keep[first:end] = [], False
+            digests.append(hashlib.sha256(";".join(own).encode()).hexdigest() if own else "")
+        who, which = np.repeat(np.arange(len(parts)), [len(own) for own in parts])[keep], np.array(flat, np.int64)[keep]
+        held = len(groups)
+        if not len(who):
+            none = np.zeros(0, np.int64)
+            return digests, np.zeros((len(texts), 4), np.int64), none, none, none
+        both, often = np.unique(who * held + which, return_counts=True)
+        who, which = np.divmod(both, held)
+        total = np.array(self.counts, np.int64).reshape(-1, 4)[which] * often[:, None]
+        counts = np.stack([np.bincount(who, total[:, c], len(texts)).astype(np.int64) for c in range(4)], 1)
+        at = np.array(self.at, np.int64)
+        size = at[which + 1] - at[which]
+        links = expand(at[which], size)
+        doc, code, n = np.repeat(who, size), np.array(self.codes, np.int64)[links], np.array(self.times, np.int64)[links] * np.repeat(often, size)
+        by = np.lexsort((code, doc))
+        doc, code, n = doc[by], code[by], n[by]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
+        return digests, counts, doc[first], code[first], np.add.reduceat(n, first)
+
+
+@functools.lru_cache(1)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """The worker's segments, held over its tasks."""
+    return Aligner(pair(a_path, b_path))
 
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, exact binary, rows binary, pairs binary, times binary, a int, found long"
@@ -203,25 +211,27 @@ def _batch(n: int, **columns) -> pa.RecordBatch:
 
 def _aligned(a_path: str, b_path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, squeeze = pair(a_path, b_path), zstandard.ZstdCompressor(3).compress
-        work, vector, row = Aligner(p), np.zeros(p.a_size, np.int64), TaskContext.get().partitionId() << 40
+        work, squeeze = aligner(a_path, b_path), zstandard.ZstdCompressor(3).compress
+        p = work.pair
+        vector, row = np.zeros(p.a_size, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             k = 0
             while k < len(texts):
                 end, held = k, 0
                 while end < len(texts) and end - k < ROWS_AT_ONCE and (end == k or held + len(texts[end] or "") <= CHARS_AT_ONCE):
                     held += len(texts[end] or "")
                     end += 1
-                digests, counts, exact, irregular = work.documents(texts[k:end])
-                n, at = end - k, np.searchsorted(exact[0], np.arange(end - k + 1))
-                vector += np.bincount(exact[1], minlength=p.a_size)
-                own = [squeeze(exact[1][x:y].astype("<u4").tobytes() + exact[2][x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-                wide = [c for c in zip(*(counts[:, j] for j in range(4)), strict=True)]
+                digests, counts, doc, code, times = work.documents(texts[k:end])
+                n, exact = end - k, code < p.a_size
+                ids, often = code[exact], times[exact]
+                vector += np.bincount(ids, minlength=p.a_size)
+                at = np.searchsorted(doc[exact], np.arange(n + 1)).tolist()
+                own = [squeeze(ids[x:y].astype("<u4").tobytes() + often[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                 names = ("n_a", "n_b", "n_groups", "n_links")
-                yield _batch(n, row=pa.array(np.arange(row, row + n)), doc_id=ids.slice(k, n), groups_sha256=pa.array(digests, pa.string()), exact=pa.array(own, pa.binary()), **{c: pa.array([int(w[j]) for w in wide], pa.int64()) for j, c in enumerate(names)})
-                if len(irregular[0]):
-                    yield _batch(1, rows=pa.array([squeeze((row + irregular[0]).astype("<i8").tobytes())]), pairs=pa.array([squeeze(irregular[1].astype("<i8").tobytes())]), times=pa.array([squeeze(irregular[2].astype("<i8").tobytes())]))
+                yield _batch(n, row=pa.array(np.arange(row, row + n)), doc_id=doc_ids.slice(k, n), groups_sha256=pa.array(digests, pa.string()), exact=pa.array(own, pa.binary()), **{c: pa.array(counts[:, j]) for j, c in enumerate(names)})
+                if not exact.all():
+                    yield _batch(1, **{c: pa.array([squeeze(x.astype("<i8").tobytes())]) for c, x in (("rows", row + doc[~exact]), ("pairs", code[~exact] - p.a_size), ("times", times[~exact]))})
                 row += n
                 work.forget()
                 k = end

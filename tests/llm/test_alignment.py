@@ -85,8 +85,9 @@ def test_hot_pairs(monkeypatch, docs, rows):
     assert Counter(tuple(r[c] for c in COLS) for r in out.collect()) == plain(rows)[0]
 
 
-def test_forgets(rows):
+def test_forgets(monkeypatch, rows):
     """A worker that drops what it holds gives the same."""
+    monkeypatch.setattr(alignment, "HELD", 10)
     p = alignment.Pair(P.path(A), P.path(B))
     once, texts = alignment.Aligner(p), [t for _, t in rows if t]
     for t in texts[:20]:
