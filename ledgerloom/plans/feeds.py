@@ -36,14 +36,14 @@ def _tx(spark, sf_dir):
     return W.table(spark, sf_dir, "events").select(F.col("event_id").alias("tx_id"), (F.col("user_id") % 25 + 1).alias("account_id"), F.col("value").cast(M).alias("amount"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("description"), F.lit(1).alias("version"))
 
 
-@query("select event_id as tx_id, cast(value as decimal(18,2)) as amount, event_type || case when event_id % 30 = 0 then '' when event_id % 3 = 0 and event_id % 2 = 0 and event_id % 20 <> 0 then ' (new)' else '' end as description, case when event_id % 3 = 2 then 'kept' when event_id % 3 = 1 then 'new' when event_id % 20 = 0 then 'review' when event_id % 2 = 0 and event_id % 30 <> 0 then 'described' else 'unchanged' end as outcome from events", base=False)
+@query("select event_id as tx_id, cast(value as decimal(18,2)) as amount, event_type || case when event_id % 30 = 0 then '' when event_id % 3 = 0 and event_id % 2 = 0 and event_id % 20 <> 0 then ' (new)' else '' end as description, case when event_id % 3 = 2 then 'kept' when event_id % 3 = 1 then 'new' when event_id % 20 = 0 then 'review' when event_id % 2 = 0 and event_id % 30 <> 0 then 'described' else 'unchanged' end as outcome, case when event_id % 60 = 0 then cast(cast(value as decimal(18,2)) + 1 as decimal(18,2)) end as conflict_amount from events", base=False)
 def n3_upsert(spark, sf_dir):
     """A third is only known, a third only arrives; of the rest every 20th changes its amount and other even ones their text."""
     tx = _tx(spark, sf_dir)
     k = F.col("tx_id")
     money, text = k % 20 == 0, (k % 2 == 0) & (k % 30 != 0) & (k % 20 != 0) & (k % 3 == 0)
     new = tx.where("tx_id % 3 <> 2").withColumn("amount", F.when(money & (k % 3 == 0), F.col("amount") + 1).otherwise(F.col("amount")).cast(M)).withColumn("description", F.when(text, F.concat("description", F.lit(" (new)"))).otherwise(F.col("description"))).withColumn("version", F.lit(2))
-    return N.upsert(tx.where("tx_id % 3 <> 1"), new).select("tx_id", "amount", "description", "outcome")
+    return N.upsert(tx.where("tx_id % 3 <> 1"), new).select("tx_id", "amount", "description", "outcome", F.col("conflict.amount").alias("conflict_amount"))
 
 
 @query("""with e as (select event_id as k, cast(value as decimal(18,2)) as amount from events)
@@ -64,13 +64,53 @@ def n3_identities(spark, sf_dir):
 
 @query("select event_id as tx_id, case when event_id % 4 = 0 then 'kept' when event_id % 4 = 1 then 'new' else 'described' end as outcome, case when event_id % 4 = 0 then event_type else event_type || ' 2' end as description from events", base=False)
 def n3_upsert_stream(spark, sf_dir):
-    """Landed pages applied one after the other; a quarter is only known, a quarter only arrives."""
+    """Landed pages applied one after the other, and a restart that finds nothing new; a quarter is only known, a quarter only arrives."""
     tx = _tx(spark, sf_dir)
     path = shared_path(spark, "upsert")
     new = tx.where("tx_id % 4 <> 0").withColumns({"description": F.concat("description", F.lit(" 2")), "version": F.lit(2)})
     new.write.parquet(f"{path}/landed")
     start = tx.where("tx_id % 4 <> 1").withColumn("outcome", F.lit("kept"))
-    return N.upsert_stream(spark.readStream.schema(new.schema).parquet(f"{path}/landed"), path, start).select("tx_id", "outcome", "description")
+    for _ in range(2):
+        out = N.upsert_stream(spark.readStream.schema(new.schema).parquet(f"{path}/landed"), path, start)
+    return out.select("tx_id", "outcome", "description")
+
+
+#: Collections of ten transactions a page, an account's in one run; of every fifth account the last page fails, every seventh gets a cursor again.
+PAGES = """e as (select user_id as account_id, event_id, ts, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as n from events),
+ p as (select account_id, k // 10 as page, (max(n) - 1) // 10 as last from e group by 1, 2)"""
+
+
+def feed_pages(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("account_id")
+    e = W.table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("account_id"), F.col("event_id").alias("tx_id"), F.col("value").cast(M).alias("amount"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("description"))
+    e = e.withColumns({"k": F.row_number().over(w.orderBy("tx_id")) - 1, "n": F.count("*").over(w)})
+    tx = F.struct(F.col("tx_id").cast("bigint").alias("tx_id"), "amount", "day", "description", F.lit(1).alias("version"))
+    p = e.withColumns({"page": F.floor(F.col("k") / 10), "last": F.floor((F.col("n") - 1) / 10)}).groupBy("account_id", "page").agg(F.first("last").alias("last"), F.collect_list(tx).alias("data"))
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    again = (F.col("account_id") % 7 == 0) & (F.col("page") == F.col("last")) & (F.col("last") > 0)
+    p = p.withColumns({"cursor": F.when(F.col("page") > 0, name(F.col("page"))), "next_cursor": F.when(again, name(F.col("page"))).when(F.col("page") < F.col("last"), name(F.col("page") + 1))})
+    return p.where("account_id % 5 <> 0 or page < last or last = 0").drop("last")
+
+
+@query(f"""with {PAGES} select account_id, count(*) as pages, case when account_id % 7 = 0 and max(last) > 0 and account_id % 5 <> 0 then 'repeated_cursor' when account_id % 5 = 0 and max(last) > 0 then 'cut' else 'complete' end as state,
+  case when (account_id % 7 = 0 or account_id % 5 = 0) and max(last) > 0 then case when account_id % 2 = 0 then timestamp '2024-01-01 00:00:00' end else timestamp '2024-02-01 00:00:00' end as watermark
+ from p where account_id % 5 <> 0 or page < last or last = 0 group by account_id""", base=False)
+def n4_watermarks(spark, sf_dir):
+    """Cursors and watermarks of a collection; every second account has collected before."""
+    pages = feed_pages(spark, sf_dir)
+    marks = pages.select("account_id").distinct().where("account_id % 2 = 0").withColumn("watermark", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return N.judged_runs(pages, marks, "2024-02-01 00:00:00").select("account_id", "pages", "state", F.col("watermark").cast("timestamp_ntz").alias("watermark"))
+
+
+@query(f"""with {PAGES} select event_id as tx_id, account_id, cast(value as decimal(18,2)) as amount, 'new' as outcome from e join events using (event_id) join (select account_id, max(last) as last from p group by 1) using (account_id) where last = 0 or (account_id % 5 <> 0 and account_id % 7 <> 0)""", base=False)
+def n4_collect_feed(spark, sf_dir):
+    """What a collection that is tried again leaves in the feed: the transactions of accounts whose pages all came."""
+    path, pages = shared_path(spark, "collect"), feed_pages(spark, sf_dir)
+    for _ in range(2):
+        N.collect_feed(spark, path, pages, "2024-02-01 00:00:00", "run-1")
+    return N.feed_state(spark, path).snapshot().select("tx_id", "account_id", "amount", "outcome")
 
 
 @query("select event_id, case when event_id % 9 = 0 or ts < timestamp '2024-01-18 12:00:00' then 'stale' else 'ready' end as state from events", base=False)

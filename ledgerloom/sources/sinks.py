@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
+from .commits import Appended
 
 LINE_COLUMNS = ("operation_date", "value_date", "description", "payment_reference", "counterparty_name", "amount", "currency", "running_balance", "status")
 
@@ -42,6 +43,14 @@ def write_month_ends(series: DataFrame, pending: DataFrame, path: str) -> None:
     write_csv(pending.groupBy("account_id").agg(F.sum("amount").alias("total"), F.count("*").alias("n")), f"{path}/totals")
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Append (type, payload, at) rows."""
-    events.select("type", "payload", "at").write.mode("append").parquet(path)
+AUDIT = "type string, payload string, at timestamp"
+
+
+def append_audit(events: DataFrame, path: str, batch: str) -> bool:
+    """Append (type, payload, at) rows as one batch; a batch that is tried again counts once."""
+    return Appended(events.sparkSession, path).append(events.select("type", "payload", F.col("at").cast("timestamp").alias("at")), batch)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows."""
+    return Appended(spark, path).read(AUDIT)

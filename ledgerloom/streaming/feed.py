@@ -1,4 +1,4 @@
-"""Bank feed: mapping, validation, stateful upsert, late data and freshness. The stream and the batch use the same functions."""
+"""Bank feed: mapping, validation, upsert of keyed state, cursors and watermarks, late data and freshness. The stream and the batch use the same functions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import financial_hash
+from ..sources.commits import KeyedState
 
 MONEY = "decimal(18,2)"
 
@@ -26,11 +27,19 @@ def validate(tx: DataFrame) -> DataFrame:
     return tx.withColumn("problem", problem)
 
 
+#: Columns of a transaction that a batch brings.
+FIELDS = ("account_id", "amount", "day", "description", "version")
+
+
 def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """New snapshot of (tx_id, account_id, amount, day, description, version, outcome) after a batch; the newest version of a
-    transaction in the batch counts. Outcomes: new, unchanged, described (text changed), review (money changed), kept."""
+    """New snapshot of (tx_id, account_id, amount, day, description, version, outcome, conflict) after a batch; the newest version of a
+    transaction in the batch counts. Outcomes: new, unchanged, described (text changed), review (money or day changed), kept. In review
+    the old values stay and ``conflict`` has the new ones; it stays until the old values come again.
+    """
     last = F.row_number().over(Window.partitionBy("tx_id").orderBy(F.desc("version")))
-    b = batch.withColumn("_k", last).where("_k = 1").select("tx_id", *[F.col(c).alias(f"_{c}") for c in ("account_id", "amount", "day", "description", "version")])
+    b = batch.withColumn("_k", last).where("_k = 1").select("tx_id", *[F.col(c).alias(f"_{c}") for c in FIELDS])
+    if "conflict" not in state.columns:
+        state = state.withColumn("conflict", F.lit(None))
     both = state.join(b, "tx_id", "full")
     money = lambda p: financial_hash(f"{p}amount", f"{p}day", F.lit("EUR"))
     outcome = (
@@ -39,7 +48,13 @@ def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
     old = outcome.isin("kept", "review")
     pick = lambda c: F.when(old, F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
-    return both.select("tx_id", *[pick(c) for c in ("account_id", "amount", "day", "description", "version")], outcome.alias("outcome"))
+    told = F.struct(*[F.col(f"_{c}").alias(c) for c in ("amount", "day", "description")])
+    conflict = F.when(outcome == "review", told).when(outcome == "kept", F.col("conflict").cast(CONFLICT))
+    return both.select("tx_id", *[pick(c) for c in FIELDS], outcome.alias("outcome"), conflict.cast(CONFLICT).alias("conflict"))
+
+
+CONFLICT = "struct<amount: decimal(18,2), day: date, description: string>"
+STATE = f"tx_id bigint, account_id bigint, amount decimal(18,2), day date, description string, version int, outcome string, conflict {CONFLICT}"
 
 
 def identified(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -69,23 +84,75 @@ def outcomes(state: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.select("tx_id", "known_id", outcome.alias("outcome"), (outcome == "new").alias("staged"))
 
 
+def feed_state(spark: SparkSession, path: str, start: DataFrame | None = None) -> KeyedState:
+    """The feed's transactions at ``path``; ``start`` is its first batch where there is none yet."""
+    state = KeyedState(spark, f"{path}/state", "tx_id", STATE)
+    if start is not None:
+        none = F.lit(None).cast(CONFLICT)
+        state.apply(start, "start", lambda _, rows: rows.select("tx_id", *FIELDS, F.lit("kept").alias("outcome"), (F.col("conflict") if "conflict" in rows.columns else none).alias("conflict")))
+    return state
+
+
 def upsert_stream(stream: DataFrame, path: str, start: DataFrame) -> DataFrame:
-    """Apply landed batches to the snapshot one after the other (``upsert`` in ``foreachBatch``) and return the last one.
+    """Apply landed batches one after the other (``upsert`` in ``foreachBatch``) and return the snapshot, each transaction with the outcome of
+    the last batch that had it.
 
-    Every batch writes a snapshot of its own below ``path`` from the one before; a batch that is run again writes the same.
+    A batch writes the transactions it has, not the snapshot, and is committed under its number: one that is run again counts once,
+    and a restart without new pages returns what was there.
     """
     spark = stream.sparkSession
-    start.write.mode("overwrite").parquet(f"{path}/state/-1")
-    last = [-1]
+    state = feed_state(spark, path, start)
 
     def one(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{path}/state/{number - 1}")
-        upsert(before.drop("outcome"), batch).write.mode("overwrite").parquet(f"{path}/state/{number}")
-        last[0] = number
+        feed_state(batch.sparkSession, path).apply(batch, number, upsert)
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/state/{last[0]}")
+    return state.snapshot()
+
+
+def judged_runs(pages: DataFrame, marks: DataFrame, started: str) -> DataFrame:
+    """account_id, pages, state and watermark of each account's collection. ``pages``: account_id, page (from 0), cursor (of the request; null
+    in the first), next_cursor; ``marks``: account_id, watermark.
+
+    A run is complete if its pages follow each other without a gap and the last has no next cursor; the watermark then becomes
+    ``started``. A cursor that comes again, is over 4096 characters long or leads elsewhere is an error; after an error or a cut run
+    the watermark stays.
+    """
+    w = Window.partitionBy("account_id").orderBy("page")
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = pages.select("account_id", "page", blank("cursor").alias("c"), blank("next_cursor").alias("n"))
+    follows = F.when(F.lag("page").over(w).isNull(), (F.col("page") == 0) & F.col("c").isNull()).otherwise((F.col("page") == F.lag("page").over(w) + 1) & F.coalesce(F.col("c") == F.lag("n").over(w), F.lit(False)))
+    again = F.count("n").over(Window.partitionBy("account_id", "n")) > 1
+    last = F.lead("page").over(w).isNull()
+    marked = rows.select("account_id", follows.alias("follows"), again.alias("again"), (last & F.col("n").isNull()).alias("ends"), (F.length("n") > 4096).alias("long"))
+    per = marked.groupBy("account_id").agg(F.count("*").alias("pages"), F.bool_and("follows").alias("chain"), F.bool_or("again").alias("again"), F.bool_or(F.coalesce("long", F.lit(False))).alias("long"), F.bool_or("ends").alias("ends"))
+    state = F.when(F.col("again") | F.col("long"), "repeated_cursor").when(~F.col("chain"), "broken").when(F.col("ends"), "complete").otherwise("cut")
+    out = per.withColumn("state", state).join(marks, "account_id", "full")
+    mark = F.when(F.col("state") == "complete", F.lit(started).cast("timestamp")).otherwise(F.col("watermark").cast("timestamp"))
+    return out.select("account_id", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"), F.coalesce("state", F.lit("none")).alias("state"), mark.alias("watermark"))
+
+
+def collect_feed(spark: SparkSession, path: str, pages: DataFrame, started: str, run: str) -> DataFrame:
+    """Apply a collection's pages (account_id, page, cursor, next_cursor, data: transactions) to the feed at ``path`` as one commit and return
+    the accounts' states and watermarks.
+
+    Only complete runs are applied; their watermarks are committed with them, so a run that stops on the way, or is tried again,
+    leaves both as they were.
+    """
+    state = feed_state(spark, path)
+    schema = "account_id bigint, watermark timestamp"
+    known = state.log.state["notes"].get("marks")
+    marks = spark.read.schema(schema).parquet(f"{path}/state/{known}") if known else spark.createDataFrame([], schema)
+    judged = judged_runs(pages.select("account_id", "page", "cursor", "next_cursor"), marks, started)
+    if run in state.log.state["batches"]:
+        return judged
+    name = f"marks-{run}"
+    judged.select("account_id", "watermark").write.mode("overwrite").parquet(f"{path}/state/{name}")
+    good = pages.join(judged.where("state = 'complete'").select("account_id"), "account_id", "left_semi")
+    rows = good.select("account_id", F.explode("data").alias("t")).select("t.tx_id", "account_id", "t.amount", "t.day", "t.description", "t.version")
+    state.apply(rows, run, upsert, {"marks": name})
+    return judged
 
 
 def freshness(accounts: DataFrame, updated: str, as_of: str, hours: int = 36) -> DataFrame:
