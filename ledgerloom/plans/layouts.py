@@ -8,13 +8,13 @@ from ..sources import layouts as L
 from ..sources import statements as P
 from . import views as W
 from .registry import query
-from .statements import RANKED, _ranked, _sheet
+from .statements import RANKED, WHOLE, _held, _ranked, _sheet, landed
 
 #: Layout 0 has known headings, 1 two lines ahead of unknown headings, 2 no headings.
 HEADS = ("Data Mov.;Data Valor;Descrição;Débito;Crédito;Saldo\n", "Extrato;X\nConta;123\nFecha;Posting;Texto;Importe;Controlo\n", "")
 
 
-def layout_files(spark, sf_dir, only=None):
+def layout_files(spark, sf_dir, only=None, put=_held, by="statement_id"):
     """One file a statement, in the layout of its number (or all in ``only``)."""
     day, comma = F.date_format("operation_date", "dd-MM-yyyy"), lambda c: F.replace(c, F.lit("."), F.lit(","))
     money, next_ = comma(F.col("amount").cast("string")), (F.col("rank") + 1).cast("string")
@@ -22,9 +22,8 @@ def layout_files(spark, sf_dir, only=None):
     text = (F.concat_ws(";", day, day, "description", *split, next_), F.concat_ws(";", day, day, "description", money, next_), F.concat_ws(";", F.col("rank").cast("string"), day, day, "description", money, next_))
     kind = F.lit(only) if only is not None else F.col("statement_id") % 3
     pick = lambda xs: F.when(kind == 0, xs[0]).when(kind == 1, xs[1]).otherwise(xs[2])
-    rows = _ranked(spark, sf_dir).withColumns({"t": pick(text), "h": pick([F.lit(h) for h in HEADS])})
-    files = P.joined(rows, ["file"], "rank", F.concat(F.when(F.col("rank") == 0, F.col("h")).otherwise(""), F.col("t")))
-    return files
+    rows = _ranked(spark, sf_dir, by).withColumns({"t": pick(text), "h": pick([F.lit(h) for h in HEADS])})
+    return put(rows, F.concat(F.when(F.col("rank") == 0, F.col("h")).otherwise(""), F.col("t")))
 
 
 @query("select cast(statement_id as varchar) as file, cast(case statement_id % 3 when 0 then 0 when 1 then 2 else -1 end as int) as header_row from (select distinct statement_id from lines)")
@@ -124,15 +123,15 @@ def m10_header_examples(spark, sf_dir):
     return L.header_examples(heads, heads.select("file", F.lit("description").alias("field"), "column"), known)
 
 
-@query(f"with {RANKED}, s as (select statement_id from lines group by 1 having count(*) >= 5) select cast(statement_id as varchar) as file, rank, operation_date, operation_date as value_date, amount, description || ' PAY-' || lpad(cast(line_id as varchar), 9, '0') as description, 'PAY-' || case when line_id // 10 % 5 = 1 then lpad(cast(line_id // 10 as varchar), 8, '0') else lpad(cast(line_id as varchar), 9, '0') end as reference, cast(7 as decimal(18,2)) as running_balance from ranked semi join s using (statement_id)")
+@query(f"with {WHOLE}, s as (select account_id from lines group by 1 having count(*) >= 5) select cast(account_id as varchar) as file, rank, operation_date, operation_date as value_date, amount, description || ' PAY-' || lpad(cast(line_id as varchar), 9, '0') as description, 'PAY-' || case when line_id // 10 % 5 = 1 then lpad(cast(line_id // 10 as varchar), 8, '0') else lpad(cast(line_id as varchar), 9, '0') end as reference, cast(7 as decimal(18,2)) as running_balance from ranked semi join s using (account_id)")
 def s9_tabulated(spark, sf_dir):
     """Files of fewer than five rows are not known to be of this format."""
-    return L.parse_tabulated(_sheet(spark, sf_dir, "\t").select("file", F.regexp_replace("content", "^[^\n]*\n", "").alias("content")), "\t")
+    return L.parse_tabulated(landed(_sheet, spark, sf_dir, sep="\t").where("rank > 0").withColumn("rank", F.col("rank") - 1), "\t")
 
 
-@query(f"with {RANKED} select cast(statement_id as varchar) as file, rank + 1 as rank, operation_date, operation_date as value_date, amount, description, cast(rank + 1 as decimal(18,2)) as running_balance from ranked")
+@query(f"with {WHOLE} select cast(account_id as varchar) as file, rank + 1 as rank, operation_date, operation_date as value_date, amount, description, cast(rank + 1 as decimal(18,2)) as running_balance from ranked")
 def s10_csv_aliased(spark, sf_dir):
-    return L.parse_csv_aliased(layout_files(spark, sf_dir, only=0), ";")
+    return L.parse_csv_aliased(landed(layout_files, spark, sf_dir, only=0), ";")
 
 
 

@@ -1,29 +1,55 @@
-"""Queries of statement parsers: lines are written as files of a format and read back."""
+"""Queries of statement parsers: lines are written as files of a format to the shared folder and read back by path."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import sinks, statements as P
+from ..sources import records, sinks, statements as P
+from ..sources.erp import shared_path
 from . import views as W
 from .registry import query
 
+#: Statements (an account's month) as files; and whole accounts, which are written and read by path.
 RANKED = "ranked as (select *, cast(row_number() over (partition by statement_id order by operation_date, line_id) - 1 as int) as rank from lines)"
-LINES = f"with {RANKED} select cast(statement_id as varchar) as file, rank, operation_date, amount, cast(line_id as varchar) as reference"
+WHOLE = "ranked as (select *, cast(row_number() over (partition by account_id order by operation_date, line_id) - 1 as int) as rank from lines)"
+LINES = f"with {WHOLE} select cast(account_id as varchar) as file, rank, operation_date, amount, cast(line_id as varchar) as reference"
 
 
-def _ranked(spark, sf_dir):
-    """All lines with their place in their statement (an account's month), which is one file."""
-    w = Window.partitionBy("statement_id").orderBy("operation_date", "line_id")
-    return W.lines(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).withColumn("file", F.col("statement_id").cast("string"))
+def _ranked(spark, sf_dir, by="statement_id"):
+    """All lines with their place in their file: a statement (an account's month) or a whole account."""
+    w = Window.partitionBy(by).orderBy("operation_date", "line_id")
+    return W.lines(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).withColumn("file", F.col(by).cast("string"))
+
+
+def _held(rows, text, head="", tail=""):
+    """(file, content): the files as texts."""
+    return P.joined(rows, ["file"], "rank", text, head, tail)
+
+
+def _written(rows, text, head="", tail=""):
+    """The files written to the shared folder, line by line in order; their path."""
+    path = shared_path(rows.sparkSession, "statements")
+    body = rows.select("file", "rank", text.alias("value"))
+    for at, words in ((-1, head.rstrip("\n")), ((1 << 31) - 1, tail.lstrip("\n"))):
+        if words:
+            body = body.unionByName(rows.select("file").distinct().select("file", F.lit(at).alias("rank"), F.lit(words).alias("value")))
+    body.repartition("file").sortWithinPartitions("file", "rank").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def landed(make, spark, sf_dir, kind=None, **more):
+    """What ``make`` writes, a file an account, read again by path: as movements of ``kind``, or as lines."""
+    path = make(spark, sf_dir, put=_written, by="account_id", **more)
+    rows = records.read_movements(spark, path, kind) if kind else records.read_lines(spark, path)
+    return rows.withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
 
 
 def _abs():
     return F.abs("amount").cast("string")
 
 
-def _camt(spark, sf_dir):
+def _camt(spark, sf_dir, put=None, by="statement_id"):
     """Namespaced documents of two statements; every third entry has a time instead of a day, every second its details."""
     k = F.col("line_id") / 10
     day = F.when(k % 3 == 0, F.concat(F.lit("<n:DtTm>"), F.col("operation_date").cast("string"), F.lit("T10:00:00</n:DtTm>"))).otherwise(F.concat(F.lit("<n:Dt>"), F.col("operation_date").cast("string"), F.lit("</n:Dt>")))
@@ -35,21 +61,21 @@ def _camt(spark, sf_dir):
         F.lit("<n:Ntry><n:NtryRef>"), F.col("line_id").cast("string"), F.lit("</n:NtryRef><n:Amt Ccy='"), F.when(k % 5 == 0, "usd").otherwise("EUR"), F.lit("'>"), _abs(), F.lit("</n:Amt><n:CdtDbtInd>"), F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT"),
         F.lit("</n:CdtDbtInd><n:BookgDt>"), day, F.lit("</n:BookgDt><n:AcctSvcrRef>S1</n:AcctSvcrRef>"), F.when(k % 2 == 0, details).otherwise(""), F.lit("<n:AddtlNtryInf>"), "description", F.lit("</n:AddtlNtryInf></n:Ntry>"),
         F.when(F.col("rank") == 1, "</n:Stmt><n:Stmt>").otherwise(""))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", entry, "<n:Document xmlns:n='urn:iso:std:iso:20022:tech:xsd:camt.053.001.02'><n:BkToCstmrStmt><n:Stmt>", "</n:Stmt></n:BkToCstmrStmt></n:Document>")
+    return (put or _held)(_ranked(spark, sf_dir, by), entry, "<n:Document xmlns:n='urn:iso:std:iso:20022:tech:xsd:camt.053.001.02'><n:BkToCstmrStmt><n:Stmt>", "</n:Stmt></n:BkToCstmrStmt></n:Document>")
 
 
-def _ofx(spark, sf_dir):
+def _ofx(spark, sf_dir, put=None, by="statement_id"):
     block = F.concat(F.lit("<STMTTRN><TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<DTPOSTED>"), F.date_format("operation_date", "yyyyMMdd"), F.lit("120000\n<FITID>"), F.col("line_id").cast("string"), F.lit("\n<MEMO>"), "description", F.lit("\n</STMTTRN>"))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", block, "OFXHEADER:100\n<OFX><CURDEF>EUR\n", "</OFX>")
+    return (put or _held)(_ranked(spark, sf_dir, by), block, "OFXHEADER:100\n<OFX><CURDEF>EUR\n", "</OFX>")
 
 
-def _mt940(spark, sf_dir):
+def _mt940(spark, sf_dir, put=None, by="statement_id"):
     mark = F.when(F.col("amount") < 0, F.when(F.col("line_id") % 2 == 0, "RC").otherwise("D")).otherwise(F.when(F.col("line_id") % 2 == 0, "RD").otherwise("C"))
     line = F.concat(F.lit(":61:"), F.date_format("operation_date", "yyMMdd"), F.date_format("operation_date", "MMdd"), mark, F.replace(_abs(), F.lit("."), F.lit(",")), F.lit("NTRF"), F.col("line_id").cast("string"), F.lit("//BANK\n:86:"), F.substring("description", 1, 9), F.lit("\n"), F.substring("description", 10, 200))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, ":20:X\n:60F:C950101EUR0,00\n", "\n:62F:C950101EUR0,00")
+    return (put or _held)(_ranked(spark, sf_dir, by), line, ":20:X\n:60F:C950101EUR0,00\n", "\n:62F:C950101EUR0,00")
 
 
-def _norma43(spark, sf_dir, head="11000000000000000000USD", override=False):
+def _norma43(spark, sf_dir, put=None, by="statement_id", head="11000000000000000000USD", override=False):
     """Every second movement has its text in the record itself and an IBAN in a continuation; with ``override`` every third its currency."""
     cents = F.lpad((F.abs("amount") * 100).cast("decimal(14,0)").cast("string"), 14, "0")
     day = F.date_format("operation_date", "yyMMdd")
@@ -57,19 +83,19 @@ def _norma43(spark, sf_dir, head="11000000000000000000USD", override=False):
     text = F.when(k % 2 == 0, F.concat("description", F.lit("\n2301PT50000201231234567890154"))).otherwise(F.concat(F.lit("\n2301"), "description"))
     money = F.when((k % 3 == 0) & F.lit(override), F.concat(F.lit("\n2401978"), cents)).otherwise("")
     line = F.concat(F.lit("22        "), day, day, F.lit("99999"), F.when(F.col("amount") < 0, "1").otherwise("2"), cents, F.rpad(F.col("line_id").cast("string"), 10, " "), text, money)
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, head + "\n", "\n3300000000\n8899999999\n2301late")
+    return (put or _held)(_ranked(spark, sf_dir, by), line, head + "\n", "\n3300000000\n8899999999\n2301late")
 
 
-def _csv(spark, sf_dir):
+def _csv(spark, sf_dir, put=None, by="statement_id"):
     debit, credit = F.when(F.col("amount") < 0, _abs()).otherwise(""), F.when(F.col("amount") >= 0, _abs()).otherwise("")
     line = F.concat_ws(";", F.date_format("operation_date", "dd-MM-yyyy"), F.date_format("operation_date", "dd-MM-yyyy"), "description", F.replace(debit, F.lit("."), F.lit(",")), F.replace(credit, F.lit("."), F.lit(",")), F.col("line_id").cast("string"))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, "Data;Valor;Descricao;Debito;Credito;Saldo\n")
+    return (put or _held)(_ranked(spark, sf_dir, by), line, "Data;Valor;Descricao;Debito;Credito;Saldo\n")
 
 
 @query(LINES + """, case when line_id // 10 % 5 = 0 then 'USD' else 'EUR' end as currency, case when line_id // 10 % 2 = 0 then 'P' || line_id else '' end as counterparty_name, case when line_id // 10 % 2 = 0 then 'PT500002' else '' end as counterparty_iban,
  case when line_id // 10 % 2 = 0 then description || ' more' else description end as description, case when line_id // 10 % 2 = 0 then 'E' || line_id else 'S1' end as payment_reference from ranked""")
 def s1_camt053(spark, sf_dir):
-    return P.parse_camt(_camt(spark, sf_dir)).drop("value_date", "line_uid")
+    return P.parse_camt(landed(_camt, spark, sf_dir, "camt")).drop("value_date", "line_uid")
 
 
 @query(f"""with {RANKED}, x as (select *, case when line_id // 10 % 2 = 0 then 'E' || line_id else 'S1' end as p, cast(operation_date as varchar) || case when line_id // 10 % 3 = 0 then 'T10:00:00' else '' end as d from ranked)
@@ -80,41 +106,41 @@ def f15_line_uid(spark, sf_dir):
 
 @query(LINES + ", description from ranked")
 def s2_ofx(spark, sf_dir):
-    return P.parse_ofx(_ofx(spark, sf_dir))
+    return P.parse_ofx(landed(_ofx, spark, sf_dir, "ofx"))
 
 
 @query(LINES + ", substr(description, 1, 9) || ' ' || substr(description, 10) as description from ranked")
 def s3_mt940(spark, sf_dir):
-    return P.parse_mt940(_mt940(spark, sf_dir)).drop("value_date")
+    return P.parse_mt940(landed(_mt940, spark, sf_dir, "mt940")).drop("value_date")
 
 
 @query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, 'USD' as currency from ranked")
 def s4_norma43(spark, sf_dir):
-    return P.parse_norma43(_norma43(spark, sf_dir)).drop("value_date")
+    return P.parse_norma43(landed(_norma43, spark, sf_dir, "norma43")).drop("value_date")
 
 
 @query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, 'EUR' as currency from ranked")
 def s4_norma43_978(spark, sf_dir):
-    return P.parse_norma43(_norma43(spark, sf_dir, "11000000000000000000978")).drop("value_date")
+    return P.parse_norma43(landed(_norma43, spark, sf_dir, "norma43", head="11000000000000000000978")).drop("value_date")
 
 
 @query(LINES + ", case when line_id // 10 % 2 = 0 then description || ' PT50000201231234567890154' else description end as description, case when line_id // 10 % 2 = 0 then 'PT50000201231234567890154' else '' end as counterparty_iban, case when line_id // 10 % 3 = 0 then 'EUR' else 'USD' end as currency from ranked")
 def s4_norma43_r24(spark, sf_dir):
-    return P.parse_norma43(_norma43(spark, sf_dir, override=True)).drop("value_date")
+    return P.parse_norma43(landed(_norma43, spark, sf_dir, "norma43", override=True)).drop("value_date")
 
 
-@query(f"with {RANKED} select cast(statement_id as varchar) as file, rank + 1 as rank, operation_date, amount, description, cast(line_id as decimal(18,2)) as running_balance from ranked")
+@query(f"with {WHOLE} select cast(account_id as varchar) as file, rank + 1 as rank, operation_date, amount, description, cast(line_id as decimal(18,2)) as running_balance from ranked")
 def s11_mapped_rows(spark, sf_dir):
     mapping = {"date": 0, "value": 1, "description": 2, "debit": 3, "credit": 4, "balance": 5}
-    return P.parse_mapped(_csv(spark, sf_dir), mapping).drop("value_date")
+    return P.parse_mapped(landed(_csv, spark, sf_dir), mapping).drop("value_date")
 
 
-def _sheet(spark, sf_dir, sep):
+def _sheet(spark, sf_dir, sep, put=None, by="statement_id"):
     """Eight columns: number, two dates, text, reference, debit, credit, balance."""
     debit, credit = F.when(F.col("amount") < 0, _abs()).otherwise(""), F.when(F.col("amount") >= 0, _abs()).otherwise("")
     day = F.date_format("operation_date", "dd-MM-yyyy")
     line = F.concat_ws(sep, F.col("rank").cast("string"), day, day, F.concat("description", F.lit(" PAY-"), F.lpad(F.col("line_id").cast("string"), 9, "0")), F.lit("x"), debit, credit, F.lit("7.00"))
-    return P.joined(_ranked(spark, sf_dir), ["file"], "rank", line, sep.join(["n", "data", "valor", "texto", "ref", "debito", "credito", "saldo"]) + "\n")
+    return (put or _held)(_ranked(spark, sf_dir, by), line, sep.join(["n", "data", "valor", "texto", "ref", "debito", "credito", "saldo"]) + "\n")
 
 
 def _all_formats(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import text_similarity
 from ..functions.text import extract_strong_reference, header_key
 from ..functions.values import parse_date, parse_number
+from .records import numbered
 from .statements import file_lines, profile_cells
 
 MONEY = "decimal(18,2)"
@@ -76,7 +77,8 @@ def guess_header_row(files: DataFrame, separator: str, aliases: dict[str, list[s
     )
     may = (F.col("n") >= 2) & ~((F.col("dates") > 0) & (F.col("numbers") > 0)) & (F.col("rank") < scan) & (score >= least)
     best = rows.groupBy("file").agg(F.max(F.when(may, F.struct(score.alias("s"), (-F.col("rank")).alias("r")))).alias("b"))
-    return files.select("file").join(best, "file", "left").select("file", F.coalesce(-F.col("b.r"), F.lit(-1)).cast("int").alias("header_row"))
+    names = files.select("file").distinct() if "line" in files.columns else files.select("file")
+    return names.join(best, "file", "left").select("file", F.coalesce(-F.col("b.r"), F.lit(-1)).cast("int").alias("header_row"))
 
 
 def headings(files: DataFrame, separator: str, header: DataFrame) -> DataFrame:
@@ -291,13 +293,12 @@ def parse_tabulated(files: DataFrame, separator: str) -> DataFrame:
     c = file_lines(files).withColumn("c", F.split("line", f"[{separator}]")).where("size(c) >= 8")
     cell = lambda i: F.trim(F.get("c", F.lit(i)))
     good = parse_date(cell(1)).isNotNull() & parse_date(cell(2)).isNotNull() & (parse_number(cell(5)).isNotNull() | parse_number(cell(6)).isNotNull())
-    w = Window.partitionBy("file").orderBy("rank")
-    c = c.withColumns({"good": good, "k": F.row_number().over(w)})
-    known = c.where("k <= 25").groupBy("file").agg(F.count("*").alias("n"), F.count_if("good").alias("hits")).where((F.col("n") >= 5) & (F.col("hits") >= 0.7 * F.col("n")))
+    first = c.withColumns({"good": good, "k": F.row_number().over(Window.partitionBy("file").orderBy("rank"))})  # the 25 first of a file are cut off before they are dealt
+    known = first.where("k <= 25").groupBy("file").agg(F.count("*").alias("n"), F.count_if("good").alias("hits")).where((F.col("n") >= 5) & (F.col("hits") >= 0.7 * F.col("n")))
     facts = _line({"operation_date": cell(1), "value_date": cell(2), "description": cell(3), "debit": cell(5), "credit": cell(6), "running_balance": cell(7)})
-    rows = c.join(known.select("file"), "file", "left_semi").select("file", "rank", *(v.alias(k) for k, v in facts.items())).where("operation_date is not null and amount is not null")
+    rows = c.join(known.select("file"), "file", "left_semi").select("file", "rank", *[x for x in ("block",) if x in c.columns], *(v.alias(k) for k, v in facts.items())).where("operation_date is not null and amount is not null")
     ref = F.coalesce(F.nullif(extract_strong_reference("description"), F.lit("")), F.col("description"))
-    return rows.withColumns({"rank": F.row_number().over(w) - 1, "reference": ref})
+    return numbered(rows).withColumn("reference", ref).drop("block")
 
 
 def parse_csv_aliased(files: DataFrame, separator: str, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:

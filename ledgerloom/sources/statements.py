@@ -1,7 +1,8 @@
 """Parsers of statement files.
 
-Every parser is a function of a table (file, content), so a whole directory is read in one job; ``read_files`` gives that table
-for a path. A line's rank is its place in its file.
+Every parser is a function of a table, so a whole directory is read in one job: of (file, content) with whole files
+(``read_files``), or of the lines or movements of files read in splits (``records.read_lines``, ``records.read_movements``), where a
+large file is work for many tasks. A line's rank is its place in its file.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_iban, extract_strong_reference, header_key, iban_norm
 from ..functions.values import line_uid, parse_date, parse_number, short_date
+from .records import carried, numbered
 
 MONEY = "decimal(18,2)"
 _PARTY = "struct<Nm: string>"
@@ -44,7 +46,9 @@ def decode_text(files: DataFrame) -> DataFrame:
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """(file, rank, line) with the line's place in its file, from 0."""
+    """(file, rank, line) with the line's place in its file, from 0; lines that were read as such stay."""
+    if "line" in files.columns:
+        return files
     return files.select("file", F.posexplode(F.split("content", "\r?\n")).alias("rank", "line"))
 
 
@@ -53,8 +57,13 @@ def parse_camt(files: DataFrame, currency: str = "EUR") -> DataFrame:
 
     Debits are negative; the other side of a debit is the creditor, of a credit the debtor.
     """
-    bare = F.regexp_replace("content", "<(/?)[A-Za-z0-9_.-]+:", "<$1")
-    entries = files.select("file", F.posexplode(F.regexp_extract_all(bare, F.lit("(?s)<Ntry(?:\\s[^>]*)?>.*?</Ntry>"), 0)).alias("rank", "x"))
+    bare = lambda c: F.regexp_replace(c, "<(/?)[A-Za-z0-9_.-]+:", "<$1")
+    if "piece" in files.columns:  # an entry ends where the next mark is a closing tag; an opening tag with attributes is no mark
+        ends = files.where(F.col("piece").rlike("</([A-Za-z0-9_.-]+:)?$"))
+        inner = F.regexp_replace(F.regexp_replace(bare(F.regexp_replace("piece", "</([A-Za-z0-9_.-]+:)?$", "")), "(?s)^.*<Ntry\\s[^>]*>", ""), "(?s)^.*<Ntry>", "")
+        entries = numbered(ends).select("file", "rank", F.concat(F.lit("<Ntry>"), inner, F.lit("</Ntry>")).alias("x"))
+    else:
+        entries = files.select("file", F.posexplode(F.regexp_extract_all(bare("content"), F.lit("(?s)<Ntry(?:\\s[^>]*)?>.*?</Ntry>"), 0)).alias("rank", "x"))
     rows = entries.select("file", "rank", F.from_xml("x", CAMT, {"ignoreNamespace": "true"}).alias("e")).withColumn("t", F.get("e.NtryDtls.TxDtls", F.lit(0)))
     debit = F.upper("e.CdtDbtInd") == "DBIT"
     amount = F.abs(F.col("e.Amt._VALUE").cast(MONEY))
@@ -73,19 +82,35 @@ def parse_camt(files: DataFrame, currency: str = "EUR") -> DataFrame:
 
 def parse_ofx(files: DataFrame) -> DataFrame:
     """OFX transaction blocks; blocks without a readable amount are left out."""
-    blocks = files.select("file", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)<STMTTRN>(.*?)</STMTTRN>"), 1)).alias("rank", "b"))
+    if "piece" in files.columns:
+        closed = files.where((F.col("rank") > 0) & F.contains("piece", F.lit("</STMTTRN>")))
+        blocks = numbered(closed).select("file", "rank", F.substring_index("piece", "</STMTTRN>", 1).alias("b"))
+    else:
+        blocks = files.select("file", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)<STMTTRN>(.*?)</STMTTRN>"), 1)).alias("rank", "b"))
     tag = lambda t: F.trim(F.regexp_extract("b", f"<{t}>([^<\\r\\n]*)", 1))
     rows = blocks.select("file", "rank", F.to_date(F.substring(tag("DTPOSTED"), 1, 8), "yyyyMMdd").alias("operation_date"), F.when(tag("TRNAMT").rlike("^-?[0-9]+([.][0-9]+)?$"), tag("TRNAMT").cast(MONEY)).alias("amount"), tag("FITID").alias("reference"), F.trim(F.concat_ws(" ", tag("MEMO"), tag("NAME"))).alias("description"))
     return rows.where("amount is not null")
 
 
+def _pieces(files: DataFrame, mark: str) -> DataFrame:
+    """(file, rank, piece) of a file cut before every line that starts with ``mark``; pieces that were read as such get their mark again."""
+    if "piece" in files.columns:
+        return files.withColumn("piece", F.when(F.col("rank") > 0, F.concat(F.lit(mark), "piece")).otherwise(F.col("piece")))
+    return files.select("file", F.posexplode(F.split("content", f"\\r?\\n(?={mark})")).alias("rank", "piece"))
+
+
+def _moves(files: DataFrame, mark: str) -> DataFrame:
+    """The pieces that start with ``mark``, without it, counted from 0."""
+    rows = numbered(_pieces(files, mark).where(F.col("piece").startswith(mark)))
+    return rows.withColumn("piece", F.substring("piece", len(mark) + 1, 1 << 30))
+
+
 def parse_mt940(files: DataFrame) -> DataFrame:
     """Tagged statements: each :61: opens a movement, :86: lines after it are its text; RC is negative and RD positive."""
-    tags = files.select("file", F.posexplode(F.split("content", "(?m)\\r?\\n(?=:[0-9]{2}[A-Z]?:)")).alias("rank", "t"))
-    tags = tags.select("file", "rank", F.regexp_extract("t", "^:([0-9]{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace(F.regexp_replace("t", "^:[0-9]{2}[A-Z]?:", ""), "\\r?\\n", " ").alias("v"))
-    grouped = tags.withColumn("g", F.sum((F.col("tag") == "61").cast("int")).over(Window.partitionBy("file").orderBy("rank"))).where("g > 0 and tag in ('61', '86')")
-    first = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("v")))
-    rows = grouped.groupBy("file", "g").agg(first("61").alias("m"), first("86").alias("description"))
+    moves = _moves(files, ":61:")
+    tags = F.split("piece", "\\r?\\n(?=:[0-9]{2}[A-Z]?:)")
+    texts = F.transform(F.filter(tags, lambda t: t.startswith(":86:")), lambda t: F.regexp_replace(F.substring(t, 5, 1 << 30), "\\r?\\n", " "))
+    rows = moves.select("file", "rank", F.regexp_replace(F.get(tags, F.lit(0)), "\\r?\\n", " ").alias("m"), F.array_max(texts).alias("description"))
     pattern = "^([0-9]{6})([0-9]{4})?(RC|RD|C|D)[A-Z]?([0-9]+),([0-9]{0,2})[A-Z][A-Z0-9]{3}([^/]*)(//(.*))?"
     part = lambda i: F.regexp_extract("m", pattern, i)
     value = short_date(part(1))
@@ -94,7 +119,7 @@ def parse_mt940(files: DataFrame) -> DataFrame:
     booked = F.when(apart > 180, F.add_months(entry, -12)).when(apart < -180, F.add_months(entry, 12)).otherwise(F.coalesce(entry, value))
     amount = F.concat_ws(".", part(4), F.rpad(part(5), 2, "0")).cast(MONEY)
     signed = F.when(part(3).isin("D", "RC"), -amount).otherwise(amount)
-    return rows.select("file", (F.col("g") - 1).cast("int").alias("rank"), booked.alias("operation_date"), value.alias("value_date"), signed.cast(MONEY).alias("amount"), F.trim(part(6)).alias("reference"), "description")
+    return rows.select("file", "rank", booked.alias("operation_date"), value.alias("value_date"), signed.cast(MONEY).alias("amount"), F.trim(part(6)).alias("reference"), "description")
 
 
 def parse_norma43(files: DataFrame, currency: str = "EUR") -> DataFrame:
@@ -103,15 +128,15 @@ def parse_norma43(files: DataFrame, currency: str = "EUR") -> DataFrame:
 
     The IBAN is the last one in the text; without a reference the strong reference of the text stands in.
     """
-    lines = file_lines(files).withColumn("code", F.substring("line", 1, 2)).where("code in ('11', '22', '23', '24', '33', '88')")
     money = lambda c: F.when(c == "978", "EUR").otherwise(c)
-    w = Window.partitionBy("file").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("code") == "11", F.nullif(F.regexp_extract("line", "(978|[A-Z]{3})\\s*[0-9]*\\s*$", 1), F.lit("")))
-    marks = lines.withColumns({"head": F.last(head, ignorenulls=True).over(w), "g": F.sum((F.col("code") == "22").cast("int")).over(w), "shut": F.sum(F.col("code").isin("33", "88").cast("int")).over(w)})
-    opened = F.max(F.when(F.col("code") == "22", F.col("shut"))).over(Window.partitionBy("file", "g"))
-    grouped = marks.withColumn("opened", opened).where("g > 0 and code in ('22', '23', '24') and shut = opened")
-    part = lambda code, at: F.filter(F.array_sort(F.collect_list(F.when(F.col("code") == code, F.struct("rank", F.trim(F.regexp_replace(F.substring("line", at, 200), "\\s+", " ")).alias("t"))))), lambda x: x["t"] != "")
-    rows = grouped.groupBy("file", "g").agg(F.max(F.when(F.col("code") == "22", F.col("line"))).alias("m"), F.max(F.when(F.col("code") == "22", F.col("head"))).alias("head"), part("23", 5).alias("more"), part("24", 5).alias("override"))
+    lines = F.split("piece", "\\r?\\n")
+    heads = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("11")), lambda x: F.regexp_extract(x, "(978|[A-Z]{3})\\s*[0-9]*\\s*$", 1)), lambda x: x != "")
+    told = carried(_pieces(files, "22"), "rank", F.try_element_at(heads, F.lit(-1)), inclusive=False)  # a register 11 counts for the movements after it
+    rows = numbered(told.where(F.col("piece").startswith("22"))).withColumn("lines", lines)
+    shut = F.array_position(F.transform("lines", lambda x: x.rlike("^(33|88)")), F.lit(True))
+    own = F.when(shut > 0, F.slice("lines", F.lit(1), (shut - 1).cast("int"))).otherwise(F.col("lines"))
+    part = lambda code: F.filter(F.transform(F.filter(own, lambda x: x.startswith(code)), lambda x: F.struct(F.trim(F.regexp_replace(F.substring(x, 5, 200), "\\s+", " ")).alias("t"))), lambda x: x["t"] != "")
+    rows = rows.select("file", "rank", F.get("lines", F.lit(0)).alias("m"), F.col("carried").alias("head"), part("23").alias("more"), part("24").alias("override"))
     at = lambda i, n: F.substring("m", i + 1, n)
     cents = (at(28, 14).cast("decimal(14,0)") / 100).cast(MONEY)
     words = F.transform("more", lambda x: x["t"])
@@ -123,7 +148,7 @@ def parse_norma43(files: DataFrame, currency: str = "EUR") -> DataFrame:
     iban = F.coalesce(F.nullif(extract_iban("description"), F.lit("")), F.when(F.size(ibans) > 0, F.element_at(ibans, -1)), F.lit(""))
     booked = short_date(at(10, 6))
     out = rows.select(
-        "file", (F.col("g") - 1).cast("int").alias("rank"), booked.alias("operation_date"), F.coalesce(short_date(at(16, 6)), booked).alias("value_date"), F.when(at(27, 1) == "1", -cents).otherwise(cents).cast(MONEY).alias("amount"),
+        "file", "rank", booked.alias("operation_date"), F.coalesce(short_date(at(16, 6)), booked).alias("value_date"), F.when(at(27, 1) == "1", -cents).otherwise(cents).cast(MONEY).alias("amount"),
         money(F.coalesce(override, "head", F.lit(currency))).alias("currency"), ref.alias("reference"), iban.alias("counterparty_iban"), "description")
     return out.where("operation_date is not null and amount is not null")
 
@@ -217,9 +242,8 @@ def joined(rows: DataFrame, by: list[str], order: str, text: Column, head: str =
 
 def _movements(files: DataFrame, pattern: str, groups: int) -> DataFrame:
     """Lines of a file that fit a whole-line pattern: file, rank among them, and the groups g1..gn."""
-    rows = file_lines(files).where(F.col("line").rlike(pattern))
-    w = Window.partitionBy("file").orderBy("rank")
-    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), *[F.regexp_extract("line", pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
+    rows = numbered(file_lines(files).where(F.col("line").rlike(pattern)))
+    return rows.select("file", "rank", *[F.regexp_extract("line", pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
 
 
 def parse_nib_compound(files: DataFrame) -> DataFrame:
@@ -234,13 +258,12 @@ def parse_consolidated(files: DataFrame) -> DataFrame:
     rows = file_lines(files).where("line like '03%'")
     blocks = F.regexp_extract_all("line", F.lit("([+-])([0-9]{18})"), 0)
     value = lambda b: (F.substring(b, 2, 18).cast("decimal(18,0)") / 100 * F.when(F.substring(b, 1, 1) == "-", -1).otherwise(1)).cast(MONEY)
-    rows = rows.withColumn("b", blocks).where("size(b) > 0")
+    rows = numbered(rows.withColumn("b", blocks).where("size(b) > 0"))
     n = F.size("b")
     movement = F.when(n >= 3, F.element_at("b", -2)).otherwise(F.element_at("b", -1))
-    w = Window.partitionBy("file").orderBy("rank")
     days = F.regexp_extract_all(F.substring("line", 11, 200), F.lit("  ([0-9]{8})"), 1)
     day = lambda i: F.try_to_timestamp(F.get(days, F.lit(i)), F.lit("yyyyMMdd")).cast("date")
-    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), day(0).alias("operation_date"), F.coalesce(day(1), day(0)).alias("value_date"), value(movement).alias("amount"), F.when(n >= 3, value(F.element_at("b", -1))).alias("running_balance"))
+    return rows.select("file", "rank", day(0).alias("operation_date"), F.coalesce(day(1), day(0)).alias("value_date"), value(movement).alias("amount"), F.when(n >= 3, value(F.element_at("b", -1))).alias("running_balance"))
 
 
 def parse_bit_recon(files: DataFrame) -> DataFrame:
@@ -253,12 +276,11 @@ def parse_bit_recon(files: DataFrame) -> DataFrame:
 def parse_emc(files: DataFrame) -> DataFrame:
     """EMC13 sets the currency; EMC23 is a movement with a pair of signs (any D is a debit), 16 digits of cents and a text."""
     rows = file_lines(files).where("line rlike '^EMC(13|23)'")
-    w = Window.partitionBy("file").orderBy("rank")
-    money = F.last(F.when(F.col("line").startswith("EMC13"), F.substring("line", 6, 3)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("currency", money).where("line like 'EMC23%'")
+    told = carried(rows, "rank", F.when(F.col("line").startswith("EMC13"), F.substring("line", 6, 3)))
+    rows = numbered(told.withColumnRenamed("carried", "currency").where("line like 'EMC23%'"))
     cents = (F.substring("line", 16, 16).cast("decimal(16,0)") / 100).cast(MONEY)
     debit = F.contains(F.substring("line", 14, 2), F.lit("D"))
-    return rows.select("file", (F.row_number().over(w) - 1).alias("rank"), F.try_to_timestamp(F.substring("line", 6, 8), F.lit("yyyyMMdd")).cast("date").alias("operation_date"), F.when(debit, -cents).otherwise(cents).cast(MONEY).alias("amount"), "currency", F.trim(F.substring("line", 32, 200)).alias("description"))
+    return rows.select("file", "rank", F.try_to_timestamp(F.substring("line", 6, 8), F.lit("yyyyMMdd")).cast("date").alias("operation_date"), F.when(debit, -cents).otherwise(cents).cast(MONEY).alias("amount"), "currency", F.trim(F.substring("line", 32, 200)).alias("description"))
 
 
 def normalize_lines(lines: DataFrame, currency: str) -> DataFrame:
