@@ -41,7 +41,7 @@ select doc_id, coalesce(n, 0) as n_shingles, component_id from top left join n u
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 OP8 = f"""
-with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, {_WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_TRIM.format('x')} <> '') as lines from documents),
+with d as (select doc_id, coalesce('=' || source, '') as host, coalesce(text, '') as text, {_WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_TRIM.format('x')} <> '') as lines from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as k from d, unnest(range(1, greatest(len(w) - 6, 1))) t(i)),
 again as (select doc_id, k from win group by doc_id, k having count(*) > 1),
 rep as (select doc_id, count(distinct j) as n from win join again using (doc_id, k), unnest(range(i, i + 8)) t(j) group by doc_id),

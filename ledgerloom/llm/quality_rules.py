@@ -48,9 +48,9 @@ def _sketch(text):
 
 
 def _text_key():
-    """Host, hash and length: what tells texts apart."""
+    """Host, hash and length: what tells texts apart. A host is marked, so that null is none of the others."""
     text = F.coalesce("text", F.lit(""))
-    return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.length(text).alias("size")
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.length(text).alias("size")
 
 
 def _profile(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scan: candidates from every text, then a random forest that removes false positives.
 
-Candidates are all runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (with ``=`` as padding at the end only) in
-every blank-separated word that hold a digit, or letters of both cases that do not read as words (``MIXED``: five consonants
-in a row, or at most two letters between changes of case).
+Candidates are runs of ``[A-Za-z0-9+/_-]`` (with ``=`` as padding at the end only) in every blank-separated word that hold a digit, or
+letters of both cases that do not read as words (``MIXED``: five consonants in a row, or at most two letters between changes of
+case): all of at least ``LEAST`` characters, and behind a credential word with an assignment those of at least ``SHORT``. ``nth`` counts
+the word's runs of ``SHORT`` characters or more.
 
 Features: length; share of each of the 16 transitions between digits, small letters, capitals and other characters; distinct
 characters, digits and capitals; dictionary coverage (share of its letters in runs that are frequent words of the whole
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from .sqltext import blank_words, let
 from .store import keep, small
 
-LEAST, SAMPLE, TREES, DEPTH, FREQUENT, HOSTS, FOLDS = 16, 5000, 20, 6, 200, 3, 5
+LEAST, SHORT, SAMPLE, TREES, DEPTH, FREQUENT, HOSTS, FOLDS = 16, 6, 5000, 20, 6, 200, 3, 5
 #: Words that name credentials.
 CREDENTIAL = "(?i)(token|secret|passw(or)?d|pwd|api_?key|apikey|auth|credential|private_?key|access_?key)"
 #: A run starts where no run goes on, so a long one is read once; ``=`` ahead of a value ends it.
-RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
+RUN = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORT},}}+(?:={{1,2}}+(?![A-Za-z0-9+/_=-]))?"
+#: An assignment ends what leads to a value.
+ASSIGNED = "[=:]\\s*[\"']?$"
 MIXED = "(?i:[b-df-hj-np-tv-xz]{5})|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z])"
 #: Words of paths that hold samples.
 SAMPLES = "(?i)(test|example|sample|fixture|mock|demo|doc)"
@@ -49,17 +52,37 @@ def candidates(docs: DataFrame) -> DataFrame:
     """One row a candidate: doc_id, source, pos (word), nth (run of the word), word, run, prefix (what leads to the run in the word), before2, before, after."""
 
     def near(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & F.get(w, i).rlike(RUN) & _random(F.get(w, i)))
+        def may(i: Column) -> Column:
+            word = F.get(w, i)
+            ahead = F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
+            return (F.length(word) >= SHORT) & _random(word) & word.rlike(RUN) & (word.rlike(f"[A-Za-z0-9+/_-]{{{LEAST}}}") | (word.rlike(CREDENTIAL) & word.rlike("[=:]")) | (ahead.rlike(CREDENTIAL) & ahead.rlike("[=:]")))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), may)
         pick = lambda i: F.struct(i.alias("pos"), F.get(w, i).alias("word"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"), F.get(w, i + 1).alias("after"))
         return F.when(F.size(w) > 0, F.transform(at, pick))
 
     text = F.coalesce("text", F.lit(""))
-    likely = docs.where(text.rlike("[A-Za-z0-9+/_-]{16}")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(let(blank_words(text), near)).alias("c"))
+    likely = docs.where(text.rlike(f"[A-Za-z0-9+/_-]{{{LEAST}}}") | text.rlike(CREDENTIAL)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.explode(let(blank_words(text), near)).alias("c"))
     split = likely.select("doc_id", "source", "c.*", F.regexp_extract_all("c.word", F.lit(RUN), 0).alias("runs"), F.split("c.word", RUN).alias("between"))
     led = lambda r, i: F.struct(i.alias("nth"), r.alias("run"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.coalesce(F.get("between", i), F.lit(""))).alias("prefix"))
-    each = split.withColumn("r", F.explode(F.filter(F.transform("runs", led), lambda x: _random(x["run"])))).drop("runs", "between")
-    first = lambda c: F.when(F.col("r.nth") == 0, F.col(c)).alias(c)  # noqa: E731  # words before count for the first run only
-    return each.select("doc_id", "source", "pos", "r.nth", "word", first("before2"), first("before"), "after", "r.run", "r.prefix")
+    own = F.filter(F.transform("runs", led), lambda x: _random(x["run"]))
+    each = split.withColumn("r", F.explode(F.transform(own, lambda x, i: x.withField("first", i == 0)))).drop("runs", "between")
+    first = lambda c: F.when(F.col("r.first"), F.col(c)).alias(c)  # noqa: E731  # words before count for the first such run only
+    out = each.select("doc_id", "source", "pos", "r.nth", "word", first("before2"), first("before"), "after", "r.run", "r.prefix")
+    return out.where((F.length("run") >= LEAST) | (_credential() & _assigned()))
+
+
+def _credential() -> Column:
+    return F.concat_ws(" ", "before2", "before", "prefix").rlike(CREDENTIAL)
+
+
+def _assigned() -> Column:
+    return F.concat_ws(" ", "before", "prefix").rlike(ASSIGNED)
+
+
+def _path() -> Column:
+    """The source, marked so that null is none of the others."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
 def _classes(run: Column) -> Column:
@@ -90,14 +113,13 @@ def findings(docs: DataFrame) -> DataFrame:
     frequent = keep(uses.where(F.col("uses") >= max(2, size / 1e6 * FREQUENT / 100)).select("piece"))
     covered = rows.select("id", F.explode("letters").alias("piece")).join(frequent, "piece").groupBy("id").agg(F.sum(F.length("piece")).alias("covered"))
     beside = lambda c: rows.select("id", _bare(c).alias("piece")).join(frequent, "piece").select("id", F.lit(1.0).alias(f"near_{c}"))
-    source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
-    here = rows.groupBy("source").agg(F.count("*").alias("here"))
-    paths = docs.groupBy(source).agg(F.count("*").alias("documents")).join(here, "source").select("source", (F.col("here") / F.col("documents")).alias("path_rate"))
-    hosts = rows.groupBy("run").agg(F.count_distinct("source").alias("hosts")).where(F.col("hosts") > HOSTS)
-    wide = rows.join(covered, "id", "left").join(beside("before"), "id", "left").join(beside("after"), "id", "left").join(paths, "source", "left").join(hosts, "run", "left")
+    rows = rows.withColumn("path", _path())
+    here = rows.groupBy("path").agg(F.count("*").alias("here"))
+    paths = docs.groupBy(_path().alias("path")).agg(F.count("*").alias("documents")).join(here, "path").select("path", (F.col("here") / F.col("documents")).alias("path_rate"))
+    hosts = rows.groupBy("run").agg(F.count_distinct("path").alias("hosts")).where(F.col("hosts") > HOSTS)
+    wide = rows.join(covered, "id", "left").join(beside("before"), "id", "left").join(beside("after"), "id", "left").join(paths, "path", "left").join(hosts, "run", "left")
     classes = _classes(F.col("run"))
-    credential = F.concat_ws(" ", "before2", "before", "prefix").rlike(CREDENTIAL)
-    assigned = F.concat_ws(" ", "before", "prefix").rlike("[=:]\\s*[\"']?$")
+    credential, assigned = _credential(), _assigned()
     public = _luhn(F.col("run")) | F.col("word").contains("://") | F.col("hosts").isNotNull()
     label = F.when(credential & assigned, 1.0).when(~credential & ~assigned & public, 0.0)
     n = F.length("run").cast("double")
@@ -108,8 +130,8 @@ def findings(docs: DataFrame) -> DataFrame:
         (F.length(F.regexp_replace("run", "[^A-Z]", "")) / n).alias("capitals"),
         (F.coalesce("covered", F.lit(0)) / n).alias("coverage"),
         F.coalesce("near_before", F.lit(0.0)).alias("near_before"), F.coalesce("near_after", F.lit(0.0)).alias("near_after"),
-        F.size(F.array_remove(F.split("source", "[^A-Za-z]+"), "")).cast("double").alias("path_words"),
-        F.col("source").rlike(SAMPLES).cast("double").alias("path_samples"), "path_rate",
+        F.size(F.array_remove(F.split("path", "[^A-Za-z]+"), "")).cast("double").alias("path_words"),
+        F.col("path").rlike(SAMPLES).cast("double").alias("path_samples"), "path_rate",
         *((F.regexp_count(classes, F.lit(f"{t[0]}(?={t[1]})")) / n).alias(name) for t, name in zip(TRANSITIONS, FEATURES[10:], strict=True)),
     )
     shaped = keep(shaped)

@@ -1,6 +1,7 @@
 """Each operator against its plain version on texts with every awkward case, and on an empty table."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -341,11 +342,53 @@ def test_secret_candidates(spark):
     for r in candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("*", "'s' as source")).collect():
         got.setdefault(r["doc_id"], []).append((r["nth"], r["run"], r["prefix"]))
     assert [x[1] for x in sorted(got[0])] == [key + "1", key + "2"]
-    assert got[1] == [(0, key, "api_key=")]
+    assert got[1] == [(1, key, "api_key=")]
     assert [x[1] for x in sorted(got[2])] == [mixed, key + "=="]
     assert 3 not in got and len(got[4]) == 1
 
 
+def plain_candidates(text):
+    """(pos, nth, run, prefix, before2, before, after), word by word."""
+    random = lambda x: re.search("[0-9]", x) or (re.search("[a-z]", x) and re.search("[A-Z]", x) and re.search(r"(?i:[b-df-hj-np-tv-xz]{5})|[a-z][A-Z](?![a-z]{2})|[A-Z][a-z](?![a-z])", x))
+    named = lambda x: re.search("(?i)token|secret|passw(or)?d|pwd|api_?key|auth|credential|private_?key|access_?key", x)
+    words, out = re.findall(brute.BLANK, text or ""), []
+    for pos, w in enumerate(words):
+        end, last, first = 0, "", True
+        for nth, m in enumerate(re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?", w)):
+            run, prefix = m[0], last + w[end : m.start()]
+            end, last = m.end(), run
+            if not random(run):
+                continue
+            ahead = [words[pos - k] if first and pos >= k else None for k in (2, 1)]
+            first = False
+            told = " ".join(x for x in (*ahead, prefix) if x is not None)
+            if len(run) >= 16 or (named(told) and re.search("[=:]\\s*[\"']?$", " ".join(x for x in (ahead[1], prefix) if x is not None))):
+                out.append((pos, nth, run, prefix, *ahead, words[pos + 1] if pos + 1 < len(words) else None))
+    return out
+
+
+def test_secret_candidates_plain(spark, texts):
+    """Every candidate against a loop over words; short values count behind a credential word with an assignment only."""
+    odd = ["password=hunter2secret", "token: abc123def456 next", "my pwd = 'a1b2c3'; note: x1y2z3", "order: abc123def456", "api_key=short1,token=0123456789abcdef0123 secret : q9w8e7", "AUTH:Abc-9/xyz== passwd:none", '{"password":"p4ssw0rd","id":"77aa88bb99cc00dd1"}', "token=" + "z9" * 5000, "secret=\nabc123xyz", "Token= x1", "secretary: a1b2c3d4"]
+    rows = [*texts.items(), *((900 + k, t) for k, t in enumerate(odd))]
+    got = sorted((r["doc_id"], r["pos"], r["nth"], r["run"], r["prefix"], r["before2"], r["before"], r["after"]) for r in candidates(spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, source string")).collect())
+    want = sorted((i, *c) for i, t in rows for c in plain_candidates(t))
+    assert got == want and {i for i, *_ in want} >= {900, 901, 902, 904, 905, 906, 907, 908} and not any(i == 903 for i, *_ in want)
+
+
+def test_null_source(spark):
+    """Null and empty source are two hosts: a line of twelve documents each is common in neither, a value in two paths is in two."""
+    line = "this very line stands in many documents of both hosts and is no news"
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, f"{line}\n{words} {k} " + " ".join(f"own{k}x{j}" for j in range(20)), None if k % 2 else "") for k in range(24)]
+    got = line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["n_left"] == r["n_words"] for r in got)
+    value = "key 1234567890abcdef77"
+    for other, decided in (("c", 0.0), (None, None)):
+        rows = [(1, value, None), (2, value, ""), (3, value, "b"), (4, value, other)]
+        assert {r["label"] for r in findings(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {decided}
+
+
 def luhn_number(rng, good):
     while True:
         n = str(rng.integers(10**15, 10**16))
