@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import layouts as L
 from ..sources import statements as P
+from ..sources.context_dates import resolve_dates
 from . import views as W
 from .registry import query
 from .statements import RANKED, WHOLE, _held, _ranked, _sheet, landed
@@ -76,20 +77,21 @@ def m5_learned_headers(spark, sf_dir):
     return L.map_by_learned_header(heads, none, known)
 
 
-DATES = """cells as (select cast(statement_id as varchar) as file, rank, operation_date as d, case rank % 4 when 0 then strftime(operation_date, '%Y-%m-%d') when 1 then strftime(operation_date, '%d/%m') when 2 then strftime(operation_date, '%d/%m/%Y') else strftime(operation_date, '%m/%d/%Y') end as cell,
-  rank % 4 as k, day(operation_date) as dd, month(operation_date) as mm, year(operation_date) as yy from ranked),
- facts as (select *, k >= 2 and dd <= 12 and dd <> mm as either, case when k = 3 and dd <= 12 and dd <> mm then make_date(yy, dd, mm) when k = 1 then null else d end as plain,
-  case when k >= 2 and dd <= 12 then (case when k = 3 then d else make_date(yy, dd, mm) end) end as swapped from cells),
- ctx as (select *, last_value(case when not either and k <> 1 then plain end ignore nulls) over (partition by file order by rank rows between 24 preceding and 1 preceding) as c from facts)"""
+DATES = """cells as (select cast(statement_id as varchar) as file, rank, operation_date as d, case when rank % 8 = 0 then 'iso' when rank % 8 in (1, 4) then 'short' when rank % 8 in (3, 7) then 'month' else 'day' end as k, day(operation_date) as dd, month(operation_date) as mm, year(operation_date) as yy from ranked),
+ facts as (select *, k in ('day', 'month') and dd <= 12 and dd <> mm as either, case when k = 'month' and dd <= 12 and dd <> mm then make_date(yy, dd, mm) when k <> 'short' then d end as plain,
+  case when k in ('day', 'month') and dd <= 12 then (case when k = 'month' then d else make_date(yy, dd, mm) end) end as swapped from cells)"""
 
 
-@query(f"""with {RANKED}, {DATES} select file, 0 as "column", rank, case when k = 1 then (select x from (select try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', cast(year(c) + i as int), mm, dd) as date) as x from (values (-1), (0), (1)) t(i)) where x is not null order by abs(date_diff('day', c, x)), x limit 1)
-  when either then (case when c is not null and abs(date_diff('day', c, swapped)) < abs(date_diff('day', c, plain)) then swapped else plain end) else plain end as date from ctx""")
+@query(f"""with recursive {RANKED}, {DATES}, r as (select file, rank, plain as date, plain as c from facts where rank = 0 union all
+  select file, rank, date, coalesce(date, c) from (select f.file, f.rank, r.c, case when k = 'short' then (select x from (select try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', cast(year(r.c) + i as int), mm, dd) as date) as x from (values (-1), (0), (1)) t(i)) where x is not null order by abs(date_diff('day', r.c, x)), x limit 1)
+   when either and abs(date_diff('day', r.c, swapped)) < abs(date_diff('day', r.c, plain)) then swapped else plain end as date from r join facts f on f.file = r.file and f.rank = r.rank + 1))
+ select file, 0 as "column", rank, date from r""")
 def m6_context_dates(spark, sf_dir):
-    """ISO days, days without a year, day first and month first, mixed in one column."""
-    k, d = F.col("rank") % 4, F.col("operation_date")
-    cell = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM")).when(k == 2, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
-    return L.resolve_dates(_ranked(spark, sf_dir).select("file", F.lit(0).alias("column"), "rank", cell.alias("cell")))
+    """ISO days, days without a year, day first and month first, mixed in one column; what is resolved decides what follows."""
+    k, d = F.col("rank") % 8, F.col("operation_date")
+    form = lambda f: F.date_format(d, f)
+    cell = F.when(k == 0, form("yyyy-MM-dd")).when(k.isin(1, 4), form("dd/MM")).when(k.isin(3, 7), form("MM/dd/yyyy")).otherwise(form("dd/MM/yyyy"))
+    return resolve_dates(_ranked(spark, sf_dir).select("file", F.lit(0).alias("column"), "rank", cell.alias("cell")))
 
 
 @query("""with f as (select distinct statement_id, account_id, 'f' || statement_id % 97 as fp, 's' || statement_id % 13 as sg from lines),

@@ -15,8 +15,13 @@ def query(sql: str | None = None, base: bool = True):
 
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (CTE + (", " + sql.strip()[5:] if sql.strip().lower().startswith("with ") else sql)) if base else sql
+        if sql and base:
+            words, own = sql.strip(), sql.strip().lower().startswith("with ")
+            loop = own and words[5:].lstrip().lower().startswith("recursive ")
+            rest = words[5:].lstrip()[10:] if loop else words[5:]
+            SQL[f.__name__] = (CTE.replace("with ", "with recursive ", 1) if loop else CTE) + (", " + rest if own else sql)
+        elif sql:
+            SQL[f.__name__] = sql
         return f
 
     return add

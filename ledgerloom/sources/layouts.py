@@ -226,30 +226,6 @@ def header_examples(heads: DataFrame, approved: DataFrame, known: DataFrame) ->
     return known.select("field", "key").unionByName(heads.join(approved, ["file", "column"]).select("field", "key")).distinct()
 
 
-def resolve_dates(column: DataFrame, back: int = 24) -> DataFrame:
-    """Dates of (file, column, rank, cell): a day and month alone take the year, and day and month that could be either take the order,
-    that lies nearest the last of the unambiguous dates among the ``back`` rows before; without one, day first, and no year is null.
-
-    Only unambiguous dates are context; dates resolved by context are not (a stated simplification).
-    """
-    cell = F.trim("cell")
-    both = lambda i: F.regexp_extract(cell, "^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})$", i)
-    short = lambda i: F.regexp_extract(cell, "^([0-9]{1,2})[/.-]([0-9]{1,2})$", i)
-    either = (both(3) != "") & both(1).try_cast("int").between(1, 12) & both(2).try_cast("int").between(1, 12) & (both(1) != both(2))
-    partial = short(1) != ""
-    swapped = F.try_to_timestamp(F.concat_ws("-", both(3), F.lpad(both(1), 2, "0"), F.lpad(both(2), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    american = F.when((both(3) != "") & (both(2).try_cast("int") > 12), swapped)
-    rows = column.withColumns({"plain": F.coalesce(american, parse_date("cell")), "either": either, "partial": partial})
-    w = Window.partitionBy("file", "column").orderBy("rank").rowsBetween(-back, -1)
-    rows = rows.withColumn("context", F.last(F.when(~F.col("either") & ~F.col("partial"), F.col("plain")), ignorenulls=True).over(w))
-    away = lambda d: F.abs(F.datediff(d, "context"))
-    nearest = F.when(F.col("context").isNotNull() & (away(swapped) < away(F.col("plain"))), swapped).otherwise(F.col("plain"))
-    year = lambda k: F.try_to_timestamp(F.concat_ws("-", (F.year("context") + k).cast("string"), F.lpad(short(2), 2, "0"), F.lpad(short(1), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    years = F.array_sort(F.transform(F.filter(F.array(year(-1), year(0), year(1)), lambda d: d.isNotNull()), lambda d: F.struct(away(d).alias("a"), d.alias("d"))))
-    resolved = F.when(F.col("partial"), F.get(years, F.lit(0))["d"]).when(F.col("either"), nearest).otherwise(F.col("plain"))
-    return rows.select("file", "column", "rank", resolved.alias("date"))
-
-
 def best_profile(files: DataFrame, profiles: DataFrame) -> DataFrame:
     """(file, profile_id) of the saved layout to use: the same fingerprint, else the same signature; the account's own before a
     general one, then the newest. ``files``: file, account_id, fingerprint, signature; ``profiles``: profile_id, account_id (null:
