@@ -21,19 +21,12 @@ def common_length(a: str, b: str) -> int:
     todo, total = [(a, b)], 0
     while todo:
         x, y = todo.pop()
-        best = (0, 0, 0)
-        above = [0] * (len(y) + 1)
-        for i, c in enumerate(x):
-            here = [0] * (len(y) + 1)
-            for j, d in enumerate(y):
-                if c == d:
-                    here[j + 1] = above[j] + 1
-                    n, p, q = here[j + 1], i - above[j], j - above[j]
-                    if n > best[0] or (n == best[0] and (p, q) < best[1:]):
-                        best = (n, p, q)
-            above = here
-        n, p, q = best
+        n = p = 0
+        for i in range(len(x)):
+            while i + n < len(x) and x[i : i + n + 1] in y:  # only a longer run than the longest so far
+                n, p = n + 1, i
         if n:
+            q = y.find(x[p : p + n])
             total += n
             todo += [(x[:p], y[:q]), (x[p + n :], y[q + n :])]
     return total
@@ -48,9 +41,33 @@ def similarity(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    seen: dict[tuple, float] = {}  # of a batch, each pair of texts once
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in seen:
+            seen[pair] = similarity(*pair)
+        out.append(seen[pair])
+    return pd.Series(out, dtype="float64")
+
+
+_similarity = _similarity.asNondeterministic()  # else a filter on the result is pushed down with a copy of the call, which then runs twice
 
 
 def text_similarity(a: Column | str, b: Column | str) -> Column:
     """0 to 100: twice the characters in common over both lengths (an Arrow function: use it on pairs that joins have narrowed)."""
     return _similarity(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+
+
+def characters(text: Column | str) -> Column:
+    """The compared characters of a text, each with how often it stood before, as numbers: what two texts share of these bounds what they
+    have in common. Computed once a text."""
+    chars = F.filter(F.split(F.substring(text, 1, COMPARED), ""), lambda c: c != "")
+    numbered = lambda cs: F.transform(cs, lambda c, i: F.ascii(c) * COMPARED + F.size(F.filter(F.slice(cs, F.lit(1), i), lambda d: d == c)))
+    return F.transform(F.array(chars), numbered)[0]
+
+
+def may_be_alike(a: Column | str, b: Column | str, least: float) -> Column:
+    """Whether texts with these ``characters`` can be alike by ``least`` or more; false only where they cannot."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    small = F.least(F.size(a), F.size(b)) * 200.0 >= least * (F.size(a) + F.size(b))
+    return F.when(small, F.size(F.array_intersect(a, b)) * 200.0 >= least * (F.size(a) + F.size(b))).otherwise(F.lit(False))

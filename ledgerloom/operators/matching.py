@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import text_similarity
+from ..functions.similarity import characters, may_be_alike, text_similarity
 from ..functions.text import iban_norm, iban_valid, is_batch_like, normalize_text, reference_core, split_refs, words_ascii
 
 #: Points of the scoring rules; learned patterns count by whether the amount is exact or part of the document's.
@@ -68,7 +68,7 @@ def prepare_lines(lines: DataFrame, keywords: tuple[str, ...] = ()) -> DataFrame
     return lines.withColumns({
         "_core": reference_core("payment_reference"), "_text": normalize_text(F.concat_ws(" ", "payment_reference", "description")), "_desc": normalize_text("description"),
         "_name": F.coalesce(normalize_text("counterparty_name"), F.lit("")), "_words": words_ascii("description"), "_iban": F.when(iban_valid(iban), iban).otherwise(""),
-        "_batch": is_batch_like(list(keywords), *fields) if keywords else F.lit(False)})
+        "_batch": is_batch_like(list(keywords), *fields) if keywords else F.lit(False)}).withColumn("_chars", characters("_name"))
 
 
 def prepare_docs(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def prepare_docs(docs: DataFrame, patterns: DataFrame | None = None) -> DataFram
     whole = (F.size(F.split(F.trim(phrase), " ")) >= 2) & (F.length(F.trim(phrase)) >= 8)
     out = docs.withColumns({
         "_dcore": reference_core("doc_ref"), "_dref": F.coalesce(normalize_text("doc_ref"), F.lit("")), "_dclients": F.filter(F.transform(split_refs(text("ref_client")), normalize_text), lambda x: x != ""),
-        "_dname": F.coalesce(normalize_text(shown), F.lit("")), "_dphrase": F.when(whole, phrase), "_diban": F.when(iban_valid(iban), iban).otherwise("")})
+        "_dname": F.coalesce(normalize_text(shown), F.lit("")), "_dphrase": F.when(whole, phrase), "_diban": F.when(iban_valid(iban), iban).otherwise("")}).withColumn("_dchars", characters("_dname"))
     none = F.array().cast("array<string>")
     if patterns is None:
         return out.withColumns({"_pibans": none, "_ptexts": none})
@@ -104,7 +104,8 @@ def score(pairs: DataFrame, tolerance: int) -> DataFrame:
     mine, other = F.col("_name"), F.col("_dname")
     both = (mine != "") & (other != "")
     named = both & (F.contains(mine, other) | F.contains(other, mine))
-    like = text_similarity(F.when(both & ~named, mine), other)
+    near = both & ~named & may_be_alike("_chars", "_dchars", FUZZY)
+    like = text_similarity(F.when(near, mine), F.when(near, other))
     strong = (F.col("_core") == F.col("_dcore")) & (F.length("_core") >= 8)
     exact = ~strong & (F.col("_dref") != "") & F.contains("_text", F.col("_dref"))
     client = ~strong & ~exact & F.exists("_dclients", lambda x: F.contains(F.col("_text"), x))
