@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import positions
+
 FEATURES = ("f1", "f2", "f3", "f4", "f5", "f6")
 
 
@@ -16,12 +18,15 @@ def batch_features(rows: DataFrame) -> DataFrame:
         "f4": unit(F.log10(1 + F.abs("amount").cast("double")) / 6), "f5": unit(F.length("description") / 140), "f6": unit((F.col("amount") > 0).cast("int"))})
 
 
-def rebalance(samples: DataFrame, label: str, order: list, ratio: int = 4) -> DataFrame:
-    """Newest rows of the larger class, at most ``ratio`` times the smaller one."""
-    sizes = samples.groupBy(label).agg(F.count("*").alias("n"))
-    limit = sizes.agg((F.min("n") * ratio).alias("limit"))
-    ranked = samples.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.join(F.broadcast(limit)).where("_k <= limit").drop("_k", "limit")  # one row is broadcast
+def rebalance(samples: DataFrame, label: str, day: str, order: list, ratio: int = 4) -> DataFrame:
+    """Newest rows (by ``day``, then ``order``) of the larger class, at most ``ratio`` times the smaller one.
+
+    Days are counted first; only the rows of the day that the limit cuts are ordered, by day, so no task orders a class.
+    """
+    newest_first = F.datediff(F.lit("1970-01-01").cast("date"), F.col(day))
+    limit = samples.groupBy(label).agg(F.count("*").alias("n")).agg((F.min("n") * ratio).alias("limit"))
+    ranked = positions(samples, [label], [newest_first], order)
+    return ranked.join(F.broadcast(limit)).where("position <= limit").drop("position", "limit")  # one row is broadcast
 
 
 #: Newest samples of a block that a fit reads at most (a bound of fitting).
@@ -102,13 +107,22 @@ def holdout(samples: DataFrame, order: str, tiebreak: str, percent: int = 20) ->
     return rows.withColumn("part", F.when(place <= F.floor(F.col("_all") * percent / 100), "test").otherwise("train")).drop("_after", "_all")
 
 
+def unseen(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``train`` without rows whose features a row of ``test`` has: what a model is measured on it has not read."""
+    return train.join(test.select(*FEATURES).distinct(), list(FEATURES), "left_anti")
+
+
 def metrics(judged: DataFrame) -> DataFrame:
-    """Confusion counts, accuracy, precision, recall and F1 of (label, predicted)."""
+    """Confusion counts, accuracy, precision, recall, F1, balanced accuracy, and the accuracy of the more frequent label (majority), of
+    (label, predicted)."""
     c = lambda a, b: F.count_if((F.col("label") == a) & (F.col("predicted") == b))
     t = judged.agg(c(1, 1).alias("tp"), c(0, 1).alias("fp"), c(1, 0).alias("fn"), c(0, 0).alias("tn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return t.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    return t.withColumns({
+        "accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn),
+        "balanced_accuracy": (ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2, "majority": ratio(F.greatest(tp + fn, tn + fp), tp + fp + fn + tn)})
+
 
 
 def learn_patterns(approved: DataFrame, most: int) -> DataFrame:

@@ -30,18 +30,22 @@ def unclaimed(ledger: DataFrame, lines: DataFrame, members: DataFrame | None = N
 def near_amount_pairs(lines: DataFrame, docs: DataFrame, days: int, cents: int = 1) -> DataFrame:
     """Pairs on one account with amounts within ``cents`` and dates within ``days``. ``docs`` has doc_account, doc_amount, doc_date."""
     key = (F.col("amount") * 100).cast("long")
-    spread = lines.withColumn("_cents", F.explode(F.array(*[key + i for i in range(-cents, cents + 1)])))
-    other = docs.withColumn("_cents", (F.col("doc_amount") * 100).cast("long"))
-    pairs = spread.join(other, (spread["_cents"] == other["_cents"]) & (spread["account_id"] == other["doc_account"]))
-    return pairs.drop("_cents").where(F.abs(F.datediff("operation_date", "doc_date")) <= days)
+    spread = lines.withColumns({"_cents": F.explode(F.array(*[key + i for i in range(-cents, cents + 1)])), "_account": F.col("account_id")})
+    other = docs.withColumns({"_cents": (F.col("doc_amount") * 100).cast("long"), "_account": F.col("doc_account")})
+    return near_days(spread, other, ["_account", "_cents"], "operation_date", "doc_date", days).drop("_account", "_cents")
+
+
+def _runs(date: str, days: int) -> tuple[Column, Column]:
+    """The run of days that a date lies in, and the runs (one or two) that dates within ``days`` of it lie in."""
+    run = lambda shift: F.floor((F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) + shift) / (4 * days + 1)).cast("long")
+    return run(0), F.array_distinct(F.array(run(-days), run(days)))
 
 
 def near_days(left: DataFrame, right: DataFrame, on: list[str], date: str, other: str, days: int) -> DataFrame:
     """Pairs with equal ``on`` whose dates (``date`` left, ``other`` right) are within ``days``: joined on runs of days, so rows of one
     key and far dates never meet."""
-    run = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
-    a = left.withColumn("_run", F.explode(F.array(*[run(date) + i for i in (-1, 0, 1)])))
-    b = right.withColumn("_run", run(other))
+    a = left.withColumn("_run", F.explode(_runs(date, days)[1]))
+    b = right.withColumn("_run", _runs(other, days)[0])
     return a.join(b, [*on, "_run"]).drop("_run").where(F.abs(F.datediff(date, other)) <= days)
 
 
@@ -197,9 +201,9 @@ def affected_peers(changed: DataFrame, lines: DataFrame, days: int = 31) -> Data
 
 def existing_movement(lines: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
     """Lines for which a ledger movement of the same account and exact amount lies within ``days``."""
-    l = ledger.select(F.col("account_id").alias("_a"), F.col("amount").alias("_m"), F.col("booking_date").alias("_d"))  # noqa: E741
-    near = (F.col("account_id") == F.col("_a")) & (F.col("amount") == F.col("_m")) & (F.abs(F.datediff("operation_date", "_d")) <= days)
-    return lines.join(l, near, "left_semi")
+    l = ledger.select(F.col("account_id").alias("_a"), F.col("amount").alias("_m"), F.col("booking_date").alias("_d"), F.explode(_runs("booking_date", days)[1]).alias("_r"))  # noqa: E741
+    near = (F.col("account_id") == F.col("_a")) & (F.col("amount") == F.col("_m")) & (F.col("_run") == F.col("_r")) & (F.abs(F.datediff("operation_date", "_d")) <= days)
+    return lines.withColumn("_run", _runs("operation_date", days)[0]).join(l, near, "left_semi").drop("_run")
 
 
 def wrong_account(lines: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
@@ -214,7 +218,8 @@ def planned_payments(lines: DataFrame, obligations: DataFrame, before: int, afte
     line_id, status (unique, ambiguous) and obligation_id."""
     o = obligations.select("obligation_id", "account_id", F.col("remaining").alias("_r"), "due_date")
     shift = F.datediff("operation_date", "due_date")
-    pairs = lines.where("amount < 0").withColumn("_r", -F.col("amount")).join(o, ["account_id", "_r"]).where((shift >= -before) & (shift <= after))
+    out = lines.where("amount < 0").withColumn("_r", -F.col("amount"))
+    pairs = near_days(out, o, ["account_id", "_r"], "operation_date", "due_date", max(before, after)).where((shift >= -before) & (shift <= after))
     n = pairs.groupBy("line_id").agg(F.count("*").alias("n"), F.min("obligation_id").alias("obligation_id"))
     return n.select("line_id", F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("obligation_id")).alias("obligation_id"))
 

@@ -62,7 +62,7 @@ def l1_batch_features(spark, sf_dir):
 
 @query(f"with {FEATURED} select id from (select *, row_number() over (partition by label order by operation_date desc, id desc) as k from featured) where k <= 2 * (select min(n) from (select count(*) as n from featured group by label))")
 def l3_rebalance(spark, sf_dir):
-    return L.rebalance(featured(spark, sf_dir), "label", [F.desc("operation_date"), F.desc("id")], 2).select("id")
+    return L.rebalance(featured(spark, sf_dir), "label", "operation_date", [F.desc("id")], 2).select("id")
 
 
 KNN = f"""{FEATURED}, q as (select * from featured where id % 100 = 0), s as (select *, greatest(3, least(31, floor(sqrt(n)) - case when floor(sqrt(n)) % 2 = 0 then 1 else 0 end)) as kk from (select *, count(*) over (partition by account_id) as n from (select *, row_number() over (partition by account_id order by operation_date desc, id desc) as newest from featured where status = 2) where newest <= 5000)),
@@ -98,7 +98,7 @@ def l7_holdout(spark, sf_dir):
 
 @query(f"""with {FEATURED}, j as (select label, case when f1 = 1 or f2 > 0.9 then 1 else 0 end as predicted from featured),
  t as (select count(*) filter (label = 1 and predicted = 1) as tp, count(*) filter (label = 0 and predicted = 1) as fp, count(*) filter (label = 1 and predicted = 0) as fn, count(*) filter (label = 0 and predicted = 0) as tn from j)
- select *, (tp + tn) / (tp + fp + fn + tn) as accuracy, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1 from t""")
+ select *, (tp + tn) / (tp + fp + fn + tn) as accuracy, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1, (tp / (tp + fn) + tn / (tn + fp)) / 2 as balanced_accuracy, greatest(tp + fn, tn + fp) / (tp + fp + fn + tn) as majority from t""")
 def l7_validation_metrics(spark, sf_dir):
     return L.metrics(featured(spark, sf_dir).select("label", F.when((F.col("f1") == 1) | (F.col("f2") > 0.9), 1).otherwise(0).alias("predicted")))
 
