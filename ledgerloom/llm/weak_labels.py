@@ -1,15 +1,15 @@
 """Weak-label quality and toxicity model.
 
 1. Labelled documents, at most ``LABELLED`` of each class by hash of doc_id (a bound of fitting only), give a lexicon: all
-   words that at least five of the toxic ones hold and others hardly do.
+   words, and all beginnings of words (``STEMS`` bytes), that at least five of the toxic ones hold and others hardly do.
 2. Overlapping heuristic labellers vote on every document (1 bad, 0 good, or abstain); given labels are one more labeller.
 3. Expectation-maximisation over the counts of vote patterns (at most 3 ** labellers, whatever the number of documents)
    estimates the prior and each labeller's hit rate and false-alarm rate, and with them a posterior for every pattern.
 4. Posterior labels train a sparse hashed linear scorer (logistic loss, L1 by proximal gradient) on at most ``SAMPLE``
    documents of each class and target, taken by hash of doc_id. ``SAMPLE`` bounds the fitting only: statistics, votes and
    scores cover every document.
-5. Every document is scored from its whole text. A document is toxic, or of low quality, where scorer and posterior agree
-   in the mean of their log-odds.
+5. Every document is scored from its whole text. A document is toxic, or of low quality, where the mean of the scorer's and the
+   posterior's log-odds, weighted by ``SHARE``, is not negative.
 
 Defined cases: null or empty text gets few-words votes and scores 0 features; documents without labels (a null doc_id has none)
 abstain there; labels of unknown documents are ignored, repeated labels count once with the larger value; rows of one doc_id are
@@ -31,10 +31,14 @@ from .store import keep, named, small
 from .textkit import Texts, Words, mix, range_hashes, space_words, texts
 
 BINS, SAMPLE, LABELLED, ROUNDS = 1 << 16, 3000, 50_000, 60
+#: Weight of the scorer's log-odds beside the posterior's: it reads the whole text, but knows fewer rare words than the labellers.
+SHARE = 0.25
 #: Insults that need no labels to be known.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile filth vermin dumb retarded".split()
-TOXIC = ("insults", "lexicon_a", "lexicon_b", "given")
-QUALITY = ("symbols", "capitals", "tables", "few_words", "repeats", "given")
+TOXIC = ("insults", "short", "long", "given")
+QUALITY = ("symbols", "capitals", "tables", "few_words", "repeats", "odd_ends", "in_a_row", "given")
+#: Bytes of the beginnings of words that the lexicon knows, and that the scorer reads.
+STEMS, STEM = (5, 6, 7, 8), 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,21 +52,29 @@ def _letter_words(t: Texts) -> Words:
     return Words(Texts(data, t.at, t.first), _LETTERS[data])
 
 
-def _hash_of(words: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in words]
+def _hash_of(words: list[str] | list[bytes]) -> np.ndarray:
+    raw = [w if isinstance(w, bytes) else w.encode() for w in words]
     end = np.cumsum([len(x) for x in raw], dtype=np.int64)
     return range_hashes(np.frombuffer(b"".join(raw), np.uint8), end - [len(x) for x in raw], end) if raw else np.zeros(0, np.uint64)
 
 
+def _stems(w: Words, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of each word; 0 for shorter ones."""
+    long = w.end - w.start >= size
+    out = np.zeros(len(w.start), np.uint64)
+    out[long] = range_hashes(w.data, w.start[long], w.start[long] + size)
+    return out
+
+
 def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.append(0, np.cumsum(flags))
     return total[at[1:]] - total[at[:-1]]
 
 
-def _votes(insults: np.ndarray, lexicon: np.ndarray):
+def _votes(insults: np.ndarray, lexicon: np.ndarray, stems: dict[int, np.ndarray]):
     """(doc_id, copy, toxic pattern, quality pattern) in base 3 without the given labels: digit 2 abstains."""
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("toxic", pa.int64()), ("quality", pa.int64())])
-    known = [np.sort(x) for x in (insults, lexicon[lexicon % np.uint64(2) == 0], lexicon[lexicon % np.uint64(2) == 1])]
+    tables, half = {n: np.sort(x) for n, x in ({0: lexicon} | stems).items()}, len(STEMS) // 2
 
     def inside(h: np.ndarray, table: np.ndarray) -> np.ndarray:
         if not len(table):
@@ -75,10 +87,12 @@ def _votes(insults: np.ndarray, lexicon: np.ndarray):
             for t in texts(batch.column(batch.schema.get_field_index("text"))):
                 w = _letter_words(t)
                 h = w.hashes()
-                toxic = np.zeros(t.n, np.int64)
-                for table in known:
-                    hit = _per_doc(inside(h, table), w.at)
-                    toxic = toxic * 3 + (np.where(hit > 0, 1, 0) if len(table) else 2)
+                toxic = (_per_doc(inside(h, np.sort(insults)), w.at) > 0).astype(np.int64)
+                for sizes in ((0, *STEMS[:half]), (0, *STEMS[half:])):  # whole words of the lexicon, and shorter or longer beginnings
+                    hit = np.zeros(len(h), bool)
+                    for n in sizes:
+                        hit |= inside(_stems(w, n) if n else h, tables[n])
+                    toxic = toxic * 3 + (_per_doc(hit, w.at) > 0 if any(len(tables[n]) for n in sizes) else 2)
                 data, size = t.data, np.maximum(np.diff(t.at), 1)
                 upper = _per_doc((data >= 65) & (data <= 90), t.at)
                 lower = _per_doc((data >= 97) & (data <= 122), t.at)
@@ -88,8 +102,13 @@ def _votes(insults: np.ndarray, lexicon: np.ndarray):
                 n = np.diff(every.at)
                 wh = every.hashes()
                 distinct = np.array([len(np.unique(wh[a:b])) for a, b in zip(every.at[:-1], every.at[1:], strict=True)], np.int64)
+                odd = _per_doc(np.isin(data[every.end - 1], np.frombuffer(b"#*$%&<>!|", np.uint8)), every.at)
+                again = np.append(False, wh[1:] == wh[:-1])[: len(wh)]
+                first = every.at[:-1][every.at[:-1] < len(wh)]
+                again[first] = False
+                row = _per_doc(again, every.at)
                 quality = np.zeros(t.n, np.int64)
-                for vote in (symbols > 0.02 * size, upper > lower, pipes > 0.1 * n, n < 20, 3 * distinct < n):
+                for vote in (symbols > 0.01 * size, 5 * upper > upper + lower, pipes > 0.05 * n, n < 20, 5 * distinct < 2 * n, odd > 0.05 * n, row > 0.05 * n):
                     quality = quality * 3 + vote
                 yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), copies.slice(t.first, t.n), pa.array(toxic), pa.array(quality)], schema=schema)
 
@@ -117,9 +136,10 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS
 
 
 def _features(t: Texts) -> list[np.ndarray]:
-    """Distinct hashed features of each document: lower-case words, and the shapes of blank-separated words."""
+    """Distinct hashed features of each document: lower-case words, their beginnings, and the shapes of blank-separated words."""
     w = _letter_words(t)
     words = (mix(w.hashes()) % np.uint64(BINS)).astype(np.int64)
+    stems = (mix(_stems(w, STEM) + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
     kind = np.full(256, 5, np.uint8)
     kind[48:58], kind[65:91], kind[97:123], kind[128:] = 1, 2, 3, 3
     kind[[ord(c) for c in "#*$%&<>"]] = 6
@@ -134,7 +154,7 @@ def _features(t: Texts) -> list[np.ndarray]:
     for i in range(t.n):
         own = shape[s.at[i] : s.at[i + 1]]
         seen, n = np.unique(own, return_counts=True)
-        out.append(np.unique(np.concatenate([words[w.at[i] : w.at[i + 1]], (seen[10 * n >= len(own)] * 7919 + 13) % BINS])))
+        out.append(np.unique(np.concatenate([words[w.at[i] : w.at[i + 1]], stems[w.at[i] : w.at[i + 1]], (seen[10 * n >= len(own)] * 7919 + 13) % BINS])))
     return out
 
 
@@ -188,15 +208,18 @@ def _scores(weights: dict[str, tuple[np.ndarray, float]]):
     return task
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[str]:
-    """Words of at least five toxic documents that hardly any other labelled document holds, from ``most`` documents of each class."""
+def lexicon(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str], dict[int, list[bytes]]]:
+    """Words, and beginnings of words by their bytes, of at least five toxic documents that hardly any other labelled document holds, from
+    ``most`` documents of each class."""
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = labels.where(spot < F.when(F.col("toxic") == 1, min(1.0, most / sizes.get(1, 1))).otherwise(min(1.0, most / sizes.get(0, 1))))
-    words = docs.join(small(keep(chosen.select("doc_id", "toxic"))), "doc_id").select("toxic", F.explode(F.array_distinct(blank_words(F.lower(F.col("text"))))).alias("word"))
-    words = words.select("toxic", F.regexp_extract("word", r"([a-z\x80-\x{10FFFF}]+)", 1).alias("word")).where("word != ''")
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    return [r["word"] for r in counts.where("bad >= 5 and bad >= 20 * good").select("word").collect()]  # words of the bounded sample
+    words = docs.join(small(keep(chosen.select("doc_id", "toxic"))), "doc_id").select("doc_id", "toxic", F.explode(F.array_distinct(blank_words(F.lower(F.col("text"))))).alias("word"))
+    words = keep(words.select("doc_id", "toxic", F.regexp_extract("word", r"([a-z\x80-\x{10FFFF}]+)", 1).cast("binary").alias("word")).where("octet_length(word) > 0").distinct())
+    marked = lambda rows: rows.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where("bad >= 5 and bad >= 10 * good")
+    whole = [bytes(r["word"]).decode() for r in marked(words).select("word").collect()]  # words of the bounded sample
+    stems = {n: [bytes(r["word"]) for r in marked(words.where(F.octet_length("word") > n).select("doc_id", "toxic", F.substring("word", 1, n).alias("word")).distinct()).select("word").collect()] for n in STEMS}
+    return whole, stems
 
 
 def _digits(code: int, n: int) -> list[int]:
@@ -209,8 +232,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     docs, key = named(docs), ["doc_id", "copy"]
     labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.max(1 - F.col("quality")).cast("int").alias("bad"))
     labels = small(keep(labels))
-    words = lexicon(docs, labels)
-    votes = docs.mapInArrow(_votes(_hash_of(INSULTS), _hash_of(words)), "doc_id long, copy long, toxic long, quality long")
+    words, stems = lexicon(docs, labels)
+    votes = docs.mapInArrow(_votes(_hash_of(INSULTS), _hash_of(words), {n: _hash_of(x) for n, x in stems.items()}), "doc_id long, copy long, toxic long, quality long")
     given = lambda c: F.coalesce(F.col(c), F.lit(2)).cast("long")
     votes = votes.join(labels.select("doc_id", F.col("toxic").alias("g_toxic"), "bad"), "doc_id", "left")
     votes = keep(votes.select(*key, (F.col("toxic") * 3 + given("g_toxic")).alias("toxic"), (F.col("quality") * 3 + given("bad")).alias("quality")))
@@ -239,7 +262,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     judged = judged.select(*(F.col(c).alias(f"_{c}") for c in key), "p_toxic", "p_quality")
     both = scores.join(judged, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("copy").eqNullSafe(F.col("_copy")))
     odds = lambda p: F.log(F.col(p) / (1 - F.col(p)))
-    p = lambda t: 1 / (1 + F.exp(-(F.col(f"{t}_odds") + odds(f"p_{t}")) / 2))
+    p = lambda t: 1 / (1 + F.exp(-(SHARE * F.col(f"{t}_odds") + (1 - SHARE) * odds(f"p_{t}"))))
     out = both.select("doc_id", p("toxic").alias("p_toxic"), p("quality").alias("p_low_quality"))
     return out.withColumn("toxic", F.col("p_toxic") >= 0.5).withColumn("low_quality", F.col("p_low_quality") >= 0.5).withColumn("kept", ~F.col("toxic") & ~F.col("low_quality"))
 

@@ -419,3 +419,34 @@ def test_secret_transitions(spark):
         for j, b in enumerate("1aB-"):
             assert abs(row[f"from_{i}_to_{j}"] - sum(x + y == a + b for x, y in zip(marks, marks[1:], strict=False)) / len(run)) < 1e-9
     assert row["length"] == len(run) and abs(row["digits"] - 5 / len(run)) < 1e-9 and {*FEATURES} <= {*row.asDict()}
+
+
+def test_weak_labels_held_out(spark):
+    """Labels of half of the documents judge the other half, both ways: low quality is found without a label, toxic ones mostly."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id")
+    hidden = labels.where("doc_id % 2 = 0")
+    got = score_documents(docs, labels.where("doc_id % 2 = 1")).withColumnRenamed("toxic", "found").join(hidden, "doc_id").collect()
+    for found, truth, recall, precision in (("found", lambda r: r["toxic"] == 1, 0.85, 0.9), ("low_quality", lambda r: r["quality"] == 0, 0.95, 0.95)):
+        right = sum(r[found] and truth(r) for r in got)
+        assert right >= recall * sum(map(truth, got)) and right >= precision * sum(r[found] for r in got), found
+
+
+def test_expectation_maximisation():
+    """Rates and posteriors against a loop over documents, and against the rates that made the votes."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.2
+    hit, false = np.array([0.9, 0.6, 0.7, 0.5]), np.array([0.02, 0.05, 0.01, 0.1])
+    votes = (rng.random((20_000, 4)) < np.where(truth[:, None], hit, false)).astype(np.int64)
+    votes[rng.random((20_000, 4)) < 0.1] = 2
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, rates, prior = fit_labellers(patterns, counts.astype(float))
+    assert abs(prior - 0.2) < 0.02 and np.abs(rates[0] - hit).max() < 0.05 and np.abs(rates[1] - false).max() < 0.03
+    odds = []
+    for v in votes[:300]:
+        x = np.log(prior / (1 - prior))
+        for j, y in enumerate(v):
+            x += (np.log(rates[0, j] / rates[1, j]), np.log((1 - rates[0, j]) / (1 - rates[1, j])), 0)[(1, 0, 2).index(y)]
+        odds.append(1 / (1 + np.exp(-x)))
+    assert np.abs(post[which.reshape(-1)[:300]] - odds).max() < 1e-2
+    assert np.mean((post[which.reshape(-1)] >= 0.5) == truth) > 0.95
