@@ -41,13 +41,13 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
         self.spark, self.root, self.fanout, self._tables = spark, root, fanout, {}
-        self.version, self.runs, self.batches = 0, [], []
+        self.version, self.runs, self.batches, self.retired = 0, [], [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         versions = [int(s.getPath().getName()) for s in self._list("manifest") if self._list(f"manifest/{s.getPath().getName()}/_SUCCESS")]
         if versions:
             self.version = max(versions)
             m = json.loads(spark.read.text(f"{root}/manifest/{self.version}").where("value != ''").first()[0])
-            self.runs, self.batches, self.buckets = [tuple(r) for r in m["runs"]], m["batches"], m["buckets"]
+            self.runs, self.batches, self.retired, self.buckets = [tuple(r) for r in m["runs"]], m["batches"], m["retired"], m["buckets"]
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -60,7 +60,7 @@ class LineRuns:
     def _commit(self) -> None:
         """Publish the runs as they stand; the version before stays for readers, older ones go."""
         self.version += 1
-        text = json.dumps({"runs": self.runs, "batches": self.batches, "buckets": self.buckets})
+        text = json.dumps({"runs": self.runs, "batches": self.batches, "retired": self.retired, "buckets": self.buckets})
         self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{self.version}")
         path, fs = self._path(f"manifest/{self.version - 2}")
         fs.delete(path, True)
@@ -94,9 +94,11 @@ class LineRuns:
             own = own.join(self.table(name).select("hi", "lo", F.lit(True).alias(f"in_{k}")), ["hi", "lo"], "left")
         known = F.coalesce(*(F.col(f"in_{k}") for k in range(len(self.runs))), F.lit(False))
         name = self._write(own.withColumn("holder", F.when(~known, F.col("holder"))))
+        before, self.retired = self.retired, []
         self.runs.append((0, name))
         self.batches.append(batch)
         self._commit()
+        self._drop(before)
         fresh = self.table(name).where("holder is not null").select("hi", "lo", "holder")
         self._compact()
         return fresh
@@ -116,10 +118,16 @@ class LineRuns:
             if len(names) >= self.fanout:
                 merged = self._write(self._merged(names))
                 self.runs = [r for r in self.runs if r[1] not in names] + [(level + 1, merged)]
+                self.retired = self.retired + names  # what the batch's result reads; the next batch deletes them
                 self._commit()
-                self._drop(names)
             level += 1
 
+    def close(self) -> None:
+        """Delete the store."""
+        self._drop([*self.retired, *(n for _, n in self.runs)])
+        path, fs = self._path("")
+        fs.delete(path, True)
+
     def totals(self) -> DataFrame:
         """Every line of the store: hi, lo, docs, holder."""
         return self._merged([n for _, n in self.runs])
@@ -150,7 +158,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_POINTS, most: int = MIN_DOCS,
     often = keep(store.totals().where(F.col("docs") >= most))
     hits = meet(lines.select("hi", "lo", "doc_id", "copy", "place"), often, ["hi", "lo"], "docs").where("doc_id != holder")
     gone = keep(hits.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("place")).alias("gone")))
-    store._drop([n for _, n in store.runs])
+    store.close()
     joined = own.join(small(gone), ["doc_id", "copy"], "left")
 
     def cut(a):
