@@ -30,7 +30,7 @@ def s5_nib_compound(spark, sf_dir):
 def consolidated_files(spark, sf_dir, put=_held, by="statement_id"):
     sign = F.when(F.col("amount") < 0, "-").otherwise("+")
     move = F.concat(sign, _cents(18))
-    balance = F.concat(F.lit("+"), F.lpad((F.col("rank") * 10000).cast("string"), 18, "0"))
+    balance = F.concat(F.lit("+"), F.lpad((F.col("rank").cast("long") * 10000).cast("string"), 18, "0"))
     blocks = F.when(F.col("rank") % 2 == 0, F.concat(F.lit("+000000000000000000"), move, balance)).otherwise(move)
     line = F.concat(F.lit("0300000000  "), F.date_format("operation_date", "yyyyMMdd"), F.lit(" X "), blocks)
     return put(_ranked(spark, sf_dir, by), line)
