@@ -64,14 +64,15 @@ def top_descriptions(lines: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_metrics(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Same-day documents of the line's account and sign no larger than it: how many, and what percent of it they sum to."""
-    size = F.abs("amount").cast(MONEY)
+    """Same-day documents of the line's account and sign no larger than it: how many, and what whole percent of it they sum to (null for
+    a line of nothing)."""
+    size = (F.abs("amount").cast(MONEY) * 100).cast("decimal(18,0)")  # cents: whole numbers divide exactly
     key = lambda r, day: r.select("account_id", F.col(day).alias("_day"), F.signum("amount").cast("int").alias("_sign"), size.alias("_size"))
     d = key(docs, "booking_date").withColumns({"line_id": F.lit(None).cast("long"), "_n": F.lit(1), "_m": F.col("_size")})
-    l = lines.select("account_id", F.col("operation_date").alias("_day"), F.signum("amount").cast("int").alias("_sign"), size.alias("_size"), F.col("line_id").cast("long").alias("line_id"), F.lit(0).alias("_n"), F.lit(0).cast(MONEY).alias("_m"))  # noqa: E741
+    l = lines.select("account_id", F.col("operation_date").alias("_day"), F.signum("amount").cast("int").alias("_sign"), size.alias("_size"), F.col("line_id").cast("long").alias("line_id"), F.lit(0).alias("_n"), F.lit(0).cast("decimal(18,0)").alias("_m"))  # noqa: E741
     w = Window.partitionBy("account_id", "_day", "_sign").orderBy("_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = l.unionByName(d.select(*l.columns)).withColumns({"documents": F.sum("_n").over(w), "_sum": F.sum("_m").over(w)})
-    return both.where("line_id is not null and documents > 0").select("line_id", "documents", F.floor(F.col("_sum") * 100 / F.col("_size")).cast("long").alias("coverage"))
+    return both.where("line_id is not null and documents > 0").select("line_id", "documents", F.call_function("div", F.col("_sum") * 100, F.nullif("_size", F.lit(0))).alias("coverage"))
 
 
 def retention(audit: DataFrame, date: str, cutoff: Column) -> DataFrame:

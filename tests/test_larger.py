@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import summaries
 from ledgerloom.plans import imports
 
 
@@ -11,3 +12,11 @@ def test_consolidated_balance_of_a_long_file(spark, monkeypatch):
     monkeypatch.setattr(imports, "_ranked", lambda *a: row)
     line = imports.consolidated_files(spark, None, put=lambda rows, text: rows.select(text.alias("line"))).collect()[0]["line"]
     assert line.endswith("+000000003000000000")
+
+
+def test_coverage_just_below_a_percent(spark):
+    """a13_candidate_metrics: 1,000.00 of 100,000.01 is no whole percent, however close."""
+    rows = "select {0} as {1}, 1L as account_id, date '2024-01-02' as {2}, cast({3} as decimal(18,2)) as amount"
+    lines = spark.sql(rows.format("1L", "line_id", "operation_date", "100000.01") + " union all " + rows.format("2L", "line_id", "operation_date", "0"))
+    docs = spark.sql(rows.format("7L", "ledger_id", "booking_date", "1000.00") + " union all " + rows.format("8L", "ledger_id", "booking_date", "0"))
+    assert sorted(map(tuple, summaries.candidate_metrics(lines, docs).collect())) == [(1, 1, 0), (2, 1, None)]
