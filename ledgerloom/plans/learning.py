@@ -106,7 +106,7 @@ def l7_validation_metrics(spark, sf_dir):
 @query("select account_id, max_by(line_id, line_id * 7919 % 100003) as line_id from lines where status = 2 group by 1")
 def v11_newest_sample(spark, sf_dir):
     rows = W.lines(spark, sf_dir).where("status = 2").withColumn("h", F.col("line_id") * 7919 % 100003)
-    return L.newest_per(rows, "account_id", [F.desc("h"), F.desc("line_id")]).select("account_id", "line_id")
+    return L.newest_per(rows, "account_id", [F.desc("h"), "line_id"]).select("account_id", "line_id")  # of equal ones the first, as max_by keeps it
 
 
 @query("""with a as (select description, party_id, operation_date from lines l join ledger g on g.ledger_id = linked_ledger_id where status = 2 and length(description) between 8 and 120)

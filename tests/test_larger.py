@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import summaries
+from ledgerloom.operators import matching, reading, summaries
 from ledgerloom.plans import imports
+from ledgerloom.plans import views as W
+from ledgerloom.plans.learning import v11_newest_sample
+from ledgerloom.sources import statements
 
 
 def test_consolidated_balance_of_a_long_file(spark, monkeypatch):
@@ -20,3 +23,10 @@ def test_coverage_just_below_a_percent(spark):
     lines = spark.sql(rows.format("1L", "line_id", "operation_date", "100000.01") + " union all " + rows.format("2L", "line_id", "operation_date", "0"))
     docs = spark.sql(rows.format("7L", "ledger_id", "booking_date", "1000.00") + " union all " + rows.format("8L", "ledger_id", "booking_date", "0"))
     assert sorted(map(tuple, summaries.candidate_metrics(lines, docs).collect())) == [(1, 1, 0), (2, 1, None)]
+
+
+def test_equal_samples(spark, monkeypatch):
+    """v11_newest_sample: of lines with an equal place the first counts (keys 100,003 apart are equal to the hash)."""
+    rows = spark.sql("select 1L as account_id, id * 10 + 1000030 * d as line_id, 2 as status from range(1, 4) a cross join (select explode(array(0, 1)) as d) b")
+    monkeypatch.setattr(W, "lines", lambda *a: rows)
+    assert [r["line_id"] for r in v11_newest_sample(spark, None).collect()] == [10]
