@@ -30,3 +30,14 @@ def test_equal_samples(spark, monkeypatch):
     rows = spark.sql("select 1L as account_id, id * 10 + 1000030 * d as line_id, 2 as status from range(1, 4) a cross join (select explode(array(0, 1)) as d) b")
     monkeypatch.setattr(W, "lines", lambda *a: rows)
     assert [r["line_id"] for r in v11_newest_sample(spark, None).collect()] == [10]
+
+
+def test_evidence_is_judged_before_it_is_cut(spark):
+    """v6_evidence_sequence, s16_statement_evidence: what looks through a whole statement stands below the step that makes its rows."""
+    line = lambda i: f"named_struct('line_id', {i}L, 'day', date '2024-01-0{i}', 'amount', {i})"
+    s = spark.sql(f"select 1L as statement_id, 1L as account_id, 'DESC' as direction, array({line(2)}, {line(1)}) as lines union all select 2L, 1L, 'ASC', array({line(3)}, {line(3)})")
+    out = statements.explode_evidence(s)
+    assert sorted((r["statement_id"], r["sequence"], r["line_id"]) for r in out.collect()) == [(1, 1, 1), (1, 2, 2)]
+    big = spark.sql("select id as statement_id, 1L as account_id, 'ASC' as direction, transform(sequence(1, 3), i -> named_struct('line_id', id * i, 'day', current_date(), 'amount', i)) as lines from range(9)")
+    plan = statements.explode_evidence(big)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(i for i, x in enumerate(plan) if "Generate posexplode" in x) < min(i for i, x in enumerate(plan) if "array_distinct" in x)
