@@ -41,3 +41,14 @@ def test_evidence_is_judged_before_it_is_cut(spark):
     big = spark.sql("select id as statement_id, 1L as account_id, 'ASC' as direction, transform(sequence(1, 3), i -> named_struct('line_id', id * i, 'day', current_date(), 'amount', i)) as lines from range(9)")
     plan = statements.explode_evidence(big)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert max(i for i, x in enumerate(plan) if "Generate posexplode" in x) < min(i for i, x in enumerate(plan) if "array_distinct" in x)
+
+
+def test_parties_are_counted_before_requests_meet_them(spark):
+    """j13_party_resolution: a key that many requests and many parties share makes a row a request, not a pair."""
+    parties = spark.sql("select 1 as vat, id % 500 as party_id from range(1000) union all select 2, 7L")
+    counted = matching.parties_by(parties, ["vat"])
+    assert sorted(map(tuple, counted.collect())) == [(1, 500, 0), (2, 1, 7)]
+    asked = spark.sql("select id as request_id, cast(id % 3 as int) as vat from range(30)")
+    tiers = [asked.join(counted, "vat"), spark.sql("select 0L as request_id, 5L as party_id union all select 0L, 5L")]
+    got = {tuple(r) for r in matching.resolve_tiers(asked.select("request_id"), tiers).collect() if r["request_id"] < 4}
+    assert got == {(0, "unique", 5, 2), (1, "ambiguous", None, 1), (2, "unique", 7, 1), (3, "none", None, None)}
