@@ -123,10 +123,16 @@ def selection_candidates(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows that a user may select for a line: unreconciled, of its account, sign and day, with can_single (the exact amount) and
     can_group (smaller, and others of the day with it)."""
     g = ledger.where(~F.col("reconciled")).select("ledger_id", "account_id", F.col("booking_date").alias("operation_date"), F.col("amount").alias("_m"))
-    rows = lines.join(g, ["account_id", "operation_date"]).where((F.signum("amount") == F.signum("_m")) & (F.abs("_m") <= F.abs("amount")))
-    smaller = F.col("_m") != F.col("amount")
-    n = F.count_if(smaller).over(Window.partitionBy("line_id"))
-    return rows.select("line_id", "ledger_id", (~smaller).alias("can_single"), (smaller & (n >= 2)).alias("can_group"))
+    day = ["account_id", "operation_date", "_sign"]
+    a = lines.select(*day[:2], F.signum("amount").alias("_sign"), "line_id", F.abs("amount").alias("_size"))
+    b = g.select(*day[:2], F.signum("_m").alias("_sign"), "ledger_id", F.abs("_m").alias("_own"))
+    both = a.withColumn("_n", F.lit(0)).unionByName(b.select(*day, F.lit(None).cast("long").alias("line_id"), F.col("_own").alias("_size"), F.lit(1).alias("_n")))
+    below = F.sum("_n").over(Window.partitionBy(*day).orderBy("_size").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum("_n").over(Window.partitionBy(*day, "_size"))
+    counted = both.withColumn("_smaller", below - same).where("_n = 0")  # what a line can group is counted before the pairs are made
+    rows = counted.join(b, day).where(F.col("_own") <= F.col("_size"))
+    smaller = F.col("_own") != F.col("_size")
+    return rows.select("line_id", "ledger_id", (~smaller).alias("can_single"), (smaller & (F.col("_smaller") >= 2)).alias("can_group"))
 
 
 def linked_fallback(lines: DataFrame, linked: DataFrame, suggestions: DataFrame, tolerance: int, cents: int = 1) -> DataFrame:

@@ -52,3 +52,17 @@ def test_parties_are_counted_before_requests_meet_them(spark):
     tiers = [asked.join(counted, "vat"), spark.sql("select 0L as request_id, 5L as party_id union all select 0L, 5L")]
     got = {tuple(r) for r in matching.resolve_tiers(asked.select("request_id"), tiers).collect() if r["request_id"] < 4}
     assert got == {(0, "unique", 5, 2), (1, "ambiguous", None, 1), (2, "unique", 7, 1), (3, "none", None, None)}
+
+
+def test_selection_counts_before_pairs(spark):
+    """j23_selection_candidates: pairs are made last, so none is shuffled; results as counted pair by pair."""
+    lines = spark.sql("select id as line_id, 1L as account_id, date '2024-01-02' as operation_date, cast(if(id % 2 = 0, 1, -1) * (id % 5) as decimal(18,2)) as amount from range(20)")
+    ledger = spark.sql("select id as ledger_id, 1L as account_id, date '2024-01-02' as booking_date, cast(if(id % 3 = 0, 1, -1) * (id % 4) as decimal(18,2)) as amount, id % 7 = 0 as reconciled from range(25)")
+    a, b = lines.collect(), [g for g in ledger.collect() if not g["reconciled"]]
+    sign = lambda x: (x > 0) - (x < 0)
+    fits = {l["line_id"]: [g for g in b if sign(g["amount"]) == sign(l["amount"]) and abs(g["amount"]) <= abs(l["amount"])] for l in a}  # noqa: E741
+    want = sorted((l["line_id"], g["ledger_id"], g["amount"] == l["amount"], g["amount"] != l["amount"] and sum(o["amount"] != l["amount"] for o in fits[l["line_id"]]) >= 2) for l in a for g in fits[l["line_id"]])  # noqa: E741
+    out = reading.selection_candidates(lines, ledger)
+    assert sorted(map(tuple, out.collect())) == want and any(w[3] for w in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(i for i, x in enumerate(plan) if "Join" in x) < min(i for i, x in enumerate(plan) if "Window" in x)
