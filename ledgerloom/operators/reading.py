@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .matching import near_days
+from .matching import by_link, near_days
 
 MONEY = "decimal(18,2)"
 
@@ -42,7 +42,7 @@ def statement_lines(lines: DataFrame, ledger: DataFrame, batches: DataFrame, ope
     o = openings.select("account_id", F.col("start_date").alias("_start"))
     before = F.coalesce(F.col("operation_date") < F.col("_start"), F.lit(False))
     grouped = F.col("batch_id").isNotNull()
-    staged = lines.join(g, "linked_ledger_id", "left").join(b, "line_id", "left").join(o, "account_id", "left").select(
+    staged = by_link(lines, g).join(b, "line_id", "left").join(o, "account_id", "left").select(
         F.lit("staging").alias("storage"), F.col("line_id").alias("row_id"), "account_id", "statement_id", "operation_date", "amount", "description", F.col("linked_ledger_id").alias("native_id"), F.when(grouped, F.col("_t")).otherwise(F.col("_g")).alias("native_amount"),
         F.when(grouped, F.col("_br")).otherwise(F.col("_r")).alias("reconciled"), F.coalesce("batch_id", F.lit(0)).alias("batch_id"), F.coalesce("is_valid", F.lit(False)).alias("batch_valid"), before.alias("opening"))
     old = legacy.join(lines.select("account_id", "statement_id").distinct(), ["account_id", "statement_id"], "left_anti")

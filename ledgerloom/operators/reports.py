@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import by_link
+
 MONEY = "decimal(18,2)"
 
 
@@ -100,7 +102,7 @@ def match_state(lines: DataFrame, ledger: DataFrame, claims: DataFrame) -> DataF
     """Per line: matched, timing, conflict, invalid or open. ``ledger`` has ledger_id, l_amount, l_date, reconciled; ``claims`` ledger_id, n."""
     g = ledger.withColumnRenamed("ledger_id", "linked_ledger_id")
     c = claims.select(F.col("ledger_id").alias("linked_ledger_id"), F.col("n").alias("claims"))
-    rows = lines.join(g, "linked_ledger_id", "left").join(c, "linked_ledger_id", "left")
+    rows = by_link(lines, g, c)
     linked = F.col("linked_ledger_id").isNotNull()
     state = (
         F.when(linked & (F.col("claims") > 1), "conflict").when(linked & F.col("l_amount").isNull(), "invalid").when(linked & (F.col("amount") != F.col("l_amount")), "invalid")

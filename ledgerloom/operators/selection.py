@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import by_link
+
 
 def historical(rows: DataFrame, openings: DataFrame, date: str) -> DataFrame:
     """``rows`` with ``historical``: dated before the account's opening in the opening's currency (EUR rows here)."""
@@ -23,7 +25,7 @@ def pending_lines(lines: DataFrame, ledger: DataFrame, accounts: DataFrame, open
         status = status | (F.col("status") == 3)
     live = accounts.where(~F.col("closed") & F.col("reconcilable")).select("account_id")
     done = ledger.where("reconciled").select(F.col("ledger_id").alias("linked_ledger_id"))
-    rows = lines.where(status).join(live, "account_id", "left_semi").join(done, "linked_ledger_id", "left_anti")
+    rows = by_link(lines.where(status).join(live, "account_id", "left_semi"), done, how="left_anti")
     return historical(rows, openings, "operation_date").where(~F.col("historical")).drop("historical").select(*lines.columns)
 
 
@@ -141,7 +143,7 @@ def worklist_status(states: DataFrame, accounts: DataFrame) -> DataFrame:
 def history_needs_review(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Reconciled lines with ``needs_review``: no ledger row, one that is not reconciled, or another amount."""
     g = ledger.select(F.col("ledger_id").alias("linked_ledger_id"), F.col("amount").alias("_a"), F.col("reconciled").alias("_r"))
-    rows = lines.where("status = 2").join(g, "linked_ledger_id", "left")
+    rows = by_link(lines.where("status = 2"), g)
     return rows.withColumn("needs_review", F.col("_a").isNull() | ~F.col("_r") | (F.col("amount") != F.col("_a"))).select(*lines.columns, "needs_review")
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import by_link
+
 MONEY = "decimal(18,2)"
 
 
 def statement_summary(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per statement: dates, lines, sum, linked, reconciled and lines with an issue."""
     g = ledger.select(F.col("ledger_id").alias("linked_ledger_id"), F.col("amount").alias("_a"), F.col("reconciled").alias("_r"))
-    rows = lines.join(g, "linked_ledger_id", "left")
+    rows = by_link(lines, g)
     linked = F.col("linked_ledger_id").isNotNull()
     issue = linked & (F.col("_a").isNull() | (F.abs(F.col("amount") - F.col("_a")) > 0.001) | ~F.coalesce("_r", F.lit(False)))
     return rows.groupBy("statement_id").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import selection as S
+from ..operators.matching import by_link
 from ..streaming import feed as N
 from . import views as W
 from .registry import query
@@ -62,7 +63,7 @@ STATE = """states as (
 
 def states(spark, sf_dir):
     g = W.ledger(spark, sf_dir).select(F.col("ledger_id").alias("linked_ledger_id"), F.col("amount").alias("l_amount"), F.col("reconciled").alias("l_reconciled"))
-    rows = W.lines(spark, sf_dir).join(g, "linked_ledger_id", "left")
+    rows = by_link(W.lines(spark, sf_dir), g)
     return S.line_state(S.historical(rows, W.openings(spark, sf_dir), "operation_date"))
 
 

@@ -66,3 +66,22 @@ def test_selection_counts_before_pairs(spark):
     assert sorted(map(tuple, out.collect())) == want and any(w[3] for w in want)
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert min(i for i, x in enumerate(plan) if "Join" in x) < min(i for i, x in enumerate(plan) if "Window" in x)
+
+
+def test_lines_without_a_link_are_spread(spark):
+    """d7, r3, d1 and the others that join on links: lines without one do not meet in one task, and match nothing."""
+    lines = spark.sql("select id as line_id, if(id % 10 = 0, id, null) as linked_ledger_id from range(1000)")
+    other = spark.sql("select id * 20 as linked_ledger_id, 'x' as found from range(20) union all select null, 'never'")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = matching.by_link(lines, other)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 1000 and max(sizes) < 500
+        assert {r["line_id"] for r in out.where("found is not null").collect()} == set(range(0, 400, 20)) and out.where("found = 'never'").count() == 0
+        assert matching.by_link(lines, other.drop("found"), how="left_anti").count() == 980
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
