@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import similarity
 from ledgerloom.operators import matching, reading, summaries
 from ledgerloom.plans import imports
 from ledgerloom.plans import views as W
@@ -85,3 +86,23 @@ def test_lines_without_a_link_are_spread(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_names_are_told_unlike_by_counting(spark, monkeypatch):
+    """j9_score_bills, j25_best_bill: likeness of a threshold is what the measure says, and most unlike names are never measured."""
+    names = ["customer_000000007", "custmer customer_000000007", "other company", "custoner_000000070", "x", "", None]
+    want = {(a, b): similarity.similarity(a, b) >= 72 for a in names for b in names}
+    assert {(a, b): similarity.alike(a, b, 72) for a, b in want} == want and any(want.values())
+    rows = spark.createDataFrame([(a, b) for a, b in want], "a string, b string")
+    assert {(r["a"], r["b"]): r["c"] for r in rows.select("a", "b", similarity.text_alike("a", "b", 72).alias("c")).collect()} == want
+    monkeypatch.setattr(similarity, "common_length", lambda a, b: 1 / 0)
+    assert not similarity.alike("customer_000000007", "other company", 72)
+
+
+def test_bills_that_cannot_score_are_not_compared(spark):
+    """j9_score_bills, j25_best_bill: pairs whose amounts fit in no way go before names are compared."""
+    from ledgerloom.plans.matches import bill_pairs
+
+    plan = bill_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    compared = next(i for i, x in enumerate(plan) if "ArrowEvalPython" in x)
+    assert any("Join Inner" in x and "doc_amount" in x or "Filter" in x and "doc_amount" in x for x in plan[compared + 1 :])
