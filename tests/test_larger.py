@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import similarity
+from ledgerloom.functions import similarity, text, values
 from ledgerloom.operators import matching, reading, summaries
 from ledgerloom.plans import imports
 from ledgerloom.plans import views as W
@@ -106,3 +106,20 @@ def test_bills_that_cannot_score_are_not_compared(spark):
     plan = bill_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     compared = next(i for i, x in enumerate(plan) if "ArrowEvalPython" in x)
     assert any("Join Inner" in x and "doc_amount" in x or "Filter" in x and "doc_amount" in x for x in plan[compared + 1 :])
+
+
+def test_checks_read_a_text_once(spark):
+    """j9_score_bills, s11_mapped_rows, s9_tabulated: a value used several times is computed once, also in filters."""
+    plan = lambda c: spark.createDataFrame([("x",)], "t string").where(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.iban_valid("t")).count("upper(") == 1
+    assert plan(values.parse_date("t").isNotNull()).count("trim(t") == 1
+    assert plan(values.parse_number("t").isNotNull()).count("EUR|USD") == 1
+
+
+def test_forms_of_dates(spark):
+    """parse_date: every form, days that do not exist, and eight digits that can be read both ways."""
+    known = {
+        "2024-02-29": "2024-02-29", "2023-02-29": None, "01-02-2024": "2024-02-01", "01/02/2024": "2024-02-01", "01.02.2024": "2024-02-01", "01-02/2024": None, "2024/02/01": "2024-02-01", "2024.02.01": None, "20240201": "2024-02-01",
+        "01022024": "2024-02-01", "10121112": None, "01-02-24": "2024-02-01", "31/12/99": "2099-12-31", "45000": "2023-03-15", "99999": None, "5 Fev 2024": "2024-02-05", "31 Fev 2024": None, " 2024-01-01 ": "2024-01-01", "1899-12-31": None, "": None, "abc": None}
+    rows = spark.createDataFrame([(k,) for k in known], "t string").select("t", values.parse_date("t").cast("string").alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == known
