@@ -123,3 +123,10 @@ def test_forms_of_dates(spark):
         "01022024": "2024-02-01", "10121112": None, "01-02-24": "2024-02-01", "31/12/99": "2099-12-31", "45000": "2023-03-15", "99999": None, "5 Fev 2024": "2024-02-05", "31 Fev 2024": None, " 2024-01-01 ": "2024-01-01", "1899-12-31": None, "": None, "abc": None}
     rows = spark.createDataFrame([(k,) for k in known], "t string").select("t", values.parse_date("t").cast("string").alias("d")).collect()
     assert {r["t"]: r["d"] for r in rows} == known
+
+
+def test_first_lines_of_a_held_file(spark):
+    """s12_detect_format: what follows the first lines is not cut into lines."""
+    files = spark.sql("select 'f' as file, concat_ws('\\n', transform(sequence(1, 500), i -> cast(i as string))) as content")
+    assert [tuple(r) for r in statements.file_lines(files, 3).collect()] == [("f", 0, "1"), ("f", 1, "2"), ("f", 2, "3")]
+    assert statements.file_lines(files).count() == 500
